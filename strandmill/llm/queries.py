@@ -4,10 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import ann as _ann
 from . import exact_dedup as _exact
 from . import line_dedup as _lines
+from . import packing as _packing
+from . import pieces as _pieces
+from . import quality as _quality
+from . import secrets as _secrets
+from . import simhash as _simhash
+from . import token_shards as _shards
 from . import url_rules as _urls
-from ._work import table
+from ._work import new_path, table
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_adaptive_scan(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return _ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op2_simhash(spark, sf_dir):
+    return _simhash.near_dups(table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark, sf_dir):
+    return _secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
 def op4_line_dedup(spark, sf_dir):
@@ -15,6 +41,20 @@ def op4_line_dedup(spark, sf_dir):
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_kept").alias("kept_sha256"))
 
 
+def op5_quality(spark, sf_dir):
+    return _quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_token_shards(spark, sf_dir):
+    path = new_path(spark, "tokens")
+    _shards.write(table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"))
+    return _shards.describe(spark, path).withColumnRenamed("key", "doc_id")
+
+
+def op7_sampled_pieces(spark, sf_dir):
+    return _pieces.sample_pieces(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return _exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -24,10 +64,21 @@ def op9_url_rules(spark, sf_dir):
     return _urls.filter_urls(pages, _urls.mine(pages, table(spark, sf_dir, "labels")))
 
 
+def op10_packing(spark, sf_dir):
+    return _packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_adaptive_scan": op1_adaptive_scan,
+    "op2_simhash": op2_simhash,
+    "op3_secrets": op3_secrets,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality": op5_quality,
+    "op6_token_shards": op6_token_shards,
+    "op7_sampled_pieces": op7_sampled_pieces,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_rules": op9_url_rules,
+    "op10_packing": op10_packing,
 }
 
 _SP = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
