@@ -33,7 +33,10 @@ END_ID = 0
 BLOCK_BYTES = 1 << 20
 BLOCK_DOCS = 1 << 14
 _BLOCKS = "shard int, block int, start long, n_docs long, n_tokens long, lo long, hi long, keys binary, index binary, ids binary"
-_CACHE = 300_000
+_CACHE = 400_000
+_SIGNS = ".,;:!?"
+#: How the byte-level vocabulary writes a space and a line end.
+_SPACE, _LINE = "\u0120", "\u010a"
 _STEP = 1 << 20
 _ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z|<\|")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -57,6 +60,10 @@ class Encoder:
         self.kind = f"<u{width}"
         self.known: dict[str, bytes] = {}  # "word": after a space; "\nword": as it is
         self.raw: dict[str, bytes] = {}  # parts as they are
+        self.tails: dict[str, bytes] = {}  # signs after a word
+        names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
+        self.after_space = np.array([x.startswith(_SPACE) for x in names])
+        self.after_line = np.array([x.startswith(_LINE) for x in names])
 
     @classmethod
     def get(cls, path: str, width: int) -> Encoder:
@@ -64,13 +71,46 @@ class Encoder:
             _encoders[path, width] = cls(path, width)
         return _encoders[path, width]
 
-    def _learn(self, words: set[str], known: dict[str, bytes], spaced: bool) -> None:
-        new = [w for w in words if w not in known]
-        if not new:
-            return
-        parts = [w if not spaced or w[0] == "\n" else " " + w for w in new]
-        for w, e in zip(new, self.tok.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype=self.kind).tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+
+    def _parts(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of lead + word for words without white space: all in one text, cut where an id begins with the lead."""
+        out: list[bytes] = []
+        begins = self.after_space if lead == " " else self.after_line
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            ids = self._ids(lead + lead.join(some))
+            cuts = [*(np.nonzero(begins[ids])[0] * ids.itemsize).tolist(), ids.nbytes]
+            if len(cuts) != len(some) + 1:
+                raise ValueError("an id begins with white space within a word")
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def _learn_words(self, words: set[str]) -> None:
+        known = self.known
+        lines = [w for w in words if w[0] == "\n" and w not in known]
+        known.update(zip(lines, self._parts([w[1:] for w in lines], "\n"), strict=True))
+        # a letter or digit and the signs after it are apart, so words that differ in them are one
+        split = []
+        for w in words:
+            if w[0] != "\n" and w not in known:
+                head = w.rstrip(_SIGNS)
+                split.append((w, head) if head and head[-1].isalnum() else (w, w))
+        heads = list({h for _, h in split if h not in known})
+        known.update(zip(heads, self._parts(heads, " "), strict=True))
+        for w, h in split:
+            if w != h:
+                tail = w[len(h) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self._ids(tail).tobytes()
+                known[w] = known[h] + self.tails[tail]
+
+    def _learn_raw(self, parts: set[str]) -> None:
+        new = [p for p in parts if p not in self.raw]
+        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
+            self.raw[p] = np.array(e.ids, dtype=self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -89,6 +129,8 @@ class Encoder:
             self.known = {}
         if len(self.raw) > _CACHE // 4:
             self.raw = {}
+        if len(self.tails) > _CACHE // 4:
+            self.tails = {}
         split, words, raw = [], set(), set()
         for t in texts:
             if not t:
@@ -105,8 +147,8 @@ class Encoder:
                 split.append((first, parts))
                 raw.add(first)
                 words.update(parts)
-        self._learn(words, self.known, True)
-        self._learn(raw, self.raw, False)
+        self._learn_words(words)
+        self._learn_raw(raw)
         known, raw = self.known, self.raw
         return [b"".join([raw[p] for p in parts]) if first is None else raw[first] + b"".join([known[p] for p in parts]) for first, parts in split]
 
