@@ -145,6 +145,10 @@ def _scan(model: _Model, k: int, eps: float, width: int):
             if not len(alive):
                 continue
             score = (v[alive] * ask).sum(axis=1)
+            if bound == bound:  # k of the home list are as near as that
+                alive, score = alive[score >= bound], score[score >= bound]
+                if not len(alive):
+                    continue
             order = np.lexsort((keys[alive], -score))
             # a vector counts with its ids, the query's own apart
             order = order[: int(np.searchsorted(np.cumsum(weight[alive][order]), k + 1)) + 1]
