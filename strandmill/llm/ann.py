@@ -35,7 +35,7 @@ class Index:
 
     sample: int = 8192
     lists: int | None = None
-    share: float = 0.35
+    share: float = 0.6
     least: int = 12
     eps: float = 2.5
     width: int = 16
