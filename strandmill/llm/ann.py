@@ -35,8 +35,8 @@ class Index:
 
     sample: int = 8192
     lists: int | None = None
-    share: float = 0.6
-    least: int = 12
+    share: float = 0.75
+    least: int = 16
     eps: float = 2.5
     width: int = 16
     rows: int = 2048

@@ -9,8 +9,8 @@ yields to an earlier one that matches), which makes the matches leftmost and lon
 automaton reports where a match ends; the start comes from a reversed automaton of that
 rule, run backwards over the match alone.
 
-Rules must not need a second look: once a rule matches, each further byte either extends
-the match or ends it. Compilation checks this.
+The form of a rule never needs a second look: once it matches, each further byte either
+extends the match or ends it. Of two openings the one that matches first wins.
 """
 
 from __future__ import annotations
@@ -157,8 +157,6 @@ class Automaton:
     def __init__(self, rules: list[Rule]):
         self.rules = list(rules)
         nfas = [Nfa(r.heads, r.tail) for r in rules]
-        for r, n in zip(rules, nfas, strict=True):
-            self._check(r, n)
         of, sample = _classes(nfas)
         start = tuple(() for _ in nfas)
         index, todo, nxt = {start: 0}, [start], []
@@ -191,13 +189,6 @@ class Automaton:
         self.ends: list = []
         self.left, self.size = iter(b""), 0
 
-    @staticmethod
-    def _check(r: Rule, n: Nfa) -> None:
-        for p in n.done:
-            for _, q in n.edges[p]:
-                if q not in n.done:
-                    raise ValueError(f"rule {r.kind}: a match could go on and then fail")
-
     @staticmethod
     def _reversed(n: Nfa):
         """Transitions of the reversed rule by (positions, byte), filled as they are met."""

@@ -1,0 +1,161 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandmill.llm import ann, quality, url_rules
+
+from .conftest import TEXTS
+
+
+def brute_nearest(rows, queries, k, dim):
+    good = {}
+    for i, v in rows:
+        if i is not None and v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            good.setdefault(i, np.array(v, dtype=np.float64))
+    out = {}
+    for q in queries:
+        if q in good:
+            near = sorted((-float((good[q] * v).sum()), i) for i, v in good.items() if i != q)
+            out[q] = [(i, -s) for s, i in near[:k]]
+    return out
+
+
+def answers(got):
+    out = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(out[r["query_id"]])
+    return out
+
+
+def test_nearest_exact_where_all_lists_are_probed(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) * (1 + i % 5) for _ in range(6)]) for i in range(300)]
+    rows += [(1000 + i, rows[7][1]) for i in range(150)]  # a third are copies of one vector
+    rows += [(2000, None), (2001, [0.0] * 6), (2002, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2003, [float("nan")] * 6), (2004, [float("inf")] * 6), (2005, []), (None, [1.0] * 6), (2006, [1.0, 2.0]), (3, rows[3][1])]
+    df = spark.createDataFrame([(i, v, "x", 1, 2) for i, v in rows], "vec_id long, embedding array<double>, id string, q int, key long").repartition(5)
+    how = ann.Index(lists=9, share=1.0, rows=64, eps=100.0, width=2)
+    got = answers(ann.search(df, df.where("vec_id % 20 = 0"), how=how))
+    want = brute_nearest(rows, [i for i, _ in rows if i is not None and i % 20 == 0], 20, 6)
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], rtol=1e-12)
+
+
+def test_nearest_of_few_and_of_none(spark):
+    shape = "vec_id long, embedding array<float>"
+    assert ann.search(spark.createDataFrame([], shape), spark.createDataFrame([], shape)).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], shape)
+    assert answers(ann.search(few, few.where("vec_id = 0"))) == {0: [(1, 0.5), (2, -1.0)]}
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall(spark, size):
+    df = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    got = answers(ann.search(df, df.where("vec_id % 20 = 0")))
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    want = brute_nearest(rows, [i for i, _ in rows if i % 20 == 0], 20, 64)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits / sum(map(len, want.values())) >= 0.93
+
+
+def test_quality_held_out_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(docs, labels).join(labels.select("doc_id", "quality"), "doc_id").where("held_out").collect()
+    assert len(got) > 1000
+    bad = [r for r in got if r["quality"] == 0]
+    good = [r for r in got if r["quality"] == 1]
+    print(sum(r["predicted"] == 0 for r in bad) / len(bad), sum(r["predicted"] == 1 for r in good) / len(good))
+    assert sum(r["predicted"] == 0 for r in bad) / len(bad) > 0.9
+    assert sum(r["predicted"] == 1 for r in good) / len(good) > 0.97
+
+
+def test_quality_edges(spark, edge, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (9, 0, 0), (9, 1, 0), (None, 1, 0), (77, 0, 0), (4, None, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    got = quality.classify(edge, labels).collect()
+    assert len(got) == len(TEXTS) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    assert {r["held_out"] for r in got if r["doc_id"] is not None} == {True, False}
+    for r in got:
+        assert r["held_out"] == (r["doc_id"] is not None and quality.unsigned_crc32(str(r["doc_id"])) % 3 == 1)
+    assert quality.classify(empty, labels).count() == 0
+    assert {r["score"] for r in quality.classify(edge, labels.limit(0)).collect()} == {0.5}
+    kept = quality.keep_good(edge, labels)
+    assert kept.schema == edge.schema and kept.count() == sum(r["score"] >= 0.5 for r in got)
+
+
+def test_votes_are_exact():
+    rng = np.random.default_rng(1)
+    vectors = quality._unit(rng.standard_normal((40, quality.DIMS))).astype(np.float32)
+    labels = (np.arange(40) % 4 > 0).astype(int)
+    model = quality.Model(np.ones(quality.BINS, np.float32), rng.standard_normal((quality.BINS, quality.DIMS)).astype(np.float32), vectors, labels)
+    texts = ["abc def ghi " * n for n in (1, 5)] + ["", "xyz" * 7]
+    for t, s in zip(texts, model.score(texts), strict=True):
+        x = model.latent(quality.counts(t)[None])[0].astype(float)
+        sim = np.maximum(vectors.astype(float) @ x, 1e-6)
+        w = (sim / sim.max()) ** quality.POWER * np.where(labels == 1, 1 / 30, 1 / 10)
+        assert abs(w[labels == 1].sum() / w.sum() - s) < 1e-4
+
+
+def test_counts_of_long_texts_add_up(monkeypatch):
+    t = "äb cde " * 500
+    whole = quality.counts(t)
+    monkeypatch.setattr(quality, "_PIECE", 97)
+    assert np.array_equal(whole, quality.counts(t))
+
+
+URLS = [
+    (1, "https://a.example.com/en/7/x?q=1#f"), (2, "http://EXAMPLE.com/en/8"), (3, "ftp://x.net/de/8"), (4, "http://example.net/de/8"), (5, "http://b.org/es/?x"),
+    (6, "http://notexample.org/fr/"), (7, None), (8, "no scheme/en/"), (9, "http://com/en/"), (10, "http://com?x=/en/"), (11, "http://com#/en/"), (12, "://com/en/"), (13, "http://a.com/en"),
+    (14, ""), (15, "http://"), (16, "http://evilcom/en/"), (None, "http://x.com/en/"), (17, "http://x.org/es/a://b.com/en/"), (1, "https://a.example.com/en/7/x?q=1#f"),
+]
+
+
+def brute_url(url):
+    at = (url or "").find("://")
+    if at < 0:
+        return "", "", None, None
+    rest = url[at + 3 :]
+    cut = min([len(rest), *[rest.find(c) for c in "/?#" if c in rest]])
+    host, rest = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut]), rest[cut:]
+    path = rest[: min([len(rest), *[rest.find(c) for c in "?#" if c in rest]])]
+    fits = [(len(h + p), h + p, v) for h, p, v in url_rules.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fits)[1:] if fits else (None, None)))
+
+
+def test_url_rules(spark):
+    df = spark.createDataFrame([(i, u, "h", "p") for i, u in URLS], "page_id long, url string, host string, path string")
+    got = sorted(map(str, (tuple(r) for r in url_rules.filter_urls(df, []).collect())))
+    assert got == sorted(str((i, *brute_url(u)[:3], brute_url(u)[3] or "allow")) for i, u in URLS)
+    assert url_rules.filter_urls(df.limit(0), []).count() == 0
+
+
+def test_mined_rules_against_counts(spark):
+    rng = random.Random(4)
+    hosts = ["spam", "blog", "news", "shop"]
+    pages, labels = [], []
+    for i in range(400):
+        h = rng.choice(hosts)
+        pages.append((i, f"http://{h}.site{rng.randint(0, 3)}.org/{rng.choice('ab')}/{i}"))
+        if i % 4:
+            labels.append((i, int(rng.random() < (0.05 if h == "spam" else 0.9)), 0))
+    p, y = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    how = url_rules.Mining(0.02, 0.7, 1.1, 1000)
+    rules = url_rules.mine(p, y, how=how)
+    toks = {r["page_id"]: set(r["t"]) for r in p.select("page_id", url_rules.tokens(F.col("url")).alias("t")).collect()}
+    base = {url_rules.BAD: np.mean([q == 0 for _, q, _ in labels]), url_rules.GOOD: np.mean([q == 1 for _, q, _ in labels])}
+    assert rules
+    for t, label, conf, support in rules:
+        hit = [q for i, q, _ in labels if toks[i] >= set(t)]
+        right = sum((q == 0) == (label == url_rules.BAD) for q in hit)
+        assert abs(right / len(hit) - conf) < 1e-9 and abs(right / len(labels) - support) < 1e-9
+        assert conf >= 0.7 and support >= 0.02 and conf / base[label] >= 1.1 - 1e-9
+    got = {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(p, rules, rules=()).collect()}
+    for i, t in toks.items():
+        best = {b: max([c for x, label, c, _ in rules if (label == url_rules.BAD) == b and t >= set(x)], default=-1) for b in (True, False)}
+        assert got[i] == ("block" if best[True] > best[False] else "allow")
+    assert sum(v == "block" for i, v in got.items() if "h:spam" in toks[i]) > 0.9 * sum("h:spam" in t for t in toks.values())
+    assert url_rules.mine(p, y.limit(0)) == [] and url_rules.mine(p.limit(0), y) == []
