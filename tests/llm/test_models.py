@@ -91,7 +91,7 @@ def test_votes_are_exact():
     rng = np.random.default_rng(1)
     vectors = quality._unit(rng.standard_normal((40, quality.DIMS))).astype(np.float32)
     labels = (np.arange(40) % 4 > 0).astype(int)
-    model = quality.Model(np.ones(quality.BINS, np.float32), rng.standard_normal((quality.BINS, quality.DIMS)).astype(np.float32), vectors, labels)
+    model = quality.Model(np.ones(len(quality.counts("")), np.float32), rng.standard_normal((len(quality.counts("")), quality.DIMS)).astype(np.float32), vectors, labels)
     texts = ["abc def ghi " * n for n in (1, 5)] + ["", "xyz" * 7]
     for t, s in zip(texts, model.score(texts), strict=True):
         x = model.latent(quality.counts(t)[None])[0].astype(float)
