@@ -38,7 +38,8 @@ _SIGNS = ".,;:!?"
 #: How the byte-level vocabulary writes a space and a line end.
 _SPACE, _LINE = "\u0120", "\u010a"
 _STEP = 1 << 20
-_ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z|<\|")
+#: What keeps a text from being plain words between single spaces and line ends.
+_ODD = ["  ", " \n", "\n ", "\n\n", *[chr(c) for c in range(0x110000) if chr(c).isspace() and c not in (10, 32)]]
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 _encoders: dict[tuple, Encoder] = {}
@@ -138,7 +139,7 @@ class Encoder:
             elif "<|" in t:  # may hold a special token, which can have spaces of its own
                 split.append((None, (t,)))
                 raw.add(t)
-            elif _ODD.search(t):
+            elif t[0].isspace() or t[-1].isspace() or any(map(t.__contains__, _ODD)):
                 parts = _CUT.split(t)
                 split.append((None, parts))
                 raw.update(parts)
