@@ -50,7 +50,8 @@ class Encoder:
 
     The byte-level pre-tokenizer always cuts between a non-space and a single space or line
     end that a non-space follows, so the ids of the parts, each encoded once and kept, are
-    the ids of the text. The words kept have a bound, beyond which they are dropped.
+    the ids of the text. The words kept have a bound: two generations of
+    _CACHE, of which the older one goes.
     """
 
     def __init__(self, path: str, width: int):
@@ -60,6 +61,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.kind = f"<u{width}"
         self.known: dict[str, bytes] = {}  # "word": after a space; "\nword": as it is
+        self.older: dict[str, bytes] = {}  # the generation before, from which words come back as they are met
         self.raw: dict[str, bytes] = {}  # parts as they are
         self.tails: dict[str, bytes] = {}  # signs after a word
         names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
@@ -90,16 +92,26 @@ class Encoder:
         return out
 
     def _learn_words(self, words: set[str]) -> None:
-        known = self.known
-        lines = [w for w in words if w[0] == "\n" and w not in known]
+        known, older = self.known, self.older
+        words = words - known.keys()
+        if older:
+            met = words & older.keys()
+            known.update({w: older[w] for w in met})
+            words -= met
+        lines = [w for w in words if w[0] == "\n"]
         known.update(zip(lines, self._parts([w[1:] for w in lines], "\n"), strict=True))
         # a letter or digit and the signs after it are apart, so words that differ in them are one
         split = []
         for w in words:
-            if w[0] != "\n" and w not in known:
+            if w[0] != "\n":
                 head = w.rstrip(_SIGNS)
                 split.append((w, head) if head and head[-1].isalnum() else (w, w))
-        heads = list({h for _, h in split if h not in known})
+        heads = {h for _, h in split} - known.keys()
+        if older:
+            met = heads & older.keys()
+            known.update({w: older[w] for w in met})
+            heads -= met
+        heads = list(heads)
         known.update(zip(heads, self._parts(heads, " "), strict=True))
         for w, h in split:
             if w != h:
@@ -127,7 +139,7 @@ class Encoder:
 
     def _some(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > _CACHE:
-            self.known = {}
+            self.older, self.known = self.known, {}
         if len(self.raw) > _CACHE // 4:
             self.raw = {}
         if len(self.tails) > _CACHE // 4:
