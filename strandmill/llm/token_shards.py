@@ -100,25 +100,22 @@ class Encoder:
             words -= met
         lines = [w for w in words if w[0] == "\n"]
         known.update(zip(lines, self._parts([w[1:] for w in lines], "\n"), strict=True))
+        words.difference_update(lines)
         # a letter or digit and the signs after it are apart, so words that differ in them are one
-        split = []
-        for w in words:
-            if w[0] != "\n":
-                head = w.rstrip(_SIGNS)
-                split.append((w, head) if head and head[-1].isalnum() else (w, w))
-        heads = {h for _, h in split} - known.keys()
-        if older:
-            met = heads & older.keys()
-            known.update({w: older[w] for w in met})
-            heads -= met
-        heads = list(heads)
+        signed = {w: w.rstrip(_SIGNS) for w in words if w[-1] in _SIGNS}
+        signed = {w: h for w, h in signed.items() if h and h[-1].isalnum()}
+        heads = (words - signed.keys()) | set(signed.values())
+        heads -= known.keys()
+        met = heads & older.keys()
+        known.update({w: older[w] for w in met})
+        heads = list(heads - met)
         known.update(zip(heads, self._parts(heads, " "), strict=True))
-        for w, h in split:
-            if w != h:
-                tail = w[len(h) :]
-                if tail not in self.tails:
-                    self.tails[tail] = self._ids(tail).tobytes()
-                known[w] = known[h] + self.tails[tail]
+        tails = self.tails
+        for w, h in signed.items():
+            tail = w[len(h) :]
+            if tail not in tails:
+                tails[tail] = self._ids(tail).tobytes()
+            known[w] = known[h] + tails[tail]
 
     def _learn_raw(self, parts: set[str]) -> None:
         new = [p for p in parts if p not in self.raw]
