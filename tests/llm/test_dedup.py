@@ -180,3 +180,73 @@ def test_simhash_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], brute_fingerprint(r["text"])) for r in docs.collect()]
     check_components(rows, simhash.near_dups(docs).collect(), 2)
+
+
+def shingles(text, k=5):
+    words = [w for w in "".join(" " if c in SPACES else c for c in lowered(text or "")).split(" ") if w]
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def check_similar(rows, got, far=0.6, near=0.85):
+    """rows: id -> text; got: id -> component. All pairs by brute force: near ones share a component, and a component hangs
+    together over pairs that are not far apart."""
+    sets = {i: shingles(t) for i, t in rows.items()}
+    root = {i: i for i in rows}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(rows)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            both = len(sets[a] & sets[b])
+            j = both / (len(sets[a] | sets[b])) if sets[a] or sets[b] else 1.0
+            if j >= near:
+                assert got[a] == got[b], (a, b, j)
+            if j >= far:
+                root[top(a)] = top(b)
+    for i, c in got.items():
+        assert c <= i and got[c] == c and top(i) == top(c)
+
+
+def test_wide_fingerprints():
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    for n in (0, 1, 4, 5, 6, 40, 700):
+        text = " ".join(rng.choice(words) for _ in range(n))
+        wide = simhash.wide_fingerprint(text.upper(), 5)
+        h = [xxhash.xxh64_intdigest(" ".join(text.split()[i : i + 5]).encode(), 42) for i in range(max(1, n - 4))] if n else []
+        for k in range(simhash.WIDE):
+            mixed = [int(x) for x in simhash.mix(np.array(sorted(set(h)), dtype=np.uint64) + np.uint64(k))]
+            assert wide[k] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed))
+
+
+def test_similar_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    assert got.keys() == rows.keys()
+    check_similar(rows, got)
+
+
+def test_similar_large_group_of_near_copies(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(400)]
+    rows = {}
+    for i in range(600):
+        text = list(base) if i % 3 else [word() for _ in range(rng.randint(50, 200))]
+        if i % 3:
+            for at in rng.sample(range(400), 4):
+                text[at] = word()
+        rows[i] = " ".join(text)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(sorted(rows.items()), "doc_id long, text string").repartition(4)).collect()}
+    assert {got[i] for i in rows if i % 3} == {1} and all(got[i] == i for i in rows if not i % 3)
+
+
+def test_similar_edges(edge, empty):
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.similar(edge).collect())
+    assert got == Counter({(1, 1): 1, (2, 2): 1, (3, 3): 1, (4, 4): 1, (5, 4): 1, (6, 4): 1, (7, 7): 1, (8, 7): 2, (9, 9): 1, (10, 10): 1, (11, 11): 1})
+    assert simhash.similar(empty).count() == 0

@@ -177,9 +177,9 @@ def test_packing(spark, edge, empty):
 
 def test_pipeline(spark):
     """Stage by stage against brute force on what each stage really got."""
-    from strandmill.llm import quality, secrets
+    from strandmill.llm import quality, secrets, simhash
 
-    from .test_dedup import brute_components, brute_fingerprint, brute_lines
+    from .test_dedup import brute_lines, check_similar
     from .test_secrets import brute
 
     sf = "/root/testdata/sf0.001"
@@ -201,12 +201,9 @@ def test_pipeline(spark):
     assert {i: r["text"] for i, r in tables[2].items()} == lines
     assert all(r["n_chars"] == len(r["text"]) for r in tables[2].values())
 
-    fps = {i: brute_fingerprint(r["text"], corpus_pipeline.SHINGLE) for i, r in tables[2].items()}
-    of = brute_components(set(fps.values()), corpus_pipeline.RADIUS)
-    first = {}
-    for i in sorted(fps):
-        first.setdefault(of[fps[i]], i)
-    assert set(tables[3]) == set(first.values()) and len(tables[3]) < len(tables[2])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(steps[2], shingle=corpus_pipeline.SHINGLE, similarity=corpus_pipeline.SIMILARITY).collect()}
+    check_similar({i: r["text"] for i, r in tables[2].items()}, got)
+    assert set(tables[3]) == set(got.values()) and len(tables[3]) < len(tables[2])
 
     assert {i: r["text"] for i, r in tables[4].items()} == {i: secrets.redact(r["text"], brute(r["text"])) for i, r in tables[3].items()}
     check_packed([(i, words(r["text"])) for i, r in tables[4].items()], corpus_pipeline.STAGES[-1][1](spark, steps[4], sf).collect(), packing.Plan())
