@@ -200,6 +200,8 @@ class Collection:
 
     def save(self, path: str) -> None:
         """One file, by its ending: .bsk, .msh, .sk or .json."""
+        if not formats.is_sketch(path):
+            raise SketchError(f"{path} has no ending of a sketch file")
         tables.write_sketches(self.nested(), path)
 
     def add(self, other: Collection) -> Collection:

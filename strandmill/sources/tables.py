@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import SketchError
 from ..params import FILTER_PARAMS, MINMERS, SKETCH_PARAMS, SKETCHES, FilterParams, SketchParams, signed
@@ -22,12 +23,8 @@ def as_rows(sketches: list[dict]) -> list[tuple]:
     ]
 
 
-def _decoded(order: dict[str, int]):
+def _decoded(order: dict[str, int], shape: pa.Schema):
     def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
-
-        shape = to_arrow_schema(_parse_datatype_string(NESTED))
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at = next((i for p, i in order.items() if path.endswith(p)), 0)
@@ -51,7 +48,7 @@ def read_sketches(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         if not formats.is_sketch(p):
             raise SketchError(f"{p} has no ending of a sketch file")
     order = {p.split("://")[-1]: i for i, p in enumerate(paths)}
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(_decoded(order), NESTED)
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(_decoded(order, to_arrow_schema(spark.createDataFrame([], NESTED).schema)), NESTED)
 
 
 def split(nested: DataFrame, id_col: str = "sketch_id") -> tuple[DataFrame, DataFrame]:
