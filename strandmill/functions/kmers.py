@@ -43,6 +43,12 @@ def codes(seq: bytes) -> np.ndarray:
     return _CODE[raw]
 
 
+def blocks(code: np.ndarray, k: int, size: int = 1 << 15):
+    """The codes in overlapping blocks that hold every window once, small enough for a core's cache."""
+    for at in range(0, max(0, len(code) - k + 1), size):
+        yield code[at : at + size + k - 1]
+
+
 def packed(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, k-mer, its reverse complement) of every window without a gap, as 2-bit numbers that sort like the text; k up to 32."""
     n = len(code) - k + 1

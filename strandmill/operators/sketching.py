@@ -19,7 +19,10 @@ from ..functions import kmers as K
 from ..params import ALL, SCALED, U32, SketchParams, ordered
 
 _OUT = "sample string, hash bigint, kmer string, count bigint, extra_count bigint"
+#: Bytes of a sample counted at once, bytes that wait for it in a task, and hashes that a task holds.
 _CHUNK = 1 << 22
+_WAITING = 1 << 25
+_HELD = 1 << 21
 SIGN = 1 << 63
 
 
@@ -53,9 +56,13 @@ class _Counter:
     def flush(self) -> None:
         if not self.parts:
             return
-        p = self.params
         code = K.codes(b">".join(self.parts))  # a k-mer never crosses from one record into the next
         self.parts, self.size = [], 0
+        for block in K.blocks(code, self.params.kmer_length):
+            self._count(block)
+
+    def _count(self, code: np.ndarray) -> None:
+        p = self.params
         hashes, flag, text = K.canonical(code, p.kmer_length, p.hash_seed)
         at = np.arange(len(hashes))
         full = len(self.hash) >= p.kmers_to_sketch
@@ -63,13 +70,8 @@ class _Counter:
             top = self.hash[p.kmers_to_sketch - 1] if p.kmers_to_sketch else np.uint64(0)
             ok = hashes <= max(top, self.limit) if p.kmers_to_sketch or p.scheme == SCALED else np.zeros(len(hashes), bool)
             hashes, flag, at = hashes[ok], flag[ok], at[ok]
-        elif len(hashes) > 64 * max(p.kmers_to_sketch, 64):
-            # a first cut, wide enough for the copies of a k-mer, and never below the scale's limit
-            n = 32 * max(p.kmers_to_sketch, 64)
-            cut = max(np.partition(hashes, n)[n], self.limit)
-            few = hashes <= cut
-            if len(np.unique(hashes[few])) >= p.kmers_to_sketch:
-                hashes, flag, at = hashes[few], flag[few], at[few]
+            if not len(hashes):
+                return
         new, first, inverse, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         extra = np.bincount(inverse, weights=flag, minlength=len(new)).astype(np.int64)
         keep = self._kept(new)
@@ -97,21 +99,33 @@ class _Counter:
 
 
 def _stage(params: SketchParams):
-    """Samples come together where the input keeps them so; one that comes again is counted again, and Spark adds up."""
+    """Counts the samples of a task side by side, so that they may come in any order; when what is held reaches its bound,
+    all is sent on, and Spark adds up."""
 
     def run(batches):
-        sample, counter = None, None
+        counters: dict[str, _Counter] = {}
+        waiting = 0
+
+        def out():
+            for s, c in counters.items():
+                c.flush()
+                yield c.batch(s)
+
         for b in batches:
             for s, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if counter is None or s != sample:
-                    if counter is not None:
-                        counter.flush()
-                        yield counter.batch(sample)
-                    sample, counter = s, _Counter(params)
-                counter.add((seq or "").encode())
-        if counter is not None:
-            counter.flush()
-            yield counter.batch(sample)
+                if s not in counters:
+                    counters[s] = _Counter(params)
+                data = (seq or "").encode()
+                counters[s].add(data)
+                waiting += len(data)
+                if waiting >= _WAITING:
+                    for c in counters.values():
+                        c.flush()
+                    waiting = 0
+                    if sum(len(c.hash) for c in counters.values()) >= _HELD:
+                        yield from out()
+                        counters = {}
+        yield from out()
 
     return run
 
@@ -125,8 +139,13 @@ def _indices(k: int):
             for s, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(s, []).append((seq or "").encode())
             for s, parts in by.items():
-                _, value, _ = K.packed(K.codes(b">".join(parts)), k)
-                ix, n = np.unique(value, return_counts=True)
+                value = [K.packed(x, k)[1] for x in K.blocks(K.codes(b">".join(parts)), k)]
+                if k <= 10:
+                    n = sum((np.bincount(v.astype(np.int64), minlength=4**k) for v in value), np.zeros(4**k, np.int64))
+                    ix = np.nonzero(n)[0]
+                    n = n[ix]
+                else:
+                    ix, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *value]), return_counts=True)
                 yield pa.record_batch([pa.array([s] * len(ix), pa.string()), pa.array(ix.astype(np.int64)), pa.array(n.astype(np.int64))], names=["sample", "ix", "c"])
 
     return run

@@ -62,3 +62,13 @@ def test_columns(spark):
     ).first()
     want = "".join("ACGT"[d // 4] + "ACGT"[d % 4] for b in "aé".encode() for d in (b >> 4, b & 15))
     assert tuple(row) == ("ACGT--NN", "NCGTT", want, "")
+
+
+def test_blocks_hold_every_window_once():
+    rng = random.Random(2)
+    code = kmers.codes("".join(rng.choice("ACGTN") for _ in range(500)).encode())
+    for k in (1, 7, 33):
+        for size in (1, 10, 64, 499, 1000):
+            got = np.concatenate([kmers.canonical(b, k, 0)[0] for b in kmers.blocks(code, k, size)])
+            assert got.tolist() == kmers.canonical(code, k, 0)[0].tolist()
+    assert list(kmers.blocks(code[:3], 4)) == []
