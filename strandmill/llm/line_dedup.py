@@ -84,7 +84,8 @@ def _stream(min_docs: int):
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc, row, pos of every line that goes."""
-    found = lines(docs, id_col, text_col, min_chars)
+    # written, as finding the ranges reads the rows once and dealing them out once more
+    found = durable(lines(docs, id_col, text_col, min_chars), "found")
     order = [F.col("key"), F.col("doc").desc(), F.col("row"), F.col("pos")]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     streamed = found.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), _STREAMED)
