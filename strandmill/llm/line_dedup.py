@@ -93,7 +93,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     opened = streamed.where(F.col("kind") != DROPPED)
     # at most two keys a partition
     edge = opened.select("key", "doc").distinct().groupBy("key").agg(F.count("*").alias("_docs"), F.max("doc").alias("_last")).where(F.col("_docs") >= min_docs)
-    late = opened.where(F.col("kind") == PENDING).join(edge, "key").where(F.col("doc") != F.col("_last"))
+    late = opened.where(F.col("kind") == PENDING).join(F.broadcast(edge), "key").where(F.col("doc") != F.col("_last"))
     cols = ["doc", "row", "pos"]
     return streamed.where(F.col("kind") == DROPPED).select(cols).unionAll(late.select(cols))
 
