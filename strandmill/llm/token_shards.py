@@ -78,18 +78,16 @@ class Encoder:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
     def _parts(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of lead + word for words without white space: all in one text, cut where an id begins with the lead."""
-        out: list[bytes] = []
+        """Ids of lead + word for words without white space: many in one text, cut where an id begins with the lead."""
         begins = self.after_space if lead == " " else self.after_line
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            ids = self._ids(lead + lead.join(some))
-            cuts = [*(np.nonzero(begins[ids])[0] * ids.itemsize).tolist(), ids.nbytes]
-            if len(cuts) != len(some) + 1:
-                raise ValueError("an id begins with white space within a word")
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return out
+        texts = [lead + lead.join(words[at : at + 64]) for at in range(0, len(words), 64)]
+        got = self.tok.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        ids = np.array([i for e in got for i in e.ids], dtype=self.kind)
+        cuts = [*(np.nonzero(begins[ids])[0] * ids.itemsize).tolist(), ids.nbytes]
+        if len(cuts) != len(words) + 1:
+            raise ValueError("an id begins with white space within a word")
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _learn_words(self, words: set[str]) -> None:
         known, older = self.known, self.older
@@ -142,25 +140,32 @@ class Encoder:
         if len(self.tails) > _CACHE // 4:
             self.tails = {}
         split, words, raw = [], set(), set()
+        known = self.known
         for t in texts:
             if not t:
-                split.append((None, ()))
+                split.append((None, (), ()))
             elif "<|" in t:  # may hold a special token, which can have spaces of its own
-                split.append((None, (t,)))
+                split.append((None, (t,), ()))
                 raw.add(t)
             elif t[0].isspace() or t[-1].isspace() or any(map(t.__contains__, _ODD)):
                 parts = _CUT.split(t)
-                split.append((None, parts))
+                split.append((None, parts, ()))
                 raw.update(parts)
             else:
                 first, *parts = t.replace("\n", " \n").split(" ")
-                split.append((first, parts))
+                got = list(map(known.get, parts))
+                split.append((first, parts, got))
                 raw.add(first)
-                words.update(parts)
+                words.update([p for p, g in zip(parts, got, strict=True) if g is None])
         self._learn_words(words)
         self._learn_raw(raw)
-        known, raw = self.known, self.raw
-        return [b"".join([raw[p] for p in parts]) if first is None else raw[first] + b"".join([known[p] for p in parts]) for first, parts in split]
+        raw, out = self.raw, []
+        for first, parts, got in split:
+            if first is None:
+                out.append(b"".join([raw[p] for p in parts]))
+            else:
+                out.append(raw[first] + b"".join([known[p] if g is None else g for p, g in zip(parts, got, strict=True)]))
+        return out
 
 
 def _writer(path: str, width: int, end_id: int):
