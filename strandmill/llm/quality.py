@@ -81,6 +81,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _leading(x: np.ndarray, dims: int) -> np.ndarray:
+    """An orthogonal basis of the leading right singular vectors' space, by subspace iteration; cosines don't depend on
+    which basis of the space it is."""
+    q = np.random.default_rng(1).standard_normal((x.shape[1], min(dims + 16, *x.shape))).astype(np.float32)
+    for _ in range(12):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+    return np.ascontiguousarray((q @ v.T)[:, :dims])
+
+
 class Model:
     """idf, basis and the labelled vectors with their labels; of bounded size."""
 
@@ -134,9 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([x for _, x in raw])
     idf = (np.log((1 + len(c)) / (1 + (c > 0).sum(0))) + 1).astype(np.float32)
     x = _weighted(c, idf)
-    _, vecs = np.linalg.eigh((x.T @ x).astype(np.float64))
-    basis = vecs[:, ::-1][:, :DIMS]
-    basis = (basis * np.where(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])] < 0, -1, 1)).astype(np.float32)
+    basis = _leading(x, DIMS)
     return Model(idf, basis, _unit(x @ basis).astype(np.float32), y)
 
 
