@@ -1,5 +1,6 @@
 import math
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -159,3 +160,31 @@ def test_mined_rules_against_counts(spark):
         assert got[i] == ("block" if best[True] > best[False] else "allow")
     assert sum(v == "block" for i, v in got.items() if "h:spam" in toks[i]) > 0.9 * sum("h:spam" in t for t in toks.values())
     assert url_rules.mine(p, y.limit(0)) == [] and url_rules.mine(p.limit(0), y) == []
+
+
+def test_mined_rules_of_the_rare_label_stay(spark):
+    """Against all rules by brute force: many sure rules of the common label leave no rule of the other one out."""
+    pages = [(i, f"http://h{chr(97 + i)}.org/" + "/".join(f"{chr(97 + i)}{chr(97 + j)}" for j in range(6))) for i in range(12)]
+    pages += [(20 + i, f"http://spam.net/x{chr(97 + i)}") for i in range(8)]
+    labels = [(i, int(i < 12 or i == 20), 0) for i, _ in pages]
+    p, y = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    toks = {r["page_id"]: frozenset(r["t"]) for r in p.select("page_id", url_rules.tokens(F.col("url")).alias("t")).collect()}
+    good = {i for i, q, _ in labels if q}
+    every, how = {}, url_rules.Mining()
+    for of in toks.values():
+        for n in range(1, len(of) + 1):
+            for t in map(frozenset, combinations(sorted(of), n)):
+                if t not in every:
+                    hit = {i for i, x in toks.items() if x >= t}
+                    every[t] = [(len(hit & side) / len(hit), len(side)) for side in (good, set(toks) - good)]
+    for t, sides in every.items():
+        every[t] = [c if c >= how.min_confidence and c * len(toks) / n >= how.min_lift else -1 for c, n in sides]
+    assert sum(c[0] > 0 for c in every.values()) > 512
+    got = {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(p, url_rules.mine(p, y), rules=()).collect()}
+    want = {}
+    for i, x in toks.items():
+        fire = [c for t, c in every.items() if x >= t]
+        want[i] = "block" if max(c[1] for c in fire) > max(c[0] for c in fire) else "allow"
+    assert got == want and "block" in got.values()
+    with pytest.raises(ValueError):
+        url_rules.mine(p, y, how=url_rules.Mining(max_rules=1))
