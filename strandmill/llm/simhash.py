@@ -16,7 +16,6 @@ minimum labels and pointer jumping, each round written to the shared folder.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -66,23 +65,28 @@ def _majority(h: np.ndarray) -> int:
     return out
 
 
-#: Words of 64 bits of a wide fingerprint; each half of a word is a segment.
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The different 64-bit hashes of the word shingles, ascending; none for a text without words."""
+    words = [w for w in text.encode().translate(_TABLE).split(b" ") if w]
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= shingle:
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[:-shingle].tolist()]
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64))
+
+
+#: Words of 64 bits of a wide fingerprint.
 WIDE = 7
 
 
 def wide_fingerprint(text: str, shingle: int) -> list[int]:
     """WIDE unsigned words: the fingerprints of the different shingles under as many hashes, mixed from one."""
-    words = [w for w in text.encode().translate(_TABLE).split(b" ") if w]
-    if not words:
+    h = shingle_set(text, shingle)
+    if not len(h):
         return [0] * WIDE
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        h = np.array([digest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[:-shingle].tolist()]
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
-    h = np.unique(h)
     places = np.arange(WIDE * 8, dtype=np.int64) * 256
     ones = np.zeros((WIDE * 8, 8), dtype=np.int64)
     for at in range(0, len(h), 1 << 16):  # the whole text, in steps of bounded memory
@@ -93,65 +97,59 @@ def wide_fingerprint(text: str, shingle: int) -> list[int]:
     return np.packbits(2 * ones > len(h), axis=1, bitorder="little").ravel().view("<u8").tolist()
 
 
-def _wide(shingle: int):
+def segments(text: str, shingle: int) -> np.ndarray:
+    """The points of a text: the balls of radius 1 around the 32-bit segments of its wide fingerprint."""
+    halves = np.array(wide_fingerprint(text, shingle), dtype="<u8").view("<u4").astype(np.uint64)[:, None]
+    flips = np.array(masks(SEGMENT, 1), dtype=np.uint64)
+    return (halves ^ flips | np.arange(2 * WIDE, dtype=np.uint64)[:, None] << np.uint64(SEGMENT)).ravel().view(np.int64)
+
+
+def _sets(shingle: int):
     def run(batches):
-        names = ["id", *[f"w{i}" for i in range(WIDE)]]
         for b in batches:
-            fps = np.array([wide_fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.record_batch([b.column(0), *[pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WIDE)]], names=names)
+            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            keys = np.array([xxhash.xxh128_intdigest(h.tobytes()).to_bytes(16, "little") for h in sets], dtype="S16")
+            keys = np.frombuffer(keys.tobytes(), dtype="<i8").reshape(-1, 2)
+            points = [segments(t, shingle) for t in b.column(1).to_pylist()]
+            longs = lambda x: pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)], dtype=np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *[v.view(np.int64) for v in x]])))
+            yield pa.record_batch([b.column(0), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), longs(sets), longs(points)], names=["id", "k1", "k2", "shingles", "points"])
 
     return run
 
 
-def wide_links(nodes: DataFrame, most: int) -> DataFrame:
-    """a < b for nodes (node, w0, w1, ...) whose wide fingerprints differ in at most `most` bits, as far as segments tell.
-
-    Each segment of 32 bits enumerates its ball of radius 1; nodes meet at the points of these balls, that is where a
-    segment differs in 2 bits or fewer. A point pairs the first and the last of its nodes, so its work doesn't grow with
-    their number, and many nodes that are alike meet at many points. Whole distances are verified."""
-    words = [f"w{i}" for i in range(WIDE)]
-    flips = _flips(masks(SEGMENT, 1))
-
-    def points(i, word, shift):
-        half = F.shiftrightunsigned(F.col(word), shift).bitwiseAND(F.lit((1 << SEGMENT) - 1))
-        return F.transform(flips, lambda m: half.bitwiseXOR(m).bitwiseOR(F.lit((2 * i + (shift > 0)) << SEGMENT)))
-
-    every = F.concat(*[points(i, w, shift) for i, w in enumerate(words) for shift in (0, SEGMENT)])
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = nodes.select("node", F.explode(every).alias("point")).repartition(n, "point")
-    pairs = met.groupBy("point").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    left = nodes.select(F.col("node").alias("a"), *[F.col(w).alias(f"a_{w}") for w in words])
-    right = nodes.select(F.col("node").alias("b"), *[F.col(w).alias(f"b_{w}") for w in words])
-    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
-    return pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
-
-
-def bits_apart(similarity: float) -> int:
-    """Differing bits that a wide fingerprint has at a Jaccard similarity, and one standard error more, so that most pairs
-    at that similarity pass."""
-    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return round(WIDE * 64 * share + math.sqrt(WIDE * 64 * share * (1 - share)))
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets (id, shingles) have at least that Jaccard similarity, counted over the whole sets."""
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_a"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_b"))
+    both, total = F.size(F.array_intersect("_a", "_b")), F.size("_a") + F.size("_b")
+    fit = F.least(F.size("_a"), F.size("_b")) >= F.greatest(F.size("_a"), F.size("_b")) * (similarity - 1e-9)
+    return pairs.repartition(n, "a").join(left, "a").join(right, "b").where(fit).where(both / (total - both) >= similarity).select("a", "b").distinct()
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per input row with an id: id, component_id, the smallest id reachable over links of that similarity or more.
 
-    Wide fingerprints estimate the similarity of the shingle sets, with a standard error of about 0.02 at 0.8. Nulls and
-    wordless texts have fingerprint zero. Rows with a null id take no part; rows that share an id are one document, which
-    links with all that any of them links with. Other columns are ignored; an empty table gives no rows."""
-    words = [f"w{i}" for i in range(WIDE)]
-    shape = "id long, " + ", ".join(f"{w} long" for w in words)
+    A link is a Jaccard similarity counted over the whole shingle sets. Candidates meet at the points of their segments; a
+    point pairs its first and last node.
+    Nulls and wordless texts have the empty set. Rows with a null id take no part; rows that share an id are one document,
+    which links with all that any of them links with. Other columns are ignored; an empty table gives no rows."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(F.col(text_col)).alias("text"))
-    rows = durable(texts.mapInArrow(_wide(shingle), shape), "wide").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    # equal fingerprints are one node, named by the smallest id, and go back by salt
-    part = durable(rows.groupBy(*words, "salt").agg(F.min("id").alias("low")), "wide-salts")
-    nodes = durable(part.groupBy(*words).agg(F.min("low").alias("node")), "wide-nodes")
-    members = part.join(nodes, words).select(*words, "salt", "node")
-    same = rows.join(members, [*words, "salt"]).select("id", "node")
+    rows = durable(texts.mapInArrow(_sets(shingle), "id long, k1 long, k2 long, shingles array<long>, points array<long>"), "wide")
+    key = ["k1", "k2"]
+    # equal sets are one node, named by the smallest id, and go back by salt
+    salted = rows.select("id", *key, F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
+    part = durable(salted.groupBy(*key, "salt").agg(F.min("id").alias("low")), "wide-salts")
+    nodes = durable(part.groupBy(*key).agg(F.min("low").alias("node")), "wide-nodes")
+    members = part.join(nodes, key).select(*key, "salt", "node")
+    same = salted.join(members, [*key, "salt"]).select("id", "node")
     # an id with several texts links their nodes
     shared = same.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") < F.col("b")).select("a", "b")
-    linked = durable(wide_links(nodes, bits_apart(similarity)).unionAll(shared), "wide-links")
-    labels = components(linked, "wide")
+    named = rows.select("id", *key, "points").join(nodes.withColumnRenamed("node", "id"), ["id", *key], "left_semi")
+    met = durable(named.select(F.col("id").alias("node"), F.explode("points").alias("point")).distinct(), "wide-met")
+    pairs = met.groupBy("point").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    links = durable(verified(durable(pairs, "wide-pairs"), rows, similarity).unionAll(shared), "wide-links")
+    labels = components(links, "wide")
     return same.join(labels, "node", "left").select(F.col("id").alias(id_col), F.coalesce("root", "node").alias("component_id"))
 
 

@@ -250,3 +250,23 @@ def test_similar_edges(edge, empty):
     got = Counter((r["doc_id"], r["component_id"]) for r in simhash.similar(edge).collect())
     assert got == Counter({(1, 1): 1, (2, 2): 1, (3, 3): 1, (4, 4): 1, (5, 4): 1, (6, 4): 1, (7, 7): 1, (8, 7): 2, (9, 9): 1, (10, 10): 1, (11, 11): 1})
     assert simhash.similar(empty).count() == 0
+
+
+def similar_of(spark, rows, **how):
+    df = spark.createDataFrame(sorted(rows.items()), "doc_id long, text string").repartition(4)
+    return {r["doc_id"]: r["component_id"] for r in simhash.similar(df, **how).collect()}
+
+
+def variant(rng, base, share):
+    """A text whose last words are new, as many as a share of all."""
+    keep = round(len(base) * (1 - share))
+    return base[:keep] + [f"n{rng.getrandbits(60)}" for _ in range(len(base) - keep)]
+
+
+def test_similar_links_nothing_below(spark):
+    rng = random.Random(11)
+    rows = {}
+    for i in range(100):
+        base = [f"b{rng.getrandbits(60)}" for _ in range(300)]
+        rows[2 * i], rows[2 * i + 1] = " ".join(base), " ".join(variant(rng, base, rng.uniform(0.118, 0.14)))
+    assert similar_of(spark, rows) == {i: i for i in rows}
