@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._work import LOWER, UPPER, durable, text_of
@@ -97,6 +97,10 @@ def wide_fingerprint(text: str, shingle: int) -> list[int]:
     return np.packbits(2 * ones > len(h), axis=1, bitorder="little").ravel().view("<u8").tolist()
 
 
+#: Points with more than CROWD nodes go the second way.
+CROWD = 32
+
+
 def segments(text: str, shingle: int) -> np.ndarray:
     """The points of a text: the balls of radius 1 around the 32-bit segments of its wide fingerprint."""
     halves = np.array(wide_fingerprint(text, shingle), dtype="<u8").view("<u4").astype(np.uint64)[:, None]
@@ -117,6 +121,17 @@ def _sets(shingle: int):
     return run
 
 
+def meetings(met: DataFrame, hot: DataFrame, crowd: int) -> DataFrame:
+    """a < b, distinct: all pairs of nodes at the points that aren't hot, and at a hot point one of its nodes with all others.
+
+    met has distinct (node, point), hot the points with more than crowd nodes and the node that meets the others, which is
+    the first in one of four orders."""
+    cold = met.join(hot.select("point"), "point", "left_anti").groupBy("point").agg(F.sort_array(F.collect_list("node")).alias("all")).where(F.size("all") > 1)
+    firsts = cold.select("all", F.posexplode("all").alias("at", "a")).select("a", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("b"))
+    stars = met.join(hot, "point").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
+    return firsts.unionAll(stars).where(F.col("a") < F.col("b")).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets (id, shingles) have at least that Jaccard similarity, counted over the whole sets."""
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -127,11 +142,29 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.repartition(n, "a").join(left, "a").join(right, "b").where(fit).where(both / (total - both) >= similarity).select("a", "b").distinct()
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def crowded(found: DataFrame, similarity: float) -> DataFrame:
+    """a < b, distinct: every pair of documents of different roots whose sets (id, root, k1, k2, shingles) may have that
+    similarity or more; none of those that have it is left out.
+
+    Shingles are ordered from the rarest on. Two sets that are similar enough share a shingle among the first of both, as
+    many as the smaller or the larger one may miss and one more."""
+    tokens = durable(found.select("id", "root", "k1", "k2", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "wide-tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1)
+    of = Window.partitionBy("id", "k1", "k2")
+    # shingles of one set only come first in the order and meet nothing
+    shared = tokens.join(often, "token").withColumn("rank", F.col("n") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("often", "token")))
+    first = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-6) + 1
+    keep = durable(shared.where(F.col("rank") <= first(similarity)).withColumn("small", F.col("rank") <= first(2 * similarity / (1 + similarity))).select("id", "root", "n", "token", "small"), "wide-first")
+    small = keep.where("small").select("token", F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("n").alias("_n"))
+    near = (F.col("_n") <= F.col("n")) & (F.col("_n") >= F.col("n") * (similarity - 1e-9)) & (F.col("root") != F.col("_root"))
+    return keep.join(small, "token").where(near).select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """One row per input row with an id: id, component_id, the smallest id reachable over links of that similarity or more.
 
-    A link is a Jaccard similarity counted over the whole shingle sets. Candidates meet at the points of their segments; a
-    point pairs its first and last node.
+    A link is a Jaccard similarity counted over the whole shingle sets. Candidates meet at the points of their segments; what
+    a point with more than crowd nodes leaves in different components is compared by the rarest shingles, without exception.
     Nulls and wordless texts have the empty set. Rows with a null id take no part; rows that share an id are one document,
     which links with all that any of them links with. Other columns are ignored; an empty table gives no rows."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(F.col(text_col)).alias("text"))
@@ -147,9 +180,20 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     shared = same.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") < F.col("b")).select("a", "b")
     named = rows.select("id", *key, "points").join(nodes.withColumnRenamed("node", "id"), ["id", *key], "left_semi")
     met = durable(named.select(F.col("id").alias("node"), F.explode("points").alias("point")).distinct(), "wide-met")
-    pairs = met.groupBy("point").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    links = durable(verified(durable(pairs, "wide-pairs"), rows, similarity).unionAll(shared), "wide-links")
+    turn = F.xxhash64(F.col("point").bitwiseAND(F.lit(3)))
+    sizes = met.groupBy("point").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("node").bitwiseXOR(turn)).alias("least"))
+    hot = durable(sizes.where(F.col("n") > crowd).select("point", F.col("least").bitwiseXOR(turn).alias("first")), "wide-hot")
+    links = durable(verified(durable(meetings(met, hot, crowd), "wide-pairs"), rows, similarity).unionAll(shared), "wide-links")
     labels = components(links, "wide")
+    # hot points whose nodes aren't all in one component: their nodes go the second way
+    at = met.join(hot.select("point"), "point").join(labels, "node", "left").select("point", "node", F.coalesce("root", "node").alias("root"))
+    at = durable(at, "wide-at")
+    open_ = at.groupBy("point").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") < F.col("high")).select("point")
+    left = durable(at.join(open_, "point").select(F.col("node").alias("id"), "root").distinct(), "wide-open")
+    if not left.isEmpty():
+        some = durable(rows.join(left, "id").select("id", "root", *key, "shingles").dropDuplicates(["id", *key]), "wide-some")
+        more = durable(verified(durable(crowded(some, similarity), "wide-more"), some, similarity), "wide-extra")
+        labels = components(links.unionAll(more), "wide-all")
     return same.join(labels, "node", "left").select(F.col("id").alias(id_col), F.coalesce("root", "node").alias("component_id"))
 
 

@@ -270,3 +270,16 @@ def test_similar_links_nothing_below(spark):
         base = [f"b{rng.getrandbits(60)}" for _ in range(300)]
         rows[2 * i], rows[2 * i + 1] = " ".join(base), " ".join(variant(rng, base, rng.uniform(0.118, 0.14)))
     assert similar_of(spark, rows) == {i: i for i in rows}
+
+
+@pytest.mark.parametrize("crowd", [2, 16, 1000])
+def test_similar_pairs_among_many_that_share_a_passage(spark, crowd):
+    rng = random.Random(13)
+    passage = [f"p{rng.getrandbits(60)}" for _ in range(240)]
+    rows = {}
+    for i in range(150):
+        own = passage + [f"o{rng.getrandbits(60)}" for _ in range(50)]
+        rows[2 * i], rows[2 * i + 1] = " ".join(own), " ".join(variant(rng, own, rng.uniform(0.02, 0.1)) if i % 3 else variant(rng, own, 0.175))
+    got = similar_of(spark, rows, crowd=crowd)
+    check_similar(rows, got, far=0.8, near=0.8)
+    assert len(set(got.values())) > 100
