@@ -263,6 +263,13 @@ def variant(rng, base, share):
     return base[:keep] + [f"n{rng.getrandbits(60)}" for _ in range(len(base) - keep)]
 
 
+def test_similar_is_exact_on_whole_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    check_similar(rows, got, far=0.8, near=0.8)
+
+
 def test_similar_links_nothing_below(spark):
     rng = random.Random(11)
     rows = {}
@@ -272,6 +279,15 @@ def test_similar_links_nothing_below(spark):
     assert similar_of(spark, rows) == {i: i for i in rows}
 
 
+def test_similar_finds_all_at_the_threshold(spark):
+    rng = random.Random(12)
+    rows = {}
+    for i in range(200):
+        base = [f"b{rng.getrandbits(60)}" for _ in range(300)]
+        rows[2 * i], rows[2 * i + 1] = " ".join(base), " ".join(variant(rng, base, rng.uniform(0.095, 0.106)))
+    assert similar_of(spark, rows) == {i: i - i % 2 for i in rows}
+
+
 @pytest.mark.parametrize("crowd", [2, 16, 1000])
 def test_similar_pairs_among_many_that_share_a_passage(spark, crowd):
     rng = random.Random(13)
