@@ -184,8 +184,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     nodes = durable(part.groupBy(*key).agg(F.min("low").alias("node")), "wide-nodes")
     members = part.join(nodes, key).select(*key, "salt", "node")
     same = salted.join(members, [*key, "salt"]).select("id", "node")
-    # an id with several texts links their nodes
-    shared = same.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") < F.col("b")).select("a", "b")
+    # an id with several texts links their nodes, each with the smallest
+    several = same.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where(F.col("a") < F.col("last")).select("id", "a")
+    shared = same.join(several, "id").where(F.col("a") < F.col("node")).select("a", F.col("node").alias("b")).distinct()
     named = rows.select("id", *key, "points").join(nodes.withColumnRenamed("node", "id"), ["id", *key], "left_semi")
     met = durable(named.select(F.col("id").alias("node"), F.explode("points").alias("point")).distinct(), "wide-met")
     turn = F.xxhash64(F.col("point").bitwiseAND(F.lit(3)))

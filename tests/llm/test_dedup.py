@@ -299,3 +299,11 @@ def test_similar_pairs_among_many_that_share_a_passage(spark, crowd):
     got = similar_of(spark, rows, crowd=crowd)
     check_similar(rows, got, far=0.8, near=0.8)
     assert len(set(got.values())) > 100
+
+
+def test_similar_id_with_many_texts(spark):
+    rng = random.Random(14)
+    texts = {i: " ".join(f"w{rng.getrandbits(60)}" for _ in range(50)) for i in range(1, 7)}
+    rows = [*texts.items(), *[(9, texts[i]) for i in (1, 2, 3, 5)]]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 6, 9: 1}
