@@ -1,9 +1,10 @@
-"""Exact dedup: a tree merge of sorted digest runs, in DataFrame operations only.
+"""Exact dedup: a tree merge of digest runs by hash aggregation, in DataFrame operations only.
 
 Every row gives one digest of its normalised text. The rows of a run (an input partition,
 modulo RUNS) collapse to one entry per digest: the identifier that stays and the number of
 rows. Binomial rounds then merge run 2i with run 2i+1 until one run remains; every round
-groups equal keys, so a hot digest brings at most one entry per run into a round. The answer
+groups equal keys, so a hot digest brings at most one entry per run into a round. The runs aren't
+sorted: a hash aggregation on (run, key) stands in for the sorted multiway merge. The answer
 goes back down by (run, digest), which deals a hot digest out over the runs.
 
 Verified: a key is digest, a second independent hash and the normalised length, so entries
