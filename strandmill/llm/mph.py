@@ -24,7 +24,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _mix1(x: int) -> int:
+def mix_one(x: int) -> int:
     x = (x + 0x9E3779B97F4A7C15) & _M
     x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _M
     x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _M
@@ -36,7 +36,7 @@ def build(keys, offsets, lengths) -> bytes:
     n = len(keys)
     raw = np.asarray(keys, dtype=np.int64).view(np.uint64)
     for seed in range(1, 1000):
-        h = mix(raw ^ np.uint64(_mix1(seed)))
+        h = mix(raw ^ np.uint64(mix_one(seed)))
         pilots, slots = _place(h, n)
         if pilots is not None:
             break
@@ -89,7 +89,7 @@ class Index:
         if data[:4] != _MAGIC:
             raise ValueError("not an index")
         self.n, self.nb, seed = (int(x) for x in np.frombuffer(data, "<u4", 3, 4))
-        self._salt = _mix1(seed)
+        self._salt = mix_one(seed)
         at = 16
         self.pilots = np.frombuffer(data, "<u4", self.nb, at)
         at += 4 * self.nb
@@ -102,8 +102,18 @@ class Index:
         """(offset, length), or None where the fingerprint says that the key isn't there."""
         if not self.n:
             return None
-        h = _mix1((key & _M) ^ self._salt)
-        slot = _mix1(h ^ _mix1(int(self.pilots[(h >> 32) % self.nb]))) % self.n
+        h = mix_one((key & _M) ^ self._salt)
+        slot = mix_one(h ^ mix_one(int(self.pilots[(h >> 32) % self.nb]))) % self.n
         if int(self.marks[slot]) != h & 0xFFFFFFFF:
             return None
         return int(self.offsets[slot]), int(self.lengths[slot])
+
+    def find_all(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether the fingerprint agrees, offset, length) of each key."""
+        if not self.n:
+            none = np.zeros(len(keys), np.int64)
+            return none > 0, none, none
+        h = mix(keys.astype(np.int64).view(np.uint64) ^ np.uint64(self._salt))
+        pilot = self.pilots[((h >> np.uint64(32)) % np.uint64(self.nb)).astype(np.int64)].astype(np.uint64)
+        slot = (mix(h ^ mix(pilot)) % np.uint64(self.n)).astype(np.int64)
+        return self.marks[slot] == (h & np.uint64(0xFFFFFFFF)), self.offsets[slot].astype(np.int64), self.lengths[slot].astype(np.int64)

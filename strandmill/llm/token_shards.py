@@ -1,15 +1,18 @@
 """Token-id output: binary shards in order of the document key, with keyed access.
 
 A file set is a folder:
-  blocks/    Parquet, one file a shard, sorted; a row is one block:
-             shard int, block int, start long (ids of this shard before it), n_docs long,
-             n_tokens long, lo long, hi long (least and greatest key), keys binary (signed
-             64-bit little-endian, ascending), index binary (minimal perfect hash from key
-             to (offset, length) in ids, with fingerprints), ids binary (raw little-endian
-             ids of WIDTH bytes)
-  manifest/  Parquet: shard int, base long (ids of all shards before it), lo long, hi long
-Keyed access takes the shard and the block from their key ranges, then the index: constant
-time within a block. Files go through Spark's writer, so any store and any retry is fine.
+  shards/    Parquet, sorted; a shard is some rows, its pages and then its index:
+             shard long, page int (-1: the index), start long (ids of the shard before the
+             page), n_docs long, n_tokens long, sizes binary (ids of each document, unsigned
+             32-bit little-endian), and of a page: ids binary (raw little-endian ids of WIDTH
+             bytes; a document is in one page); of the index: lo long, hi long (least and
+             greatest key), keys binary (signed 64-bit little-endian, ascending), starts binary
+             (start of each page, unsigned 64-bit little-endian), index binary (minimal perfect
+             hash from key to (offset, length) in the shard's ids, with fingerprints)
+  manifest/  Parquet: shard long, base long (ids of all shards before it), lo long, hi long
+Keyed access takes the shard from the key ranges, then the place from the shard's index in
+constant time. A shard has a bounded number of documents, however many a task writes. Files
+go through Spark's writer, so any store and any retry is fine.
 """
 
 from __future__ import annotations
@@ -25,33 +28,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._parts import WIDE, Grown, Parts, utf8
 from ._work import text_of
 from .mph import Index, build
 
 END_ID = 0
-#: Bytes of ids, and documents, after which a block ends; a document is never cut.
-BLOCK_BYTES = 1 << 20
-BLOCK_DOCS = 1 << 14
-_BLOCKS = "shard int, block int, start long, n_docs long, n_tokens long, lo long, hi long, keys binary, index binary, ids binary"
-_CACHE = 400_000
-_SIGNS = ".,;:!?"
-#: How the byte-level vocabulary writes a space and a line end.
-_SPACE, _LINE = "\u0120", "\u010a"
-_STEP = 1 << 20
-#: What keeps a text from being plain words between single spaces and line ends.
-_ODD = ["  ", " \n", "\n ", "\n\n", *[chr(c) for c in range(0x110000) if chr(c).isspace() and c not in (10, 32)]]
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Ids of a page. Documents of a shard after which the next one begins; a shard's index is one row.
+PAGE = 1 << 19
+SHARD_DOCS = 1 << 18
+_ROWS = "shard long, page int, start long, n_docs long, n_tokens long, lo long, hi long, keys binary, sizes binary, starts binary, index binary, ids binary"
+#: Bytes of text encoded at a time, and the known parts and their ids after which an encoder forgets and begins anew.
+_STEP = 1 << 22
+_KNOWN, _STORED = 1 << 20, 1 << 23
 
 _encoders: dict[tuple, Encoder] = {}
 
 
+def _table(which) -> np.ndarray:
+    return np.array([bool(which(chr(b))) if b < 128 else False for b in range(256)])
+
+
+_SPACES = _table(lambda c: c in " \t\n\x0b\x0c\r")
+_LETTERS, _DIGITS = _table(str.isalpha), _table(str.isdigit)
+_SIGNS = _table(lambda c: " " < c <= "~" and not c.isalnum())
+#: White space, or what libraries see differently, beyond _SPACES; texts with it are taken whole.
+_RARE = re.compile(rb"[\x1c-\x1f\x7f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf")
+_PLAIN = re.compile(rb"(?<=[!-~]) (?=[!-~])")
+
+
 class Encoder:
-    """tokenizers' ids of whole texts, by way of their words.
+    """tokenizers' ids of whole texts, by way of their parts.
 
-    The byte-level pre-tokenizer always cuts between a non-space and a single space or line
-    end that a non-space follows, so the ids of the parts, each encoded once and kept, are
-    the ids of the text. The words kept have a bound: two generations of
-    _CACHE, of which the older one goes.
+    The byte-level pre-tokenizer always cuts before white space that follows something else,
+    before the last of several white spaces, after white space that isn't a space, and between
+    ASCII letters, digits and signs (but not after an apostrophe). The ids of the parts between
+    such cuts, each encoded once and kept, are the ids of the text. Texts that hold a special
+    token or rare white space are one part. What is kept has a bound.
     """
 
     def __init__(self, path: str, width: int):
@@ -59,14 +71,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.kind = f"<u{width}"
-        self.known: dict[str, bytes] = {}  # "word": after a space; "\nword": as it is
-        self.older: dict[str, bytes] = {}  # the generation before, from which words come back as they are met
-        self.raw: dict[str, bytes] = {}  # parts as they are
-        self.tails: dict[str, bytes] = {}  # signs after a word
+        self.kind = np.dtype(f"<u{width}")
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
-        self.after_space = np.array([x.startswith(_SPACE) for x in names])
-        self.after_line = np.array([x.startswith(_LINE) for x in names])
+        self.after_space = np.array([x.startswith("\u0120") for x in names])
+        self.line = self.tok.token_to_id("\u010a")
+        self._forget()
 
     @classmethod
     def get(cls, path: str, width: int) -> Encoder:
@@ -74,219 +84,302 @@ class Encoder:
             _encoders[path, width] = cls(path, width)
         return _encoders[path, width]
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
-
-    def _parts(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of lead + word for words without white space: many in one text, cut where an id begins with the lead."""
-        begins = self.after_space if lead == " " else self.after_line
-        texts = [lead + lead.join(words[at : at + 64]) for at in range(0, len(words), 64)]
-        got = self.tok.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        ids = np.array([i for e in got for i in e.ids], dtype=self.kind)
-        cuts = [*(np.nonzero(begins[ids])[0] * ids.itemsize).tolist(), ids.nbytes]
-        if len(cuts) != len(words) + 1:
-            raise ValueError("an id begins with white space within a word")
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _learn_words(self, words: set[str]) -> None:
-        known, older = self.known, self.older
-        words = words - known.keys()
-        if older:
-            met = words & older.keys()
-            known.update({w: older[w] for w in met})
-            words -= met
-        lines = [w for w in words if w[0] == "\n"]
-        known.update(zip(lines, self._parts([w[1:] for w in lines], "\n"), strict=True))
-        words.difference_update(lines)
-        # a letter or digit and the signs after it are apart, so words that differ in them are one
-        signed = {w: w.rstrip(_SIGNS) for w in words if w[-1] in _SIGNS}
-        signed = {w: h for w, h in signed.items() if h and h[-1].isalnum()}
-        heads = (words - signed.keys()) | set(signed.values())
-        heads -= known.keys()
-        met = heads & older.keys()
-        known.update({w: older[w] for w in met})
-        heads = list(heads - met)
-        known.update(zip(heads, self._parts(heads, " "), strict=True))
-        tails = self.tails
-        for w, h in signed.items():
-            tail = w[len(h) :]
-            if tail not in tails:
-                tails[tail] = self._ids(tail).tobytes()
-            known[w] = known[h] + tails[tail]
-
-    def _learn_raw(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.raw]
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            self.raw[p] = np.array(e.ids, dtype=self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            n, size = at, 0
-            while n < len(texts) and (n == at or size + len(texts[n]) < _STEP):
-                size += len(texts[n])
-                n += 1
-            out += self._some(texts[at:n])
-            at = n
-        return out
-
-    def _some(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > _CACHE:
-            self.older, self.known = self.known, {}
-        if len(self.raw) > _CACHE // 4:
-            self.raw = {}
-        if len(self.tails) > _CACHE // 4:
-            self.tails = {}
-        split, words, raw = [], set(), set()
-        known = self.known
-        for t in texts:
-            if not t:
-                split.append((None, (), ()))
-            elif "<|" in t:  # may hold a special token, which can have spaces of its own
-                split.append((None, (t,), ()))
-                raw.add(t)
-            elif t[0].isspace() or t[-1].isspace() or any(map(t.__contains__, _ODD)):
-                parts = _CUT.split(t)
-                split.append((None, parts, ()))
-                raw.update(parts)
-            else:
-                first, *parts = t.replace("\n", " \n").split(" ")
-                got = list(map(known.get, parts))
-                split.append((first, parts, got))
-                raw.add(first)
-                words.update([p for p, g in zip(parts, got, strict=True) if g is None])
-        self._learn_words(words)
-        self._learn_raw(raw)
-        raw, out = self.raw, []
-        for first, parts, got in split:
-            if first is None:
-                out.append(b"".join([raw[p] for p in parts]))
+    def _forget(self) -> None:
+        self.parts = Parts()
+        self.first, self.count = Grown(np.int64), Grown(np.int64)  # of each known part: where its ids begin in stored, and how many
+        self.stored = Grown(self.kind)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, parts: list[str], line: bool) -> list[np.ndarray]:
+        """Ids of parts that hold no white space but, unless line, a space that each begins with: many in one text, cut where
+        an id begins with that space, or is the line end put before each."""
+        lead = "\n" if line else ""
+        texts = ["".join([lead + p for p in parts[at : at + 64]]) for at in range(0, len(parts), 64)]
+        out: list[np.ndarray] = []
+        for at, ids in zip(range(0, len(parts), 64), self._ids(texts), strict=True):
+            some = parts[at : at + 64]
+            cuts = np.nonzero(ids == self.line if line else self.after_space[ids])[0]
+            if len(cuts) != len(some):  # not a vocabulary that keeps white space apart
+                out += self._ids(some)
             else:
-                out.append(raw[first] + b"".join([known[p] if g is None else g for p, g in zip(parts, got, strict=True)]))
+                out += [x[line:] for x in np.split(ids, cuts[1:])]
         return out
 
-
-def _writer(path: str, width: int, end_id: int):
+    def _learn(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Ids of the parts that got the next numbers."""
+        texts = [data[a : a + s].tobytes().decode() for a, s in zip(start.tolist(), size.tolist(), strict=True)]
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, t in enumerate(texts):
+            bare = t[1:] if t[0] == " " else t
+            plain = bare and len(t) <= WIDE and not any(c.isspace() for c in bare) and not any(s.decode() in t for s in self.special)
+            kinds[(0 if t[0] == " " else 1) if plain else 2].append(i)
+        ids: list = [None] * len(texts)
+        for which, found in zip(kinds, (self._joined([texts[i] for i in kinds[0]], False), self._joined([texts[i] for i in kinds[1]], True), self._ids([texts[i] for i in kinds[2]]) if kinds[2] else []), strict=True):
+            for i, x in zip(which, found, strict=True):
+                ids[i] = x
+        counts = np.array([len(x) for x in ids], np.int64)
+        self.first.add(self.stored.n + np.cumsum(counts) - counts)
+        self.count.add(counts)
+        self.stored.add(np.concatenate(ids))
+
+    def _cuts(self, d: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Where the parts of d begin; begin: where its texts (not empty) begin. The last text ends with d."""
+        space = _SPACES[d]
+        cut = np.zeros(len(d), bool)
+        a, b = space[:-1], space[1:]
+        inner = np.zeros(len(d), bool)  # the last of some white space, within its text
+        inner[:-1] = a & ~b
+        inner[begin[1:] - 1] = False
+        cut[1:] = b & ~a
+        cut |= inner
+        cut[1:] |= a & ~b & (d[:-1] != 32)
+        letter, digit, sign = _LETTERS[d], _DIGITS[d], _SIGNS[d]
+        after_sign = sign[:-1] & (d[:-1] != 39)
+        cut[1:] |= (letter[:-1] & (digit | sign)[1:]) | (digit[:-1] & (letter | sign)[1:]) | (after_sign & (letter | digit)[1:])
+        cut[begin] = True
+        raw = d.tobytes()
+        odd = [m.start() for m in _RARE.finditer(raw)]
+        for s in self.special:
+            at = raw.find(s)
+            while at >= 0:
+                odd.append(at)
+                at = raw.find(s, at + 1)
+        if odd:
+            ends = np.append(begin[1:], len(d))
+            for i in np.unique(np.searchsorted(begin, odd, side="right") - 1).tolist():
+                cut[begin[i] + 1 : ends[i]] = False
+        return np.nonzero(cut)[0]
+
+    def encode(self, column: pa.Array):
+        """(ids, number of each row's ids, whole) of some rows at a time, in order; of a very long text in steps. Where the last
+        row goes on in the next step, it isn't whole."""
+        data, offsets = utf8(column)
+        row, at = 0, 0 if not len(column) else int(offsets[0])
+        while row < len(column):
+            upto = int(np.searchsorted(offsets, at + _STEP, side="right")) - 1
+            end = int(offsets[max(upto, row)]) if upto > row else at
+            if upto <= row:  # not even the one text
+                upto, end = row + 1, int(offsets[row + 1])
+                if end - at > _STEP and not self._odd(data[at:end]):
+                    cut = _PLAIN.search(memoryview(data), at + _STEP, end)
+                    end = cut.start() if cut else end
+            inside = np.clip(offsets[row : upto + 1], at, end)
+            whole = end == offsets[upto]
+            yield *self._some(data[at:end], inside - at), whole
+            row, at = upto - (not whole), end
+
+    def _odd(self, d: np.ndarray) -> bool:
+        """Whether a text must be taken whole."""
+        return bool(_RARE.search(memoryview(d))) or any(s in memoryview(d).tobytes() for s in self.special)
+
+    def _some(self, d: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text)."""
+        sizes = np.diff(offsets)
+        if not len(d):
+            return np.zeros(0, self.kind), np.zeros(len(sizes), np.int64)
+        if self.parts.n > _KNOWN or self.stored.n > _STORED:
+            self._forget()
+        full = np.nonzero(sizes)[0]
+        start = self._cuts(d, offsets[full])
+        size = np.diff(np.append(start, len(d)))
+        padded = np.concatenate([d, np.zeros(WIDE, np.uint8)])
+        number, new = self.parts.number(padded, start, size)
+        if len(new):
+            self._learn(d, start[new], size[new])
+        count = self.count.a[number]
+        ends = np.cumsum(count)
+        ids = self.stored.a[np.repeat(self.first.a[number] - (ends - count), count) + np.arange(int(ends[-1]))]
+        before = np.append(ends - count, ends[-1])
+        per = np.zeros(len(sizes), np.int64)
+        per[full] = np.diff(np.append(before[np.searchsorted(start, offsets[full])], ends[-1]))
+        return ids, per
+
+
+def _writer(path: str, width: int, end_id: int, most_ids: int, most_docs: int):
     def run(batches):
         encoder = Encoder.get(path, width)
-        end = np.array([end_id], dtype=encoder.kind).tobytes()
-        shard, block, start = TaskContext.get().partitionId(), 0, 0
-        keys, ids, size = [], [], 0
-
-        def close():
-            ends = np.cumsum([len(x) // width for x in ids])
-            lengths = np.array([len(x) // width for x in ids])
-            offsets = ends - lengths
-            k = np.array(keys, dtype="<i8")
+        shard = TaskContext.get().partitionId() << 20
+        keys: list[np.ndarray] = []  # of the shard
+        sizes: list[np.ndarray] = []
+        ids: list[np.ndarray] = []  # of the page
+        starts: list[int] = []
+        docs = begun = held = start = open_ids = 0
+
+        def paged():
+            """The page that ends with the last whole document."""
+            nonlocal ids, begun, held, start
+            row = {"shard": shard, "page": len(starts), "start": start, "n_docs": docs - begun, "n_tokens": held}
+            row["sizes"] = np.concatenate(sizes)[begun:docs].astype("<u4").tobytes()
+            row["ids"] = np.concatenate(ids).tobytes()
+            starts.append(start)
+            ids, begun, start, held = [], docs, start + held, 0
+            return _row(row)
+
+        def closed():
+            """The shard's index, after its pages."""
+            k, n = np.concatenate(keys), np.concatenate(sizes)
             once = np.concatenate([[True], k[1:] != k[:-1]])  # of rows with one key the first has the entry
-            row = [shard, block, start, len(keys), int(ends[-1]), keys[0], keys[-1], k.tobytes(), build(k[once], offsets[once], lengths[once]), b"".join(ids)]
-            return pa.record_batch([pa.array([v], t) for v, t in zip(row, _types, strict=True)], names=_names)
+            index = build(k[once], (np.cumsum(n) - n)[once], n[once])
+            return _row({"shard": shard, "page": -1, "start": 0, "n_docs": docs, "n_tokens": start, "lo": int(k[0]), "hi": int(k[-1]), "keys": k.astype("<i8").tobytes(), "sizes": n.astype("<u4").tobytes(), "starts": np.array(starts, "<u8").tobytes(), "index": index})
 
         for b in batches:
-            all_keys, texts = b.column(0).to_pylist(), b.column(1)
-            for at in range(0, len(all_keys), 256):
-                got = encoder.encode(texts[at : at + 256].to_pylist())
-                for k, x in zip(all_keys[at : at + 256], got, strict=True):
-                    keys.append(k)
-                    ids.append(x + end)
-                    size += len(x) + width
-                    if size >= BLOCK_BYTES or len(keys) >= BLOCK_DOCS:
-                        made = close()
-                        yield made
-                        start += made.column(4)[0].as_py()
-                        block, keys, ids, size = block + 1, [], [], 0
-        if keys:
-            yield close()
+            key = b.column(0).to_numpy()
+            at = 0
+            for got, per, whole in encoder.encode(b.column(1)):
+                full = len(per) - (not whole)
+                per[0] += open_ids  # what a long text has given before
+                more = per.copy()
+                more[0] -= open_ids
+                got = np.insert(got, np.cumsum(more)[:full], end_id).astype(encoder.kind)
+                open_ids = 0 if whole else int(per[-1])
+                ids.append(got)
+                held += len(got)
+                keys.append(key[at : at + full])
+                sizes.append(per[:full] + 1)
+                at, docs = at + full, docs + full
+                if whole and held >= most_ids:
+                    yield paged()
+                if whole and docs >= most_docs:
+                    if held:
+                        yield paged()
+                    yield closed()
+                    shard, keys, sizes, starts = shard + 1, [], [], []
+                    docs = begun = start = 0
+        if held:
+            yield paged()
+        if docs:
+            yield closed()
 
     return run
 
 
-_names = [x.split()[0] for x in _BLOCKS.split(", ")]
-_types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in _BLOCKS.split(", ")]
+_names = [x.split()[0] for x in _ROWS.split(", ")]
+_types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in _ROWS.split(", ")]
+
 
+def _row(row: dict) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([row.get(n)], t) for n, t in zip(_names, _types, strict=True)], names=_names)
 
-def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2, end_id: int = END_ID) -> None:
-    """Encode every whole text (null: empty) and write the file set below path.
+
+def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", width: int = 2, end_id: int = END_ID, page: int = PAGE, shard_docs: int = SHARD_DOCS) -> None:
+    """Encode every whole text (null: empty), end_id after each, and write the file set below path.
 
     A row with a null id has no key and so no place in keyed files; it is left out. Rows that
-    share an id are all written; keyed access gives the first in each block. Other columns are
-    ignored. An empty table gives an empty file set.
+    share an id are all written; keyed access gives the first in each shard. Other columns are
+    ignored. An empty table gives an empty file set. page: ids after which a page ends;
+    shard_docs: documents after which a shard ends; both as steps of the encoder end.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), text_of(F.col(text_col)).alias("text"))
     # the text's hash only separates rows of one key
     rows = rows.repartitionByRange(n, "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
-    blocks = rows.mapInArrow(_writer(tokenizer, width, end_id), _BLOCKS)
-    blocks.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(f"{path}/blocks")
+    made = rows.mapInArrow(_writer(tokenizer, width, end_id, page, shard_docs), _ROWS)
+    made.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(f"{path}/shards")
     spark = docs.sparkSession
-    # one row a shard
-    shards = _blocks(spark, path).groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"), "lo", "hi").coalesce(1).write.parquet(f"{path}/manifest")
+    shards = _indices(spark, path)  # one row a shard
+    shards.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("base"), "lo", "hi").coalesce(1).write.parquet(f"{path}/manifest")
 
 
-def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
+def _all(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_ROWS).parquet(f"{path}/shards")
 
 
-def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("shard int, base long, lo long, hi long").parquet(f"{path}/manifest")
+def _pages(spark: SparkSession, path: str) -> DataFrame:
+    return _all(spark, path).where("page >= 0")
+
 
+def _indices(spark: SparkSession, path: str) -> DataFrame:
+    return _all(spark, path).where("page = -1")
 
-def _described(width: int):
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("shard long, base long, lo long, hi long").parquet(f"{path}/manifest")
+
+
+def _placed(batches):
+    """Of every document of a shard: the place and length that the index gives."""
+    for b in batches:
+        for r in b.to_pylist():
+            index, keys, sizes = Index(r["index"]), np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["sizes"], "<u4").astype(np.int64)
+            once = np.concatenate([[True], keys[1:] != keys[:-1]])
+            found, offset, length = index.find_all(keys)
+            if not found.all():
+                raise ValueError("a key is not in its shard's index")
+            # rows that repeat a key follow its first one
+            before = np.cumsum(sizes) - sizes
+            group = np.maximum.accumulate(np.where(once, np.arange(len(keys)), 0))
+            offset, length = offset + before - before[group], np.where(once, length, sizes)
+            cols = [np.full(len(keys), r["shard"]), keys, r["base"] + offset, offset, length]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["shard", "key", "start", "at", "n_tokens"])
+
+
+def _digested(width: int):
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                index, ids = Index(r["index"]), np.frombuffer(r["ids"], f"<u{width}")
-                keys = np.frombuffer(r["keys"], "<i8").tolist()
-                out, at = [], 0
-                for i, k in enumerate(keys):
-                    if i and keys[i - 1] == k:  # a repeated key's further rows follow its first
-                        where = (at, _until_end(ids, at))
-                    else:
-                        where = index.find(k)
-                    at = where[0] + where[1]
-                    part = ids[where[0] : at]
-                    out.append((k, r["base"] + r["start"] + where[0], where[1], zlib.crc32(part.astype("<u4").tobytes())))
-                cols = list(zip(*out, strict=True))
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["key", "start", "n_tokens", "ids_crc32"])
-
-    def _until_end(ids, at):
-        return int(np.argmax(ids[at:] == END_ID)) + 1
+                ids, sizes = np.frombuffer(r["ids"], f"<u{width}").astype("<u4"), np.frombuffer(r["sizes"], "<u4").astype(np.int64)
+                ends = np.cumsum(sizes)
+                raw = memoryview(ids.tobytes())
+                crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                cols = [np.full(len(sizes), r["shard"]), r["start"] + ends - sizes, sizes, crc]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["shard", "at", "n_tokens", "ids_crc32"])
 
     return run
 
 
 def describe(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """key, start (ids of all documents before it), n_tokens, ids_crc32 of every document, from the files by their index."""
+    """key, start (ids of all documents before it), n_tokens, ids_crc32 of every document, from the files: the index gives
+    each key its place and length in its shard, and what the pages hold there gives the sum."""
     manifest = _manifest(spark, path).select("shard", "base")  # one row a shard
-    rows = _blocks(spark, path).select("shard", "start", "keys", "index", "ids").join(F.broadcast(manifest), "shard")
-    return rows.select("base", "start", "keys", "index", "ids").mapInArrow(_described(width), "key long, start long, n_tokens long, ids_crc32 long")
-
-
-def _fetched(width: int):
+    index = _indices(spark, path).select("shard", "keys", "sizes", "index").join(manifest, "shard").select("shard", "base", "keys", "sizes", "index")
+    placed = index.mapInArrow(_placed, "shard long, key long, start long, at long, n_tokens long")
+    held = _pages(spark, path).select("shard", "start", "sizes", "ids").mapInArrow(_digested(width), "shard long, at long, n_tokens long, ids_crc32 long")
+    return placed.join(held, ["shard", "at", "n_tokens"]).select("key", "start", "n_tokens", "ids_crc32")
+
+
+def _looked_up(batches):
+    for b in batches:
+        for r in b.to_pylist():
+            keys = np.array(r["wanted"], "<i8")
+            found, offset, length = Index(r["index"]).find_all(keys)
+            # a stranger's fingerprint agrees once in 2^32; the keys themselves settle it
+            known = np.frombuffer(r["keys"], "<i8")
+            found &= known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+            starts = np.frombuffer(r["starts"], "<u8").astype(np.int64)
+            page = np.searchsorted(starts, offset[found], side="right") - 1
+            cols = [np.full(len(page), r["shard"]), page, keys[found], offset[found] - starts[page], length[found]]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["shard", "page", "key", "at", "n"])
+
+
+def _sliced(width: int):
     def run(batches):
         for b in batches:
+            out = []
             for r in b.to_pylist():
-                index, out = Index(r["index"]), []
-                ids = np.frombuffer(r["ids"], f"<u{width}")
-                for k in r["wanted"]:
-                    if where := index.find(k):
-                        out.append({"key": k, "ids": ids[where[0] : where[0] + where[1]].tolist()})
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int64()))]))
+                out.append({"key": r["key"], "ids": np.frombuffer(r["part"], f"<u{width}").tolist()})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
     return run
 
 
+#: Wanted keys that meet a shard's index in one row.
+_ASKED = 1 << 16
+
+
 def fetch(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_id", width: int = 2) -> DataFrame:
-    """key, ids of those of the keys that the files hold; each wanted key once. Null keys find nothing."""
+    """key, ids of those of the keys that the files hold; each wanted key once, of rows that repeat it the first of each
+    shard. Null keys find nothing. The manifest (one row a shard) gives the shard, its index the place, the page its ids."""
     wanted = keys.where(F.col(key_col).isNotNull()).select(F.col(key_col).cast("long").alias("key")).distinct()
     shards = _manifest(spark, path).select("shard", F.col("lo").alias("a"), F.col("hi").alias("b"))
     placed = wanted.join(F.broadcast(shards), F.col("key").between(F.col("a"), F.col("b"))).select("key", "shard")
-    spans = _blocks(spark, path).select("shard", "block", "lo", "hi")
-    placed = placed.join(spans, "shard").where(F.col("key").between(F.col("lo"), F.col("hi")))
-    lists = placed.groupBy("shard", "block").agg(F.collect_list("key").alias("wanted"))  # as many as a block has documents, at most
-    rows = _blocks(spark, path).select("shard", "block", "index", "ids").join(lists, ["shard", "block"])
-    return rows.select("wanted", "index", "ids").mapInArrow(_fetched(width), "key long, ids array<long>")
+    many = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(_ASKED)).cast("int").alias("lists"))
+    salted = placed.join(many, "shard").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("lists")))
+    lists = salted.groupBy("shard", "salt").agg(F.collect_list("key").alias("wanted"))  # about _ASKED keys each
+    looked = _indices(spark, path).select("shard", "keys", "starts", "index").join(lists, "shard").select("shard", "keys", "starts", "index", "wanted")
+    looked = looked.mapInArrow(_looked_up, "shard long, page long, key long, at long, n long")
+    part = F.expr(f"substring(ids, cast(at * {width} + 1 as int), cast(n * {width} as int))")
+    pages = _pages(spark, path).select("shard", F.col("page").cast("long").alias("page"), "ids")
+    return pages.join(looked, ["shard", "page"]).select("key", part.alias("part")).mapInArrow(_sliced(width), "key long, ids array<long>")
