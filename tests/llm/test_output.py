@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -156,6 +157,41 @@ def test_pieces_do_not_depend_on_partitions(spark):
     assert sum(a[2] != b[2] for a, b in zip(one, other, strict=True)) > 0.9 * len(one)
 
 
+def test_pieces_take_texts_in_steps_and_forget(monkeypatch):
+    texts = ["ab cd, " * 90, "", "x", "abc " * 70 + "\n" + "d  e " * 50, "a" * 900, " " * 400, "日本 " * 80, "é" * 300, "ab, cd e" * 60]
+    keys = list(range(len(texts)))
+    monkeypatch.setattr(pieces, "_STEP", 100)
+    whole = pieces.Sampler(PIECES, 1.0).sample(keys, texts, 5)
+    assert [pieces.Sampler(PIECES, 1.0).decode(x.tolist()) for x in whole] == texts
+    monkeypatch.setattr(pieces, "_KNOWN", 3)
+    again = pieces.Sampler(PIECES, 1.0).sample(keys[::-1], texts[::-1], 5)[::-1]
+    assert all(np.array_equal(a, b) for a, b in zip(whole, again, strict=True))
+
+
+@pytest.mark.parametrize("text", ["a" * 100_000, "ab" * 100_000, "=" * 100_000, " " * 100_000, "日本語" * 50_000, "Zm9vYmFy" * 20_000])
+def test_pieces_of_long_unspaced_texts(text):
+    s = pieces.Sampler.get(PIECES, 1.0)
+    began = time.process_time()
+    [got] = s.sample([1], [text], 1)
+    assert s.decode(got.tolist()) == text
+    assert time.process_time() - began < 20  # linear: place by place this took minutes
+
+
+def test_long_runs_have_the_same_shares(monkeypatch):
+    """The way of long runs against that of short ones."""
+    text = ["the" * 15 + "=" * 20]
+    one = pieces.Sampler(PIECES, 0.7)
+    one.sample([1], text, 1)
+    monkeypatch.setattr(pieces, "_RUN", 1)
+    monkeypatch.setattr(pieces, "_DRAWS", 2)
+    two = pieces.Sampler(PIECES, 0.7)
+    two.sample([1], text, 1)
+    n = one.upto.n
+    assert n == two.upto.n > 60 and np.array_equal(one.piece.a[:n], two.piece.a[:n])
+    assert np.abs(one.upto.a[:n].astype(float) - two.upto.a[:n]).max() < 16
+    assert np.array_equal(one.sample([3], text, 2)[0], two.sample([3], text, 2)[0])
+
+
 def test_pieces_follow_the_lattice():
     """Frequencies of whole segmentations against all of them enumerated."""
     s = pieces.Sampler.get(PIECES, 0.5)
