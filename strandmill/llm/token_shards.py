@@ -38,24 +38,48 @@ PAGE = 1 << 19
 SHARD_DOCS = 1 << 18
 _ROWS = "shard long, page int, start long, n_docs long, n_tokens long, lo long, hi long, keys binary, sizes binary, starts binary, index binary, ids binary"
 #: Bytes of text encoded at a time, and the known parts and their ids after which an encoder forgets and begins anew.
-_STEP = 1 << 22
-_KNOWN, _STORED = 1 << 20, 1 << 23
+_STEP = 1 << 20
+_KNOWN, _STORED = (1 << 20) - (1 << 17), 1 << 23
 
 _encoders: dict[tuple, Encoder] = {}
 
 
-def _table(which) -> np.ndarray:
-    return np.array([bool(which(chr(b))) if b < 128 else False for b in range(256)])
+#: Classes of bytes: a letter, digit, sign, apostrophe, space, other white space, what may begin rare white space; 0: others.
+_LETTER, _DIGIT, _SIGN, _QUOTE, _SPACE, _LINE, _RARE = range(1, 8)
 
 
-_SPACES = _table(lambda c: c in " \t\n\x0b\x0c\r")
-_LETTERS, _DIGITS = _table(str.isalpha), _table(str.isdigit)
-_SIGNS = _table(lambda c: " " < c <= "~" and not c.isalnum())
-#: White space, or what libraries see differently, beyond _SPACES; texts with it are taken whole.
-_RARE = re.compile(rb"[\x1c-\x1f\x7f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf")
+def _class(b: int) -> int:
+    c = chr(b)
+    if b in b"\x1c\x1d\x1e\x1f\x7f\xc2\xe1\xe2\xe3\xef":
+        return _RARE
+    if b >= 128:
+        return 0
+    return _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _SPACE if c == " " else _LINE if c.isspace() else _QUOTE if c == "'" else _SIGN if c > " " else 0
+
+
+_CLASS = np.array([_class(b) for b in range(256)], np.uint8)
+_BLANK = (_SPACE, _LINE)
+#: Of two neighbours' classes, 8 * first + second: whether a part always begins with the second; with the first.
+_WITH_SECOND = np.zeros(64, bool)
+_WITH_FIRST = np.zeros(64, bool)
+for _a in range(8):
+    for _b in range(8):
+        _apart = _a in (_LETTER, _DIGIT, _SIGN) and _b in (_LETTER, _DIGIT, _SIGN, _QUOTE) and _a != _b and (_a, _b) != (_SIGN, _QUOTE)
+        _WITH_SECOND[8 * _a + _b] = _apart or (_b in _BLANK and _a not in _BLANK) or (_a == _LINE and _b not in _BLANK)
+        _WITH_FIRST[8 * _a + _b] = _a in _BLANK and _b not in _BLANK
 _PLAIN = re.compile(rb"(?<=[!-~]) (?=[!-~])")
 
 
+def rare(d: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places of d, all of class _RARE, begin white space, or what libraries see differently, beyond the
+    common six characters; texts with it are taken whole."""
+    d = np.concatenate([d, np.zeros(2, np.uint8)])
+    a, b, c = d[at], d[at + 1], d[at + 2]
+    out = (a < 128) | ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (((b == 0x9A) & (c == 0x80)) | ((b == 0xA0) & (c == 0x8E))))
+    out |= (a == 0xE2) & (((b == 0x80) & ((c <= 0x8F) | ((c >= 0xA8) & (c <= 0xAF)))) | ((b == 0x81) & (c >= 0x9F) & (c <= 0xAF)))
+    return out | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xEF) & (b == 0xBB) & (c == 0xBF))
+
+
 class Encoder:
     """tokenizers' ids of whole texts, by way of their parts.
 
@@ -89,68 +113,80 @@ class Encoder:
         self.first, self.count = Grown(np.int64), Grown(np.int64)  # of each known part: where its ids begin in stored, and how many
         self.stored = Grown(self.kind)
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=self.kind) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has)."""
+        got = []
+        for at in range(0, len(texts), 128):  # the library's own results are large
+            got += [np.array(e.ids, dtype=self.kind) for e in self.tok.encode_batch_fast(texts[at : at + 128], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, self.kind), *got]), np.array([len(x) for x in got], np.int64)
 
-    def _joined(self, parts: list[str], line: bool) -> list[np.ndarray]:
-        """Ids of parts that hold no white space but, unless line, a space that each begins with: many in one text, cut where
+    def _joined(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, line: bool) -> tuple[np.ndarray, np.ndarray]:
+        """_ids of parts that hold no white space but, unless line, a space that each begins with: many in one text, cut where
         an id begins with that space, or is the line end put before each."""
-        lead = "\n" if line else ""
-        texts = ["".join([lead + p for p in parts[at : at + 64]]) for at in range(0, len(parts), 64)]
-        out: list[np.ndarray] = []
-        for at, ids in zip(range(0, len(parts), 64), self._ids(texts), strict=True):
-            some = parts[at : at + 64]
-            cuts = np.nonzero(ids == self.line if line else self.after_space[ids])[0]
-            if len(cuts) != len(some):  # not a vocabulary that keeps white space apart
-                out += self._ids(some)
+        if not len(start):
+            return self._ids([])
+        ends = np.cumsum(size + line)
+        begin = ends - size
+        flat = np.full(int(ends[-1]), 10, np.uint8)
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        flat[np.repeat(begin, size) + within] = data[np.repeat(start, size) + within]
+        cuts = [*(begin[::64] - line).tolist(), len(flat)]
+        ids, per = self._ids([flat[a:b].tobytes().decode() for a, b in zip(cuts, cuts[1:], strict=False)])
+        first = np.nonzero(ids == self.line if line else self.after_space[ids])[0]
+        # as many beginnings in each text as it has parts; else it isn't a vocabulary that keeps white space apart
+        if not np.array_equal(np.searchsorted(first, np.cumsum(per)), np.minimum(np.arange(1, len(per) + 1) * 64, len(start))):
+            return self._ids([flat[a : a + n].tobytes().decode() for a, n in zip(begin.tolist(), size.tolist(), strict=True)])
+        counts = np.diff(np.append(first, len(ids))) - line
+        return (np.delete(ids, first) if line else ids), counts
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, whole: np.ndarray) -> None:
+        """Ids of the parts that got the next numbers; whole: those that must be taken as they are."""
+        count, before = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        spaced = ~whole & (data[start] == 32)
+        for which, line in ((spaced, False), (~whole & ~spaced, True), (whole, None)):
+            at = np.nonzero(which)[0]
+            if line is None:
+                ids, per = self._ids([data[a : a + n].tobytes().decode() for a, n in zip(start[at].tolist(), size[at].tolist(), strict=True)])
             else:
-                out += [x[line:] for x in np.split(ids, cuts[1:])]
-        return out
-
-    def _learn(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """Ids of the parts that got the next numbers."""
-        texts = [data[a : a + s].tobytes().decode() for a, s in zip(start.tolist(), size.tolist(), strict=True)]
-        kinds: tuple[list[int], ...] = ([], [], [])
-        for i, t in enumerate(texts):
-            bare = t[1:] if t[0] == " " else t
-            plain = bare and len(t) <= WIDE and not any(c.isspace() for c in bare) and not any(s.decode() in t for s in self.special)
-            kinds[(0 if t[0] == " " else 1) if plain else 2].append(i)
-        ids: list = [None] * len(texts)
-        for which, found in zip(kinds, (self._joined([texts[i] for i in kinds[0]], False), self._joined([texts[i] for i in kinds[1]], True), self._ids([texts[i] for i in kinds[2]]) if kinds[2] else []), strict=True):
-            for i, x in zip(which, found, strict=True):
-                ids[i] = x
-        counts = np.array([len(x) for x in ids], np.int64)
-        self.first.add(self.stored.n + np.cumsum(counts) - counts)
-        self.count.add(counts)
-        self.stored.add(np.concatenate(ids))
-
-    def _cuts(self, d: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Where the parts of d begin; begin: where its texts (not empty) begin. The last text ends with d."""
-        space = _SPACES[d]
+                ids, per = self._joined(data, start[at], size[at], line)
+            count[at], before[at] = per, self.stored.n + np.cumsum(per) - per
+            self.stored.add(ids)
+        self.first.add(before)
+        self.count.add(count)
+
+    def _cuts(self, d: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the parts of d begin, which of them must be taken whole); begin: where its texts (not empty) begin. The last
+        text ends with d."""
+        kind = _CLASS[d]
+        pair = kind[:-1] << 3
+        pair |= kind[1:]
         cut = np.zeros(len(d), bool)
-        a, b = space[:-1], space[1:]
-        inner = np.zeros(len(d), bool)  # the last of some white space, within its text
-        inner[:-1] = a & ~b
-        inner[begin[1:] - 1] = False
-        cut[1:] = b & ~a
-        cut |= inner
-        cut[1:] |= a & ~b & (d[:-1] != 32)
-        letter, digit, sign = _LETTERS[d], _DIGITS[d], _SIGNS[d]
-        after_sign = sign[:-1] & (d[:-1] != 39)
-        cut[1:] |= (letter[:-1] & (digit | sign)[1:]) | (digit[:-1] & (letter | sign)[1:]) | (after_sign & (letter | digit)[1:])
+        cut[:-1] = _WITH_FIRST[pair]
+        cut[begin[1:] - 1] = False  # white space that ends a text stays together
+        cut[1:] |= _WITH_SECOND[pair]
         cut[begin] = True
+        odd = np.nonzero(kind == _RARE)[0]
+        odd = odd[rare(d, odd)].tolist()
         raw = d.tobytes()
-        odd = [m.start() for m in _RARE.finditer(raw)]
         for s in self.special:
             at = raw.find(s)
             while at >= 0:
                 odd.append(at)
                 at = raw.find(s, at + 1)
-        if odd:
-            ends = np.append(begin[1:], len(d))
-            for i in np.unique(np.searchsorted(begin, odd, side="right") - 1).tolist():
-                cut[begin[i] + 1 : ends[i]] = False
-        return np.nonzero(cut)[0]
+        ends = np.append(begin[1:], len(d))
+        texts = np.unique(np.searchsorted(begin, odd, side="right") - 1)
+        for i in texts.tolist():
+            cut[begin[i] + 1 : ends[i]] = False
+        start = np.nonzero(cut)[0]
+        # white space but for one space before something else
+        first = kind[start]
+        size = np.diff(np.append(start, len(d)))
+        whole = (first == _LINE) | ((first == _SPACE) & (size == 1))
+        many = np.nonzero((first == _SPACE) & (size > 1))[0]
+        whole[many] = np.isin(kind[start[many] + 1], _BLANK)
+        if len(texts):
+            whole[np.searchsorted(start, begin[texts])] = True
+        return start, whole
 
     def encode(self, column: pa.Array):
         """(ids, number of each row's ids, whole) of some rows at a time, in order; of a very long text in steps. Where the last
@@ -172,7 +208,8 @@ class Encoder:
 
     def _odd(self, d: np.ndarray) -> bool:
         """Whether a text must be taken whole."""
-        return bool(_RARE.search(memoryview(d))) or any(s in memoryview(d).tobytes() for s in self.special)
+        raw = d.tobytes()
+        return any(s in raw for s in self.special) or bool(rare(d, np.nonzero(_CLASS[d] == _RARE)[0]).any())
 
     def _some(self, d: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text)."""
@@ -182,12 +219,12 @@ class Encoder:
         if self.parts.n > _KNOWN or self.stored.n > _STORED:
             self._forget()
         full = np.nonzero(sizes)[0]
-        start = self._cuts(d, offsets[full])
+        start, whole = self._cuts(d, offsets[full])
         size = np.diff(np.append(start, len(d)))
         padded = np.concatenate([d, np.zeros(WIDE, np.uint8)])
         number, new = self.parts.number(padded, start, size)
         if len(new):
-            self._learn(d, start[new], size[new])
+            self._learn(d, start[new], size[new], whole[new])
         count = self.count.a[number]
         ends = np.cumsum(count)
         ids = self.stored.a[np.repeat(self.first.a[number] - (ends - count), count) + np.arange(int(ends[-1]))]
