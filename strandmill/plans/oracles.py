@@ -1,9 +1,9 @@
-"""DuckDB SQL for the queries that SQL can express over whole tables: all on complete sketches, which need no hash function."""
+"""DuckDB SQL for the queries, over whole tables. Hashed sketches spell out the hash function in unsigned 128-bit integers."""
 
 from __future__ import annotations
 
 from ..params import max_hash
-from .queries import FILTERS, LONG, SHORT, SMALL_SCALE
+from .queries import DOC_MASHED, FILTERS, LONG, MASHED, SCALING, SHORT, SMALL_SCALE
 
 
 def _encoded() -> str:
@@ -36,6 +36,76 @@ g AS (SELECT sample, CASE WHEN cl = 0 THEN hi ELSE lo END AS h,
 r AS MATERIALIZED (SELECT sample, h, {kmer} AS kmer, n, extra FROM g)"""
 
 
+_WORD = "18446744073709551615::UHUGEINT"
+
+
+def _mul(x: str, c: int) -> str:
+    return f"(({x}) * {c}::UHUGEINT & {_WORD})"
+
+
+def _turn(x: str, r: int) -> str:
+    return f"((({x}) << {r} & {_WORD}) | (({x}) >> {64 - r}))"
+
+
+def _text_word(k: int, at: int) -> str:
+    """Bytes at to at + 7 of the k-mer h's text as a little-endian word."""
+    letter = "CASE {} WHEN 0 THEN 65 WHEN 1 THEN 67 WHEN 2 THEN 71 ELSE 84 END"
+    return " + ".join(f"({letter.format(d)})::UHUGEINT * {256**i}::UHUGEINT" for i, d in enumerate(_digits("h", k)[at : at + 8]))
+
+
+#: The hash's fixed multipliers and increments.
+_C1, _C2, _N1, _N2, _F1, _F2 = 0x87C37B91114253D5, 0x4CF5AD432745937F, 0x52DCE729, 0x38495AB5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+
+
+def _hashed(by: str, k: int = 21) -> str:
+    """CTEs up to g(sample, h, n, extra, hash): the k-mer as a 2-bit number, its counts, and the hash of its text; 16 < k < 24.
+
+    A text's byte gives four bases, so six bytes hold the four k-mers that begin in the first of them."""
+    six = " + ".join(f"lead(c, {i}) OVER w * {256 ** (5 - i)}" if i else f"c * {256**5}" for i in range(6))
+    rc = " + ".join(f"(3 - {d}) * {4**i}" for i, d in enumerate(_digits("f", k)))
+    steps, cols = [], []
+
+    def step(**new):
+        """One more CTE; the columns that the new ones replace go."""
+        kept = [c for c in cols if c not in new]
+        name, src = f"m{len(steps) + 1}", f"m{len(steps)}"
+        steps.append(f"{name} AS (SELECT h, {', '.join([*kept, *(f'{x} AS {c}' for c, x in new.items())])} FROM {src})")
+        cols[:] = [*kept, *new]
+
+    step(a=_text_word(k, 0), b=_text_word(k, 8), t=_text_word(k, 16))
+    step(a=_mul("a", _C1), b=_mul("b", _C2), t=_mul("t", _C1))
+    step(a=_mul(_turn("a", 31), _C2), b=_mul(_turn("b", 33), _C1), t=_mul(_turn("t", 31), _C2))
+    step(a=f"({_turn('a', 27)} * 5 + {_N1}) & {_WORD}", b="b", t="t")
+    step(a="a", b=f"(({_turn('b', 31)} + a & {_WORD}) * 5 + {_N2}) & {_WORD}", t="t")
+    step(a=f"xor(xor(a, t), {k}::UHUGEINT)", b=f"xor(b, {k}::UHUGEINT)")
+    step(a=f"(a + b) & {_WORD}", b="b")
+    step(a="a", b=f"(a + b) & {_WORD}")
+    for c in (_F1, _F2):
+        step(a=_mul("xor(a, a >> 33)", c), b=_mul("xor(b, b >> 33)", c))
+    step(hash=f"(xor(a, a >> 33) + xor(b, b >> 33)) & {_WORD}")
+    return f"""
+WITH s AS (SELECT CAST({by} AS VARCHAR) AS sample, doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+c AS (SELECT sample, doc_id, unnest(b) AS ch, generate_subscripts(b, 1) AS i FROM s),
+d AS (SELECT sample, doc_id, i, CAST((instr('0123456789ABCDEF', ch[1]) - 1) * 16 + instr('0123456789ABCDEF', ch[2]) - 1 AS BIGINT) AS c FROM c),
+w AS (SELECT sample, {six} AS v FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT sample, (v >> j) & {4**k - 1} AS f, count(*) AS n FROM w, (SELECT unnest([{', '.join(str(2 * (24 - k - i)) for i in range(4))}]) AS j) WHERE v IS NOT NULL GROUP BY ALL),
+q AS (SELECT sample, f, n, {rc} AS rc FROM p),
+o AS MATERIALIZED (SELECT sample, least(f, rc) AS h, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CASE WHEN f >= rc THEN n ELSE 0 END) AS BIGINT) AS extra FROM q GROUP BY 1, 2),
+m0 AS (SELECT DISTINCT h FROM o),
+{', '.join(steps)},
+g AS (SELECT sample, h, n, extra, hash FROM o JOIN m{len(steps)} USING (h))"""
+
+
+def _smallest(by: str, params) -> str:
+    """CTEs up to r(sample, h, kmer, n, extra) of sketches of the smallest hashes, h being the hash."""
+    k = params.kmer_length
+    kmer = " || ".join(f"substr('ACGT', CAST({d} + 1 AS BIGINT), 1)" for d in _digits("v", k))
+    low = f" OR hash <= {max_hash(params.scale)}" if params.scale is not None else ""
+    return f"""{_hashed(by, k)},
+t AS (SELECT sample, h AS v, n, extra, hash, row_number() OVER (PARTITION BY sample ORDER BY hash) AS rn FROM g),
+r AS MATERIALIZED (SELECT sample, hash AS h, {kmer} AS kmer, n, extra FROM t WHERE rn <= {params.kmers_to_sketch}{low})"""
+
+
 _ROWS = 'SELECT sample, CAST(h AS VARCHAR) AS hash, kmer, n AS "count", extra AS extra_count'
 _DENSE = """,
 hd AS (SELECT sample, n AS depth, count(*) AS n FROM {src} GROUP BY ALL),
@@ -50,8 +120,9 @@ be AS (SELECT sample, i + win + 1 AS t FROM (SELECT *, row_number() OVER (PARTIT
 th AS (SELECT wn.sample, CAST(CASE WHEN w = 0 THEN 1 WHEN be.t IS NULL THEN win ELSE be.t END AS BIGINT) AS threshold FROM wn LEFT JOIN be USING (sample))"""
 
 
-def _distances(pick: str = "TRUE", old: bool = False) -> str:
+def _distances(pick: str = "TRUE", old: bool = False, k: int = LONG, scale: float | None = None) -> str:
     """CTEs after r up to x: the result's columns."""
+    low = f" OR r.h < {max_hash(scale)}" if scale is not None else ""
     if old:
         measured = "CAST(common AS DOUBLE) / rt AS containment, CAST(common AS DOUBLE) / (common + 2 * (rt - common)) AS jaccard, common AS commonHashes, rt AS totalHashes"
     else:
@@ -60,12 +131,12 @@ def _distances(pick: str = "TRUE", old: bool = False) -> str:
 mx AS (SELECT sample, max(h) AS m, count(*) AS t FROM r GROUP BY 1),
 pr AS (SELECT a.sample AS q, b.sample AS ref, least(a.m, b.m) AS m, b.t AS rt FROM mx a, mx b WHERE a.sample <> b.sample AND ({pick})),
 cm AS (SELECT a.sample AS q, b.sample AS ref, count(*) AS common FROM r a JOIN r b ON a.h = b.h GROUP BY 1, 2),
-qi AS (SELECT pr.q, pr.ref, count(*) AS i FROM pr JOIN r ON r.sample = pr.q AND r.h <= pr.m GROUP BY 1, 2),
-rj AS (SELECT pr.q, pr.ref, count(*) AS j FROM pr JOIN r ON r.sample = pr.ref AND r.h <= pr.m GROUP BY 1, 2),
+qi AS (SELECT pr.q, pr.ref, count(*) AS i FROM pr JOIN r ON r.sample = pr.q AND (r.h <= pr.m{low}) GROUP BY 1, 2),
+rj AS (SELECT pr.q, pr.ref, count(*) AS j FROM pr JOIN r ON r.sample = pr.ref AND (r.h <= pr.m{low}) GROUP BY 1, 2),
 y AS (SELECT pr.q AS query, pr.ref AS reference, coalesce(common, 0) AS common, coalesce(i, 0) AS i, coalesce(j, 0) AS j, rt
   FROM pr LEFT JOIN cm USING (q, ref) LEFT JOIN qi USING (q, ref) LEFT JOIN rj USING (q, ref)),
 z AS (SELECT query, reference, {measured} FROM y),
-x AS (SELECT query, reference, containment, jaccard, round(CASE WHEN jaccard = 0 THEN 1.0 ELSE least(1.0, greatest(0.0, -ln(2.0 * jaccard / (1.0 + jaccard)) / {LONG})) + 0.0 END, 12) AS mashDistance, commonHashes, totalHashes FROM z)"""
+x AS (SELECT query, reference, containment, jaccard, round(CASE WHEN jaccard = 0 THEN 1.0 ELSE least(1.0, greatest(0.0, -ln(2.0 * jaccard / (1.0 + jaccard)) / {k})) + 0.0 END, 12) AS mashDistance, commonHashes, totalHashes FROM z)"""
 
 
 _MERGE = """,
@@ -85,6 +156,8 @@ def _pipeline() -> str:
 
 _L, _S, _LANG, _DOC = _base(LONG, "source"), _base(SHORT, "source"), _base(LONG, "lang"), _base(SHORT, "doc_id")
 
+_ALL = "'all'"
+
 ORACLES = {
     "allcounts_k4": f"{_S}\n{_ROWS} FROM r",
     "hist": f"{_L}\nSELECT sample, n AS depth, count(*) AS n FROM r GROUP BY ALL",
@@ -120,5 +193,14 @@ SELECT common, (SELECT count(*) FROM b, t WHERE h <= m) AS ref_pos, (SELECT coun
 p0 AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS ref_pos FROM r WHERE sample = 'src0'),
 n0 AS (SELECT DISTINCT sample FROM r)
 SELECT n0.sample, ref_pos, coalesce(r.n, 0) AS "count" FROM n0 CROSS JOIN p0 LEFT JOIN r ON r.sample = n0.sample AND r.h = p0.h""",
+    "kmer_hash": f"{_smallest(_ALL, MASHED)}\n{_ROWS} FROM r",
+    "mash_sketch": f"{_smallest('source', MASHED)}\n{_ROWS} FROM r",
+    "mash_sketch_docs": f"{_smallest('doc_id', DOC_MASHED)}\n{_ROWS} FROM r",
+    "scaled_sketch": f"{_smallest('source', SCALING)}\n{_ROWS} FROM r",
+    "totals": f"""
+SELECT CAST(source AS VARCHAR) AS sample, CAST(sum(4 * octet_length(encode(coalesce(text, '')))) AS BIGINT) AS seq_length,
+  CAST(sum(greatest(0, 4 * octet_length(encode(coalesce(text, ''))) - {MASHED.kmer_length - 1})) AS BIGINT) AS num_valid_kmers FROM documents GROUP BY 1""",
+    "mash_pairwise": _smallest("source", MASHED) + _distances(k=MASHED.kmer_length) + "\nSELECT * FROM x",
+    "scaled_distance": _smallest("source", SCALING) + _distances(k=SCALING.kmer_length, scale=SCALING.scale) + "\nSELECT * FROM x",
     "set_counts": _base(SHORT, "lang") + """\nSELECT CAST(h AS VARCHAR) AS hash, kmer, n // 1000 AS "count", extra AS extra_count FROM r WHERE sample = 'en' AND n // 1000 > 0""",
 }

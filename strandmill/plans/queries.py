@@ -13,6 +13,7 @@ from ..sources.sequences import sequences_of_text
 #: k of the complete sketches, and parameters of the others.
 SHORT, LONG = 4, 8
 MASHED = SketchParams(kmers_to_sketch=1000)
+DOC_MASHED = SketchParams(kmers_to_sketch=100)
 SCALING = SketchParams(SCALED, kmers_to_sketch=1000, scale=0.01)
 FILTERS = FilterParams(True, 2, 5000, 0.05, 0.02)
 SMALL_SCALE = 1e-15
@@ -154,7 +155,7 @@ def mash_sketch(spark, sf_dir):
 
 
 def mash_sketch_docs(spark, sf_dir):
-    return _rows(sketching.minmers(sequences(spark, sf_dir, "doc_id"), SketchParams(kmers_to_sketch=100)))
+    return _rows(sketching.minmers(sequences(spark, sf_dir, "doc_id"), DOC_MASHED))
 
 
 def scaled_sketch(spark, sf_dir):
