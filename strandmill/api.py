@@ -35,8 +35,14 @@ def sketch_sequences(sequences: DataFrame, params: SketchParams = SketchParams()
     too few k-mers; without it they stay short."""
     sequences = sequences if "ordinal" in sequences.columns else sequences.withColumn("ordinal", F.lit(0))
     sequences = sequences if "format" in sequences.columns else sequences.withColumn("format", F.lit(S.FASTA))
-    heads = sequences.groupBy("sample").agg(F.min("ordinal").alias("ordinal"), F.min_by("format", "record_no" if "record_no" in sequences.columns else F.lit(0)).alias("format"))
-    rows = SCHEMES[params.scheme](sequences, params)
+    sequences = sequences if "record_no" in sequences.columns else sequences.withColumn("record_no", F.lit(0))
+    if SCHEMES[params.scheme] is sketching.minmers and params.scheme != ALL:  # one pass over the records gives all there is to know
+        scan = tables.held(sketching.scanned(sequences, params))
+        heads, rows = sketching.facts_of(scan), sketching.picked(sketching.counts_of(scan), params)
+    else:
+        heads = sequences.groupBy("sample").agg(F.min("ordinal").alias("ordinal"), F.min_by("format", F.struct("ordinal", "record_no")).alias("format"))
+        heads = heads.join(sketching.totals(sequences, params), "sample", "left")
+        rows = SCHEMES[params.scheme](sequences, params)
     if filter_params.filter_on is None:
         fastq = rows.join(heads.where(F.col("format") == S.FASTQ).select("sample"), "sample", "left_semi")
         fasta = rows.join(heads.where(F.col("format") == S.FASTQ).select("sample"), "sample", "left_anti")
@@ -49,7 +55,6 @@ def sketch_sequences(sequences: DataFrame, params: SketchParams = SketchParams()
     kept = filters.final_trim(kept, params)
     if check:
         filters.check_full(heads, kept, params)
-    heads = heads.join(sketching.totals(sequences, params), "sample", "left")
     low = F.lit(filter_params.abun_low).cast("bigint")
     if found is not None:  # the guess replaces a laxer bound
         heads = heads.join(found, "sample", "left")
@@ -110,7 +115,8 @@ def inherit(params: SketchParams, first: SketchParams, given: tuple[str, ...] =
     if "scale" in given and first.scale is not None and params.scale != first.scale:
         raise SketchError(f"the sketch files have scale {first.scale}, not {params.scale}")
     if "final_size" not in given:
-        out = replace(out, final_size=first.final_size, kmers_to_sketch=max(out.kmers_to_sketch if "kmers_to_sketch" in given else 0, first.final_size))
+        # what is sketched before filters stays as it was, so that they leave enough
+        out = replace(out, final_size=first.final_size, kmers_to_sketch=max(out.kmers_to_sketch, first.final_size))
     return out
 
 
@@ -245,7 +251,15 @@ class Collection:
         if asked is None:
             asked = self if pairwise else self._named(names) if names is not None else self._only(F.col("sketch_id") == self._id(0))
         r, q = self.hash_arrays(), asked.hash_arrays()
-        pairs = D.all_pairs(q, r, "name")
+        bare = F.size("hashes") == 0
+        # a distance below 1 needs a common hash, or a sketch without any
+        if max_dist < 1.0 and q.where(bare).isEmpty() and r.where(bare).isEmpty():
+            pairs = D.meeting_pairs(asked.minmers, self.minmers, "sketch_id")
+            pairs = pairs.join(q.select(F.col("sketch_id").alias("query"), F.col("name").alias("qn"), F.col("hashes").alias("q"), F.col("same").alias("qs")), "query")
+            pairs = pairs.join(r.select(F.col("sketch_id").alias("reference"), F.col("name").alias("rn"), F.col("hashes").alias("r"), F.col("same").alias("rs")), "reference")
+            pairs = pairs.where(F.col("qs") != F.col("rs")).select(F.col("qn").alias("query"), F.col("rn").alias("reference"), "q", "r")
+        else:
+            pairs = D.all_pairs(q, r, "name")
         out = D.pair_distances(pairs, params.k, min(scales) if None not in scales else None, old)
         return out.where(F.col("mashDistance") <= max_dist)
 
@@ -261,7 +275,7 @@ class Collection:
         params = common_params([query.params, *self.all_params()])
         scale = min(query.params.scale, *(p.scale for p in self.all_params())) if params.scheme == SCALED else None
         mine = Collection.of(self.spark, [query.data]).hash_arrays().select(F.lit("q").alias("query"), F.col("hashes").alias("q"))
-        pairs = self.hash_arrays().select(F.col("sketch_id").cast("string").alias("reference"), F.col("hashes").alias("r")).crossJoin(F.broadcast(mine))
+        pairs = self.hash_arrays().select(F.col("sketch_id").cast("string").alias("reference"), F.col("hashes").alias("r")).crossJoin(mine)
         return D.pair_distances(pairs, params.k, scale).select(F.col("reference").cast("bigint").alias("sketch_id"), "containment", "jaccard")
 
     def best_match(self, query: Sketch) -> tuple[int, Sketch]:
@@ -368,10 +382,10 @@ class Sketch:
         return self.as_collection().minmers.drop("sketch_id")
 
     def merge(self, other: Sketch, size: int | None = None, scale: float | None = None, keep_tail: bool = False) -> Sketch:
-        """Both sketches' hashes with summed counts; checked before anything changes."""
+        """Both sketches' hashes with summed counts; checked before anything changes. scale: by default the sketch's own."""
         if bad := self.params.incompatible(other.params):
             raise SketchError(f"Sketch has {bad[0]} {bad[2]}, but the first one has {bad[1]}")
-        rows = combine.merge(self._rows(), other._rows(), size, scale, keep_tail).collect()
+        rows = combine.merge(self._rows(), other._rows(), size, self.params.scale if scale is None else scale, keep_tail).collect()
         data = [(r["hash"] % (1 << 64), r["kmer"], r["count"], r["extra_count"], None if r["label"] is None else bytes(r["label"])) for r in rows]
         return Sketch(self.data | {"rows": sorted(data), "seq_length": self.seq_length + other.seq_length, "num_valid_kmers": self.num_valid_kmers + other.num_valid_kmers})
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..params import max_hash, ordered
-from .sketching import capped, hash_ord
+from .sketching import capped, hash_ord, smallest
 
 
 def merge(a: DataFrame, b: DataFrame, size: int | None = None, scale: float | None = None, keep_tail: bool = False, by: str | None = None) -> DataFrame:
@@ -20,7 +20,6 @@ def merge(a: DataFrame, b: DataFrame, size: int | None = None, scale: float | No
     both = side(a, 0).unionByName(side(b, 1))
     first = lambda c: F.min_by(c, "_side").alias(c)
     merged = both.groupBy(*keys, "hash").agg(first("kmer"), capped(F.sum("count")).alias("count"), capped(F.sum("extra_count")).alias("extra_count"), first("label"))
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     if not keep_tail:
         tops = both.groupBy(*keys).agg(F.max(F.when(F.col("_side") == 0, hash_ord())).alias("_a"), F.max(F.when(F.col("_side") == 1, hash_ord())).alias("_b"))
         tops = tops.where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).select(*keys, F.least("_a", "_b").alias("_m"))
@@ -28,8 +27,14 @@ def merge(a: DataFrame, b: DataFrame, size: int | None = None, scale: float | No
     low = hash_ord() <= ordered(max_hash(scale)) if scale is not None else None
     if size is None:
         return merged if low is None else merged.where(low)
-    few = merged.withColumn("_rn", F.row_number().over(group.orderBy(hash_ord())))
-    return few.where((F.col("_rn") <= size) | low if low is not None else F.col("_rn") <= size).drop("_rn")
+    few = smallest(merged, size, by) if keys else merged.orderBy(hash_ord()).limit(size)
+    if low is None:
+        return few
+    # what the scale lets in above each group's size-th hash
+    last = few.groupBy(*keys).agg(F.max(hash_ord()).alias("_last"))
+    more = merged.where(low)
+    more = more.join(last, keys, "left") if keys else more.join(F.broadcast(last))  # without keys one row
+    return few.unionByName(more.where(F.col("_last").isNull() | (hash_ord() > F.col("_last"))).drop("_last"))
 
 
 def compare_counts(query: DataFrame, ref: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -42,7 +47,7 @@ def compare_counts(query: DataFrame, ref: DataFrame, by: list[str] | None = None
     rows = both.groupBy(*keys, "hash").agg(F.max("qc").alias("qc"), F.max("rc").alias("rc"))
     tops = rows.groupBy(*keys).agg(F.max(F.when(F.col("qc").isNotNull(), hash_ord())).alias("a"), F.max(F.when(F.col("rc").isNotNull(), hash_ord())).alias("b"))
     tops = tops.select(*keys, F.when(F.col("a").isNull() | F.col("b").isNull(), None).otherwise(F.least("a", "b")).alias("m"))
-    rows = rows.join(F.broadcast(tops), keys) if keys else rows.join(F.broadcast(tops))
+    rows = rows.join(tops, keys) if keys else rows.join(F.broadcast(tops))  # without keys one row
     hit = F.col("qc").isNotNull() & F.col("rc").isNotNull()
     matched, within = F.when(hit, F.col("qc").cast("double")), hash_ord() <= F.col("m")
     number = lambda c: F.coalesce(c, F.lit(float("nan")))
@@ -56,10 +61,26 @@ def compare_counts(query: DataFrame, ref: DataFrame, by: list[str] | None = None
     )
 
 
+#: Ranges that a sketch's hashes are numbered in, side by side.
+_RANGES = 64
+
+
+def places(ref: DataFrame) -> DataFrame:
+    """hash, ref_pos: the place of each of a sketch's hashes in their order, from 0."""
+    o = ref.select("hash", hash_ord().alias("_o"))
+    cuts = o.agg(F.percentile_approx("_o", [i / _RANGES for i in range(1, _RANGES)], F.lit(1000)).alias("_cuts"))  # one row
+    dealt = o.join(F.broadcast(cuts)).select("hash", "_o", F.size(F.filter("_cuts", lambda x: x < F.col("_o"))).alias("_range"))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # as many rows as ranges
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    numbered = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_range").orderBy("_o")))
+    return numbered.join(F.broadcast(before), "_range").select("hash", (F.col("_rn") - 1 + F.col("_before")).cast("int").alias("ref_pos"))
+
+
 def count_matrix(ref: DataFrame, others: DataFrame, by: str = "sample") -> DataFrame:
-    """Group, ref_pos, count: each sketch's count of each of the reference's hashes, 0 where it has none, as a 32-bit integer."""
-    place = ref.select("hash", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(hash_ord())) - 1).alias("ref_pos"))  # as many rows as one sketch
-    grid = others.select(by).distinct().crossJoin(F.broadcast(place))
+    """Group, ref_pos, count: each sketch's count of each of the reference's hashes, 0 where it has none, as a 32-bit integer.
+
+    The result has a row for every pair of a group and a hash, so all are made."""
+    grid = others.select(by).distinct().crossJoin(places(ref))
     return grid.join(others.select(by, "hash", "count"), [by, "hash"], "left").select(by, "ref_pos", F.coalesce("count", F.lit(0)).alias("count"))
 
 

@@ -68,6 +68,20 @@ def all_pairs(queries: DataFrame, refs: DataFrame, by: str = "sample", skip_equa
     return out.select("query", "reference", "q", "r")
 
 
+def meeting_pairs(queries: DataFrame, refs: DataFrame, by: str = "sample") -> DataFrame:
+    """query, reference of the pairs of groups that share a hash: all pairs whose distance is below 1."""
+    q = queries.select(F.col(by).alias("query"), "hash")
+    return q.join(refs.select(F.col(by).alias("reference"), "hash"), "hash").select("query", "reference").distinct()
+
+
+def near_pairs(queries: DataFrame, refs: DataFrame, arrays_q: DataFrame, arrays_r: DataFrame, by: str = "sample") -> DataFrame:
+    """query, reference, q, r like all_pairs, but only of pairs that share a hash, which equal hashes bring together.
+    arrays_q, arrays_r: the groups of queries and refs with their hashes nested."""
+    a = arrays_q.select(F.col(by).alias("query"), F.col("hashes").alias("q"))
+    b = arrays_r.select(F.col(by).alias("reference"), F.col("hashes").alias("r"))
+    return meeting_pairs(queries, refs, by).join(a, "query").join(b, "reference").select("query", "reference", "q", "r")
+
+
 def best_match(distances: DataFrame, order: str = "reference") -> DataFrame:
     """The reference with the greatest containment of each query; the first one on ties."""
     return distances.groupBy("query").agg(F.min_by(F.struct("reference", "containment", "jaccard"), F.struct(-F.col("containment"), F.col(order))).alias("m")).select("query", "m.*")

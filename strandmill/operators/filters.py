@@ -87,4 +87,4 @@ def check_full(names: DataFrame, rows: DataFrame, params: SketchParams, by: str
     n = names.select(by).join(rows.groupBy(by).count(), by, "left").select(by, F.coalesce("count", F.lit(0)).alias("n"))
     short = n.where(F.col("n") < params.final_size).orderBy(by).limit(1).collect()
     if short:
-        raise SketchError(f"{short[0][by]} had too few kmers ({short[0]['n']}) to sketch")
+        raise SketchError(f"{short[0][by]}: {params.final_size} k-mers are asked for, but only {short[0]['n']} are there")

@@ -19,6 +19,8 @@ from ..functions import kmers as K
 from ..params import ALL, SCALED, U32, SketchParams, ordered
 
 _OUT = "sample string, hash bigint, kmer string, count bigint, extra_count bigint"
+#: With the facts of a sample and task, in rows without a hash: its first file and record, their format, bases, k-mers.
+_FACTS = f"{_OUT}, ordinal int, first bigint, format string, bases bigint, valid bigint"
 #: Bytes of a sample counted at once, bytes that wait for it in a task, and hashes that a task holds.
 _CHUNK = 1 << 22
 _WAITING = 1 << 25
@@ -46,6 +48,8 @@ class _Counter:
         self.hash = np.zeros(0, np.uint64)
         self.count = self.extra = np.zeros(0, np.int64)
         self.kmer: list[str] = []
+        self.bases = self.valid = 0
+        self.head: tuple | None = None  # (ordinal, record number, format) of the first record
 
     def add(self, seq: bytes) -> None:
         self.parts.append(seq)
@@ -64,6 +68,7 @@ class _Counter:
     def _count(self, code: np.ndarray) -> None:
         p = self.params
         hashes, flag, text = K.canonical(code, p.kmer_length, p.hash_seed)
+        self.valid += len(hashes)
         at = np.arange(len(hashes))
         full = len(self.hash) >= p.kmers_to_sketch
         if full:  # only what may still be kept
@@ -92,13 +97,20 @@ class _Counter:
         below = int(np.searchsorted(hashes, self.limit, side="right")) if self.params.scheme == SCALED else 0
         return min(len(hashes), max(self.params.kmers_to_sketch, below))
 
-    def batch(self, sample: str) -> pa.RecordBatch:
+    def batch(self, sample: str, facts: bool) -> pa.RecordBatch:
         n = len(self.hash)
         cols = [pa.array([sample] * n, pa.string()), pa.array(self.hash.view(np.int64)), pa.array(self.kmer, pa.string()), pa.array(self.count), pa.array(self.extra)]
-        return pa.record_batch(cols, names=["sample", "hash", "kmer", "count", "extra_count"])
+        names = ["sample", "hash", "kmer", "count", "extra_count"]
+        if facts:
+            row = [sample, None, None, None, None]
+            cols = [pa.concat_arrays([c, pa.array([x], c.type)]) for c, x in zip(cols, row, strict=True)]
+            for name, kind, x in zip(("ordinal", "first", "format", "bases", "valid"), (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()), (*self.head, self.bases, self.valid), strict=True):
+                names.append(name)
+                cols.append(pa.array([None] * n + [x], kind))
+        return pa.record_batch(cols, names=names)
 
 
-def _stage(params: SketchParams):
+def _stage(params: SketchParams, facts: bool = False):
     """Counts the samples of a task side by side, so that they may come in any order; when what is held reaches its bound,
     all is sent on, and Spark adds up."""
 
@@ -109,15 +121,22 @@ def _stage(params: SketchParams):
         def out():
             for s, c in counters.items():
                 c.flush()
-                yield c.batch(s)
+                yield c.batch(s, facts)
 
         for b in batches:
+            heads = zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True) if facts else iter(())
             for s, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if s not in counters:
-                    counters[s] = _Counter(params)
+                c = counters.get(s)
+                if c is None:
+                    c = counters[s] = _Counter(params)
                 data = (seq or "").encode()
-                counters[s].add(data)
+                c.add(data)
                 waiting += len(data)
+                if facts:
+                    head = next(heads)
+                    c.bases += len(seq or "")
+                    if c.head is None or head[:2] < c.head[:2]:
+                        c.head = head
                 if waiting >= _WAITING:
                     for c in counters.values():
                         c.flush()
@@ -187,22 +206,49 @@ def all_counts(sequences: DataFrame, k: int) -> DataFrame:
     )
 
 
+def _added_up(raw: DataFrame) -> DataFrame:
+    return raw.groupBy("sample", "hash").agg(F.min("kmer").alias("kmer"), capped(F.sum("count")).alias("count"), capped(F.sum("extra_count")).alias("extra_count"))
+
+
 def hashed_counts(sequences: DataFrame, params: SketchParams) -> DataFrame:
     """sample, hash, kmer, count, extra_count; at least every hash that the sketch keeps, with its exact counts."""
-    raw = _samples(sequences).mapInArrow(_stage(params), _OUT)
-    return raw.groupBy("sample", "hash").agg(F.min("kmer").alias("kmer"), capped(F.sum("count")).alias("count"), capped(F.sum("extra_count")).alias("extra_count"))
+    return _added_up(_samples(sequences).mapInArrow(_stage(params), _OUT))
+
+
+def scanned(sequences: DataFrame, params: SketchParams) -> DataFrame:
+    """What one pass over the records (sample, seq, ordinal, record_no, format) has to say, to be written or kept: task by
+    task, the counts of the hashes that may be in a sketch, and the facts of each sample."""
+    rows = sequences.select(F.col("sample").cast("string").alias("sample"), "seq", F.coalesce(F.col("ordinal").cast("int"), F.lit(0)), F.coalesce(F.col("record_no").cast("bigint"), F.lit(0).cast("bigint")), "format")
+    return rows.mapInArrow(_stage(params, True), _FACTS)
+
+
+def counts_of(scan: DataFrame) -> DataFrame:
+    """hashed_counts() of a pass."""
+    return _added_up(scan.where(F.col("hash").isNotNull()).select("sample", "hash", "kmer", "count", "extra_count"))
+
+
+def facts_of(scan: DataFrame) -> DataFrame:
+    """sample, ordinal, format (of the first record), seq_length, num_valid_kmers of a pass."""
+    return scan.where(F.col("hash").isNull()).groupBy("sample").agg(
+        F.min("ordinal").alias("ordinal"), F.min_by("format", F.struct("ordinal", "first")).alias("format"),
+        F.sum("bases").alias("seq_length"), F.sum("valid").alias("num_valid_kmers"),
+    )
 
 
 def minmers(sequences: DataFrame, params: SketchParams) -> DataFrame:
     """The rows of each sample's sketch, before filters."""
     if params.scheme == ALL:
         return all_counts(sequences, params.kmer_length)
-    counted = hashed_counts(sequences, params)
-    few = smallest(counted, params.kmers_to_sketch)
+    return picked(hashed_counts(sequences, params), params)
+
+
+def picked(counted: DataFrame, params: SketchParams) -> DataFrame:
+    """The rows of each sample's sketch out of its counts: the smallest, and for a scaled sketch all up to its limit."""
     if params.scheme != SCALED:
-        return few
+        return smallest(counted, params.kmers_to_sketch)
     # the top k is its own branch, which Spark can limit early; the rest is a plain filter above each sample's k-th
     low = hash_ord() <= ordered(params.limit)
+    few = smallest(counted, params.kmers_to_sketch)
     last = few.groupBy("sample").agg(F.max(hash_ord()).alias("_last"))
     more = counted.where(low).join(last, "sample", "left").where(F.col("_last").isNull() | (hash_ord() > F.col("_last"))).drop("_last")
     return few.unionByName(more)

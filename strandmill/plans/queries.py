@@ -90,7 +90,11 @@ def pairwise_distance(spark, sf_dir):
 
 
 def max_dist(spark, sf_dir):
-    return _distances(counts(spark, sf_dir)).where(F.col("mashDistance") <= 0.04)
+    rows = counts(spark, sf_dir)
+    arrays = D.nested(rows)
+    pairs = D.near_pairs(rows, rows, arrays, arrays).where(F.col("query") != F.col("reference"))
+    out = D.pair_distances(pairs, LONG).withColumn("mashDistance", F.round("mashDistance", 12))
+    return out.where(F.col("mashDistance") <= 0.04)
 
 
 def query_by_name(spark, sf_dir):

@@ -1,12 +1,20 @@
-"""FASTA and FASTQ files, plain or compressed, as rows: sample, ordinal, record_no, id, seq, qual, format."""
+"""FASTA and FASTQ files, plain or compressed, as rows: sample, ordinal, record_no, id, seq, qual, format.
+
+Files are scanned as text whose separator is the line end before a record's mark, so Spark splits
+plain (and bzip2) files between records and streams gzip ones, whatever their size; a record is
+what must fit in memory. Only what Spark has no codec for (xz, or compressed data under another
+name) is read whole.
+"""
 
 from __future__ import annotations
 
+import atexit
 import bz2
 import gzip
 import io
 import lzma
 import os
+import shutil
 import sys
 import tempfile
 
@@ -19,6 +27,8 @@ from ..functions.kmers import bases_of_text
 
 SEQUENCES = "sample string, ordinal int, record_no bigint, id string, seq string, qual string, format string"
 FASTA, FASTQ = "fasta", "fastq"
+_MARKS = {">": FASTA, "@": FASTQ}
+_MAGIC = {b"\x1f\x8b": gzip.open, b"BZ": bz2.open, b"\xfd7": lzma.open}
 _ROWS = 512
 _BYTES = 8 << 20
 
@@ -26,13 +36,7 @@ _BYTES = 8 << 20
 def opened(data: bytes):
     """A stream of the plain bytes."""
     raw = io.BytesIO(data)
-    if data[:2] == b"\x1f\x8b":
-        return gzip.open(raw)
-    if data[:3] == b"BZh":
-        return bz2.open(raw)
-    if data[:6] == b"\xfd7zXZ\x00":
-        return lzma.open(raw)
-    return raw
+    return _MAGIC[data[:2]](raw) if data[:2] in _MAGIC else raw
 
 
 def parse(stream):
@@ -65,54 +69,193 @@ def parse(stream):
         raise SketchError("neither FASTA nor FASTQ")
 
 
-def _parsed(order: dict[str, int], names: dict[str, str]):
+def _batches(records):
+    """Record batches of (sample, ordinal, record_no, id, seq, qual, format), of bounded size but for single long records."""
+
+    def made():
+        types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in SEQUENCES.split(", ")])
+
+    rows, size = [], 0
+    for r in records:
+        rows.append(r)
+        size += len(r[4])
+        if len(rows) >= _ROWS or size >= _BYTES:
+            yield made()
+            rows, size = [], 0
+    if rows:
+        yield made()
+
+
+def _whole(found: dict[str, tuple[int, str]]):
+    """Records of files that come whole: path, content."""
+
     def run(batches):
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = next((p for p in order if path.endswith(p)), path)
-                rows, size = [], 0
-                for no, (name, seq, qual, kind) in enumerate(parse(opened(data))):
-                    rows.append((names.get(at, path), order.get(at, 0), no, name, seq, qual, kind))
-                    size += len(seq)
-                    if len(rows) >= _ROWS or size >= _BYTES:
-                        yield _batch(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield _batch(rows)
-
-    def _batch(rows):
-        cols = list(zip(*rows, strict=True))
-        types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in SEQUENCES.split(", ")])
+                ordinal, sample = found[path]
+                yield from _batches((sample, ordinal, no, *r) for no, r in enumerate(parse(opened(data))))
 
     return run
 
 
+def _address(uri: str) -> str:
+    """A local file's address has one slash or three."""
+    return uri.replace("file:///", "file:/", 1) if uri.startswith("file:///") else uri
+
+
+def _fasta(chunk: str) -> tuple[str, str]:
+    name, _, rest = chunk.partition("\n")
+    return name.strip(), "".join(rest.split())
+
+
+def _split(kind: str, found: dict[str, tuple[int, str]]):
+    """Records of texts cut before each mark: path, start and length of the split, size of the file, text."""
+
+    def records(batches):
+        at = None  # the split
+        late = None  # a FASTQ record that waits for its quality, which began with the mark
+        no, ends = 0, False
+        for b in batches:
+            for path, start, length, size, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                first = at != (path, start)
+                if first:
+                    if late is not None:
+                        yield unquoted(late, ends)
+                    at, late, no, ends = (path, start), None, 0, start + length >= size
+                    ordinal, sample = found[_address(path)]
+                    if not start:
+                        text = text.lstrip()
+                        if not text:  # the separator after blank lines
+                            at = None
+                            continue
+                        text = text[1:] if text[0] in _MARKS else text
+                head = (sample, ordinal, start + no)
+                if kind == FASTA:
+                    name, seq = _fasta(text)
+                    yield *head, name, seq, None, FASTA
+                    no += 1
+                    continue
+                lines = text.rstrip().split("\n") if late is None else [text]
+                if late is not None:
+                    *record, seq = late
+                    qual = "@" + text.strip()
+                    if len(qual) != len(seq):
+                        raise SketchError("a FASTQ record is malformed")
+                    late = None
+                    yield *record, seq, qual, FASTQ
+                elif len(lines) >= 2 and (len(lines) > 2 and lines[2][:1] == "+"):
+                    name, seq = lines[0].strip(), lines[1].strip()
+                    if len(lines) == 3 and seq:
+                        late = (*head, name, seq)
+                    else:
+                        qual = lines[3].strip() if len(lines) > 3 else ""
+                        if len(qual) != len(seq) or any(x.strip() for x in lines[4:]):
+                            raise SketchError("a FASTQ record is malformed")
+                        yield *head, name, seq, qual, FASTQ
+                    no += 1
+                elif not (first and start and len(lines) == 1):  # else the rest of a record that the split before has
+                    raise SketchError("a FASTQ record is malformed")
+        if late is not None:
+            yield unquoted(late, ends)
+
+    def unquoted(late, ends):
+        """A record whose quality lies in the next split."""
+        if ends:
+            raise SketchError("a FASTQ record is malformed")
+        return *late, None, FASTQ
+
+    return lambda batches: _batches(records(batches))
+
+
+def files_at(spark: SparkSession, path: str) -> list:
+    """(file system, path) of the file, or of all files of the folder or pattern; full paths."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # a file's own name goes before a pattern that it may look like
+    here = [fs.getFileStatus(at)] if fs.exists(at) else [*(fs.globStatus(at) or [])]
+    out = []
+    for s in here:
+        inside = [x for x in fs.listStatus(s.getPath()) if x.isFile() and x.getPath().getName()[0] not in "._"] if s.isDirectory() else [s]
+        out += [(fs, x.getPath()) for x in inside]
+    if not out:
+        raise SketchError(f"{path}: no such file")
+    return out
+
+
+def _listed(spark: SparkSession, paths: list[str]) -> tuple[dict[str, tuple[int, str]], dict[str, tuple[str, str]]]:
+    """Of each file, by its full path: (place among paths, sample name), and (the way to read it, its address as Spark's file
+    metadata show it). A path that stands for one file names its sample; of others the files do."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found, kinds = {}, {}
+    for i, p in enumerate(paths):
+        here = files_at(spark, spooled() if p == "-" else p)
+        for fs, f in here:
+            full = f.toString()
+            if full not in found:
+                found[full] = (i, p if len(here) == 1 else full)
+                kinds[full] = (_kind(jvm, fs, f, codecs.getCodec(f)), _address(f.toUri().toString()))
+    return found, kinds
+
+
+def _kind(jvm, fs, path, codec) -> str:
+    """The format of a file by its first sign, or "" where it must be read whole."""
+    raw = fs.open(path)
+    reader = jvm.java.io.InputStreamReader(raw if codec is None else codec.createInputStream(raw), "ISO-8859-1")
+    try:
+        c = reader.read()
+        while c in (9, 10, 11, 12, 13, 32):
+            c = reader.read()
+        if c < 0:
+            raise SketchError(f"{path.toString()} holds no sequences")
+        if chr(c) in _MARKS:
+            return _MARKS[chr(c)]
+        if bytes([c, max(0, reader.read()) & 255]) in _MAGIC:
+            return ""
+        raise SketchError(f"{path.toString()} is neither FASTA nor FASTQ")
+    finally:
+        reader.close()
+
+
 def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """All records of the files, one task a file at least; ordinal is a file's place in paths."""
+    """All records of the files; ordinal is a file's place in paths, and record_no ascends within a file. A FASTQ record's
+    quality is null where a split of its file cuts it off."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise SketchError("no files")
-    local = [spooled() if p == "-" else p for p in paths]
-    order = {p.split("://")[-1]: i for i, p in enumerate(local)}
-    names = {p.split("://")[-1]: q for p, q in zip(local, paths, strict=True)}
-    return spark.read.format("binaryFile").load(local).select("path", "content").mapInArrow(_parsed(order, names), SEQUENCES)
+    found, kinds = _listed(spark, paths)
+    parts = []
+    for mark, kind in _MARKS.items():
+        if some := {f: at for f, (k, at) in kinds.items() if k == kind}:
+            m = [F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start", "file_block_length", "file_size")]
+            texts = spark.read.option("lineSep", f"\n{mark}").text([escaped(f) for f in some]).select(*m, "value")
+            parts.append(texts.mapInArrow(_split(kind, {at: found[f] for f, at in some.items()}), SEQUENCES))
+    if some := [f for f, (k, _) in kinds.items() if not k]:
+        parts.append(spark.read.format("binaryFile").load([escaped(f) for f in some]).select("path", "content").mapInArrow(_whole(found), SEQUENCES))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+def escaped(path: str) -> str:
+    """The path of one file, whatever signs of patterns it holds."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
 
 
 def spooled(stream=None) -> str:
-    """Standard input as a file, on the driver's own machine: for local use."""
+    """Standard input as a file, on the driver's own machine: for local use. It goes when the process ends."""
     with tempfile.NamedTemporaryFile(delete=False, suffix=".stdin") as f:
-        f.write((stream or sys.stdin.buffer).read())
+        shutil.copyfileobj(stream or sys.stdin.buffer, f)
+    atexit.register(lambda: os.path.exists(f.name) and os.remove(f.name))
     return f.name
 
 
 def read_large_fasta(spark: SparkSession, path: str, sample: str | None = None) -> DataFrame:
-    """Records of a plain FASTA file, which Spark splits between records, so that one file takes as many tasks as it needs."""
-    body = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^>", "").alias("v"), F.input_file_name().alias("file"))
-    head, rest = F.substring_index("v", "\n", 1), F.regexp_replace(F.substr("v", F.length(F.substring_index("v", "\n", 1)) + 1), r"\s", "")
-    name = F.col("file") if sample is None else F.lit(sample)
-    none = F.lit(None).cast("string")
-    return body.where(F.trim("v") != "").select(name.alias("sample"), F.lit(0).alias("ordinal"), F.monotonically_increasing_id().alias("record_no"), F.trim(head).alias("id"), rest.alias("seq"), none.alias("qual"), F.lit(FASTA).alias("format"))
+    """Records of a FASTA file, under a name of one's own."""
+    out = read_sequences(spark, path)
+    return out if sample is None else out.withColumn("sample", F.lit(sample))
 
 
 def formats(sequences: DataFrame) -> DataFrame:

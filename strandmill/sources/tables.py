@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..errors import SketchError
 from ..params import FILTER_PARAMS, MINMERS, SKETCH_PARAMS, SKETCHES, FilterParams, SketchParams, signed
 from . import formats
-from .sequences import put
+from .sequences import escaped, files_at, put
 
 _KMER = "struct<hash:bigint,kmer:string,count:bigint,extra_count:bigint,label:binary>"
 NESTED = f"name string, seq_length bigint, num_valid_kmers bigint, comment string, filter_params {FILTER_PARAMS}, sketch_params {SKETCH_PARAMS}, minmers array<{_KMER}>, ordinal int, place int"
@@ -27,8 +29,7 @@ def _decoded(order: dict[str, int], shape: pa.Schema):
     def run(batches):
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = next((i for p, i in order.items() if path.endswith(p)), 0)
-                rows = [dict(zip(shape.names, (*r, at, i), strict=True)) for i, r in enumerate(_named(x) for x in as_rows(formats.read_any(path, data)))]
+                rows = [dict(zip(shape.names, (*r, order[path], i), strict=True)) for i, r in enumerate(_named(x) for x in as_rows(formats.read_any(path, data)))]
                 yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
     return run
@@ -47,8 +48,12 @@ def read_sketches(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     for p in paths:
         if not formats.is_sketch(p):
             raise SketchError(f"{p} has no ending of a sketch file")
-    order = {p.split("://")[-1]: i for i, p in enumerate(paths)}
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(_decoded(order, to_arrow_schema(spark.createDataFrame([], NESTED).schema)), NESTED)
+    order: dict[str, int] = {}
+    for i, p in enumerate(paths):
+        for _, at in files_at(spark, p):
+            order.setdefault(at.toString(), i)
+    files = [escaped(f) for f in order]
+    return spark.read.format("binaryFile").load(files).select("path", "content").mapInArrow(_decoded(order, to_arrow_schema(spark.createDataFrame([], NESTED).schema)), NESTED)
 
 
 def split(nested: DataFrame, id_col: str = "sketch_id") -> tuple[DataFrame, DataFrame]:
@@ -80,6 +85,21 @@ def write_sketches(nested: DataFrame, path: str | None, ending: str | None = Non
     return put(formats.write_any("x" + ending, plain(nested)), path, ending)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, made once: written below spark.checkpoint.dir where that is set, kept by the executors (and made anew where one
+    is lost) where it isn't."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/strandmill/{uuid.uuid4().hex}"
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def save_tables(sketches: DataFrame, minmers: DataFrame, path: str) -> None:
     """Parquet, minmers by sketch: the form for many sketches."""
     sketches.write.parquet(f"{path}/sketches")

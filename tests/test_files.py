@@ -161,7 +161,7 @@ def test_cli_errors(spark, genomes, tmp_path, capsys):
         ["hist", genomes[0], "--err-filter", "50"], ["sketch", genomes[0], "-n", "100000", "-O"],
     ):
         assert cli.run(bad, spark) == 1, bad
-    assert "too few kmers" in capsys.readouterr().err
+    assert "100000 k-mers are asked for" in capsys.readouterr().err
     assert cli.run(["sketch", genomes[0], "-n", "100000", "-N", "-o", str(tmp_path / "x")], spark) == 0
     cli.run(["sketch", genomes[0], "-n", "50", "-o", str(tmp_path / "k21")], spark)
     assert cli.run(["dist", str(tmp_path / "k21.sk"), genomes[1], "-k", "20"], spark) == 1
@@ -176,7 +176,8 @@ def test_schemes_and_parameters(spark, genomes):
     a = api.sketch_files(spark, genomes[:1], SketchParams(ALL, kmer_length=4))[0]
     assert a.seq_length == 0 and a.sketch_params["hash_type"] == "None" and sum(a.counts) >= a.num_valid_kmers
     first = SketchParams(MASH, 300, 300, kmer_length=17, hash_seed=5)
-    assert api.inherit(SketchParams(), first) == SketchParams(MASH, 300, 300, False, 17, 5)
+    assert api.inherit(SketchParams(MASH, 200_000, 1000), first) == SketchParams(MASH, 200_000, 300, False, 17, 5)
+    assert api.inherit(SketchParams(MASH, 100, 100), first) == SketchParams(MASH, 300, 300, False, 17, 5)
     with pytest.raises(SketchError):
         api.inherit(SketchParams(SCALED, scale=0.1), first, ("scheme",))
 
@@ -251,3 +252,105 @@ def test_stdin(spark, monkeypatch):
     path = sequences.spooled(io.BytesIO(FASTA))
     monkeypatch.setattr(sequences, "spooled", lambda: path)
     assert {r["sample"] for r in sequences.read_sequences(spark, "-").collect()} == {"-"}
+
+
+def test_files_whose_paths_end_alike(spark, tmp_path, monkeypatch):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "a.fa").write_text(">1\nACGTACGT\n")
+    (tmp_path / "x" / "a.fa").write_text(">2\nGGGGCCCCA\n")
+    (tmp_path / "with space [1]*%20.fa").write_text(">3\nTTTTT\n")
+    monkeypatch.chdir(tmp_path)
+    paths = [f"file:{tmp_path}/a.fa", f"file:{tmp_path}/x/a.fa", str(tmp_path / "with space [1]*%20.fa")]
+    got = {r["sample"]: (r["ordinal"], r["seq"]) for r in sequences.read_sequences(spark, paths).collect()}
+    assert got == {paths[0]: (0, "ACGTACGT"), paths[1]: (1, "GGGGCCCCA"), paths[2]: (2, "TTTTT")}
+    for i, (p, n) in enumerate([("a.sk", 3), ("x/a.sk", 4)]):
+        (tmp_path / p).write_bytes(formats.write_json([s | {"name": f"{i}"} for s in some(n)]))
+    back = api.Collection.open(spark, [str(tmp_path / "x/a.sk"), str(tmp_path / "a.sk")])
+    assert back.names() == ["1"] * 4 + ["0"] * 3
+    with pytest.raises(SketchError):
+        sequences.read_sequences(spark, str(tmp_path / "none.fa"))
+
+
+def reads(rng, n):
+    out = []
+    for i in range(n):
+        seq = "".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 1, 30, 60])))
+        out.append((f"r{i}", seq, "".join(rng.choice("@@@+>I") for _ in seq)))
+    return out
+
+
+@pytest.mark.parametrize("size", [64, 777, 1 << 20])
+def test_files_are_split_between_records(spark, tmp_path, size):
+    rng = random.Random(size)
+    want = reads(rng, 600)
+    (tmp_path / "q.fastq").write_text("".join(f"@{i}\n{s}\n+{i}\n{q}\n" for i, s, q in want))
+    (tmp_path / "q.fa").write_text("\n\n" + "".join(f">{i} >x\n{s[:20]}\n{s[20:]}\n" for i, s, _ in want))
+    paths = [str(tmp_path / "q.fastq"), str(tmp_path / "q.fa")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = sequences.read_sequences(spark, paths)
+        got = df.orderBy("ordinal", "record_no").collect()
+        assert df.rdd.getNumPartitions() > 4 or size > 1000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r["id"], r["seq"]) for r in got] == [(i, s) for i, s, _ in want] + [(f"{i} >x", s) for i, s, _ in want]
+    assert all(r["qual"] in (q, None) for r, (_, _, q) in zip(got, want, strict=False))
+    if size > 1000:
+        assert [r["qual"] for r in got[:600]] == [q for _, _, q in want]
+
+
+@pytest.mark.parametrize("bad", [b"@r\nACGT\n+\nII\n", b"@r\nACGT\n", b"@r\nACGT\n+\n", b"@r\nAC\nGT\n+\nIIII\n"])
+def test_malformed_reads(spark, tmp_path, bad):
+    (tmp_path / "b.fq").write_bytes(FASTQ + bad)
+    with pytest.raises(Exception, match="malformed"):
+        sequences.read_sequences(spark, str(tmp_path / "b.fq")).collect()
+
+
+def test_whole_files_of_other_kinds(spark, tmp_path):
+    import lzma
+
+    (tmp_path / "a.fa.xz").write_bytes(lzma.compress(FASTA))
+    (tmp_path / "b.fq").write_bytes(gzip.compress(FASTQ))  # compressed under a plain name
+    got = sequences.read_sequences(spark, [str(tmp_path / "a.fa.xz"), str(tmp_path / "b.fq")]).orderBy("ordinal", "record_no").collect()
+    assert [r["seq"] for r in got] == ["ACGTACGTNN", "acgt", "ACGTACGT", "GGGG"]
+    for data in (b"", b"\n \n", b"ACGT\n"):
+        (tmp_path / "e.fa").write_bytes(data)
+        with pytest.raises(SketchError):
+            sequences.read_sequences(spark, str(tmp_path / "e.fa"))
+
+
+def test_one_pass_has_all_facts(spark, genomes, tmp_path):
+    rng = random.Random(5)
+    (tmp_path / "r.fastq").write_text("".join(f"@{i}\n{s}\n+\n{q}\n" for i, s, q in reads(rng, 200)))
+    paths = [*genomes, str(tmp_path / "r.fastq")]
+    for params in (SketchParams(MASH, 50, 50, True), SketchParams(SCALED, 10, scale=0.05)):
+        c = api.sketch_files(spark, paths, params, FilterParams(False))
+        from strandmill.operators import sketching
+
+        want = {r["sample"]: (r["seq_length"], r["num_valid_kmers"]) for r in sketching.totals(sequences.read_sequences(spark, paths), params).collect()}
+        assert c.names() == paths and {s.name: (s.seq_length, s.num_valid_kmers) for s in c} == want
+
+
+def test_merging_keeps_the_scale(spark, genomes):
+    a, b = api.sketch_files(spark, genomes[:2], SketchParams(SCALED, 3, scale=0.01))
+    limit = a.params.limit
+    assert any(h > limit for h, *_ in api.sketch_files(spark, genomes[:1], SketchParams(SCALED, 100, scale=0.01))[0].hashes)
+    wide, other = api.sketch_files(spark, genomes[:2], SketchParams(SCALED, 100, scale=0.01))
+    assert all(h <= limit for h, *_ in wide.merge(other).hashes)
+    two = wide.merge(other, size=2)
+    assert len(two) >= 2 and [h for h, *_ in two.hashes] == [h for i, (h, *_) in enumerate(wide.merge(other, scale=1.0).hashes) if i < 2 or h <= limit]
+
+
+def test_near_pairs_are_all_pairs_below_one(spark, genomes):
+    c = api.sketch_files(spark, genomes, SketchParams(MASH, 100))
+    far = api.Collection.of(spark, [formats.sketch("far", [(1, "A" * 21, 1, 0, None)], SketchParams(MASH, 100, 100, True))])
+    empty = api.Collection.of(spark, [formats.sketch("empty", [], SketchParams(MASH, 100, 100, True))])
+    for both in (c.add(far), c.add(far).add(empty)):
+        for old in (False, True):
+            every = both.distances(pairwise=True, old=old).where("mashDistance <= 0.9").collect()
+            near = both.distances(pairwise=True, old=old, max_dist=0.9)
+            assert sorted(map(str, every)) == sorted(map(str, near.collect()))
+    plan = c.distances(pairwise=True, max_dist=0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
