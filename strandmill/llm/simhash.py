@@ -16,12 +16,13 @@ minimum labels and pointer jumping, each round written to the shared folder.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._work import LOWER, UPPER, durable, text_of
@@ -78,25 +79,6 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64))
 
 
-#: Words of 64 bits of a wide fingerprint.
-WIDE = 7
-
-
-def wide_fingerprint(text: str, shingle: int) -> list[int]:
-    """WIDE unsigned words: the fingerprints of the different shingles under as many hashes, mixed from one."""
-    h = shingle_set(text, shingle)
-    if not len(h):
-        return [0] * WIDE
-    places = np.arange(WIDE * 8, dtype=np.int64) * 256
-    ones = np.zeros((WIDE * 8, 8), dtype=np.int64)
-    for at in range(0, len(h), 1 << 16):  # the whole text, in steps of bounded memory
-        part = h[at : at + (1 << 16)]
-        many = np.stack([mix(part + np.uint64(i)) for i in range(WIDE)], axis=1).astype("<u8")
-        octets = many.view(np.uint8).reshape(len(part), -1)
-        ones += np.bincount((octets + places).ravel(), minlength=WIDE * 8 * 256).reshape(-1, 256) @ _BITS
-    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").ravel().view("<u8").tolist()
-
-
 #: A text has BANDS points, each of them the hash of ROWS minima; points with more than CROWD nodes go the second way.
 BANDS, ROWS = 30, 5
 CROWD = 32
@@ -116,19 +98,55 @@ def bands(h: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(raw[4 * ROWS * i : 4 * ROWS * (i + 1)], i) for i in range(BANDS)], dtype=np.uint64).view(np.int64)
 
 
+def _points(shingle: int):
+    """Of each text: a key of its set, and its points."""
+
+    def run(batches):
+        for b in batches:
+            keys, points = [], []
+            for t in b.column(1).to_pylist():
+                h = shingle_set(t, shingle)
+                keys.append(xxhash.xxh128_digest(h.tobytes()))
+                points.append(bands(h))
+            pair = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
+            yield pa.record_batch([b.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), _lists(points)], names=["id", "k1", "k2", "points"])
+
+    return run
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.zeros(0, np.int64), *[v.view(np.int64) for v in arrays]])
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)], dtype=np.int32), pa.array(flat))
+
+
+#: 64-bit words of a set's parities: bit i tells whether an odd number of its hashes fall on i.
+WORDS = 8
+_SETS = "id long, n int, bits array<long>, shingles array<long>"
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    odd = np.bincount((h & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _sets(shingle: int):
     def run(batches):
         for b in batches:
             sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            keys = np.array([xxhash.xxh128_intdigest(h.tobytes()).to_bytes(16, "little") for h in sets], dtype="S16")
-            keys = np.frombuffer(keys.tobytes(), dtype="<i8").reshape(-1, 2)
-            points = [bands(h) for h in sets]
-            longs = lambda x: pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)], dtype=np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *[v.view(np.int64) for v in x]])))
-            yield pa.record_batch([b.column(0), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), longs(sets), longs(points)], names=["id", "k1", "k2", "shingles", "points"])
+            yield pa.record_batch([b.column(0), pa.array([len(h) for h in sets], pa.int32()), _lists([parities(h) for h in sets]), _lists(sets)], names=["id", "n", "bits", "shingles"])
 
     return run
 
 
+def may_agree(n, bits, m, other, similarity: float) -> Column:
+    """Whether two sets, by their sizes and parities, may have that Jaccard similarity. Bits that differ need a shingle
+    each that is in one set only, and similar sets have few of these, so no pair that has it is turned away."""
+    apart = sum((F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other)[i])) for i in range(WORDS)), F.lit(0))
+    n, m = F.col(n), F.col(m)
+    sizes = F.least(n, m) >= F.greatest(n, m) * F.lit(similarity - 1e-9)
+    return sizes & (apart <= (n + m) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
 def meetings(met: DataFrame, hot: DataFrame, crowd: int) -> DataFrame:
     """a < b, distinct: all pairs of nodes at the points that aren't hot, and at a hot point one of its nodes with all others.
 
@@ -141,31 +159,76 @@ def meetings(met: DataFrame, hot: DataFrame, crowd: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets (id, shingles) have at least that Jaccard similarity, counted over the whole sets."""
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_b"))
+    """The pairs (a, b) whose sets (id, n, bits, shingles) have at least that Jaccard similarity, counted over the whole sets
+    of the pairs that their sizes and parities leave."""
+    k = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"_n{x}"), F.col("bits").alias(f"_bits{x}"))
+    left = pairs.repartition(k, "a").join(slim("a"), "a").join(slim("b"), "b").where(may_agree("_na", "_bitsa", "_nb", "_bitsb", similarity)).select("a", "b").distinct()
+    left = durable(left, "wide-left")
+    whole = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"_{x}"))
     both, total = F.size(F.array_intersect("_a", "_b")), F.size("_a") + F.size("_b")
-    fit = F.least(F.size("_a"), F.size("_b")) >= F.greatest(F.size("_a"), F.size("_b")) * (similarity - 1e-9)
-    return pairs.repartition(n, "a").join(left, "a").join(right, "b").where(fit).where(both / (total - both) >= similarity).select("a", "b").distinct()
+    return left.join(whole("a"), "a").join(whole("b"), "b").where(both / (total - both) >= similarity).select("a", "b").distinct()
+
+
+#: Counters of how often shingles occur; a shingle's is told by its hash.
+COUNTERS = 1 << 18
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each counter occur in the sets: COUNTERS numbers, whatever the input."""
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy().view(np.uint64) % np.uint64(COUNTERS), minlength=COUNTERS)
+        at = np.nonzero(total)[0]
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+
+    rows = sets.select("shingles").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def _firsts(often: np.ndarray, similarity: float):
+    """The shingles of each set (id, root, n, bits, shingles) that come first in the order of their counters, then of their
+    hashes, with their places from 1; those that occur once only meet nothing and are left out."""
+    both = 2 * similarity / (1 + similarity)
+
+    def run(batches):
+        for b in batches:
+            row, token, rank, small = [], [], [], []
+            for i, x in enumerate(b.column(4)):
+                h = x.values.to_numpy().view(np.uint64)
+                f = often[(h % np.uint64(COUNTERS)).astype(np.int64)]
+                order = np.lexsort((h, f))[: len(h) - math.ceil(len(h) * similarity - 1e-6) + 1]
+                at = np.nonzero(f[order] > 1)[0]
+                row.append(np.full(len(at), i))
+                token.append(h[order[at]].view(np.int64))
+                rank.append(at + 1)
+                small.append(at + 1 <= len(h) - math.ceil(len(h) * both - 1e-6) + 1)
+            if row:
+                cols = b.take(pa.array(np.concatenate(row))).columns[:4]
+                more = [pa.array(np.concatenate(token)), pa.array(np.concatenate(rank).astype(np.int32)), pa.array(np.concatenate(small))]
+                yield pa.record_batch([*cols, *more], names=["id", "root", "n", "bits", "token", "rank", "small"])
+
+    return run
 
 
 def crowded(found: DataFrame, similarity: float) -> DataFrame:
-    """a < b, distinct: every pair of documents of different roots whose sets (id, root, k1, k2, shingles) may have that
+    """a < b, distinct: every pair of documents of different roots whose sets (id, root, n, bits, shingles) may have that
     similarity or more; none of those that have it is left out.
 
-    Shingles are ordered from the rarest on. Two sets that are similar enough share a shingle among the first of both, as
-    many as the smaller or the larger one may miss and one more."""
-    tokens = durable(found.select("id", "root", "k1", "k2", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "wide-tokens")
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1)
-    of = Window.partitionBy("id", "k1", "k2")
-    # shingles of one set only come first in the order and meet nothing
-    shared = tokens.join(often, "token").withColumn("rank", F.col("n") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("often", "token")))
-    first = lambda share: F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-6) + 1
-    keep = durable(shared.where(F.col("rank") <= first(similarity)).withColumn("small", F.col("rank") <= first(2 * similarity / (1 + similarity))).select("id", "root", "n", "token", "small"), "wide-first")
-    small = keep.where("small").select("token", F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("n").alias("_n"))
-    near = (F.col("_n") <= F.col("n")) & (F.col("_n") >= F.col("n") * (similarity - 1e-9)) & (F.col("root") != F.col("_root"))
-    return keep.join(small, "token").where(near).select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
+    Shingles are ordered, the rare ones first. Two sets that are similar enough share a shingle among the first of both, as
+    many as the smaller or the larger one may miss and one more; and where the first shingle they share stands at the i-th
+    and j-th place of sets of n and m, they share at most 1 + min(n - i, m - j), which must be enough."""
+    rows = found.select("id", "root", "n", "bits", "shingles")
+    keep = durable(rows.mapInArrow(_firsts(_frequencies(found), similarity), "id long, root long, n int, bits array<long>, token long, rank int, small boolean"), "wide-first")
+    small = keep.where("small").select("token", F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("n").alias("_n"), F.col("bits").alias("_bits"), F.col("rank").alias("_rank"))
+    near = (F.col("_n") <= F.col("n")) & (F.col("root") != F.col("_root")) & may_agree("n", "bits", "_n", "_bits", similarity)
+    both = 2 * similarity / (1 + similarity)  # of the mean size of two similar sets, this share is in both
+    enough = 1 + F.least(F.col("n") - F.col("rank"), F.col("_n") - F.col("_rank")) >= (F.col("n") + F.col("_n")) * F.lit(both / 2) - 1e-6
+    return keep.join(small, "token").where(near & enough).select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
@@ -176,7 +239,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     Nulls and wordless texts have the empty set. Rows with a null id take no part; rows that share an id are one document,
     which links with all that any of them links with. Other columns are ignored; an empty table gives no rows."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(F.col(text_col)).alias("text"))
-    rows = durable(texts.mapInArrow(_sets(shingle), "id long, k1 long, k2 long, shingles array<long>, points array<long>"), "wide")
+    rows = durable(texts.mapInArrow(_points(shingle), "id long, k1 long, k2 long, points array<long>"), "wide")
     key = ["k1", "k2"]
     # equal sets are one node, named by the smallest id, and go back by salt
     salted = rows.select("id", *key, F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
@@ -188,11 +251,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     several = same.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where(F.col("a") < F.col("last")).select("id", "a")
     shared = same.join(several, "id").where(F.col("a") < F.col("node")).select("a", F.col("node").alias("b")).distinct()
     named = rows.select("id", *key, "points").join(nodes.withColumnRenamed("node", "id"), ["id", *key], "left_semi")
-    met = durable(named.select(F.col("id").alias("node"), F.explode("points").alias("point")).distinct(), "wide-met")
+    every = named.select(F.col("id").alias("node"), F.explode("points").alias("point"))
+    # points of one node have nothing to say
+    met = durable(every.join(every.groupBy("point").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("point"), "point").select("node", "point").distinct(), "wide-met")
     turn = F.xxhash64(F.col("point").bitwiseAND(F.lit(3)))
     sizes = met.groupBy("point").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("node").bitwiseXOR(turn)).alias("least"))
     hot = durable(sizes.where(F.col("n") > crowd).select("point", F.col("least").bitwiseXOR(turn).alias("first")), "wide-hot")
-    links = durable(verified(durable(meetings(met, hot, crowd), "wide-pairs"), rows, similarity).unionAll(shared), "wide-links")
+    pairs = durable(meetings(met, hot, crowd), "wide-pairs")
+    # the whole sets only of nodes that meet others
+    sets = durable(texts.join(met.select(F.col("node").alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets(shingle), _SETS).distinct(), "wide-sets")
+    links = durable(verified(pairs, sets, similarity).unionAll(shared), "wide-links")
     labels = components(links, "wide")
     # hot points whose nodes aren't all in one component: their nodes go the second way
     at = met.join(hot.select("point"), "point").join(labels, "node", "left").select("point", "node", F.coalesce("root", "node").alias("root"))
@@ -200,7 +268,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     open_ = at.groupBy("point").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") < F.col("high")).select("point")
     left = durable(at.join(open_, "point").select(F.col("node").alias("id"), "root").distinct(), "wide-open")
     if not left.isEmpty():
-        some = durable(rows.join(left, "id").select("id", "root", *key, "shingles").dropDuplicates(["id", *key]), "wide-some")
+        some = durable(sets.join(left, "id").select("id", "root", "n", "bits", "shingles"), "wide-some")
         more = durable(verified(durable(crowded(some, similarity), "wide-more"), some, similarity), "wide-extra")
         labels = components(links.unionAll(more), "wide-all")
     return same.join(labels, "node", "left").select(F.col("id").alias(id_col), F.coalesce("root", "node").alias("component_id"))

@@ -211,18 +211,6 @@ def check_similar(rows, got, far=0.6, near=0.85):
         assert c <= i and got[c] == c and top(i) == top(c)
 
 
-def test_wide_fingerprints():
-    rng = random.Random(9)
-    words = [f"w{i}" for i in range(300)]
-    for n in (0, 1, 4, 5, 6, 40, 700):
-        text = " ".join(rng.choice(words) for _ in range(n))
-        wide = simhash.wide_fingerprint(text.upper(), 5)
-        h = [xxhash.xxh64_intdigest(" ".join(text.split()[i : i + 5]).encode(), 42) for i in range(max(1, n - 4))] if n else []
-        for k in range(simhash.WIDE):
-            mixed = [int(x) for x in simhash.mix(np.array(sorted(set(h)), dtype=np.uint64) + np.uint64(k))]
-            assert wide[k] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed))
-
-
 def test_similar_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
