@@ -1,88 +1,187 @@
 """A combined deterministic automaton for secret rules.
 
-A rule is a sequence of byte classes, each taken once, optionally, or repeatedly, with
-alternatives of words. Every rule becomes an NFA; subset construction over all rules at once
-gives one deterministic automaton, partition refinement minimises it, and its transition
-arrays are Python lists that point at each other, so that the scan is one list access a
-byte. A state holds, for each rule, the NFA positions in order of their starts (a later start
-yields to an earlier one that matches), which makes the matches leftmost and longest. The
-automaton reports where a match ends; the start comes from a reversed automaton of that
-rule, run backwards over the match alone.
-
-The form of a rule never needs a second look: once it matches, each further byte either
-extends the match or ends it. Of two openings the one that matches first wins.
+A rule is a regular expression over bytes: classes, groups, alternatives and repeats, counted
+ones too. Each is parsed and becomes its position automaton; subset construction over all rules
+at once gives one deterministic automaton, partition refinement minimises it, and its transition
+arrays are Python lists that point at each other, so that the scan is one list access a byte. A
+state holds, for each rule, the positions in order of their starts (a later start yields to an
+earlier one that matches), which makes the matches leftmost and longest. The automaton reports
+where a match ends; the start comes from a reversed automaton of that rule, run backwards over
+the match alone.
+
+The form of a rule never needs a second look: once it matches, each further byte either extends
+the match or ends it; parse() checks nothing of the kind, so rules are to be written that way.
+Of two openings the one that matches first wins.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 #: Not a byte of any UTF-8 text: ends all matches at the end of a text.
 END = 0xFF
-
-ONE, OPTIONAL, STAR, PLUS = "1", "?", "*", "+"
-
-
-def chars(text: str, either_case: bool = False) -> frozenset[int]:
-    """Byte class: the characters of text, with ranges like a-z."""
-    out, i = set(), 0
-    while i < len(text):
-        if i + 2 < len(text) and text[i + 1] == "-":
-            out.update(range(ord(text[i]), ord(text[i + 2]) + 1))
-            i += 3
-        else:
-            out.add(ord(text[i]))
-            i += 1
-    return frozenset(out | {ord(c) for b in out for c in (chr(b).lower() + chr(b).upper())} if either_case else out)
-
-
-def word(text: str, either_case: bool = False) -> list[tuple[frozenset[int], str]]:
-    return [(chars(c, either_case), ONE) for c in text]
+_COUNT = re.compile(r"\{(\d+)(,?)(\d*)\}")
+
+
+def _cased(found: frozenset[int]) -> frozenset[int]:
+    return found | {ord(c) for b in found if b < 128 for c in chr(b).lower() + chr(b).upper()}
+
+
+class _Parser:
+    """Of a regular expression over ASCII: a node is ("set", bytes), ("cat", nodes), ("alt", nodes) or ("rep", node, least,
+    most or None)."""
+
+    def __init__(self, text: str, either_case: bool):
+        self.text, self.at, self.either = text, 0, either_case
+
+    def parse(self):
+        node = self._alternatives()
+        if self.at < len(self.text):
+            raise ValueError(f"a stray {self.text[self.at]} in {self.text}")
+        return node
+
+    def _next(self) -> str:
+        return self.text[self.at : self.at + 1]
+
+    def _alternatives(self):
+        nodes = [self._sequence()]
+        while self._next() == "|":
+            self.at += 1
+            nodes.append(self._sequence())
+        return nodes[0] if len(nodes) == 1 else ("alt", nodes)
+
+    def _sequence(self):
+        nodes = []
+        while self._next() not in ("", "|", ")"):
+            nodes.append(self._repeated(self._one()))
+        return ("cat", nodes)
+
+    def _repeated(self, node):
+        while True:
+            c = self._next()
+            if c and c in "?*+":
+                self.at += 1
+                node = ("rep", node, int(c == "+"), 1 if c == "?" else None)
+            elif m := _COUNT.match(self.text, self.at):
+                self.at = m.end()
+                node = ("rep", node, int(m[1]), int(m[3]) if m[3] else None if m[2] else int(m[1]))
+            else:
+                return node
+
+    def _one(self):
+        c = self._next()
+        if c == "(":
+            self.at += 3 if self.text.startswith("(?:", self.at) else 1
+            node = self._alternatives()
+            if self._next() != ")":
+                raise ValueError(f"an open group in {self.text}")
+            self.at += 1
+            return node
+        if c == "[":
+            return ("set", self._class())
+        if c in "?*+{":
+            raise ValueError(f"nothing to repeat in {self.text}")
+        return ("set", self._case(frozenset([self._char()])))
+
+    def _case(self, found: frozenset[int]) -> frozenset[int]:
+        return _cased(found) if self.either else found
+
+    def _char(self) -> int:
+        c = self._next()
+        self.at += 1
+        if c != "\\":
+            return ord(c)
+        c = self._next()
+        self.at += 1
+        if c == "x":
+            self.at += 2
+            return int(self.text[self.at - 2 : self.at], 16)
+        if c.isalnum():
+            raise ValueError(f"\\{c} isn't known")
+        return ord(c)
+
+    def _class(self) -> frozenset[int]:
+        self.at += 1
+        none = self._next() == "^"
+        self.at += none
+        found: set[int] = set()
+        while self._next() != "]":
+            if not self._next():
+                raise ValueError(f"an open class in {self.text}")
+            low = self._char()
+            high = low
+            if self._next() == "-" and self.text[self.at + 1 : self.at + 2] != "]":
+                self.at += 1
+                high = self._char()
+            found.update(range(low, high + 1))
+        self.at += 1
+        whole = self._case(frozenset(found))
+        return frozenset(range(END)) - whole if none else whole
+
+
+def parse(text: str, either_case: bool = False):
+    return _Parser(text, either_case).parse()
 
 
 @dataclass(frozen=True)
 class Rule:
-    """heads: alternative openings; tail: what follows any of them; both of (class, count). A match of fewer than
-    min_length bytes, or with fewer than min_last in the last part of the tail, is dropped once found. Lengths that
-    are checked afterwards need no counting states, whose product over the rules would be large."""
+    """pattern: a regular expression; either_case: its letters stand for both cases. A match of fewer than min_length bytes,
+    or with fewer than min_last in the last item of the pattern, is dropped once found. Lengths that are checked afterwards
+    need no counting states, whose product over the rules would be large. until: where a match really ends, from the text
+    and the end that the automaton gives."""
 
     kind: str
-    heads: tuple
-    tail: tuple
+    pattern: str
+    either_case: bool = False
     min_last: int = 0
     min_length: int = 0
-
-
-def rule(kind: str, heads: list, tail: list, min_last: int = 0, min_length: int = 0) -> Rule:
-    return Rule(kind, tuple(map(tuple, heads)), tuple(tail), min_last, min_length)
-
-
-def times(part: tuple[frozenset[int], str], least: int) -> list:
-    """The class at least so often."""
-    return [(part[0], ONE)] * (least - 1) + [(part[0], PLUS)]
+    until: Callable[[bytes, int], int] | None = None
 
 
 class Nfa:
-    """Positions of one rule: 0 is the start; edges[p] lists (class, next); done holds the accepting ones."""
+    """Position automaton: 0 is the start; edges[p] lists (class, next); done holds the accepting ones."""
 
-    def __init__(self, heads, tail):
+    def __init__(self, node):
         self.edges: list[list] = [[]]
-        self.done: set[int] = set()
-        chains = [self._chain([0], h) for h in heads]
-        ends = [p for c in chains for p in c]
-        self.done.update(self._chain(sorted(set(ends)), tail))
-
-    def _chain(self, at: list[int], parts) -> list[int]:
-        """Positions after parts that begin at any of at."""
-        for cls, count in parts:
-            new = len(self.edges)
+        self._sets: list = [None]
+        empty, first, last = self._build(node)
+        self._connect([0], first)
+        self.done: set[int] = set(last) | ({0} if empty else set())
+
+    def _connect(self, at, to) -> None:
+        for p in at:
+            have = {q for _, q in self.edges[p]}
+            self.edges[p] += [(self._sets[q], q) for q in to if q not in have]
+
+    def _build(self, node) -> tuple[bool, list[int], list[int]]:
+        """(whether it matches nothing, positions that it may begin with, that it may end with)."""
+        kind = node[0]
+        if kind == "set":
             self.edges.append([])
-            for p in at:
-                self.edges[p].append((cls, new))
-            if count in (STAR, PLUS):
-                self.edges[new].append((cls, new))
-            at = [*at, new] if count in (OPTIONAL, STAR) else [new]
-        return at
+            self._sets.append(node[1])
+            p = len(self.edges) - 1
+            return False, [p], [p]
+        if kind == "alt":
+            parts = [self._build(n) for n in node[1]]
+            return any(e for e, _, _ in parts), [p for _, f, _ in parts for p in f], [p for _, _, x in parts for p in x]
+        if kind == "cat":
+            return self._chain([self._build(n) for n in node[1]])
+        _, inner, least, most = node
+        parts = [self._build(inner) for _ in range(max(1, least) if most is None else most)]
+        if most is None:
+            self._connect(parts[-1][2], parts[-1][1])
+        parts = [(e or i >= least, f, x) for i, (e, f, x) in enumerate(parts)]
+        return self._chain(parts)
+
+    def _chain(self, parts) -> tuple[bool, list[int], list[int]]:
+        empty, first, last = True, [], []
+        for e, f, x in parts:
+            self._connect(last, f)
+            first, last = first + f if empty else first, last + x if e else x
+            empty = empty and e
+        return empty, first, last
 
     def step(self, positions, byte: int) -> list[int]:
         out: dict[int, None] = {}
@@ -156,7 +255,8 @@ class Automaton:
 
     def __init__(self, rules: list[Rule]):
         self.rules = list(rules)
-        nfas = [Nfa(r.heads, r.tail) for r in rules]
+        trees = [parse(r.pattern, r.either_case) for r in rules]
+        nfas = [Nfa(t) for t in trees]
         of, sample = _classes(nfas)
         start = tuple(() for _ in nfas)
         index, todo, nxt = {start: 0}, [start], []
@@ -185,7 +285,7 @@ class Automaton:
             x.rules, x.scan = tuple(i for i in range(len(rules)) if e >> i & 1), self
         self._start = rows[block[0]]
         self._reverse = [self._reversed(n) for n in nfas]
-        self._heads = [Nfa(r.heads, r.tail[:-1]) for r in rules]
+        self._heads = [Nfa(("cat", t[1][:-1])) if t[0] == "cat" else None for t in trees]
         self.ends: list = []
         self.left, self.size = iter(b""), 0
 
@@ -231,9 +331,14 @@ class Automaton:
         for byte in left:
             state = state[byte]
         out, last = [], [0] * len(self.rules)
-        for end, which in self.ends:
+        for stop, which in self.ends:
             for i in which:
+                end = stop
+                if end <= last[i]:  # within what a match of the rule took after its end
+                    continue
                 begin = self._begin(i, data, last[i], end)
+                if self.rules[i].until is not None:
+                    end = self.rules[i].until(data, end)
                 last[i] = end
                 least = self.rules[i].min_last
                 if end - begin >= self.rules[i].min_length and (not least or end - self._last_part(i, data, begin, end) >= least):

@@ -3,31 +3,36 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._work import text_of
-from .automaton import ONE, OPTIONAL, PLUS, STAR, Automaton, chars, rule, times, word
+from .automaton import Automaton, Rule
+
+_CLOSES = re.compile(rb"-----(END [A-Z ]*PRIVATE KEY-----|BEGIN )")
+_BODY = re.compile(rb"(?:[\r\n]+[A-Za-z0-9+/=]+)*")
+
+
+def _key_block(data: bytes, end: int) -> int:
+    """The end of a private key whose opening line ends at end: after its closing line, or, where none comes before another
+    opening, after the lines of base64 that follow."""
+    m = _CLOSES.search(data, end)
+    return m.end() if m and m[1] != b"BEGIN " else _BODY.match(data, end).end()
 
-_QUOTE = (chars("\"'"), OPTIONAL)
-_SPACE = (chars(" "), STAR)
-_ALNUM = "A-Za-z0-9"
 
 #: In this order within one start. The first three are the base kinds.
 RULES = [
-    rule(
-        "assign",
-        [word("password", True), word("passwd", True), word("secret", True), word("token", True), [*word("api", True), (chars("_"), OPTIONAL), *word("key", True)]],
-        [_QUOTE, _SPACE, (chars(":="), ONE), _SPACE, _QUOTE, (chars("A-Za-z0-9+/_.=") | {ord("-")}, PLUS)],
-        min_last=6,
-    ),
-    rule("access", [word("AKIA")], [(chars("A-Z0-9"), PLUS)], min_length=20),
-    rule("hex", [[]], times((chars("0-9a-f"), PLUS), 24)),
-    rule("github", [[*word("gh"), (chars("pousr"), ONE), *word("_")]], [(chars(_ALNUM), PLUS)], min_length=40),
-    rule("slack", [[*word("xox"), (chars("abprs"), ONE), *word("-")]], [(chars(_ALNUM) | {ord("-")}, PLUS)], min_length=15),
-    rule("pem", [word("-----BEGIN ")], [(chars("A-Z "), STAR), *word("PRIVATE KEY-----")]),
+    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", either_case=True, min_last=6),
+    Rule("access", "AKIA[A-Z0-9]+", min_length=20),
+    Rule("hex", "[0-9a-f]{8,}", min_length=24),  # 24 counted places would multiply with the states of all other rules
+    Rule("github", "gh[pousr]_[A-Za-z0-9]+", min_length=40),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", min_length=15),
+    Rule("google", "AIza[A-Za-z0-9_-]+", min_length=39),
+    Rule("stripe", "[sr]k_(live|test)_[A-Za-z0-9]+", min_length=24),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", until=_key_block),
 ]
 BASE = 3
 KINDS = [r.kind for r in RULES]

@@ -2,13 +2,17 @@ import hashlib
 import random
 import re
 
-from strandmill.llm import secrets
+import pytest
+
+from strandmill.llm import automaton, secrets
 
 from .conftest import TEXTS
 
 LETTERS = {k: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token")}
 ASSIGN = re.compile(rf"""(?:{'|'.join(LETTERS.values())}|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
-OTHERS = [(3, r"gh[pousr]_[A-Za-z0-9]+", 40), (4, r"xox[abprs]-[A-Za-z0-9-]+", 15), (5, r"-----BEGIN [A-Z ]*?PRIVATE KEY-----", 1)]
+OTHERS = [(3, r"gh[pousr]_[A-Za-z0-9]+", 40), (4, r"xox[abprs]-[A-Za-z0-9-]+", 15), (5, r"AIza[A-Za-z0-9_-]+", 39), (6, r"[sr]k_(?:live|test)_[A-Za-z0-9]+", 24)]
+_CLOSED = r"(?:(?!-----BEGIN |-----END [A-Z ]*PRIVATE KEY-----).)*-----END [A-Z ]*PRIVATE KEY-----"
+OTHERS.append((7, rf"(?s)-----BEGIN [A-Z ]*?PRIVATE KEY-----(?:{_CLOSED}|(?:[\r\n]+[A-Za-z0-9+/=]+)*)", 1))
 
 
 def brute(t, all_kinds=True):
@@ -21,8 +25,8 @@ def brute(t, all_kinds=True):
 def test_random_texts():
     rng = random.Random(1)
     parts = ["token", "TOKEN", "secret", "api_key", "apikey", "passwd", "password", "=", ":", " ", '"', "'", "AKIA", "ABCD1234EFGH5678", "a", "f0", "deadbeef", "é", "日", "\n"]
-    parts += ["tok", "sec", "pass", "=", "abcdef", "1234567890abcdef12345678", "ghp_", "xoxb-", "A1b2C3d4E5f6G7h8I9j0" * 2, "-----BEGIN ", "RSA ", "PRIVATE KEY-----"]
-    for _ in range(8000):
+    parts += ["tok", "sec", "pass", "=", "abcdef", "1234567890abcdef12345678", "ghp_", "xoxb-", "A1b2C3d4E5f6G7h8I9j0" * 2, "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-----END ", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "\nMIIe+/=", "-", "AIza", "sk_live_", "rk_test_"]
+    for _ in range(12000):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 20)))
         assert secrets.spans(t) == brute(t), t
 
@@ -53,6 +57,42 @@ def test_redaction(spark, edge):
     assert got.where("doc_id = 4 and text is null").count() == 1
 
 
+def test_private_keys_go_with_their_bodies():
+    body = "\n".join("MIIEpAIBAAKCAQEA" * 4 for _ in range(20))
+    for kind in ("", "RSA ", "EC ", "ENCRYPTED "):
+        closed = f"-----BEGIN {kind}PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END {kind}PRIVATE KEY-----"
+        cut = f"-----BEGIN {kind}PRIVATE KEY-----\r\n{body}"
+        text = f"first {closed}\nthen {cut}\nand some words {closed} last"
+        assert secrets.redact(text, secrets.spans(text)) == "first [pem]\nthen [pem] some words [pem] last"
+
+
+def random_pattern(rng, depth=2):
+    parts = []
+    for _ in range(rng.randint(1, 3)):
+        one = rng.choice(["a", "b", "[ab]", "[^ab]", "[b-d]", r"\x61", r"\.", "c"])
+        if depth and rng.random() < 0.4:
+            one = f"({random_pattern(rng, depth - 1)}|{random_pattern(rng, depth - 1)})" if rng.random() < 0.5 else f"(?:{random_pattern(rng, depth - 1)})"
+        parts.append(one + rng.choice(["", "", "?", "*", "+", "{2}", "{1,2}", "{2,}"]))
+    return "".join(parts)
+
+
+def test_position_automata_agree_with_regular_expressions():
+    rng = random.Random(8)
+    for _ in range(400):
+        pattern = random_pattern(rng)
+        nfa = automaton.Nfa(automaton.parse(pattern))
+        for _ in range(30):
+            t = "".join(rng.choice("abcd.") for _ in range(rng.randint(0, 8)))
+            at = [0]
+            for b in t.encode():
+                at = nfa.step(at, b)
+            assert bool(set(at) & nfa.done) == bool(re.fullmatch(pattern, t)), (pattern, t)
+    for bad in ("(a", "a)", "[a", "*a", "a|*", r"\d"):
+        with pytest.raises(ValueError):
+            automaton.parse(bad)
+    assert automaton.parse("aB", True) == ("cat", [("set", frozenset(b"aA")), ("set", frozenset(b"bB"))])
+
+
 def test_automaton_is_small():
     a = secrets.automaton()
     assert a.states <= a.raw_states < 2000
