@@ -126,10 +126,10 @@ def keep_bitmaps(docs: DataFrame, **kw) -> DataFrame:
     return per.mapInArrow(_pack_batches, "doc long, row long, bitmap binary")
 
 
-def _apply(digest: bool, names: list[str]):
+def _apply(digest: bool):
     def run(batches):
         for b in batches:
-            texts, maps = b.column("_text").to_pylist(), b.column("_bitmap").to_pylist()
+            texts, maps = b.column("text").to_pylist(), b.column("bitmap").to_pylist()
             kept, total, gone = [], [], []
             for t, m in zip(texts, maps, strict=True):
                 parts = t.split("\n")
@@ -142,24 +142,24 @@ def _apply(digest: bool, names: list[str]):
                 kept.append("\n".join(x for x, k in zip(parts, bits.tolist(), strict=True) if k))
                 gone.append(len(parts) - int(bits.sum()))
             kept = [hashlib.sha256(x.encode()).hexdigest() for x in kept] if digest else kept
-            cols = [b.column(n) for n in names]
-            yield pa.record_batch([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*names, "_n_lines", "_n_dropped", "_kept"])
+            yield pa.record_batch([b.column("keep"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["keep", "n_lines", "n_dropped", "kept"])
 
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, keep: list[str] | None = None, **kw) -> DataFrame:
-    """The columns in keep (id only, by default), _n_lines, _n_dropped and _kept: the text that stays, or its SHA-256 if digest.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, keep: list[str] | None = None, names: tuple[str, str, str] = ("_n_lines", "_n_dropped", "_kept"), **kw) -> DataFrame:
+    """The columns in keep (id only, by default) and, under names, the lines of each text, how many go, and the text that
+    stays, or its SHA-256 if digest.
 
     A null or empty text is one empty line. Rows with a null id lose nothing and count in no
     key. Rows that share an id are one document when keys are counted, and each loses its own
     lines. Keys found in min_docs documents stay in the largest id only. An empty table gives
-    no rows; further columns may have any name that does not begin with an underscore.
+    no rows; columns may have any names but, those in keep, names.
     """
     keep = keep or [id_col]
-    maps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, **kw)
-    maps = maps.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("bitmap").alias("_bitmap"))
-    src = docs.select(*keep, F.col(id_col).cast("long").alias("_doc"), text_of(F.col(text_col)).alias("_text")).withColumn("_row", F.xxhash64("_text"))
-    joined = src.join(maps, ["_doc", "_row"], "left").select(*keep, "_text", "_bitmap")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in keep)
-    return joined.mapInArrow(_apply(digest, keep), f"{kinds}, _n_lines long, _n_dropped long, _kept string")
+    maps = keep_bitmaps(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), **kw)
+    rows = docs.select(F.struct(*keep).alias("keep"), F.col(id_col).cast("long").alias("doc"), text_of(F.col(text_col)).alias("text")).withColumn("row", F.xxhash64("text"))
+    joined = rows.join(maps, ["doc", "row"], "left").select("keep", "text", "bitmap")
+    kind = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in joined.schema["keep"].dataType.fields) + ">"
+    out = joined.mapInArrow(_apply(digest), f"keep {kind}, n_lines long, n_dropped long, kept string")
+    return out.select("keep.*", *[F.col(c).alias(n) for c, n in zip(("n_lines", "n_dropped", "kept"), names, strict=True)])

@@ -1,11 +1,15 @@
 """Packing into optimal length buckets.
 
-A document of n tokens becomes windows of max_len at most, so lengths have a bound and the
-global histogram of lengths has at most max_len entries, whatever the input. Dynamic
-programming over it chooses the bucket boundaries with the least padding. Inside each bucket
-windows take their places in order of (document, window) and fill batches of budget tokens,
-padded length times windows; places come from a range partitioning and the partitions'
-counts, so a bucket with most of the rows is spread over tasks like any other.
+A document's length is its number of token ids, end id and all, as the token shards have them.
+It becomes windows of max_len ids at most, so lengths have a bound and the global histogram of
+lengths has at most max_len entries, whatever the input. Dynamic programming over it chooses the
+bucket boundaries with the least padding. Inside each bucket windows take their places in order
+of (document, window) and fill batches of budget tokens, padded length times windows; places
+come from a range partitioning and the partitions' counts, so a bucket with most of the rows is
+spread over tasks like any other.
+
+A window names its ids by document and first id; token_shards.fetch() of the same vocabulary has
+them.
 """
 
 from __future__ import annotations
@@ -13,14 +17,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import token_shards
 from ._work import durable, text_of
 
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 @dataclass(frozen=True)
 class Plan:
@@ -61,42 +65,64 @@ def boundaries(hist: dict[int, int], buckets: int) -> list[int]:
     return out[::-1]
 
 
-def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan = Plan(), tokens=None) -> DataFrame:
-    """id, seg, n_tokens of every window; tokens (words by default) is a column of lengths. A text without tokens has one empty window."""
-    n = F.regexp_count(text_of(F.col(text_col)), F.lit(WORD)).cast("long") if tokens is None else tokens
-    whole = docs.select(F.col(id_col).cast("long").alias("id"), n.alias("n"))
+def _counted(path: str):
+    """id, number of token ids and one end id."""
+
+    def run(batches):
+        encoder = token_shards.Encoder.get(path, 4)
+        for b in batches:
+            counts, begun = [], 0
+            for _, per, whole in encoder.encode(b.column(1)):
+                per[0] += begun
+                begun = 0 if whole else int(per[-1])
+                counts.append(per[: len(per) - (not whole)] + 1)
+            yield pa.record_batch([b.column(0), pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))], names=["id", "n"])
+
+    return run
+
+
+def windows(docs: DataFrame, tokenizer: str | None, id_col: str = "doc_id", text_col: str = "text", plan: Plan = Plan(), tokens=None) -> DataFrame:
+    """id, seg, first, n_tokens of every window: its number and its first id within the document, and its ids. tokens: a
+    column of lengths, instead of those by the tokenizer. A length of zero has one empty window."""
+    key = F.col(id_col).cast("long").alias("id")
+    if tokens is None:
+        whole = docs.select(key, text_of(F.col(text_col)).alias("text")).mapInArrow(_counted(tokenizer), "id long, n long")
+    else:
+        whole = docs.select(key, tokens.cast("long").alias("n"))
     last = F.greatest(F.lit(0).cast("long"), F.expr(f"(n - 1) div {plan.max_len}"))
+    first = F.col("seg") * plan.max_len
     return whole.select("id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("seg")).select(
-        "id", "seg", F.least(F.lit(plan.max_len), F.col("n") - F.col("seg") * plan.max_len).alias("n_tokens")
+        "id", "seg", first.alias("first"), F.least(F.lit(plan.max_len), F.col("n") - first).alias("n_tokens")
     )
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan = Plan(), tokens=None) -> DataFrame:
-    """One row per window: id, seg, n_tokens, bucket (padded length), batch (from 0 within a bucket), slot (from 0 within a batch).
+def pack(docs: DataFrame, tokenizer: str | None, id_col: str = "doc_id", text_col: str = "text", plan: Plan = Plan(), tokens=None) -> DataFrame:
+    """One row per window: id, seg, first, n_tokens, bucket (padded length), batch (from 0 within a bucket), slot (from 0
+    within a batch).
 
-    Every token of every document is in one window. Null and empty texts, and texts without
-    words, have one window of no tokens, which joins the smallest bucket. Rows with null ids
-    come first in their bucket; repeated rows take a place each. An empty table gives no
-    rows; other columns are ignored. A batch holds budget // bucket windows, one at least.
+    Every id of every document is in one window. Null and empty texts have a window with their
+    end id alone. Rows with null ids come first in their bucket; repeated rows take a place each,
+    and equal ones may have each other's. An empty table gives no rows; other columns are
+    ignored. A batch holds budget // bucket windows, one at least.
     """
-    rows = durable(windows(docs, id_col, text_col, plan, tokens), "windows")
+    # what tells equal rows apart is written with them, so that they spread over the ranges and every reading sees the same
+    rows = durable(windows(docs, tokenizer, id_col, text_col, plan, tokens).withColumn("nth", F.monotonically_increasing_id()), "windows")
     hist = {r["n"]: r["count"] for r in rows.groupBy(F.greatest("n_tokens", F.lit(1)).alias("n")).count().collect()}  # max_len rows at most
     edges = boundaries(hist, plan.buckets)
     if not edges:
-        return rows.select(F.col("id").alias(id_col), "seg", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("batch"), F.lit(0).alias("slot"))
+        return rows.select(F.col("id").alias(id_col), "seg", "first", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("batch"), F.lit(0).alias("slot"))
     bucket = F.lit(edges[-1])
     for e in reversed(edges[:-1]):
         bucket = F.when(F.col("n_tokens") <= e, e).otherwise(bucket)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["bucket", "id", "seg"]
-    # the last key only separates equal rows, so that none of them draws all others into its range
+    order = ["bucket", "id", "seg", "nth"]
     dealt = rows.withColumn("bucket", bucket.cast("int")).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    dealt = durable(dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "dealt")
-    part = dealt.groupBy("bucket", "part").agg(F.count("*").alias("rows"), F.min("at").alias("first"))  # buckets + partitions rows
-    before = part.select("bucket", "part", "first", (F.sum("rows").over(Window.partitionBy("bucket").orderBy("part")) - F.col("rows")).alias("before"))
-    place = (F.col("at") - F.col("first") + F.col("before")).alias("place")
+    dealt = durable(dealt.select("id", "seg", "first", "n_tokens", "bucket", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "dealt")
+    part = dealt.groupBy("bucket", "part").agg(F.count("*").alias("rows"), F.min("at").alias("begin"))  # buckets + partitions rows
+    before = part.select("bucket", "part", "begin", (F.sum("rows").over(Window.partitionBy("bucket").orderBy("part")) - F.col("rows")).alias("before"))
+    place = (F.col("at") - F.col("begin") + F.col("before")).alias("place")
     per = F.greatest(F.lit(1).cast("long"), F.expr(f"{plan.budget} div bucket"))
     return (
-        dealt.join(F.broadcast(before), ["bucket", "part"]).select("id", "seg", "n_tokens", "bucket", place)
-        .select(F.col("id").alias(id_col), "seg", "n_tokens", "bucket", F.floor(F.col("place") / per).cast("long").alias("batch"), F.pmod("place", per).cast("int").alias("slot"))
+        dealt.join(F.broadcast(before), ["bucket", "part"]).select("id", "seg", "first", "n_tokens", "bucket", place)
+        .select(F.col("id").alias(id_col), "seg", "first", "n_tokens", "bucket", F.floor(F.col("place") / per).cast("long").alias("batch"), F.pmod("place", per).cast("int").alias("slot"))
     )

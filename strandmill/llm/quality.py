@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import text_of
+from ._work import free, text_of
 
 #: Most labelled rows that the vectors are fitted on, half of each label if there are so many.
 FIT_ROWS = 2048
@@ -148,19 +148,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(idf, basis, _unit(x @ basis).astype(np.float32), y)
 
 
-def _scored(model: Model, at: int):
+def _scored(model: Model, at: int, name: str):
     def run(batches):
         for b in batches:
             s = model.score([t or "" for t in b.column(at).to_pylist()])
-            yield pa.record_batch([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "_score"])
+            yield pa.record_batch([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with _score, from the text alone."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
+    """docs with a column of that name, from the text alone; null texts count as empty. No column of docs may have the name."""
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scored(model, docs.columns.index(text_col)), f"{names}, _score double")
+    return docs.mapInArrow(_scored(model, docs.columns.index(text_col), name), f"{names}, `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -177,9 +177,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose score is least or more."""
+    """The rows of docs, all columns, whose score is least or more.
+
+    Null and empty texts and null ids are scored like others and stay null; repeated rows are
+    scored alike. An empty table gives no rows; columns may have any names."""
     model = fit(docs, labels, id_col, text_col, label_col)
-    return score(docs, model, text_col).where(F.col("_score") >= least).drop("_score")
+    name = free(docs.columns, "_score")
+    return score(docs, model, text_col, name).where(F.col(name) >= least).drop(name)
 
 
 def unsigned_crc32(text: str) -> int:

@@ -14,13 +14,7 @@ from . import secrets as _secrets
 from . import simhash as _simhash
 from . import token_shards as _shards
 from . import url_rules as _urls
-from ._work import new_path, table
-
-
-def _vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from ._work import new_path, table, vocabulary
 
 
 def op1_adaptive_scan(spark, sf_dir):
@@ -47,12 +41,12 @@ def op5_quality(spark, sf_dir):
 
 def op6_token_shards(spark, sf_dir):
     path = new_path(spark, "tokens")
-    _shards.write(table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"))
+    _shards.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
     return _shards.describe(spark, path).withColumnRenamed("key", "doc_id")
 
 
 def op7_sampled_pieces(spark, sf_dir):
-    return _pieces.sample_pieces(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return _pieces.sample_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op8_exact_dedup(spark, sf_dir):
@@ -65,7 +59,7 @@ def op9_url_rules(spark, sf_dir):
 
 
 def op10_packing(spark, sf_dir):
-    return _packing.pack(table(spark, sf_dir, "documents"))
+    return _packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES = {

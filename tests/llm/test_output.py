@@ -240,12 +240,12 @@ def test_boundaries_are_optimal():
     assert packing.boundaries({}, 3) == []
 
 
-def words(t):
-    return len([w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in t or "").split(" ") if w])
+def lengths(texts):
+    return [len(x) + 1 for x in whole_ids([t or "" for t in texts])]
 
 
 def check_packed(rows, got, plan):
-    """rows: (id, words). Brute force: windows, buckets and places in order."""
+    """rows: (id, number of ids). Brute force: windows, buckets and places in order."""
     all_windows = []
     for i, n in rows:
         for seg in range(max(1, -(-n // plan.max_len))):
@@ -258,17 +258,59 @@ def check_packed(rows, got, plan):
     for e, ws in by.items():
         per = max(1, plan.budget // e)
         ws.sort(key=lambda w: (w[0] is not None, w[0] or 0, w[1]))
-        want += [(i, seg, n, e, at // per, at % per) for at, (i, seg, n) in enumerate(ws)]
+        want += [(i, seg, seg * plan.max_len, n, e, at // per, at % per) for at, (i, seg, n) in enumerate(ws)]
     assert Counter(tuple(r) for r in got) == Counter(want)
+    return edges
 
 
 def test_packing(spark, edge, empty):
     plan = packing.Plan(50, 4, 200)
-    rows = [(i, words(t)) for i, t in TEXTS]
-    check_packed(rows, packing.pack(edge, plan=plan).collect(), plan)
-    assert packing.pack(empty).count() == 0
+    rows = list(zip([i for i, _ in TEXTS], lengths([t for _, t in TEXTS]), strict=True))
+    check_packed(rows, packing.pack(edge, BPE, plan=plan).collect(), plan)
+    check_packed([(i, len(t or "")) for i, t in TEXTS], packing.pack(edge, None, plan=plan, tokens=F.length(F.coalesce("text", F.lit("")))).collect(), plan)
+    assert packing.pack(empty, BPE).count() == 0
+
+
+def test_packing_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    check_packed([(r["doc_id"], words(r["text"])) for r in docs.collect()], packing.pack(docs).collect(), packing.Plan())
+    rows = docs.collect()
+    want = list(zip([r["doc_id"] for r in rows], lengths([r["text"] for r in rows]), strict=True))
+    check_packed(want, __spark_entry__.queries()["op10_packing"](spark, "/root/testdata/sf0.01").collect(), packing.Plan())
+
+
+def test_packed_windows_name_the_ids_of_the_shards(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = new_path(spark, "p")
+    token_shards.write(docs, path, BPE)
+    held = {r["key"]: r["ids"] for r in token_shards.fetch(spark, path, docs).collect()}
+    back = defaultdict(list)
+    for r in sorted(packing.pack(docs, BPE, plan=packing.Plan(100, 5, 1000)).collect(), key=lambda r: (r["doc_id"], r["seg"])):
+        part = held[r["doc_id"]][r["first"] : r["first"] + r["n_tokens"]]
+        assert len(part) == r["n_tokens"] <= r["bucket"]
+        back[r["doc_id"]] += part
+    assert back == held
+
+
+def test_packing_spreads_equal_rows(spark):
+    """Rows without ids, all alike: every range gets a share of them, and they fill whole batches."""
+    plan = packing.Plan(100, 4, 1000)
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"))
+    parts = []
+    real = packing.durable
+
+    def seen(df, tag):
+        out = real(df, tag)
+        if tag == "dealt":
+            parts.extend(r["count"] for r in out.groupBy("part").count().collect())
+        return out
+
+    packing.durable = seen
+    try:
+        got = packing.pack(docs, BPE, plan=plan).collect()
+    finally:
+        packing.durable = real
+    check_packed([(None, 3)] * 20_000, got, plan)
+    assert len(parts) == 4 and max(parts) < 8_000
 
 
 def test_pipeline(spark):
@@ -302,13 +344,36 @@ def test_pipeline(spark):
     assert set(tables[3]) == set(got.values()) and len(tables[3]) < len(tables[2])
 
     assert {i: r["text"] for i, r in tables[4].items()} == {i: secrets.redact(r["text"], brute(r["text"])) for i, r in tables[3].items()}
-    check_packed([(i, words(r["text"])) for i, r in tables[4].items()], corpus_pipeline.STAGES[-1][1](spark, steps[4], sf).collect(), packing.Plan())
-    check_packed([(i, words(r["text"])) for i, r in tables[4].items()], corpus_pipeline.run(spark, sf).collect(), packing.Plan())
+    rows = list(zip(tables[4], lengths([r["text"] for r in tables[4].values()]), strict=True))
+    check_packed(rows, corpus_pipeline.STAGES[-1][1](spark, steps[4], sf).collect(), packing.Plan())
+    check_packed(rows, corpus_pipeline.run(spark, sf).collect(), packing.Plan())
 
 
 def test_pipeline_stages_take_edges(spark, edge, empty):
+    """Nulls, empty and very long texts, repeated rows, empty tables, and columns named like those inside the operators."""
+    from strandmill.llm import secrets
+
+    from .test_dedup import brute_lines
+
+    sf = "/root/testdata/sf0.001"
+    names = ["_score", "_text", "_kept", "_n_lines", "_row", "keep", "bitmap", "label", "_id"]
     extra = edge.withColumn("n_chars", F.length("text").cast("long"))
-    for _, stage in corpus_pipeline.STAGES[1:]:
-        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
-        out = stage(spark, extra, "/root/testdata/sf0.001")
-        assert out.count() >= 1
+    for n in names:
+        extra = extra.withColumn(n, F.lit(n) if n in edge.columns or n != "_id" else F.lit(1))
+    stages = dict(corpus_pipeline.STAGES)
+    for stage in stages.values():
+        assert stage(spark, extra.limit(0), sf).count() == 0 and stage(spark, empty, sf).count() == 0
+    rest = [c for c in extra.columns if c not in ("text", "n_chars")]
+    for name in ("quality", "lines", "near_duplicates", "secrets"):
+        out = stages[name](spark, extra, sf)
+        assert out.columns == extra.columns and set(out.select(rest).distinct().collect()) <= set(extra.select(rest).distinct().collect()), name
+    all_rows = Counter((i, t) for i, t in TEXTS)
+    rows = lambda name: Counter((r["doc_id"], r["text"]) for r in stages[name](spark, extra, sf).collect())
+    good = rows("quality")
+    assert good and not good - all_rows and all(n == all_rows[k] for k, n in good.items())
+    kept = {k[0]: k[3] for k in brute_lines([(i, t) for i, t in TEXTS if i is not None])}
+    assert rows("lines") == Counter((i, (t or "") if i is None else kept[i]) for i, t in TEXTS)
+    # 4, 5 and 6 have no words; 8 repeats the text of 7
+    assert rows("near_duplicates") == Counter((i, t) for i, t in TEXTS if i not in (5, 6, 8))
+    assert rows("secrets") == Counter((i, None if t is None else secrets.redact(t, secrets.spans(t))) for i, t in TEXTS)
+    check_packed(list(zip([i for i, _ in TEXTS], lengths([t for _, t in TEXTS]), strict=True)), stages["packing"](spark, extra, sf).collect(), packing.Plan())
