@@ -4,13 +4,15 @@ Equal vectors collapse first: only the smallest ids of a vector can be among the
 and queries that are equal vectors have one answer. Vectors x become (x, sqrt(M^2 - |x|^2)),
 which turns the largest inner product into the smallest Euclidean distance, and go through a
 random rotation, after which any leading dimensions estimate the whole distance. A k-means
-over a bounded sample places every vector in a list. A query scans its probed lists in column
+over a bounded sample places every vector in a list. Queries scan their probed lists in column
 blocks: after each block a hypothesis test on the partial distance drops the candidates that
-are unlikely to beat the query's k-th best. A first round over each query's home list gives
-that bound; a second scans the other lists. What survives is scored exactly, in double
+are unlikely to beat the query's k-th best. While many are left a block is one matrix product
+for all queries and rows; then it goes pair by pair. A first round over each query's home list
+gives the bound; a second scans the other lists. What survives is scored exactly, in double
 precision, on the original vectors.
 
 Large lists are cut into blocks of rows and of queries, so a task holds a bounded number.
+Vectors travel as raw doubles.
 """
 
 from __future__ import annotations
@@ -29,13 +31,13 @@ from ._work import durable
 
 @dataclass(frozen=True)
 class Index:
-    """sample: rows the lists and the rotation are fitted on, at most; lists: their number, by default about the square
-    root of the number of vectors, 4,096 at most; share and least: part of the lists a query probes, and how many at
+    """sample: rows the lists and the rotation are fitted on, at most; lists: their number, by default one for every 1,024
+    vectors, 2,048 at most; share and least: part of the lists a query probes, and how many at
     least; eps: the test's width, in standard errors; width: dimensions a block; rows: vectors, and queries, in a task."""
 
     sample: int = 8192
     lists: int | None = None
-    share: float = 0.75
+    share: float = 0.65
     least: int = 16
     eps: float = 2.5
     width: int = 16
@@ -87,7 +89,7 @@ class _Model:
 
 
 def _fit(distinct: DataFrame, how: Index, n: int, dim: int, biggest: float) -> _Model:
-    k = how.lists or max(1, min(4096, how.sample // 4, round(math.sqrt(n))))
+    k = how.lists or max(1, min(2048, how.sample // 4, n // 1024))
     picked = distinct.orderBy(F.xxhash64("key"), "key").limit(how.sample).select("v").toPandas()
     sample = np.array(picked["v"].tolist(), dtype=np.float64)
     model = _Model(_rotation(dim + 1, how.seed), biggest, np.zeros((1, dim + 1)))
@@ -95,11 +97,19 @@ def _fit(distinct: DataFrame, how: Index, n: int, dim: int, biggest: float) -> _
     return model
 
 
+def _packed(v: np.ndarray) -> list[bytes]:
+    return [x.tobytes() for x in np.ascontiguousarray(v, dtype="<f8")]
+
+
+def _unpacked(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype="<f8").reshape(len(column), -1)
+
+
 def _placer(model: _Model):
     def run(frames):
         for f in frames:
             v = np.array(f["v"].tolist(), dtype=np.float64)
-            yield pd.DataFrame({"key": f["key"], "ids": f["ids"], "v": f["v"], "list": model.far(model.data(v)).argmin(1).astype(np.int32)})
+            yield pd.DataFrame({"key": f["key"], "ids": f["ids"], "v": _packed(v), "list": model.far(model.data(v)).argmin(1).astype(np.int32)})
 
     return run
 
@@ -110,54 +120,78 @@ def _prober(model: _Model, probes: int):
             v = np.array(f["v"].tolist(), dtype=np.float64)
             far = model.far(model.query(v))
             top = np.argsort(far, axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame({"key": f["key"], "v": f["v"], "lists": [x.astype(np.int32) for x in top]})
+            yield pd.DataFrame({"key": f["key"], "v": _packed(v), "lists": [x.astype(np.int32) for x in top]})
 
     return run
 
 
+#: Queries that a matrix of distances has; the share of its cells alive below which pairs go one by one.
+_SIDE = 256
+_DENSE = 0.1
+
+
+def _survivors(x: np.ndarray, y: np.ndarray, most: np.ndarray, eps: float, width: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the pairs that no test on the way drops, and whose whole squared distance is at most the query's most."""
+    dim = x.shape[1]
+    cuts = [*range(0, dim, width), dim]
+    blocks = [np.ascontiguousarray(x[:, a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    squares = [(b * b).sum(1) for b in blocks]
+    who, rows = [], []
+    for at in range(0, len(y), _SIDE):
+        part, edge = y[at : at + _SIDE], most[at : at + _SIDE]
+        far, alive, pairs = np.zeros((len(part), len(x))), None, None
+        for a, b, block, square in zip(cuts, cuts[1:], blocks, squares, strict=False):
+            q = part[:, a:b]
+            # the last block's test is on the distance itself
+            limit = edge * ((b / dim) * (1 + eps / math.sqrt(b)) ** 2 if b < dim else 1.0) + slack
+            if pairs is None:
+                far += square[None] + (q * q).sum(1)[:, None] - 2.0 * (q @ block.T)
+                ok = far <= limit[:, None]
+                alive = ok if alive is None else alive & ok
+                if b == dim or np.count_nonzero(alive) < _DENSE * alive.size:
+                    pairs = np.nonzero(alive)
+                    far = far[pairs]
+            else:
+                d = block[pairs[1]] - q[pairs[0]]
+                far = far + np.einsum("ij,ij->i", d, d)
+                ok = far <= limit[pairs[0]]
+                pairs, far = (pairs[0][ok], pairs[1][ok]), far[ok]
+        who.append(pairs[0] + at)
+        rows.append(pairs[1])
+    return np.concatenate(who), np.concatenate(rows)
+
+
 def _scan(model: _Model, k: int, eps: float, width: int):
     """Over one block of a list and one block of the queries that probe it."""
 
     def run(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "key": [], "score": []}
+        none = pd.DataFrame({"q": pd.Series(dtype="int64"), "key": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(rows) or not len(asks):
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "key": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        v = np.array(rows["v"].tolist(), dtype=np.float64)
-        x = model.data(v)
+            return none
+        v, w = _unpacked(rows["v"]), _unpacked(asks["v"])
         keys, weight = rows["key"].to_numpy(), np.array([len(i) for i in rows["ids"]])
-        w = np.array(asks["v"].tolist(), dtype=np.float64)
-        y, sizes = model.query(w), np.sqrt((w * w).sum(1))
-        dim = x.shape[1]
-        cuts = [*range(0, dim, width), dim]
-        blocks = [np.ascontiguousarray(x[:, a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        for q, bound, at, size, ask in zip(asks["key"].tolist(), asks["bound"].tolist(), y, sizes, w, strict=True):
-            # |x' - q'|^2 = 2 M^2 - 2 M / |q| * score
-            most = 2 * model.biggest**2 - 2 * model.biggest / size * bound if bound == bound else math.inf
-            alive, partial = np.arange(len(v)), np.zeros(len(v))
-            for a, b, part in zip(cuts, cuts[1:], blocks, strict=False):
-                d = part[alive] - at[a:b]
-                partial = partial + np.einsum("ij,ij->i", d, d)
-                if most < math.inf and b < dim:
-                    ok = partial <= (b / dim) * (1 + eps / math.sqrt(b)) ** 2 * most
-                    alive, partial = alive[ok], partial[ok]
-                if not len(alive):
-                    break
-            if not len(alive):
-                continue
-            score = (v[alive] * ask).sum(axis=1)
-            if bound == bound:  # k of the home list are as near as that
-                alive, score = alive[score >= bound], score[score >= bound]
-                if not len(alive):
-                    continue
-            order = np.lexsort((keys[alive], -score))
-            # a vector counts with its ids, the query's own apart
-            order = order[: int(np.searchsorted(np.cumsum(weight[alive][order]), k + 1)) + 1]
-            edge = score[order[-1]]
-            order = np.nonzero(score >= edge)[0]
-            out["q"].extend([q] * len(order))
-            out["key"].extend(keys[alive][order].tolist())
-            out["score"].extend(score[order].tolist())
-        return pd.DataFrame({"q": pd.Series(out["q"], dtype="int64"), "key": pd.Series(out["key"], dtype="int64"), "score": pd.Series(out["score"], dtype="float64")})
+        bound = asks["bound"].to_numpy(dtype=np.float64)
+        # |x' - q'|^2 = 2 M^2 - 2 M / |q| * score; without a bound all stay
+        most = np.where(np.isnan(bound), math.inf, 2 * model.biggest**2 - 2 * model.biggest / np.sqrt((w * w).sum(1)) * bound)
+        q, r = _survivors(model.data(v), model.query(w), most, eps, width, 1e-9 * model.biggest**2)
+        score = np.concatenate([np.zeros(0), *[(v[r[at : at + 65536]] * w[q[at : at + 65536]]).sum(axis=1) for at in range(0, len(q), 65536)]])
+        ok = ~(score < bound[q])  # k of the home list are as near as the bound
+        q, r, score = q[ok], r[ok], score[ok]
+        if not len(q):
+            return none
+        order = np.lexsort((keys[r], -score, q))
+        q, r, score = q[order], r[order], score[order]
+        # a vector counts with its ids, the query's own apart; the last that is needed takes those as near along
+        begin = np.nonzero(np.diff(q, prepend=-1))[0]
+        sizes = np.diff(np.append(begin, len(q)))
+        sums = np.cumsum(weight[r])
+        before = np.repeat(sums[begin] - weight[r[begin]], sizes)
+        enough = sums - before >= k + 1
+        place = np.arange(len(q)) - np.repeat(begin, sizes)
+        last = np.minimum.reduceat(np.where(enough, place, len(q)), begin)
+        edge = np.repeat(score[begin + np.minimum(last, sizes - 1)], sizes)
+        keep = score >= edge
+        return pd.DataFrame({"q": asks["key"].to_numpy()[q[keep]], "key": keys[r[keep]], "score": score[keep]})
 
     return run
 
@@ -184,18 +218,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
     queries has the columns of vectors. Null ids, and vectors that are null, empty, zero or
     hold null or non-finite components, take no part on either side. A row is left out of
-    its own query's answer by its id; an id that repeats with one vector counts once. All
-    vectors must have the length most have; others take no part. Fewer than k candidates
-    found give fewer rows; an empty table gives none. Other columns are ignored.
+    its own query's answer by its id; an id that repeats counts once, with the vector that comes
+    first in order. All vectors must have the length most have; others take no part. Squares of
+    components must be doubles, so these may reach 1e150. Fewer than k candidates found give
+    fewer rows; an empty table gives none. Other columns are ignored.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    good = _usable(vectors, id_col, vec_col).distinct()
+    good = _usable(vectors, id_col, vec_col)
     sizes = good.groupBy(F.size("v").alias("dim")).count().orderBy(F.col("count").desc(), "dim").limit(1).collect()
     if not sizes:
         return empty
     dim = sizes[0]["dim"]
-    good = good.where(F.size("v") == dim).select("id", "v", F.xxhash64("v").alias("key"))
+    one = lambda rows: rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.xxhash64("v").alias("key"))
+    good = one(good)
     # only k + 1 ids of a vector can be in an answer; the window drops others before the shuffle
     few = good.withColumn("n", F.row_number().over(Window.partitionBy("key", "v").orderBy("id"))).where(F.col("n") <= k + 1)
     distinct = durable(few.groupBy("key", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
@@ -205,10 +241,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     model = _fit(distinct, how, facts["n"], dim, facts["biggest"])
     probes = min(len(model.centres), max(how.least, math.ceil(len(model.centres) * how.share)))
 
-    placed = durable(distinct.select("key", "ids", "v").mapInPandas(_placer(model), "key long, ids array<long>, v array<double>, list int"), "lists")
-    asked = _usable(queries, id_col, vec_col).distinct().where(F.size("v") == dim).select("id", "v", F.xxhash64("v").alias("key"))
-    asked = durable(asked, "asked")
-    asks = durable(asked.select("key", "v").distinct().mapInPandas(_prober(model, probes), "key long, v array<double>, lists array<int>"), "probes")
+    placed = durable(distinct.select("key", "ids", "v").mapInPandas(_placer(model), "key long, ids array<long>, v binary, list int"), "lists")
+    asked = durable(one(_usable(queries, id_col, vec_col)), "asked")
+    asks = durable(asked.select("key", "v").distinct().mapInPandas(_prober(model, probes), "key long, v binary, lists array<int>"), "probes")
 
     home = asks.select("key", "v", F.col("lists")[0].alias("list"), F.lit(float("nan")).alias("bound"))
     first = durable(_searched(placed, home, model, k, how), "home")
