@@ -171,7 +171,7 @@ class Collection:
         return [SketchParams.of(r["sketch_params"]) for r in found]
 
     def __iter__(self):
-        return iter([Sketch(d) for d in tables.plain(self.nested())])
+        return (Sketch(d) for d in tables.each(self.nested()))
 
     def _id(self, key: int | str) -> int:
         if isinstance(key, str):
@@ -179,11 +179,12 @@ class Collection:
             if found is None:
                 raise KeyError(key)
             return found
-        ids = [r[0] for r in self.sketches.select("sketch_id").orderBy("sketch_id").collect()]
-        try:
-            return ids[key]
-        except IndexError:
-            raise IndexError(f"no sketch {key}") from None
+        ids = self.sketches.select("sketch_id")
+        down = key < 0
+        found = ids.orderBy(F.col("sketch_id").desc() if down else "sketch_id").offset(-key - 1 if down else key).limit(1).collect()
+        if not found:
+            raise IndexError(f"no sketch {key}")
+        return found[0][0]
 
     def __getitem__(self, key: int | str) -> Sketch:
         """By place, from the end if negative, or by name."""

@@ -17,6 +17,8 @@ for _i, _pair in enumerate(("Aa", "Cc", "Gg", "TtUu")):
 #: ASCII of four bases as one little-endian word, by their 8 bits.
 _FOUR = np.array([int.from_bytes(bytes(BASES[[b >> 6 & 3, b >> 4 & 3, b >> 2 & 3, b & 3]]), "little") for b in range(256)], dtype=np.uint64)
 SKIPPED = b" \t\r\n\x0b\x0c"
+#: The four 2-bit codes of a packed byte.
+_FOUR_CODES = np.array([[b >> 6 & 3, b >> 4 & 3, b >> 2 & 3, b & 3] for b in range(256)], dtype=np.uint8)
 
 
 def normalise(seq: Column) -> Column:
@@ -30,13 +32,27 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def bases_of_text(text: Column) -> Column:
-    """Any text as a sequence: two bases for each hex digit of its UTF-8 bytes."""
-    out = F.translate(F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8")), "0123456789ABCDEF", "abcdefghijklmnop")
+    """Any text as a sequence: four bases for each of its UTF-8 bytes, packed."""
+    return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+
+
+def letters(packed: Column) -> Column:
+    """The text of packed bases."""
+    out = F.translate(F.hex(packed), "0123456789ABCDEF", "abcdefghijklmnop")
     for i, letter in enumerate("abcdefghijklmnop"):
         out = F.replace(out, F.lit(letter), F.lit("ACGT"[i // 4] + "ACGT"[i % 4]))
     return out
 
 
+def joined_codes(records: list) -> np.ndarray:
+    """2-bit codes of records of one kind, texts or packed bases (bytes), with a 4 between any two: no k-mer crosses from one
+    into the next."""
+    if records and isinstance(records[0], bytes):
+        flat = _FOUR_CODES[np.frombuffer(b"".join(records), dtype=np.uint8)].ravel()
+        return np.insert(flat, 4 * np.cumsum([len(r) for r in records])[:-1], 4)
+    return codes(b">".join([r.encode() for r in records]))
+
+
 def codes(seq: bytes) -> np.ndarray:
     """2-bit codes without white space; 4 marks what no k-mer may hold."""
     raw = np.frombuffer(seq.translate(None, SKIPPED), dtype=np.uint8)
@@ -81,6 +97,26 @@ def packed(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return where, out_f[:n][where], out_r[:n][where]
 
 
+def reversed_packed(value: np.ndarray, k: int) -> np.ndarray:
+    """Reverse complements of packed k-mers."""
+    x = ~value.astype(np.uint64)
+    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F)):
+        m = np.uint64(mask)
+        x = ((x >> np.uint64(shift)) & m) | ((x & m) << np.uint64(shift))
+    return x.byteswap() >> np.uint64(64 - 2 * k)
+
+
+def text_of_packed(value: Column, k: int) -> Column:
+    """The text of a packed k-mer, by four bases at a time."""
+    out = []
+    for at in range(0, k, 4):
+        n = min(4, k - at)
+        names = ["".join("ACGT"[i >> 2 * (n - 1 - j) & 3] for j in range(n)) for i in range(4**n)]
+        part = F.shiftrightunsigned(value, 2 * (k - at - n)).bitwiseAND(F.lit(4**n - 1)).cast("int")
+        out.append(F.element_at(F.lit(names), part + 1))
+    return F.concat(*out)
+
+
 def unpacked(value: np.ndarray, k: int) -> list[str]:
     """The text of packed k-mers."""
     if not len(value):

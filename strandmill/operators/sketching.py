@@ -1,6 +1,7 @@
 """Sketches from sequences: counted bottom-k, scaled and complete.
 
-`sequences` has a row a record: sample, seq (and, where known, format). The Arrow stage counts
+`sequences` has a row a record: sample, seq (and, where known, format). A seq is a text, or binary:
+four bases a byte, the first in the highest bits. The Arrow stage counts
 k-mers a sample and a task, with the bound that a bottom-k sketch allows: a hash above the
 task's own n-th smallest can't be among the n smallest of all, so it never leaves the task.
 Spark then adds the counts up by (sample, hash) and takes the top k of each sample, for
@@ -43,7 +44,7 @@ class _Counter:
 
     def __init__(self, params: SketchParams):
         self.params, self.limit = params, np.uint64(params.limit)
-        self.parts: list[bytes] = []
+        self.parts: list = []  # records that wait, texts or packed bases
         self.size = 0
         self.hash = np.zeros(0, np.uint64)
         self.count = self.extra = np.zeros(0, np.int64)
@@ -51,7 +52,7 @@ class _Counter:
         self.bases = self.valid = 0
         self.head: tuple | None = None  # (ordinal, record number, format) of the first record
 
-    def add(self, seq: bytes) -> None:
+    def add(self, seq: str | bytes) -> None:
         self.parts.append(seq)
         self.size += len(seq)
         if self.size >= _CHUNK:
@@ -60,7 +61,7 @@ class _Counter:
     def flush(self) -> None:
         if not self.parts:
             return
-        code = K.codes(b">".join(self.parts))  # a k-mer never crosses from one record into the next
+        code = K.joined_codes(self.parts)
         self.parts, self.size = [], 0
         for block in K.blocks(code, self.params.kmer_length):
             self._count(block)
@@ -125,16 +126,17 @@ def _stage(params: SketchParams, facts: bool = False):
 
         for b in batches:
             heads = zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True) if facts else iter(())
+            empty = b"" if pa.types.is_binary(b.column(1).type) or pa.types.is_large_binary(b.column(1).type) else ""
             for s, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = counters.get(s)
                 if c is None:
                     c = counters[s] = _Counter(params)
-                data = (seq or "").encode()
-                c.add(data)
-                waiting += len(data)
+                seq = seq or empty
+                c.add(seq)
+                waiting += len(seq)
                 if facts:
                     head = next(heads)
-                    c.bases += len(seq or "")
+                    c.bases += len(seq) if empty == "" else 4 * len(seq)
                     if c.head is None or head[:2] < c.head[:2]:
                         c.head = head
                 if waiting >= _WAITING:
@@ -150,22 +152,24 @@ def _stage(params: SketchParams, facts: bool = False):
 
 
 def _indices(k: int):
-    """Counts of the plain (not canonical) 2-bit k-mers of each sample."""
+    """Counts of the plain (not canonical) 2-bit k-mers of each sample, with their reverse complements."""
 
     def run(batches):
         for b in batches:
-            by: dict[str, list[bytes]] = {}
+            by: dict[str, list] = {}
             for s, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(s, []).append((seq or "").encode())
+                if seq:
+                    by.setdefault(s, []).append(seq)
             for s, parts in by.items():
-                value = [K.packed(x, k)[1] for x in K.blocks(K.codes(b">".join(parts)), k)]
+                value = [K.packed(x, k)[1] for x in K.blocks(K.joined_codes(parts), k)]
                 if k <= 10:
                     n = sum((np.bincount(v.astype(np.int64), minlength=4**k) for v in value), np.zeros(4**k, np.int64))
                     ix = np.nonzero(n)[0]
                     n = n[ix]
                 else:
                     ix, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *value]), return_counts=True)
-                yield pa.record_batch([pa.array([s] * len(ix), pa.string()), pa.array(ix.astype(np.int64)), pa.array(n.astype(np.int64))], names=["sample", "ix", "c"])
+                rc = K.reversed_packed(ix, k)
+                yield pa.record_batch([pa.array([s] * len(ix), pa.string()), pa.array(ix.astype(np.int64)), pa.array(rc.astype(np.int64)), pa.array(n.astype(np.int64))], names=["sample", "ix", "rc", "c"])
 
     return run
 
@@ -190,17 +194,15 @@ def all_counts(sequences: DataFrame, k: int) -> DataFrame:
     Of a k-mer and its reverse complement the row has the smaller one that occurs; extra
     counts the greater one's, where both occur, and half of a palindrome's, which counts double.
     """
-    plain = _samples(sequences).mapInArrow(_indices(k), "sample string, ix bigint, c bigint").groupBy("sample", "ix").agg(F.sum("c").alias("c"))
-    rc = F.conv(F.reverse(F.translate(F.lpad(F.conv(F.col("ix").cast("string"), 10, 4), k, "0"), "0123", "3210")), 4, 10).cast("bigint")
-    pairs = plain.withColumn("rc", rc).withColumn("lo", F.least("ix", "rc"))
     of = lambda c: F.sum(F.when(c, F.col("c")).otherwise(0))
+    pairs = _samples(sequences).mapInArrow(_indices(k), "sample string, ix bigint, rc bigint, c bigint").withColumn("lo", F.least("ix", "rc"))
     folded = pairs.groupBy("sample", "lo").agg(
         of(F.col("ix") == F.col("lo")).alias("c_lo"), of(F.col("ix") != F.col("lo")).alias("c_hi"), F.max(F.greatest("ix", "rc")).alias("hi")
     )
     same, only_hi = F.col("lo") == F.col("hi"), F.col("c_lo") == 0
     key = F.when(only_hi, F.col("hi")).otherwise(F.col("lo"))
     return folded.select(
-        "sample", key.alias("hash"), F.translate(F.lpad(F.conv(key.cast("string"), 10, 4), k, "0"), "0123", "ACGT").alias("kmer"),
+        "sample", key.alias("hash"), K.text_of_packed(key, k).alias("kmer"),
         capped(F.when(same, F.col("c_lo") * 2).otherwise(F.col("c_lo") + F.col("c_hi"))).alias("count"),
         capped(F.when(same, F.col("c_lo")).when(only_hi, F.lit(0)).otherwise(F.col("c_hi"))).alias("extra_count"),
     )
@@ -259,7 +261,7 @@ def _valid(k: int):
         for b in batches:
             n = []
             for seq in b.column(1).to_pylist():
-                bad = np.concatenate([[0], np.cumsum(K.codes((seq or "").encode()) > 3)])
+                bad = np.concatenate([[0], np.cumsum(K.joined_codes([seq]) > 3)]) if seq else np.zeros(1)
                 n.append(int((bad[k:] == bad[:-k]).sum()) if len(bad) > k else 0)
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64())], names=["sample", "n"])
 
@@ -268,7 +270,9 @@ def _valid(k: int):
 
 def totals(sequences: DataFrame, params: SketchParams) -> DataFrame:
     """sample, seq_length, num_valid_kmers. A complete sketch has never counted bases: 0."""
-    rows = _samples(sequences).withColumn("seq", F.coalesce("seq", F.lit("")))
+    rows = _samples(sequences)
+    packed = rows.schema["seq"].dataType.typeName() == "binary"
     valid = rows.mapInArrow(_valid(params.kmer_length), "sample string, n bigint").groupBy("sample").agg(F.sum("n").alias("num_valid_kmers"))
-    bases = F.lit(0).cast("bigint") if params.scheme == ALL else F.sum(F.length("seq"))
+    length = F.coalesce(F.octet_length("seq") * 4 if packed else F.length("seq"), F.lit(0))
+    bases = F.lit(0).cast("bigint") if params.scheme == ALL else F.sum(length)
     return rows.groupBy("sample").agg(bases.alias("seq_length")).join(valid, "sample")

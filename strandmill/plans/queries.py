@@ -9,6 +9,7 @@ from ..operators import combine, filters, sketching, stats
 from ..operators import distance as D
 from ..params import SCALED, FilterParams, SketchParams
 from ..sources.sequences import sequences_of_text
+from ..sources.tables import spread
 
 #: k of the complete sketches, and parameters of the others.
 SHORT, LONG = 4, 8
@@ -20,7 +21,7 @@ SMALL_SCALE = 1e-15
 
 
 def sequences(spark: SparkSession, sf_dir: str, by: str = "source") -> DataFrame:
-    return sequences_of_text(spark.read.parquet(f"{sf_dir}/documents.parquet"), by)
+    return sequences_of_text(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")), by)
 
 
 def counts(spark, sf_dir, k=LONG, by="source") -> DataFrame:

@@ -264,7 +264,7 @@ def formats(sequences: DataFrame) -> DataFrame:
 
 
 def sequences_of_text(docs: DataFrame, sample: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Texts as sequences, one record each, of the samples that the column gives."""
+    """Texts as sequences of packed bases, one record each, of the samples that the column gives."""
     return docs.select(F.col(sample).cast("string").alias("sample"), F.col(id_col).alias("record_no"), F.col(id_col).cast("string").alias("id"), bases_of_text(F.col(text)).alias("seq"), F.lit(FASTA).alias("format"))
 
 
@@ -273,12 +273,21 @@ def with_suffix(path: str, ending: str) -> str:
 
 
 def put(data: bytes, path: str | None, ending: str = "") -> str | None:
-    """Bytes to a file, with the ending added if it is missing, or to standard output."""
+    """Bytes to a file, on any store that Spark reaches, with the ending added if it is missing, or to standard output."""
     if path is None:
         sys.stdout.buffer.write(data)
         sys.stdout.buffer.flush()
         return None
     path = with_suffix(path, ending)
+    if "://" in path or path.startswith("file:"):
+        sc = SparkSession.builder.getOrCreate().sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+        try:
+            out.write(data)
+        finally:
+            out.close()
+        return path
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "wb") as f:
         f.write(data)

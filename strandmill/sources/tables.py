@@ -70,13 +70,16 @@ def nest(sketches: DataFrame, minmers: DataFrame) -> DataFrame:
     return sketches.join(grouped, "sketch_id", "left").select(*sketches.columns, F.coalesce(bare, F.array().cast(f"array<{_KMER}>")).alias("minmers"))
 
 
-def plain(nested: DataFrame) -> list[dict]:
-    """Sketches on the driver, for a file that holds them all; in order of their ids."""
-    out = []
-    for r in nested.orderBy("sketch_id").collect():
+def each(nested: DataFrame):
+    """Sketches on the driver in order of their ids, a partition's at a time."""
+    for r in nested.orderBy("sketch_id").toLocalIterator():
         rows = [(m["hash"] % (1 << 64), m["kmer"] or "", m["count"], m["extra_count"], None if m["label"] is None else bytes(m["label"])) for m in r["minmers"]]
-        out.append(formats.sketch(r["name"], rows, SketchParams.of(r["sketch_params"]), FilterParams.of(r["filter_params"]), r["seq_length"], r["num_valid_kmers"], r["comment"] or ""))
-    return out
+        yield formats.sketch(r["name"], rows, SketchParams.of(r["sketch_params"]), FilterParams.of(r["filter_params"]), r["seq_length"], r["num_valid_kmers"], r["comment"] or "")
+
+
+def plain(nested: DataFrame) -> list[dict]:
+    """Sketches on the driver, for a file that holds them all; save_tables() is the way for many."""
+    return list(each(nested))
 
 
 def write_sketches(nested: DataFrame, path: str | None, ending: str | None = None) -> str | None:
@@ -85,6 +88,12 @@ def write_sketches(nested: DataFrame, path: str | None, ending: str | None = Non
     return put(formats.write_any("x" + ending, plain(nested)), path, ending)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of files dealt out over all cores, where they have fewer row groups than there are cores; larger ones stay."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def held(df: DataFrame) -> DataFrame:
     """df, made once: written below spark.checkpoint.dir where that is set, kept by the executors (and made anew where one
     is lost) where it isn't."""

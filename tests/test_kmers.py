@@ -58,7 +58,7 @@ def test_case_uracil_and_white_space():
 
 def test_columns(spark):
     row = spark.createDataFrame([("ac gu.~rN\n", "aé", None)], "s string, t string, n string").select(
-        kmers.normalise(F.col("s")).alias("s"), kmers.reverse_complement(F.lit("AACGN")).alias("r"), kmers.bases_of_text(F.col("t")).alias("t"), kmers.bases_of_text(F.col("n")).alias("n")
+        kmers.normalise(F.col("s")).alias("s"), kmers.reverse_complement(F.lit("AACGN")).alias("r"), kmers.letters(kmers.bases_of_text(F.col("t"))).alias("t"), kmers.letters(kmers.bases_of_text(F.col("n"))).alias("n")
     ).first()
     want = "".join("ACGT"[d // 4] + "ACGT"[d % 4] for b in "aé".encode() for d in (b >> 4, b & 15))
     assert tuple(row) == ("ACGT--NN", "NCGTT", want, "")
@@ -72,3 +72,29 @@ def test_blocks_hold_every_window_once():
             got = np.concatenate([kmers.canonical(b, k, 0)[0] for b in kmers.blocks(code, k, size)])
             assert got.tolist() == kmers.canonical(code, k, 0)[0].tolist()
     assert list(kmers.blocks(code[:3], 4)) == []
+
+
+def test_packed_bases_are_the_same_sequence(spark):
+    """Binary sequences against their letters, through sketches and totals."""
+    from strandmill.operators import sketching
+    from strandmill.params import ALL, MASH, SketchParams
+
+    rng = random.Random(6)
+    rows = [("ab"[i % 2], bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 5, 6, 40])))) for i in range(60)] + [("a", None)]
+    packed = spark.createDataFrame(rows, "sample string, seq binary")
+    text = packed.withColumn("seq", kmers.letters(F.col("seq")))
+    for p in (SketchParams(MASH, 50, 50, True), SketchParams(ALL, kmer_length=4), SketchParams(ALL, kmer_length=11)):
+        got, want = (sorted(map(tuple, sketching.minmers(d, p).collect())) for d in (packed, text))
+        assert got == want and got
+        assert sorted(map(tuple, sketching.totals(packed, p).collect())) == sorted(map(tuple, sketching.totals(text, p).collect()))
+
+
+def test_reversed_packed_and_texts(spark):
+    rng = np.random.default_rng(1)
+    for k in (1, 3, 4, 8, 21, 31, 32):
+        code = rng.integers(0, 4, 200).astype(np.uint8)
+        _, f, r = kmers.packed(code, k)
+        assert (kmers.reversed_packed(f, k) == r).all()
+        rows = [(int(x),) for x in f.view(np.int64)]
+        got = [x[0] for x in spark.createDataFrame(rows, "v bigint").select(kmers.text_of_packed(F.col("v"), k)).collect()]
+        assert got == kmers.unpacked(f, k)

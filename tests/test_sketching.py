@@ -69,7 +69,7 @@ def test_small_chunks_keep_counts_exact(spark, monkeypatch):
     monkeypatch.setattr(sketching, "_CHUNK", 500)
     c = {}
     for s, _, seq in rows:
-        c.setdefault(s, sketching._Counter(p)).add(seq.encode())
+        c.setdefault(s, sketching._Counter(p)).add(seq)
     want = brute_counts(rows, 6, 0)
     for s, x in c.items():
         x.flush()
