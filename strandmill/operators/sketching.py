@@ -183,9 +183,9 @@ def capped(c: Column) -> Column:
     return F.least(c, F.lit(U32))
 
 
-def smallest(counted: DataFrame, n: int, by: str = "sample") -> DataFrame:
+def smallest(counted: DataFrame, n: int, by: str = "sample", order: Column | None = None) -> DataFrame:
     """The n smallest hashes of each group; Spark limits each group before the exchange, too."""
-    return counted.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(hash_ord()))).where(F.col("_rn") <= n).drop("_rn")
+    return counted.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(hash_ord() if order is None else order))).where(F.col("_rn") <= n).drop("_rn")
 
 
 def all_counts(sequences: DataFrame, k: int) -> DataFrame:
@@ -248,12 +248,13 @@ def picked(counted: DataFrame, params: SketchParams) -> DataFrame:
     """The rows of each sample's sketch out of its counts: the smallest, and for a scaled sketch all up to its limit."""
     if params.scheme != SCALED:
         return smallest(counted, params.kmers_to_sketch)
-    # the top k is its own branch, which Spark can limit early; the rest is a plain filter above each sample's k-th
-    low = hash_ord() <= ordered(params.limit)
-    few = smallest(counted, params.kmers_to_sketch)
-    last = few.groupBy("sample").agg(F.max(hash_ord()).alias("_last"))
-    more = counted.where(low).join(last, "sample", "left").where(F.col("_last").isNull() | (hash_ord() > F.col("_last"))).drop("_last")
-    return few.unionByName(more)
+    # the top k is its own branch, which Spark can limit early; the rest is a plain filter above each sample's k-th. All
+    # branches take all columns of one aggregation, and the order from a column of it, so that it runs once
+    rows = counted.groupBy("sample", "hash").agg(F.max(hash_ord()).alias("_o"), *[F.max(c).alias(c) for c in ("kmer", "count", "extra_count")])
+    few = smallest(rows, params.kmers_to_sketch, order=F.col("_o"))
+    last = few.groupBy("sample").agg(F.max(F.struct("_o", "hash", "kmer", "count", "extra_count")).alias("_last")).select("sample", F.col("_last._o").alias("_last"))
+    more = rows.where(F.col("_o") <= ordered(params.limit)).join(last, "sample", "left").where(F.col("_last").isNull() | (F.col("_o") > F.col("_last"))).drop("_last")
+    return few.unionByName(more).drop("_o")
 
 
 def _valid(k: int):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from ..params import max_hash
+from .file_queries import KEPT, TRIMMED
 from .queries import DOC_MASHED, FILTERS, LONG, MASHED, SCALING, SHORT, SMALL_SCALE
 
 
@@ -157,6 +160,40 @@ def _pipeline() -> str:
 _L, _S, _LANG, _DOC = _base(LONG, "source"), _base(SHORT, "source"), _base(LONG, "lang"), _base(SHORT, "doc_id")
 
 _ALL = "'all'"
+_LETTERS = "SELECT doc_id, source, {} AS seq FROM documents".format(_encoded())
+_HEX = "hex(encode(coalesce(text, '')))"
+_NORMAL = f"regexp_replace(regexp_replace(translate(upper({_HEX} || ' u.~' || chr(10) || lower({_HEX})), 'U.~', 'T--'), '\\s', '', 'g'), '[^ACGTN-]', 'N', 'g')"
+_FILES = f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, CAST(length(seq) AS BIGINT) AS n_bases, md5(seq) AS seq_md5, '{{}}' AS format FROM ({_LETTERS})"""
+_FACTS = """SELECT row_number() OVER (ORDER BY sample) - 1 AS sketch_id, sample, seq_length, num_valid_kmers"""
+
+
+def _file_oracles(totals: str) -> dict[str, str]:
+    """Of the queries through files, collections and the command line."""
+    small = lambda n: replace(MASHED, kmers_to_sketch=n, final_size=n)
+    rows = f"{_ROWS} FROM r"
+    low, high, strand = KEPT.abun_low, KEPT.abun_high, KEPT.strand_filter
+    dense = _DENSE.format(src="r", level=0.0)
+    return {
+        "fasta_scan": _FILES.format("fasta"),
+        "fastq_scan": _FILES.format("fastq") + " WHERE length(seq) > 0",
+        "normalised": f"SELECT doc_id, md5(s) AS seq_md5, md5(reverse(translate(s, 'ACGT', 'TGCA'))) AS rc_md5 FROM (SELECT doc_id, {_NORMAL} AS s FROM documents)",
+        "native_files": f"{_S}\n{rows}",
+        "json_files": f'{_S}\nSELECT sample, CAST(h AS VARCHAR) AS hash, kmer, n AS "count" FROM r',
+        "mash_files": f'{_smallest("source", small(300))}\nSELECT sample, CAST(h AS VARCHAR) AS hash, n AS "count" FROM r',
+        "sketch_facts": f"{_FACTS}, false AS filter_on, CAST(1 AS BIGINT) AS abun_low, CAST({MASHED.kmers_to_sketch} AS BIGINT) AS kmers_to_sketch, CAST({MASHED.kmer_length} AS BIGINT) AS kmer_length FROM ({totals})",
+        "trimmed": f"{_smallest('source', small(TRIMMED.final_size))}\n{rows}",
+        "filtered_sketches": f"{_S}\n{rows} WHERE n BETWEEN {low} AND {high} AND (n < 16 OR least(extra, n - extra) / CAST(n AS DOUBLE) >= {strand})",
+        "collection_edit": """
+WITH s AS (SELECT DISTINCT source AS sample FROM documents), f AS (SELECT min(sample) AS sample FROM s WHERE sample <> 'src3'),
+a AS (SELECT sample, 0 AS part FROM s WHERE sample <> 'src3' AND sample <> (SELECT sample FROM f) UNION ALL SELECT sample, 1 FROM s WHERE sample IN ('src3', 'src5'))
+SELECT sample, CAST(row_number() OVER (ORDER BY part, sample) AS INTEGER) AS place FROM a""",
+        "cli_dist": _smallest("source", small(500)) + _distances(k=MASHED.kmer_length) + "\nSELECT * FROM x",
+        "cli_hist": f"{_smallest('source', small(500))}{dense}\nSELECT sample, string_agg(CAST(n AS VARCHAR), ',' ORDER BY i) AS hist FROM h GROUP BY 1",
+        "mixed_load": f"""{_smallest('source', small(300))}
+{rows} UNION ALL SELECT 'file ' || sample, CAST(h AS VARCHAR), kmer, n, extra FROM r WHERE sample = (SELECT min(sample) FROM r)""",
+    }
+
 
 ORACLES = {
     "allcounts_k4": f"{_S}\n{_ROWS} FROM r",
@@ -204,3 +241,4 @@ SELECT CAST(source AS VARCHAR) AS sample, CAST(sum(4 * octet_length(encode(coale
     "scaled_distance": _smallest("source", SCALING) + _distances(k=SCALING.kmer_length, scale=SCALING.scale) + "\nSELECT * FROM x",
     "set_counts": _base(SHORT, "lang") + """\nSELECT CAST(h AS VARCHAR) AS hash, kmer, n // 1000 AS "count", extra AS extra_count FROM r WHERE sample = 'en' AND n // 1000 > 0""",
 }
+ORACLES |= _file_oracles(ORACLES["totals"])

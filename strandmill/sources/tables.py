@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -94,17 +96,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df, made once: written below spark.checkpoint.dir where that is set, kept by the executors (and made anew where one
-    is lost) where it isn't."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A path of one's own below spark.checkpoint.dir, which goes when the session ends; where that is unset, on a local
+    master only, in a folder of this machine."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        return df.persist()
+        if not sc.master.startswith("local"):
+            raise SketchError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), f"strandmill-{sc.applicationId}")
     path = f"{folder.rstrip('/')}/strandmill/{uuid.uuid4().hex}"
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df, made once: written below spark.checkpoint.dir where that is set, kept by the executors (and made anew where one
+    is lost) where it isn't."""
+    spark = df.sparkSession
+    if not (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()):
+        return df.persist()
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

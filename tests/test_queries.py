@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from strandmill.plans import oracles, queries
+from strandmill.plans import file_queries, oracles, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,7 +21,7 @@ def shown(v):
 def test_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    got = queries.QUERIES[name](spark, SF)
+    got = __spark_entry__.queries()[name](spark, SF)
     cur = con.execute(oracles.ORACLES[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(got.columns)
@@ -31,7 +31,7 @@ def test_sql(spark, name):
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["sample", "hash", "kmer", "count", "extra_count"] and df.count() == 20_000
-    assert set(queries.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert set(queries.QUERIES) | set(file_queries.QUERIES) == set(oracles.ORACLES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
 @pytest.mark.parametrize("blocked", ["strandmill.llm", "xxhash", "corpus_pipeline"])
