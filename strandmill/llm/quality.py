@@ -3,9 +3,9 @@
 A text is its counts of hashed byte n-grams (3 and 5 bytes) and of a few ranges of its shape
 (repetition, capitals, signs, digits), damped and weighted by inverse document frequency; the
 leading singular vectors of a bounded sample of labelled rows take it to a latent-semantic
-vector. The labelled vectors (at most FIT_ROWS x DIMS floats) go to
-every task, which computes the cosine of every document with every one of them in blocks and
-lets the labels vote, weighted by a power of the similarity.
+vector. The labelled vectors (at most FIT_ROWS x DIMS floats) are broadcast; every task computes
+the cosine of every document with every one of them in blocks, and the labels of the NEIGHBOURS
+nearest vote, weighted by a power of the similarity.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ FIT_ROWS = 2048
 #: Hashed n-gram features, and latent dimensions.
 BINS = 2048
 DIMS = 48
-#: A neighbour's vote is its cosine to this power.
-POWER = 8
+#: How many of the nearest labelled vectors vote, with those as near as the last; a vote is the cosine to this power.
+NEIGHBOURS = 32
+POWER = 4
 #: Upper ends of the ranges of each shape share, and a shape feature's count for each n-gram of the text.
 EDGES = (0.0, 0.01, 0.03, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8, 0.95)
 SHAPES = 7
@@ -112,7 +113,9 @@ class Model:
             x = self.latent(np.stack([counts(t) for t in texts[at : at + BLOCK]]))
             # the power, taken relative to the nearest, never underflows to no vote at all
             sim = np.maximum(x @ self.vectors.T, 1e-6)
-            w = (sim / sim.max(axis=1, keepdims=True)) ** POWER * self.vote
+            last = max(0, sim.shape[1] - NEIGHBOURS)
+            near = sim >= np.partition(sim, last, axis=1)[:, last : last + 1]
+            w = np.where(near, (sim / sim.max(axis=1, keepdims=True)) ** POWER * self.vote, 0.0)
             out[at : at + BLOCK] = w[:, self.labels == 1].sum(1) / w.sum(1)
         return np.clip(out, 0.0, 1.0)
 
@@ -148,10 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(idf, basis, _unit(x @ basis).astype(np.float32), y)
 
 
-def _scored(model: Model, at: int, name: str):
+def _scored(model, at: int, name: str):
     def run(batches):
         for b in batches:
-            s = model.score([t or "" for t in b.column(at).to_pylist()])
+            s = model.value.score([t or "" for t in b.column(at).to_pylist()])
             yield pa.record_batch([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
 
     return run
@@ -160,7 +163,8 @@ def _scored(model: Model, at: int, name: str):
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
     """docs with a column of that name, from the text alone; null texts count as empty. No column of docs may have the name."""
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scored(model, docs.columns.index(text_col), name), f"{names}, `{name}` double")
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: FIT_ROWS and DIMS
+    return docs.mapInArrow(_scored(sent, docs.columns.index(text_col), name), f"{names}, `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

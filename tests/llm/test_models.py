@@ -17,7 +17,8 @@ def brute_nearest(rows, queries, k, dim):
     good = {}
     for i, v in rows:
         if i is not None and v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v) and any(v):
-            good.setdefault(i, np.array(v, dtype=np.float64))
+            good[i] = min(good.get(i, list(v)), list(v))
+    good = {i: np.array(v, dtype=np.float64) for i, v in good.items()}
     out = {}
     for q in queries:
         if q in good:
@@ -39,6 +40,7 @@ def test_nearest_exact_where_all_lists_are_probed(spark):
     rows = [(i, [rng.gauss(0, 1) * (1 + i % 5) for _ in range(6)]) for i in range(300)]
     rows += [(1000 + i, rows[7][1]) for i in range(150)]  # a third are copies of one vector
     rows += [(2000, None), (2001, [0.0] * 6), (2002, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2003, [float("nan")] * 6), (2004, [float("inf")] * 6), (2005, []), (None, [1.0] * 6), (2006, [1.0, 2.0]), (3, rows[3][1])]
+    rows += [(60, [-50.0] * 6), (61, [-50.0] * 6), (80, [50.0] * 6), (80, rows[80][1])]  # ids with several vectors
     df = spark.createDataFrame([(i, v, "x", 1, 2) for i, v in rows], "vec_id long, embedding array<double>, id string, q int, key long").repartition(5)
     how = ann.Index(lists=9, share=1.0, rows=64, eps=100.0, width=2)
     got = answers(ann.search(df, df.where("vec_id % 20 = 0"), how=how))
@@ -100,9 +102,52 @@ def test_votes_are_exact():
         x = model.latent(quality.counts(t)[None])[0].astype(float)
         sim = np.maximum(vectors.astype(float) @ x, 1e-6)
         w = (sim / sim.max()) ** quality.POWER * np.where(labels == 1, 1 / 30, 1 / 10)
+        w[np.argsort(sim)[: -quality.NEIGHBOURS]] = 0
         assert abs(w[labels == 1].sum() / w.sum() - s) < 1e-4
 
 
+def slow_counts(text):
+    """Every n-gram by itself."""
+    out = np.zeros(quality.BINS)
+    d = b"\x01\x02" + text.encode() + b"\x02\x01\x01"
+    for i in range(len(d) - 4):
+        three = (d[i] * 65599 + d[i + 1] * 2053 + d[i + 2] * 17) % 2**32
+        for h in (three, (three * 40503 + d[i + 3] * 9176263 + d[i + 4] * 131071) % 2**32):
+            out[(h * 2654435761 % 2**32) * quality.BINS >> 32] += 1
+    own = np.zeros((quality.SHAPES, len(quality.EDGES) + 1))
+    for i, x in enumerate(quality.shapes(text)):
+        own[i, sum(e < x for e in quality.EDGES)] = quality.SHAPE_WEIGHT * len(d)
+    return np.concatenate([out, own.ravel()])
+
+
+def test_registered_quality_query(spark):
+    """The whole query against brute force: which rows teach, their features, weights, the exact singular vectors, the votes."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in texts}
+    teach = [i for i, y in marks.items() if y in (0, 1) and i in texts and not held[i]]
+    assert max(sum(marks[i] == y for i in teach) for y in (0, 1)) <= quality.FIT_ROWS // 2
+    raw = {i: slow_counts(t) for i, t in texts.items()}
+    idf = np.log((1 + len(teach)) / (1 + sum(raw[i] > 0 for i in teach))) + 1
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-12)
+    x = {i: unit(np.sqrt(c) * idf) for i, c in raw.items()}
+    _, _, v = np.linalg.svd(np.stack([x[i] for i in teach]), full_matrices=False)
+    latent = {i: unit(v[: quality.DIMS] @ y) for i, y in x.items()}
+    share = {y: 1 / sum(marks[i] == y for i in teach) for y in (0, 1)}
+    known = np.stack([latent[i] for i in teach])
+    far = 0
+    for r in __spark_entry__.queries()["op5_quality"](spark, sf).collect():
+        i = r["doc_id"]
+        sim = np.maximum(known @ latent[i], 1e-6)
+        near = np.argsort(-sim)[: quality.NEIGHBOURS]
+        w = [(sim[n] / sim.max()) ** quality.POWER * share[marks[teach[n]]] for n in near]
+        want = sum(x for x, n in zip(w, near, strict=True) if marks[teach[n]] == 1) / sum(w)
+        far += abs(r["score"] - want) > 0.02  # the last neighbours may change places
+        assert abs(r["score"] - want) < 0.15 and r["held_out"] == held[i] and r["predicted"] == (r["score"] >= 0.5)
+    assert far <= 0.03 * len(texts)
+
+
 def test_counts_of_long_texts_add_up(monkeypatch):
     t = "äb cde " * 500
     whole = quality.counts(t)
