@@ -1,11 +1,13 @@
-"""Exact dedup: a tree merge of digest runs by hash aggregation, in DataFrame operations only.
+"""Exact dedup: a tree merge of digest runs, in DataFrame operations only.
 
 Every row gives one digest of its normalised text. The rows of a run (an input partition,
 modulo RUNS) collapse to one entry per digest: the identifier that stays and the number of
-rows. Binomial rounds then merge run 2i with run 2i+1 until one run remains; every round
-groups equal keys, so a hot digest brings at most one entry per run into a round. The runs aren't
-sorted: a hash aggregation on (run, key) stands in for the sorted multiway merge. The answer
-goes back down by (run, digest), which deals a hot digest out over the runs.
+rows. Rounds then merge FAN runs into one until one run remains. In a round the entries are
+exchanged by (run, digest), so a run is spread over tasks, sorted within them, and a sort
+aggregation passes over the merged order and keeps the smallest identifier; a hot digest brings
+at most one entry per run into a round. Spark sorts what it has exchanged instead of merging
+what came sorted. The answer goes back down by (run, digest), which deals a hot digest out over
+the runs.
 
 Verified: a key is digest, a second independent hash and the normalised length, so entries
 merge only where all three agree.
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ._work import SPACES, durable, text_of
 
-#: Leaf runs; the tree has log2(RUNS) rounds, at any size of the input.
-RUNS = 64
+#: Leaf runs, and runs that a round merges into one: three rounds, at any size of the input.
+RUNS, FAN = 64, 4
 KEY = ["_digest", "_check", "_len"]
 
 
@@ -55,7 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     runs = level0 = _merged(entries, "_run")
     width = RUNS
     while width > 1:
-        runs, width = _merged(runs.withColumn("_run", F.expr("cast(_run div 2 as int)")), "_run"), width // 2
+        runs, width = _merged(runs.withColumn("_run", F.expr(f"cast(_run div {FAN} as int)")), "_run"), width // FAN
     root = runs.select(*KEY, "_best", "_size")
     down = level0.select("_run", *KEY).join(root, KEY)
     return leaf.join(down, ["_run", *KEY]).select(
