@@ -37,6 +37,11 @@ _TABLE = bytes.maketrans((UPPER + "\t\n\x0b\x0c\r").encode(), (LOWER + " " * 5).
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def _salt() -> Column:
+    """Deals out rows of one fingerprint, or of one id, over the ways back to them."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(64))
+
+
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """Unsigned SimHash of the word shingles, repeats included; 0 for a text without words."""
     words = text.encode().translate(_TABLE).split(b" ")
@@ -239,10 +244,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     Nulls and wordless texts have the empty set. Rows with a null id take no part; rows that share an id are one document,
     which links with all that any of them links with. Other columns are ignored; an empty table gives no rows."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(F.col(text_col)).alias("text"))
-    rows = durable(texts.mapInArrow(_points(shingle), "id long, k1 long, k2 long, points array<long>"), "wide")
+    rows = durable(texts.mapInArrow(_points(shingle), "id long, k1 long, k2 long, points array<long>").withColumn("salt", _salt()), "wide")
     key = ["k1", "k2"]
     # equal sets are one node, named by the smallest id, and go back by salt
-    salted = rows.select("id", *key, F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
+    salted = rows.select("id", *key, "salt")
     part = durable(salted.groupBy(*key, "salt").agg(F.min("id").alias("low")), "wide-salts")
     nodes = durable(part.groupBy(*key).agg(F.min("low").alias("node")), "wide-nodes")
     members = part.join(nodes, key).select(*key, "salt", "node")
@@ -372,9 +377,8 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     with a null id get their component, but never name one unless all its ids are null.
     Repeated rows each come back. An empty table gives no rows; other columns are ignored.
     """
-    rows = durable(fingerprints(docs, id_col, text_col, shingle), "fps")
-    # a hot fingerprint has one entry here, and one per salt on the way back
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    # a hot fingerprint has one entry below, and one per salt on the way back; the salt is written, so it stays what it is
+    salted = durable(fingerprints(docs, id_col, text_col, shingle).withColumn("salt", _salt()), "fps")
     part = durable(salted.groupBy("fp", "salt").agg(F.min("id").alias("low")), "salts")
     nodes = durable(part.groupBy("fp").agg(F.min("low").alias("low")), "nodes")
     linked = durable(links(nodes.select("fp"), radius, bucket), "links")

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from strandmill.llm import exact_dedup, line_dedup, simhash
 
 from .conftest import TEXTS
@@ -176,10 +177,11 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
 
 
-def test_simhash_whole_table(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = [(r["doc_id"], brute_fingerprint(r["text"])) for r in docs.collect()]
-    check_components(rows, simhash.near_dups(docs).collect(), 2)
+def test_registered_simhash_query(spark):
+    """The whole query against brute force."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], brute_fingerprint(r["text"])) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    check_components(rows, __spark_entry__.queries()["op2_simhash"](spark, sf).collect(), 2)
 
 
 def shingles(text, k=5):
