@@ -148,6 +148,17 @@ def test_pieces_are_lossless(spark, edge, empty):
     assert pieces.sample_pieces(empty, PIECES).count() == 0
 
 
+def test_plain_pieces(spark, edge, empty):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = pieces.encode_pieces(edge, PIECES)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got.collect()) == Counter((i, tuple(sp.encode(t or ""))) for i, t in TEXTS)
+    back = pieces.decode_pieces(got, PIECES)
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((i, t or "") for i, t in TEXTS)
+    assert pieces.encode_pieces(empty, PIECES).count() == 0
+
+
 def test_pieces_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     one = sorted(map(tuple, pieces.sample_pieces(docs.coalesce(1), PIECES).collect()))
@@ -359,7 +370,7 @@ def test_pipeline_stages_take_edges(spark, edge, empty):
     names = ["_score", "_text", "_kept", "_n_lines", "_row", "keep", "bitmap", "label", "_id"]
     extra = edge.withColumn("n_chars", F.length("text").cast("long"))
     for n in names:
-        extra = extra.withColumn(n, F.lit(n) if n in edge.columns or n != "_id" else F.lit(1))
+        extra = extra.withColumn(n, F.lit(n))
     stages = dict(corpus_pipeline.STAGES)
     for stage in stages.values():
         assert stage(spark, extra.limit(0), sf).count() == 0 and stage(spark, empty, sf).count() == 0
