@@ -49,6 +49,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of files dealt out over all cores, where they have fewer row groups than there are cores; larger ones stay."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(n) if scan.rdd.getNumPartitions() < n else scan
+
+
 def free(columns: list[str], name: str) -> str:
     """name, or name with as many underscores after it as keep it apart from the columns."""
     taken = {c.lower() for c in columns}

@@ -14,7 +14,11 @@ from . import secrets as _secrets
 from . import simhash as _simhash
 from . import token_shards as _shards
 from . import url_rules as _urls
-from ._work import new_path, table, vocabulary
+from ._work import new_path, spread, table, vocabulary
+
+
+def _documents(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_adaptive_scan(spark, sf_dir):
@@ -23,20 +27,20 @@ def op1_adaptive_scan(spark, sf_dir):
 
 
 def op2_simhash(spark, sf_dir):
-    return _simhash.near_dups(table(spark, sf_dir, "documents"))
+    return _simhash.near_dups(_documents(spark, sf_dir))
 
 
 def op3_secrets(spark, sf_dir):
-    return _secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return _secrets.find_secrets(_documents(spark, sf_dir))
 
 
 def op4_line_dedup(spark, sf_dir):
-    out = _lines.line_dedup(table(spark, sf_dir, "documents"), digest=True)
+    out = _lines.line_dedup(_documents(spark, sf_dir), digest=True)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_kept").alias("kept_sha256"))
 
 
 def op5_quality(spark, sf_dir):
-    return _quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return _quality.classify(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op6_token_shards(spark, sf_dir):
@@ -46,7 +50,7 @@ def op6_token_shards(spark, sf_dir):
 
 
 def op7_sampled_pieces(spark, sf_dir):
-    return _pieces.sample_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return _pieces.sample_pieces(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
 def op8_exact_dedup(spark, sf_dir):
@@ -59,7 +63,7 @@ def op9_url_rules(spark, sf_dir):
 
 
 def op10_packing(spark, sf_dir):
-    return _packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return _packing.pack(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES = {
