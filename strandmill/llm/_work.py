@@ -50,9 +50,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan of files dealt out over all cores, where they have fewer row groups than there are cores; larger ones stay."""
+    """A scan of files dealt out over all cores, where three quarters of them and more would have none; larger ones stay."""
     n = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(n) if scan.rdd.getNumPartitions() < n else scan
+    return scan.repartition(n) if 4 * scan.rdd.getNumPartitions() <= n else scan
 
 
 def free(columns: list[str], name: str) -> str:
