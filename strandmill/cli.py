@@ -7,7 +7,6 @@ import json
 import math
 import os
 import sys
-from dataclasses import replace
 
 from pyspark.sql import SparkSession
 

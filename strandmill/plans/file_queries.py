@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import api, cli
 from ..functions import kmers as K
@@ -111,29 +111,15 @@ def collection_edit(spark, sf_dir):
     """A sketch taken out, one put behind the others, one named twice."""
     c = _complete(spark, sf_dir)
     out = c.without("src3").without(0).add(c.filter_to_names(["src3", "src5"]))
-    places = out.sketches.select(F.col("name").alias("sample"), F.row_number().over(_by_id()).alias("place"))
-    return places
+    return out.sketches.select(F.col("name").alias("sample"), F.row_number().over(Window.orderBy("sketch_id")).alias("place"))  # a row a sketch
 
 
-def _by_id():
-    from pyspark.sql.window import Window
-
-    return Window.orderBy("sketch_id")  # a row a sketch
-
-
-def _genomes(spark, sf_dir) -> tuple[list[str], str]:
-    """One FASTA file a source, in a folder of the driver's machine, as the command line takes them."""
+def _genomes(spark, sf_dir) -> list[str]:
+    """One FASTA file a source."""
     path = scratch(spark)
     rows = _letters(spark, sf_dir).where(F.length("seq") > 0)
     rows.select("source", F.concat(F.lit(">"), "id", F.lit("\n"), "seq").alias("value")).repartition("source").write.partitionBy("source").text(path)
-    found = sorted(f for _, f in ((0, x.toString()) for _, x in _below(spark, path)))
-    return found, path
-
-
-def _below(spark, path):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [x for s in fs.listStatus(at) if s.isDirectory() for x in S.files_at(spark, s.getPath().toString())]
+    return sorted(f.toString() for _, f in S.files_at(spark, f"{path}/source=*"))
 
 
 def _source(path: str) -> str:
@@ -142,7 +128,7 @@ def _source(path: str) -> str:
 
 def _command(spark, sf_dir, *options: str) -> str:
     """The output of a command over the sources' files."""
-    files, _ = _genomes(spark, sf_dir)
+    files = _genomes(spark, sf_dir)
     out = scratch(spark) + ".json"
     if cli.run([options[0], *[f if "://" in f else f.replace("file:/", "file:///", 1) for f in files], *options[1:], "-n", "500", "-o", out], spark):
         raise RuntimeError("the command failed")
@@ -165,7 +151,7 @@ def cli_hist(spark, sf_dir):
 
 def mixed_load(spark, sf_dir):
     """A sketch file of all sources and one more sequence file, which takes the sketches' parameters."""
-    files, _ = _genomes(spark, sf_dir)
+    files = _genomes(spark, sf_dir)
     path = scratch(spark) + ".bsk"
     api.sketch_sequences(sequences(spark, sf_dir), SketchParams(MASH, 300, 300)).save(path)
     c = api.load(spark, [path, files[0]])

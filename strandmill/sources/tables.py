@@ -91,9 +91,9 @@ def write_sketches(nested: DataFrame, path: str | None, ending: str | None = Non
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of files dealt out over all cores, where they have fewer row groups than there are cores; larger ones stay."""
+    """A scan of files dealt out over all cores, where three quarters of them and more would have none; larger ones stay."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    return df.repartition(n) if 4 * df.rdd.getNumPartitions() <= n else df
 
 
 def scratch(spark: SparkSession) -> str:
