@@ -50,9 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan of files dealt out over all cores, where three quarters of them and more would have none; larger ones stay."""
+    """A scan of files too small for their row groups to keep all cores busy (at most 4 MiB a core, Spark's smallest split)
+    dealt out over the cores; larger ones stay as they are."""
     n = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(n) if 4 * scan.rdd.getNumPartitions() <= n else scan
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return scan.repartition(n) if size <= n << 22 else scan
 
 
 def free(columns: list[str], name: str) -> str:
