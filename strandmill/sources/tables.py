@@ -91,9 +91,11 @@ def write_sketches(nested: DataFrame, path: str | None, ending: str | None = Non
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of files dealt out over all cores, where three quarters of them and more would have none; larger ones stay."""
+    """A scan of files too small for their row groups to keep all cores busy (at most 4 MiB a core, Spark's smallest split)
+    dealt out over the cores; larger ones stay as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if 4 * df.rdd.getNumPartitions() <= n else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(n) if size <= n << 22 else df
 
 
 def scratch(spark: SparkSession) -> str:
