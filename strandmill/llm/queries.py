@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from . import ann as _ann
 from . import exact_dedup as _exact
+from . import hard_negatives as _hard
+from . import licenses as _licenses
 from . import line_dedup as _lines
 from . import packing as _packing
 from . import pieces as _pieces
@@ -14,6 +16,7 @@ from . import secrets as _secrets
 from . import simhash as _simhash
 from . import token_shards as _shards
 from . import url_rules as _urls
+from . import vector_codes as _codes
 from ._work import new_path, spread, table, vocabulary
 
 
@@ -66,6 +69,19 @@ def op10_packing(spark, sf_dir):
     return _packing.pack(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_license_scan(spark, sf_dir):
+    return _licenses.scan(_documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return _hard.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=moved)
+
+
+def op13_vector_codes(spark, sf_dir):
+    return _codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_adaptive_scan": op1_adaptive_scan,
     "op2_simhash": op2_simhash,
@@ -77,10 +93,74 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_rules": op9_url_rules,
     "op10_packing": op10_packing,
+    "op11_license_scan": op11_license_scan,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _SP = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _license_sql() -> str:
+    """Blocks and templates by brute force: all pairs of one size."""
+    found = _licenses.templates_of()
+    terms = ", ".join(f"({i}, '{t.label}', {t.size}, {t.need}, {len(t.words)}, {sorted(t.words)})" for i, t in enumerate(found))
+    base = " UNION ALL ".join(
+        f"SELECT a0.doc_id, a0.p, '{label}' AS label FROM " + " JOIN ".join(f"n a{i}" + (f" ON a{i}.doc_id = a0.doc_id AND a{i}.p = a0.p + {i} AND a{i}.w = '{w}'" if i else "") for i, w in enumerate(ws)) + f" WHERE a0.w = '{ws[0]}'"
+        for phrase, label in _licenses.PHRASES
+        for ws in [_licenses.words(phrase)]
+    )
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM d),
+t AS (SELECT * FROM (VALUES {terms}) AS v(i, label, size, need, n, ws)),
+tw AS (SELECT i, label, size, need, n, unnest(ws) AS w FROM t),
+n AS MATERIALIZED (SELECT * FROM u WHERE w IN (SELECT w FROM tw) OR w IN ('general', 'public', 'license', 'mit', 'apache')),
+k AS (SELECT DISTINCT doc_id, size, b, w FROM (SELECT doc_id, s.size, unnest([p // s.size, p // s.size - 1]) AS b, w FROM n, (SELECT DISTINCT size FROM t) s) WHERE b >= 0),
+m AS (SELECT doc_id, label, count(*) / CAST(any_value(n) AS DOUBLE) AS share FROM k JOIN tw USING (size, w) GROUP BY doc_id, label, i, k.size, b HAVING count(*) >= any_value(need)),
+ml AS (SELECT doc_id, max(share) AS share FROM m GROUP BY 1),
+bp AS ({base}),
+bs AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM bp GROUP BY 1),
+al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM bp UNION ALL SELECT doc_id, label FROM m) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN ml USING (doc_id)"""
+
+
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+_NEGATIVES_SQL = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3"""
+
+
+def _codes_sql(parts: int = 4, rounds: int = 4, entries: int = 256) -> str:
+    """Every distance of every round."""
+    measured = "SELECT vec_id, p, arg_min(i, (far, i)) AS i, min(far) AS far FROM (SELECT x.vec_id, x.p, c.i, list_sum(list_transform(list_zip(x.e, c.e), lambda y: (y[1] - y[2]) * (y[1] - y[2]))) AS far FROM x JOIN {} c USING (p)) GROUP BY ALL"
+    steps = []
+    for r in range(rounds):
+        steps += [
+            f"a{r} AS MATERIALIZED ({measured.format(f'c{r}')})",
+            f"u{r} AS (SELECT p, i, pos, floor(sum(y) / CAST(count(*) AS DOUBLE))::BIGINT AS y FROM (SELECT a.p, a.i, unnest(x.e) AS y, generate_subscripts(x.e, 1) AS pos FROM a{r} a JOIN x USING (vec_id, p)) GROUP BY ALL)",
+            f"c{r + 1} AS MATERIALIZED (SELECT c.p, c.i, coalesce(n.e, c.e) AS e FROM c{r} c LEFT JOIN (SELECT p, i, list(y ORDER BY pos) AS e FROM u{r} GROUP BY ALL) n USING (p, i))",
+        ]
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings WHERE {_FINITE}),
+x AS MATERIALIZED (SELECT vec_id, p, e[p * len(e) // {parts} + 1 : (p + 1) * len(e) // {parts}] AS e FROM v, (SELECT unnest(range({parts})) AS p)),
+c0 AS MATERIALIZED (SELECT p, i, e FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM v QUALIFY i < {entries}) USING (vec_id)),
+{', '.join(steps)},
+z AS ({measured.format(f'c{rounds}')}),
+o AS (SELECT vec_id, any_value(label) AS label, string_agg(lower(printf('%02x', i)), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM z JOIN v USING (vec_id) GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, i)) FROM c{rounds}) AS codebooks_sha256 FROM o"""
+
+
 ORACLES = {
     "op4_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -95,4 +175,7 @@ FROM j GROUP BY doc_id""",
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len, sha256(translate(coalesce(text, ''), {_SP}, '')) AS text_sha256 FROM documents),
 w AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY len DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w""",
+    "op11_license_scan": _license_sql(),
+    "op12_hard_negatives": _NEGATIVES_SQL,
+    "op13_vector_codes": _codes_sql(),
 }
