@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from itertools import combinations
 
@@ -176,9 +177,9 @@ def brute_url(url):
 
 def test_url_rules(spark):
     df = spark.createDataFrame([(i, u, "h", "p") for i, u in URLS], "page_id long, url string, host string, path string")
-    got = sorted(map(str, (tuple(r) for r in url_rules.filter_urls(df, []).collect())))
+    got = sorted(map(str, (tuple(r) for r in url_rules.filter_urls(df).collect())))
     assert got == sorted(str((i, *brute_url(u)[:3], brute_url(u)[3] or "allow")) for i, u in URLS)
-    assert url_rules.filter_urls(df.limit(0), []).count() == 0
+    assert url_rules.filter_urls(df.limit(0)).count() == 0
 
 
 def spammy(rng, n, signal=True):
@@ -220,10 +221,13 @@ def test_mined_rules_and_verdicts_against_counts(spark, seed):
     rules = url_rules.mine(p, y)
     toks = {r["page_id"]: frozenset(r["t"]) for r in p.select("page_id", url_rules.tokens(F.col("url")).alias("t")).collect()}
     every = brute_rules(pages, labels, toks, how)
-    for t, label, strength, support in rules:
+    found = [tuple(r)[:4] for r in rules.collect()]
+    for t, label, strength, support in found:
         want = every[frozenset(t), label == url_rules.BAD]
         assert abs(strength - want[0]) < 1e-6 * want[0] and abs(support - want[1]) < 1e-9
-    assert {label for _, label, *_ in rules} == {url_rules.BAD, url_rules.GOOD} and len(rules) < len(every)
+    assert {label for _, label, *_ in found} == {url_rules.BAD, url_rules.GOOD} and len(found) < len(every)
+    for t, label, strength, _ in found:  # none says what another one with fewer tokens says
+        assert not any(set(x) < set(t) and y == label and z >= strength for x, y, z, _ in found)
     got = {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(p, rules, rules=()).collect()}
     for i, t in toks.items():
         best = {b: max([s for (x, bad), (s, _) in every.items() if bad == b and t >= x], default=-1) for b in (True, False)}
@@ -239,7 +243,36 @@ def test_mined_rules_and_verdicts_against_counts(spark, seed):
 def test_mining_without_labels(spark):
     pages, labels = spammy(random.Random(6), 200)
     p, y = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    assert url_rules.mine(p, y.limit(0)) == [] and url_rules.mine(p.limit(0), y) == [] and url_rules.mine(p, y.where("quality = 1")) == []
+    for x, z in ((p, y.limit(0)), (p.limit(0), y), (p, y.where("quality = 1"))):
+        assert url_rules.mine(x, z).isEmpty()
+    nulls = p.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"))
+    assert url_rules.mine(nulls, y).isEmpty() and {r["verdict"] for r in url_rules.filter_urls(nulls).collect()} == {"allow"}
+
+
+def test_mining_is_bounded_by_tokens_that_come_together(spark):
+    """URLs that share 24 path segments, and URLs with 24 others that each come and go: token sets would be 2**24."""
+    rng = random.Random(3)
+    pages, labels = [], []
+    for i in range(600):
+        spam = rng.random() < 0.4
+        deep = [f"seg{j}x" for j in range(24)]
+        loose = [f"opt{j}y" for j in range(24) if rng.random() < 0.9]
+        tail = "casino" if spam else "garden"
+        pages.append((i, f"https://www.site.org/{'/'.join('ab' + c for c in 'cdefghijklmnopqrstuvwxyz')}/{'/'.join(loose) if i % 2 else '/'.join(deep)}/{tail}/{i}"))
+        labels.append((i, int(not spam if rng.random() < 0.95 else spam), 0))
+    p, y = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    how = url_rules.Mining()
+    began = time.time()
+    rules = url_rules.mine(p, y)
+    found = rules.collect()
+    assert time.time() - began < 90 and 0 < len(found) <= 2**how.width / how.min_support
+    got = {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(p, rules, rules=()).collect()}
+    assert np.mean([(got[i] == "block") == ("casino" in u) for i, u in pages]) > 0.97
+    rows = url_rules.labelled(p, y, "page_id", "url", "doc_id", "quality").where("not _held")
+    n, bad = rows.count(), rows.where("_bad").count()
+    kept = {r["token"] for r in url_rules.telling_tokens(rows, n, float(bad), how).collect()}
+    # what all have says nothing, and the 24 that come together are one
+    assert "p:casino" in kept and not any(t.startswith("p:ab") or t.startswith("h:") for t in kept) and sum(t.startswith("p:seg") for t in kept) == 1
 
 
 def test_urls_without_signal_are_allowed(spark):
