@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by inner product: an adaptive dimension scan over inverted lists.
 
 Equal vectors collapse first: only the smallest ids of a vector can be among the k nearest,
-and queries that are equal vectors have one answer. Vectors x become (x, sqrt(M^2 - |x|^2)),
-which turns the largest inner product into the smallest Euclidean distance, and go through a
-random rotation, after which any leading dimensions estimate the whole distance. A k-means
-over a bounded sample places every vector in a list. Queries scan their probed lists in column
+and queries that are equal vectors have one answer. Vectors are told apart by numbers that are dealt
+out, never by hashes. They fall into bands by their length, in powers of 2**16, so that
+a few huge ones leave the others' distances as they are. Within a band whose lengths reach M, vectors x
+become (x, sqrt(M^2 - |x|^2)) / M, which turns the largest inner product into the smallest
+Euclidean distance, and go through a random rotation, after which any leading dimensions estimate the
+whole distance. A k-means over a bounded sample of each band places every vector in a list. Queries scan their probed lists in column
 blocks: after each block a hypothesis test on the partial distance drops the candidates that
 are unlikely to beat the query's k-th best. While many are left a block is one matrix product
 for all queries and rows; then it goes pair by pair. A first round over each query's home list
@@ -31,8 +33,8 @@ from ._work import durable
 
 @dataclass(frozen=True)
 class Index:
-    """sample: rows the lists and the rotation are fitted on, at most; lists: their number, by default one for every 1,024
-    vectors, 2,048 at most; share and least: part of the lists a query probes, and how many at
+    """sample: rows a band's lists are fitted on, at most; lists: a band's number of them, by default one for every 1,024
+    vectors, 2,048 at most; share and least: part of a band's lists that a query probes, and how many at
     least; eps: the test's width, in standard errors; width: dimensions a block; rows: vectors, and queries, in a task."""
 
     sample: int = 8192
@@ -69,31 +71,79 @@ def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+#: Powers of two that the lengths of a band's vectors span: 2,200 of them hold all doubles, so there are 138 bands at most.
+BAND = 16
+
+
+def _length(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, binary logarithms of lengths) of non-zero vectors, whatever the size of their components."""
+    e = np.frexp(np.abs(v).max(1))[1]
+    small = np.ldexp(v, -e[:, None])
+    size = np.sqrt((small * small).sum(1))
+    return small / size[:, None], np.log2(size) + e
+
+
 class _Model:
-    """The rotation, the largest norm and the list centres; a bounded size, so it is sent with the tasks."""
+    """The rotation and each band's greatest length and list centres; a bounded size, so it is sent with the tasks. Lists are
+    numbered through all bands."""
 
-    def __init__(self, rotation: np.ndarray, biggest: float, centres: np.ndarray):
-        self.rotation, self.biggest, self.centres = rotation, biggest, centres
+    def __init__(self, rotation: np.ndarray):
+        self.rotation = rotation
+        self.most: list[float] = []  # binary logarithms
+        self.centres: list[np.ndarray] = []
+        self.bands: list[int] = []
 
-    def data(self, v: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(self.biggest**2 - (v * v).sum(1), 0.0))
-        return np.column_stack([v, rest]) @ self.rotation
+    def add(self, band: int, most: float, sample: np.ndarray, k: int, seed: int) -> None:
+        self.bands.append(band)
+        self.most.append(most)
+        self.centres.append(_kmeans(self.data(sample, most), k, seed))
+
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum([len(c) for c in self.centres])])
+
+    def data(self, v: np.ndarray, most: float) -> np.ndarray:
+        unit, size = _length(v)
+        x = unit * np.exp2(np.minimum(size - most, 0.0))[:, None]
+        return np.column_stack([x, np.sqrt(np.maximum(1.0 - (x * x).sum(1), 0.0))]) @ self.rotation
 
     def query(self, v: np.ndarray) -> np.ndarray:
-        """At the scale of the data, which leaves the order of a query's candidates as it is."""
-        size = np.sqrt((v * v).sum(1, keepdims=True))
-        return np.column_stack([v / size * self.biggest, np.zeros(len(v))]) @ self.rotation
+        """As a unit vector, which leaves the order of a query's candidates as it is."""
+        return np.column_stack([_length(v)[0], np.zeros(len(v))]) @ self.rotation
+
+    def placed(self, v: np.ndarray) -> np.ndarray:
+        """The list of each vector."""
+        out = np.zeros(len(v), np.int64)
+        band = np.floor(_length(v)[1] / BAND).astype(np.int64)
+        for b, most, centres, start in zip(self.bands, self.most, self.centres, self.starts(), strict=False):
+            if len(at := np.nonzero(band == b)[0]):
+                out[at] = start + _far(self.data(v[at], most), centres).argmin(1)
+        return out
+
+    def probed(self, v: np.ndarray, how: Index) -> np.ndarray:
+        """Of each query, its lists of every band, the band with the longest vectors first."""
+        x = self.query(v)
+        return np.concatenate([start + np.argsort(_far(x, c), axis=1, kind="stable")[:, : _probes(len(c), how)] for c, start in zip(self.centres, self.starts(), strict=False)], axis=1)
 
-    def far(self, x: np.ndarray) -> np.ndarray:
-        return (self.centres**2).sum(1)[None] - 2.0 * x @ self.centres.T
+    def most_of(self, at: int) -> float:
+        return self.most[int(np.searchsorted(self.starts(), at, side="right")) - 1]
 
 
-def _fit(distinct: DataFrame, how: Index, n: int, dim: int, biggest: float) -> _Model:
-    k = how.lists or max(1, min(2048, how.sample // 4, n // 1024))
-    picked = distinct.orderBy(F.xxhash64("key"), "key").limit(how.sample).select("v").toPandas()
-    sample = np.array(picked["v"].tolist(), dtype=np.float64)
-    model = _Model(_rotation(dim + 1, how.seed), biggest, np.zeros((1, dim + 1)))
-    model.centres = _kmeans(model.data(sample), k, how.seed)
+def _probes(lists: int, how: Index) -> int:
+    return min(lists, max(how.least, math.ceil(lists * how.share)))
+
+
+def _far(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (centres**2).sum(1)[None] - 2.0 * x @ centres.T
+
+
+def _fit(distinct: DataFrame, how: Index, dim: int) -> _Model:
+    model = _Model(_rotation(dim + 1, how.seed))
+    sizes = distinct.groupBy("band").agg(F.count("*").alias("n"), F.max("size").alias("most")).orderBy(F.col("band").desc()).collect()  # a row a band
+    first = Window.partitionBy("band").orderBy(F.xxhash64("v"), "key")
+    picked = distinct.withColumn("n", F.row_number().over(first)).where(F.col("n") <= how.sample).select("band", "v").toPandas()
+    for r in sizes:
+        k = how.lists or max(1, min(2048, how.sample // 4, r["n"] // 1024))
+        model.add(r["band"], r["most"], np.array(picked["v"][picked["band"] == r["band"]].tolist(), dtype=np.float64), k, how.seed)
     return model
 
 
@@ -109,22 +159,30 @@ def _placer(model: _Model):
     def run(frames):
         for f in frames:
             v = np.array(f["v"].tolist(), dtype=np.float64)
-            yield pd.DataFrame({"key": f["key"], "ids": f["ids"], "v": _packed(v), "list": model.far(model.data(v)).argmin(1).astype(np.int32)})
+            yield pd.DataFrame({"key": f["key"], "ids": f["ids"], "v": _packed(v), "list": model.placed(v).astype(np.int32)})
 
     return run
 
 
-def _prober(model: _Model, probes: int):
+def _prober(model: _Model, how: Index):
     def run(frames):
         for f in frames:
             v = np.array(f["v"].tolist(), dtype=np.float64)
-            far = model.far(model.query(v))
-            top = np.argsort(far, axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame({"key": f["key"], "v": _packed(v), "lists": [x.astype(np.int32) for x in top]})
+            yield pd.DataFrame({"key": f["key"], "v": _packed(v), "lists": [x.astype(np.int32) for x in model.probed(v, how)]})
 
     return run
 
 
+def _sized(distinct: DataFrame) -> DataFrame:
+    """With size, the binary logarithm of the length, and band."""
+    most = F.array_max(F.transform("v", F.abs))
+    # two steps, as the square of a small or a large component may not be a number
+    half = F.pow(F.lit(2.0), F.floor(F.log2(most) / 2).cast("double"))
+    small = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x / F.col("_h") / F.col("_h"), F.lit(2.0)))
+    sized = distinct.withColumn("_h", half).withColumn("size", F.log2(small) / 2 + 2 * F.log2("_h")).drop("_h")
+    return sized.withColumn("band", F.floor(F.col("size") / BAND).cast("int"))
+
+
 #: Queries that a matrix of distances has; the share of its cells alive below which pairs go one by one.
 _SIDE = 256
 _DENSE = 0.1
@@ -161,6 +219,13 @@ def _survivors(x: np.ndarray, y: np.ndarray, most: np.ndarray, eps: float, width
     return np.concatenate(who), np.concatenate(rows)
 
 
+def _scores(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Inner products in double precision; what isn't a number there counts as the least."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (v * w).sum(axis=1)
+    return np.where(np.isnan(out), -math.inf, out)
+
+
 def _scan(model: _Model, k: int, eps: float, width: int):
     """Over one block of a list and one block of the queries that probe it."""
 
@@ -171,10 +236,14 @@ def _scan(model: _Model, k: int, eps: float, width: int):
         v, w = _unpacked(rows["v"]), _unpacked(asks["v"])
         keys, weight = rows["key"].to_numpy(), np.array([len(i) for i in rows["ids"]])
         bound = asks["bound"].to_numpy(dtype=np.float64)
-        # |x' - q'|^2 = 2 M^2 - 2 M / |q| * score; without a bound all stay
-        most = np.where(np.isnan(bound), math.inf, 2 * model.biggest**2 - 2 * model.biggest / np.sqrt((w * w).sum(1)) * bound)
-        q, r = _survivors(model.data(v), model.query(w), most, eps, width, 1e-9 * model.biggest**2)
-        score = np.concatenate([np.zeros(0), *[(v[r[at : at + 65536]] * w[q[at : at + 65536]]).sum(axis=1) for at in range(0, len(q), 65536)]])
+        # |x' - q'|^2 = 2 - 2 * score / (M * |q|); without a bound that is a number all stay
+        longest = model.most_of(int(rows["list"].iloc[0]))
+        with np.errstate(over="ignore", invalid="ignore"):
+            e = np.frexp(bound)[1]
+            share = np.ldexp(bound, -e) * np.exp2(np.clip(e - longest - _length(w)[1], -1000, 1000))
+            most = np.where(np.isfinite(bound), 2 - 2 * share, math.inf)
+        q, r = _survivors(model.data(v, longest), model.query(w), most, eps, width, 1e-9)
+        score = np.concatenate([np.zeros(0), *[_scores(v[r[at : at + 65536]], w[q[at : at + 65536]]) for at in range(0, len(q), 65536)]])
         ok = ~(score < bound[q])  # k of the home list are as near as the bound
         q, r, score = q[ok], r[ok], score[ok]
         if not len(q):
@@ -219,8 +288,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     queries has the columns of vectors. Null ids, and vectors that are null, empty, zero or
     hold null or non-finite components, take no part on either side. A row is left out of
     its own query's answer by its id; an id that repeats counts once, with the vector that comes
-    first in order. All vectors must have the length most have; others take no part. Squares of
-    components must be doubles, so these may reach 1e150. Fewer than k candidates found give
+    first in order. All vectors must have the length most have; others take no part. Components may be
+    of any size: a score that no double can hold is infinite, and one that isn't a number, as parts of it
+    are infinite with either sign, ranks last. Fewer than k candidates found give
     fewer rows; an empty table gives none. Other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -230,20 +300,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     if not sizes:
         return empty
     dim = sizes[0]["dim"]
-    one = lambda rows: rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.xxhash64("v").alias("key"))
-    good = one(good)
+    one = lambda rows: rows.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     # only k + 1 ids of a vector can be in an answer; the window drops others before the shuffle
-    few = good.withColumn("n", F.row_number().over(Window.partitionBy("key", "v").orderBy("id"))).where(F.col("n") <= k + 1)
-    distinct = durable(few.groupBy("key", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
-    facts = distinct.agg(F.count("*").alias("n"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("biggest")).first()
-    if not facts["n"]:
+    few = one(good).withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
+    number = F.monotonically_increasing_id().alias("key")
+    distinct = durable(_sized(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))).select(number, "ids", "v", "size", "band"), "vectors")
+    if distinct.isEmpty():
         return empty
-    model = _fit(distinct, how, facts["n"], dim, facts["biggest"])
-    probes = min(len(model.centres), max(how.least, math.ceil(len(model.centres) * how.share)))
+    model = _fit(distinct, how, dim)
 
     placed = durable(distinct.select("key", "ids", "v").mapInPandas(_placer(model), "key long, ids array<long>, v binary, list int"), "lists")
     asked = durable(one(_usable(queries, id_col, vec_col)), "asked")
-    asks = durable(asked.select("key", "v").distinct().mapInPandas(_prober(model, probes), "key long, v binary, lists array<int>"), "probes")
+    kinds = durable(asked.select("v").distinct().select(number, "v"), "kinds")
+    asks = durable(kinds.mapInPandas(_prober(model, how), "key long, v binary, lists array<int>"), "probes")
 
     home = asks.select("key", "v", F.col("lists")[0].alias("list"), F.lit(float("nan")).alias("bound"))
     first = durable(_searched(placed, home, model, k, how), "home")
@@ -253,7 +322,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         first.join(sized, "key").withColumn("seen", F.sum("n").over(best))
         .where(F.col("seen") >= k + 1).groupBy("q").agg(F.max("score").alias("bound"))
     )
-    rest = asks.join(bound, asks["key"] == bound["q"], "left").select("key", "v", F.explode(F.slice("lists", 2, probes)).alias("list"), F.coalesce("bound", F.lit(float("nan"))).alias("bound"))
+    rest = asks.join(bound, asks["key"] == bound["q"], "left").select("key", "v", F.explode(F.slice("lists", 2, len(model.starts()) + int(model.starts()[-1]))).alias("list"), F.coalesce("bound", F.lit(float("nan"))).alias("bound"))
     second = _searched(placed, rest, model, k, how)
 
     found = first.unionAll(second).join(placed.select("key", "ids"), "key")
@@ -261,6 +330,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     per = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     kept = ids.withColumn("r", F.row_number().over(per)).where(F.col("r") <= k + 1)
     answers = kept.groupBy("q").agg(F.sort_array(F.collect_list(F.struct(F.negative("score").alias("d"), "vec_id"))).alias("all"))
-    answered = asked.select("id", "key").join(answers, F.col("key") == F.col("q"))
+    answered = asked.join(kinds, "v").select("id", "key").join(answers, F.col("key") == F.col("q"))
     own = F.slice(F.filter("all", lambda x: x["vec_id"] != F.col("id")), 1, k)
     return answered.select(F.col("id").alias("query_id"), F.posexplode(own).alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.negative("x.d").alias("score"))

@@ -52,6 +52,25 @@ def test_nearest_exact_where_all_lists_are_probed(spark):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], rtol=1e-12)
 
 
+def test_nearest_beside_huge_and_tiny_vectors(spark):
+    """Whatever their size, they leave the answers of the others as they are, and have their own."""
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)]
+    odd = [(1000, [1e200, 1.0, 0.0, -1e199, 0.0, 0.0]), (1001, [-1e308] * 6), (1020, [1e308, 1e308, -1e308, 1e300, 0.0, 1.0]), (1040, [1e-200, 0.0, 0.0, 0.0, 0.0, 1e-201]), (1041, [5e-324] + [0.0] * 5), (1060, [1e9] * 6)]
+    how = ann.Index(lists=5, share=1.0, rows=64, eps=100.0, width=2)
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    with np.errstate(all="ignore"):
+        vs = {i: np.array(v) for i, v in rows + odd}
+        score = lambda a, b: (lambda s: -math.inf if math.isnan(s) else s)(float((vs[a] * vs[b]).sum()))
+        want = {q: sorted((-score(q, i), i) for i in vs if i != q)[:20] for q in vs if q % 20 == 0}
+    got = answers(ann.search(df, df.where("vec_id % 20 = 0"), how=how))
+    assert got.keys() == want.keys()
+    for q, near in want.items():
+        assert np.allclose([s for _, s in got[q]], [-s for s, _ in near], rtol=1e-9) and (q in (1040,) or [i for i, _ in got[q]] == [i for _, i in near])
+    # with production parameters, each query has all its answers
+    assert {len(x) for x in answers(ann.search(df, df.where("vec_id % 20 = 0"))).values()} == {20}
+
+
 def test_nearest_of_few_and_of_none(spark):
     shape = "vec_id long, embedding array<float>"
     assert ann.search(spark.createDataFrame([], shape), spark.createDataFrame([], shape)).count() == 0
