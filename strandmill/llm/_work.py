@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -65,6 +66,19 @@ def free(columns: list[str], name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_rows(docs: DataFrame, run, *more: StructField) -> DataFrame:
+    """mapInArrow over all columns of docs, which come in their places under names of their own, as theirs may be any;
+    the result has them and the columns more."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    shape = StructType([*plain.schema.fields, *more])
+    return plain.mapInArrow(run, shape).toDF(*docs.columns, *[f.name for f in more])
+
+
 def vocabulary(name: str) -> str:
     """The path of a public tokenizer's file on this machine."""
     import public_tokenizers

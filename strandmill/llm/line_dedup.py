@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._work import SPACES, ascii_lower, durable, text_of
+from ._work import SPACES, ascii_lower, durable, quoted, text_of
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -158,8 +159,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     keep = keep or [id_col]
     maps = keep_bitmaps(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), **kw)
-    rows = docs.select(F.struct(*keep).alias("keep"), F.col(id_col).cast("long").alias("doc"), text_of(F.col(text_col)).alias("text")).withColumn("row", F.xxhash64("text"))
+    held = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.struct(*held).alias("keep"), F.col(id_col).cast("long").alias("doc"), text_of(F.col(text_col)).alias("text")).withColumn("row", F.xxhash64("text"))
     joined = rows.join(maps, ["doc", "row"], "left").select("keep", "text", "bitmap")
-    kind = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in joined.schema["keep"].dataType.fields) + ">"
-    out = joined.mapInArrow(_apply(digest), f"keep {kind}, n_lines long, n_dropped long, kept string")
-    return out.select("keep.*", *[F.col(c).alias(n) for c, n in zip(("n_lines", "n_dropped", "kept"), names, strict=True)])
+    shape = StructType([joined.schema["keep"], StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept", StringType())])
+    out = joined.mapInArrow(_apply(digest), shape)
+    return out.select(*[F.col(f"keep.c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(n) for c, n in zip(("n_lines", "n_dropped", "kept"), names, strict=True)])

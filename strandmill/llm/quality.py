@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from ._work import free, text_of
+from ._work import free, map_rows, text_of
 
 #: Most labelled rows that the vectors are fitted on, half of each label if there are so many.
 FIT_ROWS = 2048
@@ -162,9 +163,8 @@ def _scored(model, at: int, name: str):
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
     """docs with a column of that name, from the text alone; null texts count as empty. No column of docs may have the name."""
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: FIT_ROWS and DIMS
-    return docs.mapInArrow(_scored(sent, docs.columns.index(text_col), name), f"{names}, `{name}` double")
+    return map_rows(docs, _scored(sent, docs.columns.index(text_col), name), StructField(name, DoubleType()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import text_of
+from ._work import map_rows, text_of
 from .automaton import Automaton, Rule
 
 _CLOSES = re.compile(rb"-----(END [A-Z ]*PRIVATE KEY-----|BEGIN )")
@@ -110,4 +110,4 @@ def _redact(at: int):
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns and rows of docs, with every secret in the text replaced by its kind in brackets; null stays null."""
-    return docs.mapInArrow(_redact(docs.columns.index(text_col)), docs.schema)
+    return map_rows(docs, _redact(docs.columns.index(text_col)))

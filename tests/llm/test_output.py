@@ -270,14 +270,37 @@ def check_packed(rows, got, plan):
         per = max(1, plan.budget // e)
         ws.sort(key=lambda w: (w[0] is not None, w[0] or 0, w[1]))
         want += [(i, seg, seg * plan.max_len, n, e, at // per, at % per) for at, (i, seg, n) in enumerate(ws)]
-    assert Counter(tuple(r) for r in got) == Counter(want)
+    assert Counter(tuple(r)[:7] for r in got) == Counter(want)
     return edges
 
 
+def rebuilt(got):
+    """The ids of every row from its windows: (id, ids) of each."""
+    by = defaultdict(list)
+    for r in got:
+        by[r["row"]].append(r)
+    out = []
+    for ws in by.values():
+        ws.sort(key=lambda r: r["seg"])
+        assert [w["seg"] for w in ws] == list(range(len(ws))) and len({w["doc_id"] for w in ws}) == 1
+        parts = [np.frombuffer(w["ids"], "<u2").tolist() for w in ws]
+        assert [w["n_tokens"] for w in ws] == [len(p) for p in parts] and [w["first"] for w in ws] == [sum(map(len, parts[:i])) for i in range(len(parts))]
+        out.append((ws[0]["doc_id"], tuple(sum(parts, []))))
+    return Counter(out)
+
+
+def expected(rows):
+    return Counter((i, (*x, token_shards.END_ID)) for (i, _), x in zip(rows, whole_ids([t or "" for _, t in rows]), strict=True))
+
+
 def test_packing(spark, edge, empty):
     plan = packing.Plan(50, 4, 200)
     rows = list(zip([i for i, _ in TEXTS], lengths([t for _, t in TEXTS]), strict=True))
-    check_packed(rows, packing.pack(edge, BPE, plan=plan).collect(), plan)
+    got = packing.pack(edge, BPE, plan=plan).collect()
+    check_packed(rows, got, plan)
+    assert rebuilt(got) == expected(TEXTS)  # null and repeated ids, and repeated rows
+    with pytest.raises(Exception, match="more than 1 bytes"):
+        packing.pack(edge, BPE, width=1).collect()
     check_packed([(i, len(t or "")) for i, t in TEXTS], packing.pack(edge, None, plan=plan, tokens=F.length(F.coalesce("text", F.lit("")))).collect(), plan)
     assert packing.pack(empty, BPE).count() == 0
 
@@ -289,17 +312,27 @@ def test_packing_whole_table(spark):
     check_packed(want, __spark_entry__.queries()["op10_packing"](spark, "/root/testdata/sf0.01").collect(), packing.Plan())
 
 
-def test_packed_windows_name_the_ids_of_the_shards(spark):
+def test_packed_windows_hold_the_ids_of_the_shards(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     path = new_path(spark, "p")
     token_shards.write(docs, path, BPE)
-    held = {r["key"]: r["ids"] for r in token_shards.fetch(spark, path, docs).collect()}
-    back = defaultdict(list)
-    for r in sorted(packing.pack(docs, BPE, plan=packing.Plan(100, 5, 1000)).collect(), key=lambda r: (r["doc_id"], r["seg"])):
-        part = held[r["doc_id"]][r["first"] : r["first"] + r["n_tokens"]]
-        assert len(part) == r["n_tokens"] <= r["bucket"]
-        back[r["doc_id"]] += part
-    assert back == held
+    held = Counter((r["key"], tuple(r["ids"])) for r in token_shards.fetch(spark, path, docs).collect())
+    assert rebuilt(packing.pack(docs, BPE, plan=packing.Plan(100, 5, 1000)).collect()) == held
+
+
+def test_windows_of_texts_that_are_encoded_in_steps(spark, monkeypatch):
+    """Windows go on through the steps of a long text, wherever these end."""
+    monkeypatch.setattr(token_shards, "_STEP", 50)
+    rows = [(1, "ab cd " * 60), (2, "x"), (None, "the end of it " * 40), (3, ""), (4, "ab cd " * 60)]
+    for size in (1, 7, 64, 10**6):
+        run = packing._windowed(BPE, 2, size, token_shards.END_ID)
+        batch = pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows]), pa.array(range(5), pa.int64())], names=["id", "text", "row"])
+        got = [packing_row(r) for b in run([batch]) for r in b.to_pylist()]
+        assert rebuilt(got) == expected(rows)
+
+
+def packing_row(r):
+    return {**r, "doc_id": r["id"]}
 
 
 def test_packing_spreads_equal_rows(spark):
@@ -357,7 +390,9 @@ def test_pipeline(spark):
     assert {i: r["text"] for i, r in tables[4].items()} == {i: secrets.redact(r["text"], brute(r["text"])) for i, r in tables[3].items()}
     rows = list(zip(tables[4], lengths([r["text"] for r in tables[4].values()]), strict=True))
     check_packed(rows, corpus_pipeline.STAGES[-1][1](spark, steps[4], sf).collect(), packing.Plan())
-    check_packed(rows, corpus_pipeline.run(spark, sf).collect(), packing.Plan())
+    whole = corpus_pipeline.run(spark, sf).collect()
+    check_packed(rows, whole, packing.Plan())
+    assert rebuilt(whole) == expected([(i, r["text"]) for i, r in tables[4].items()])
 
 
 def test_pipeline_stages_take_edges(spark, edge, empty):
@@ -371,13 +406,17 @@ def test_pipeline_stages_take_edges(spark, edge, empty):
     extra = edge.withColumn("n_chars", F.length("text").cast("long"))
     for n in names:
         extra = extra.withColumn(n, F.lit(n))
+    odd = ["a.b", "c`d", "e f", "", "g.h`i j", "*"]
+    nested = F.struct(F.lit(1).alias("x y"), F.struct(F.lit("z").alias("p.q`r")).alias("s t"), F.array(F.struct(F.lit(2.0).alias("u v"))).alias("w:"))
+    extra = extra.select("*", *[F.lit(f"odd {n}").alias(n) for n in odd], nested.alias("n.e`s t"))
     stages = dict(corpus_pipeline.STAGES)
     for stage in stages.values():
         assert stage(spark, extra.limit(0), sf).count() == 0 and stage(spark, empty, sf).count() == 0
-    rest = [c for c in extra.columns if c not in ("text", "n_chars")]
+    rest = [F.col("`" + c.replace("`", "``") + "`") for c in extra.columns if c not in ("text", "n_chars")]
     for name in ("quality", "lines", "near_duplicates", "secrets"):
         out = stages[name](spark, extra, sf)
-        assert out.columns == extra.columns and set(out.select(rest).distinct().collect()) <= set(extra.select(rest).distinct().collect()), name
+        seen = lambda d: {repr(r) for r in d.select(rest).collect()}
+        assert out.columns == extra.columns and [f.dataType for f in out.schema] == [f.dataType for f in extra.schema] and seen(out) <= seen(extra), name
     all_rows = Counter((i, t) for i, t in TEXTS)
     rows = lambda name: Counter((r["doc_id"], r["text"]) for r in stages[name](spark, extra, sf).collect())
     good = rows("quality")
@@ -387,4 +426,5 @@ def test_pipeline_stages_take_edges(spark, edge, empty):
     # 4, 5 and 6 have no words; 8 repeats the text of 7
     assert rows("near_duplicates") == Counter((i, t) for i, t in TEXTS if i not in (5, 6, 8))
     assert rows("secrets") == Counter((i, None if t is None else secrets.redact(t, secrets.spans(t))) for i, t in TEXTS)
-    check_packed(list(zip([i for i, _ in TEXTS], lengths([t for _, t in TEXTS]), strict=True)), stages["packing"](spark, extra, sf).collect(), packing.Plan())
+    check_packed(list(zip([i for i, _ in TEXTS], lengths([t for _, t in TEXTS]), strict=True)), (packed := stages["packing"](spark, extra, sf).collect()), packing.Plan())
+    assert rebuilt(packed) == expected(TEXTS)
