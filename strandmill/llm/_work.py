@@ -38,11 +38,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def durable(df: DataFrame, tag: str) -> DataFrame:
+def durable(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

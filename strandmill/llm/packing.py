@@ -123,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str | None, id_col: str = "doc_id", text_co
     gives no rows; other columns are ignored. A batch holds budget // bucket windows, one at least.
     """
     # what tells equal rows apart is written with them, so that they spread over the ranges and every reading sees the same
-    rows = durable(windows(docs, tokenizer, id_col, text_col, plan, tokens, width), "windows")
+    rows = durable(windows(docs, tokenizer, id_col, text_col, plan, tokens, width), "windows", "zstd")
     hist = {r["n"]: r["count"] for r in rows.groupBy(F.greatest("n_tokens", F.lit(1)).alias("n")).count().collect()}  # max_len rows at most
     edges = boundaries(hist, plan.buckets)
     if not edges:
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str | None, id_col: str = "doc_id", text_co
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["bucket", "id", "seg", "row"]
     dealt = rows.withColumn("bucket", bucket.cast("int")).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    dealt = durable(dealt.select("id", "seg", "first", "n_tokens", "bucket", "row", "ids", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "dealt")
+    dealt = durable(dealt.select("id", "seg", "first", "n_tokens", "bucket", "row", "ids", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "dealt", "zstd")
     part = dealt.groupBy("bucket", "part").agg(F.count("*").alias("rows"), F.min("at").alias("begin"))  # buckets + partitions rows
     before = part.select("bucket", "part", "begin", (F.sum("rows").over(Window.partitionBy("bucket").orderBy("part")) - F.col("rows")).alias("before"))
     place = (F.col("at") - F.col("begin") + F.col("before")).alias("place")

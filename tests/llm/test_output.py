@@ -342,8 +342,8 @@ def test_packing_spreads_equal_rows(spark):
     parts = []
     real = packing.durable
 
-    def seen(df, tag):
-        out = real(df, tag)
+    def seen(df, tag, *more):
+        out = real(df, tag, *more)
         if tag == "dealt":
             parts.extend(r["count"] for r in out.groupBy("part").count().collect())
         return out
