@@ -138,12 +138,10 @@ class Collection:
 
     @classmethod
     def from_sketches(cls, sketches: Iterable[Sketch]) -> Collection:
-        out = None
-        for s in sketches:
-            out = s.as_collection() if out is None else out.add(s.as_collection())
-        if out is None:
+        plain = [s.data for s in sketches]
+        if not plain:
             raise SketchError("no sketches")
-        return out
+        return cls.of(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), plain)
 
     @classmethod
     def of(cls, spark: SparkSession, plain: list[dict]) -> Collection:
@@ -229,40 +227,44 @@ class Collection:
             new = F.when(F.col("filter_params").eqNullSafe(_literal(k.row(), FILTER_PARAMS)), _literal(k.tightened(params, compat).row(), FILTER_PARAMS)).otherwise(new)
         return Collection(self.sketches.withColumn("filter_params", new), rows)
 
-    def fingerprints(self) -> DataFrame:
-        """sketch_id, same: equal for sketches that are equal in everything."""
-        n = self.nested()
-        return n.select("sketch_id", F.sha2(F.to_json(F.struct("name", "seq_length", "num_valid_kmers", "comment", "filter_params", "sketch_params", "minmers"), {"ignoreNullFields": "false"}), 256).alias("same"))
-
-    def hash_arrays(self) -> DataFrame:
-        """sketch_id, name, scale, k, same, hashes."""
-        arrays = D.nested(self.minmers, "sketch_id")
-        heads = self.sketches.select("sketch_id", "name", F.col("sketch_params.scale").alias("scale"), F.col("sketch_params.kmer_length").alias("k"))
-        return heads.join(self.fingerprints(), "sketch_id").join(arrays, "sketch_id", "left").withColumn("hashes", F.coalesce("hashes", F.array().cast("array<bigint>")))
+    def profile(self) -> DataFrame:
+        """sketch_id, name, n (hashes), top (the largest), same: equal for sketches that are equal in everything. One aggregation;
+        rows add up in any order, to two sums of 64-bit hashes of all they hold."""
+        of = ["hash", "kmer", "count", "extra_count", "label"]
+        mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), *of, F.col("kmer").isNull(), F.col("label").isNull()).cast("decimal(38,0)"))
+        rows = D.profiles(self.minmers, "sketch_id", mark(1).alias("m1"), mark(2).alias("m2"))
+        whole = self.sketches.join(rows, "sketch_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+        head = F.to_json(F.struct("name", "seq_length", "num_valid_kmers", "comment", "filter_params", "sketch_params", "n", "m1", "m2"), {"ignoreNullFields": "false"})
+        return whole.select("sketch_id", "name", "n", "top", F.sha2(head, 256).alias("same"))
+
+    def _measured(self, asked: Collection, max_dist: float = 1.0, old: bool = False, skip_equal: bool = True) -> DataFrame:
+        """The distances of all sketches of asked to these, by sketch_id, with names qname and rname."""
+        everything = self.all_params() + (asked.all_params() if asked is not self else [])
+        params = common_params(everything)
+        scales = {p.scale for p in everything} if params.scheme == SCALED else {None}
+        rows, heads = (tables.held(x) for x in (self.minmers.select("sketch_id", "hash"), self.profile()))
+        mine, theirs = (rows, heads) if asked is self else (tables.held(x) for x in (asked.minmers.select("sketch_id", "hash"), asked.profile()))
+        side = lambda h, x, by: h.select(F.col("sketch_id").alias(by), F.col("name").alias(f"{x}name"), F.col("n").alias(f"{x}n"), F.col("top").alias(f"{x}t"), F.col("same").alias(f"{x}s"))
+        return D.distances(
+            mine.withColumnRenamed("sketch_id", "query"), rows.withColumnRenamed("sketch_id", "reference"), side(theirs, "q", "query"), side(heads, "r", "reference"),
+            params.k, min(scales) if None not in scales else None, old, max_dist, 2 * params.k if params.scheme == ALL else 64, F.col("qs") != F.col("rs") if skip_equal else None,
+        )
 
     def distances(self, queries: Collection | None = None, names: list[str] | None = None, pairwise: bool = False, max_dist: float = 1.0, old: bool = False) -> DataFrame:
-        """query, reference, containment, jaccard, mashDistance, commonHashes, totalHashes, by reference and then query.
+        """query, reference, containment, jaccard, mashDistance, commonHashes, totalHashes.
 
         Queries: those of another collection, the named ones, all (pairwise), or the first one. Equal sketches aren't
         compared. All sketches must go together."""
-        everything = self.all_params() + (queries.all_params() if queries is not None else [])
-        params = common_params(everything)
-        scales = {p.scale for p in everything} if params.scheme == SCALED else {None}
         asked = queries
         if asked is None:
             asked = self if pairwise else self._named(names) if names is not None else self._only(F.col("sketch_id") == self._id(0))
-        r, q = self.hash_arrays(), asked.hash_arrays()
-        bare = F.size("hashes") == 0
-        # a distance below 1 needs a common hash, or a sketch without any
-        if max_dist < 1.0 and q.where(bare).isEmpty() and r.where(bare).isEmpty():
-            pairs = D.meeting_pairs(asked.minmers, self.minmers, "sketch_id")
-            pairs = pairs.join(q.select(F.col("sketch_id").alias("query"), F.col("name").alias("qn"), F.col("hashes").alias("q"), F.col("same").alias("qs")), "query")
-            pairs = pairs.join(r.select(F.col("sketch_id").alias("reference"), F.col("name").alias("rn"), F.col("hashes").alias("r"), F.col("same").alias("rs")), "reference")
-            pairs = pairs.where(F.col("qs") != F.col("rs")).select(F.col("qn").alias("query"), F.col("rn").alias("reference"), "q", "r")
-        else:
-            pairs = D.all_pairs(q, r, "name")
-        out = D.pair_distances(pairs, params.k, min(scales) if None not in scales else None, old)
-        return out.where(F.col("mashDistance") <= max_dist)
+        out = self._measured(asked, max_dist, old)
+        return out.select(F.col("qname").alias("query"), F.col("rname").alias("reference"), "containment", "jaccard", "mashDistance", "commonHashes", "totalHashes")
+
+    def best_matches(self, queries: Collection) -> DataFrame:
+        """query, reference (sketch_ids), containment, jaccard: of each sketch of queries the sketch here with the greatest
+        containment; the first of several."""
+        return D.best_match(self._measured(queries, skip_equal=False))
 
     def _named(self, names: list[str]) -> Collection:
         heads = self.sketches.where(F.col("name").isin(list(names)))
@@ -273,11 +275,7 @@ class Collection:
 
     def _containments(self, query: Sketch) -> DataFrame:
         """sketch_id, containment, jaccard of each sketch as the reference of one query."""
-        params = common_params([query.params, *self.all_params()])
-        scale = min(query.params.scale, *(p.scale for p in self.all_params())) if params.scheme == SCALED else None
-        mine = Collection.of(self.spark, [query.data]).hash_arrays().select(F.lit("q").alias("query"), F.col("hashes").alias("q"))
-        pairs = self.hash_arrays().select(F.col("sketch_id").cast("string").alias("reference"), F.col("hashes").alias("r")).crossJoin(mine)
-        return D.pair_distances(pairs, params.k, scale).select(F.col("reference").cast("bigint").alias("sketch_id"), "containment", "jaccard")
+        return self._measured(Collection.of(self.spark, [query.data]), skip_equal=False).select(F.col("reference").alias("sketch_id"), "containment", "jaccard")
 
     def best_match(self, query: Sketch) -> tuple[int, Sketch]:
         """(place, sketch) with the greatest containment; the first of several."""
@@ -392,10 +390,7 @@ class Sketch:
 
     def compare(self, other: Sketch, old: bool = False) -> tuple[float, float]:
         """(containment, jaccard) of other, the query, against this, the reference."""
-        params = common_params([self.params, other.params])
-        scale = min(self.params.scale, other.params.scale) if params.scheme == SCALED else None
-        q, r = other.as_collection().hash_arrays(), self.as_collection().hash_arrays()
-        row = D.pair_distances(D.all_pairs(q, r, "name", skip_equal=False), params.k, scale, old).first()
+        row = self.as_collection()._measured(other.as_collection(), old=old, skip_equal=False).first()
         return row["containment"], row["jaccard"]
 
     def compare_counts(self, other: Sketch) -> tuple:

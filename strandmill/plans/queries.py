@@ -9,7 +9,7 @@ from ..operators import combine, filters, sketching, stats
 from ..operators import distance as D
 from ..params import SCALED, FilterParams, SketchParams
 from ..sources.sequences import sequences_of_text
-from ..sources.tables import spread
+from ..sources.tables import held, spread
 
 #: k of the complete sketches, and parameters of the others.
 SHORT, LONG = 4, 8
@@ -36,10 +36,19 @@ def _rows(rows: DataFrame) -> DataFrame:
     return rows.select("sample", _hash(), "kmer", "count", "extra_count")
 
 
-def _distances(rows: DataFrame, pick=None, scale=None, k=LONG, old=False) -> DataFrame:
-    arrays = D.nested(rows)
-    out = D.pair_distances(D.all_pairs(arrays if pick is None else arrays.where(pick), arrays), k, scale, old)
-    return out.withColumn("mashDistance", F.round("mashDistance", 12))  # logarithms differ in the last bit between libraries
+def _distances(rows: DataFrame, pick=None, scale=None, k=LONG, old=False, max_dist=1.0) -> DataFrame:
+    """pick: which samples are queries. Complete sketches have hashes of 2 * LONG bits."""
+    rows = held(rows.select("sample", "hash"))
+    q, r, queries, refs = D.sides(rows, held(D.profiles(rows)))
+    if pick is not None:
+        q, queries = q.where(pick(F.col("query"))), queries.where(pick(F.col("query")))
+    out = D.distances(q, r, queries, refs, k, scale, old, max_dist, 2 * k if k == LONG else 64, F.col("query") != F.col("reference"))
+    return _rounded(out)
+
+
+def _rounded(out: DataFrame) -> DataFrame:
+    """Logarithms differ in the last bit between libraries."""
+    return out.select("query", "reference", "containment", "jaccard", F.round("mashDistance", 12).alias("mashDistance"), "commonHashes", "totalHashes")
 
 
 def allcounts_k4(spark, sf_dir):
@@ -79,11 +88,11 @@ def filter_pipeline(spark, sf_dir):
 
 
 def raw_distance(spark, sf_dir):
-    return _distances(counts(spark, sf_dir), F.col("sample") == "src0")
+    return _distances(counts(spark, sf_dir), lambda c: c == "src0")
 
 
 def old_distance(spark, sf_dir):
-    return _distances(counts(spark, sf_dir), F.col("sample") == "src0", old=True)
+    return _distances(counts(spark, sf_dir), lambda c: c == "src0", old=True)
 
 
 def pairwise_distance(spark, sf_dir):
@@ -91,15 +100,11 @@ def pairwise_distance(spark, sf_dir):
 
 
 def max_dist(spark, sf_dir):
-    rows = counts(spark, sf_dir)
-    arrays = D.nested(rows)
-    pairs = D.near_pairs(rows, rows, arrays, arrays).where(F.col("query") != F.col("reference"))
-    out = D.pair_distances(pairs, LONG).withColumn("mashDistance", F.round("mashDistance", 12))
-    return out.where(F.col("mashDistance") <= 0.04)
+    return _distances(counts(spark, sf_dir), max_dist=0.04)
 
 
 def query_by_name(spark, sf_dir):
-    return _distances(counts(spark, sf_dir), F.col("sample").isin("src3", "src7"))
+    return _distances(counts(spark, sf_dir), lambda c: c.isin("src3", "src7"))
 
 
 def best_match(spark, sf_dir):
@@ -107,8 +112,8 @@ def best_match(spark, sf_dir):
 
 
 def filter_to_matches(spark, sf_dir):
-    rows = counts(spark, sf_dir)
-    near = _distances(rows, F.col("sample") == "src0").where(F.col("containment") >= 0.8).select(F.col("reference").alias("sample"))
+    rows = held(counts(spark, sf_dir))
+    near = _distances(rows, lambda c: c == "src0").where(F.col("containment") >= 0.8).select(F.col("reference").alias("sample"))
     return _rows(rows.join(near, "sample", "left_semi"))
 
 

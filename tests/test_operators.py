@@ -2,9 +2,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandmill.operators import combine, distance, filters, stats
-from strandmill.params import FilterParams, SketchParams, common_params, max_hash
+from strandmill.params import FilterParams, SketchParams, common_params, max_hash, ordered, signed
 from strandmill.errors import SketchError
 
 ROWS = "sample string, hash long, kmer string, count long, extra_count long"
@@ -100,11 +101,15 @@ def naive_raw(q, r, scale):
     return (common / j if j else 0.0, common / total if total else 1.0, common, total)
 
 
-def pairs(spark, cases):
-    from strandmill.params import ordered
+def compared(spark, cases, k, scale=None, old=False, max_dist=1.0, every=False, bits=64):
+    """The distances of each case's own pair, or of every query to every reference."""
+    def side(at, by, x):
+        rows = spark.createDataFrame([(f"{x}{i}", h) for i, c in enumerate(cases) for h in c[at]], f"{by} string, hash long")
+        heads = spark.createDataFrame([(f"{x}{i}", len(c[at]), ordered(max(c[at])) if c[at] else None) for i, c in enumerate(cases)], f"{by} string, {x}n long, {x}t long")
+        return rows, heads
 
-    rows = [(f"q{i}", f"r{i}", [ordered(x) for x in q], [ordered(x) for x in r]) for i, (q, r) in enumerate(cases)]
-    return spark.createDataFrame(rows, "query string, reference string, q array<long>, r array<long>")
+    (q, queries), (r, refs) = side(0, "query", "q"), side(1, "reference", "r")
+    return distance.distances(q, r, queries, refs, k, scale, old, max_dist, bits, None if every else F.substring("query", 2, 9) == F.substring("reference", 2, 9))
 
 
 def measured(df):
@@ -116,26 +121,96 @@ def test_raw_distance(spark):
     some = lambda top: sorted(rng.sample(range(top), rng.randint(0, min(12, top))))
     for scale, fixed in ((None, [([0, 1, 2], [1, 2]), ([0, 2], [1, 2]), ([0, 1], [2, 3]), ([], []), ([], [5])]), (1e-18, [([10, 15, 20], [15, 20]), ([5, 10, 15], [5, 10]), ([5, 10, 15, 20], [5, 10]), ([5, 10], [5, 10, 15, 20])])):
         cases = fixed + [(some(30), some(30)) for _ in range(300)]
-        got = measured(distance.pair_distances(pairs(spark, cases), 21, scale))
+        got = measured(compared(spark, cases, 21, scale))
         for i, (q, r) in enumerate(cases):
             if q and r or not scale:
                 assert got[i] == naive_raw(q, r, scale), (q, r)
-    first = measured(distance.pair_distances(pairs(spark, [([0, 1, 2], [1, 2]), ([5, 10], [5, 10, 15, 20])]), 21, 1e-18))
+    first = measured(compared(spark, [([0, 1, 2], [1, 2]), ([5, 10], [5, 10, 15, 20])], 21, 1e-18))
     assert first[1] == (2 / 3, 2 / 3, 2, 3)
 
 
 def test_old_distance_and_mash_distance(spark):
-    got = distance.pair_distances(pairs(spark, [([0, 1, 2], [1, 2, 9]), ([1], []), ([], [1]), ([1], [2])]), 21, old=True).orderBy("query").collect()
+    got = compared(spark, [([0, 1, 2], [1, 2, 9]), ([1], []), ([], [1]), ([1], [2])], 21, old=True).orderBy("query").collect()
     assert (got[0]["containment"], got[0]["jaccard"], got[0]["commonHashes"], got[0]["totalHashes"]) == (2 / 3, 2 / 4, 2, 3)
     assert math.isnan(got[1]["jaccard"]) and got[1]["mashDistance"] == 0.0
     assert got[2]["jaccard"] == 0.0 and got[2]["mashDistance"] == got[3]["mashDistance"] == 1.0
     assert abs(got[0]["mashDistance"] + math.log(2 * 0.5 / 1.5) / 21) < 1e-12
 
 
+@pytest.mark.parametrize("block,scale,old", [(256, None, False), (2, 2e-17, False), (2, None, True)])
+def test_pairs_within_a_distance_are_those_of_all_pairs(spark, monkeypatch, block, scale, old):
+    """Whatever the threshold, sizes, scale and way; hashes that all sketches have go in blocks."""
+    monkeypatch.setattr(distance, "BLOCK", block)
+    rng = random.Random(7)
+    base = [rng.sample(range(1, 400), 60) for _ in range(4)]
+    near = lambda: sorted({0, *(h for h in rng.choice(base) if rng.random() < rng.choice([0.5, 0.9, 1.0])), *rng.sample(range(1, 400), rng.randint(0, 9))})
+    cases = [(near()[: rng.randint(1, 60)], near()[: rng.randint(1, 60)]) for _ in range(40)] + [([], [3]), ([0], []), ([5], [6])]
+    whole = {(r["query"], r["reference"]): tuple(map(str, r)) for r in compared(spark, cases, 3, scale, old, every=True, bits=10).collect()}
+    assert len(whole) == len(cases) ** 2
+    if not old:
+        for (q, r), got in list(whole.items())[::7]:
+            a, b = cases[int(q[1:])][0], cases[int(r[1:])][1]
+            if a and b:
+                assert got[2:4] + got[5:] == tuple(map(str, naive_raw(a, b, scale)))
+    for most in (0.1, 0.6):
+        got = {(r["query"], r["reference"]): tuple(map(str, r)) for r in compared(spark, cases, 3, scale, old, most, every=True).collect()}
+        assert got == {p: r for p, r in whole.items() if float(r[4]) <= most} and len(got) < len(whole)
+
+
+def test_few_candidates_are_counted(spark):
+    """Groups of like sketches: pairs are pruned before they are made."""
+    rng = random.Random(3)
+    rows, heads = [], []
+    shared = sorted(rng.sample(range(1 << 40), 30))
+    for g in range(60):
+        own = sorted(rng.sample(range(1 << 40), 100))
+        for i in range(4):
+            hashes = sorted({*shared, *(h for h in own if rng.random() < 0.95)})
+            rows += [(f"s{g}-{i}", h) for h in hashes]
+            heads.append((f"s{g}-{i}", len(hashes), ordered(hashes[-1])))
+    rows, heads = spark.createDataFrame(rows, "sample string, hash long"), spark.createDataFrame(heads, "sample string, n long, top long")
+    q, r, queries, refs = distance.sides(rows, heads)
+    least = distance.least_jaccard(0.02, 21)
+    candidates = distance.near_pairs(q, r, queries, refs, least).count()
+    out = distance.distances(q, r, queries, refs, 21, max_dist=0.02)
+    answer, meeting = out.count(), distance.common_hashes(q, r).count()
+    assert answer <= candidates <= 2 * answer and meeting == 240 * 240 > 20 * candidates
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "array" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_hash_of_all_sketches_is_split(spark, monkeypatch):
+    monkeypatch.setattr(distance, "BLOCK", 8)
+    rows = spark.range(100).selectExpr("concat('s', id) AS query", "7L AS hash")
+    refs = rows.withColumnRenamed("query", "reference")
+    keys = []
+    real = type(rows).join
+
+    def seen(self, other, on=None, how=None):
+        out = real(self, other, on, how)
+        if on == ["hash", "i", "j"]:
+            keys.extend(r["count"] for r in out.groupBy("hash", "i", "j").count().collect())
+        return out
+
+    monkeypatch.setattr(type(rows), "join", seen)
+    got = distance.common_hashes(rows, refs)
+    assert got.count() == 10_000 and sum(keys) == 10_000 and len(keys) > 100 and max(keys) < 1000
+
+
+@pytest.mark.parametrize("bits", [64, 12])
+def test_hashes_up_to(spark, bits):
+    rng = random.Random(bits)
+    sets = {f"s{i}": rng.sample(range(1 << bits) if bits < 64 else [rng.getrandbits(64) for _ in range(2000)], 300) for i in range(3)}
+    asked = [(s, x) for s in sets for x in [*rng.sample(sets[s], 20), 0, (1 << bits) - 1, *(rng.getrandbits(bits) for _ in range(20))]]
+    rows = spark.createDataFrame([(s, signed(h)) for s, hs in sets.items() for h in hs], "sample string, hash long")
+    got = distance.hashes_upto(rows, spark.createDataFrame([(s, ordered(x)) for s, x in asked], "sample string, x long"), "sample", bits)
+    assert {(r["sample"], r["x"]): r["upto"] for r in got.collect()} == {(s, ordered(x)): sum(h <= x for h in sets[s]) for s, x in asked}
+
+
 def test_jaccard_is_symmetric(spark):
     rng = random.Random(4)
     cases = [(sorted(rng.sample(range(25), 8)), sorted(rng.sample(range(25), 6))) for _ in range(100)]
-    a, b = (measured(distance.pair_distances(pairs(spark, c), 21)) for c in (cases, [(r, q) for q, r in cases]))
+    a, b = (measured(compared(spark, c, 21)) for c in (cases, [(r, q) for q, r in cases]))
     assert all(a[i][1:] == b[i][1:] for i in a)
 
 
