@@ -16,7 +16,7 @@ from .errors import SketchError
 from .operators import combine, filters, sketching, stats
 from .operators import distance as D
 from .params import ALL, FILTER_PARAMS, MASH, MINMERS, SCALED, SKETCH_PARAMS, SKETCHES, U32, FilterParams, SketchParams, common_params, signed
-from .sources import formats, tables
+from .sources import formats, index, tables
 from .sources import sequences as S
 
 #: What to call a scheme: (sequences, params) -> sample, hash, kmer, count, extra_count.
@@ -123,6 +123,9 @@ def inherit(params: SketchParams, first: SketchParams, given: tuple[str, ...] =
 class Collection:
     """Sketches in order: `sketches` (a row each) and `minmers` (a row a hash)."""
 
+    #: The files of an opened index: its rows are in place, and need no copy to be read again.
+    stored: index.Index | None = None
+
     def __init__(self, sketches: DataFrame, minmers: DataFrame):
         self.sketches, self.minmers = sketches.select([c.split()[0] for c in _fields(SKETCHES)]), minmers.select([c.split()[0] for c in _fields(MINMERS)])
 
@@ -242,12 +245,16 @@ class Collection:
         everything = self.all_params() + (asked.all_params() if asked is not self else [])
         params = common_params(everything)
         scales = {p.scale for p in everything} if params.scheme == SCALED else {None}
-        rows, heads = (tables.held(x) for x in (self.minmers.select("sketch_id", "hash"), self.profile()))
+        if self.stored is not None:
+            rows, heads = self.stored.minmers.select("sketch_id", "hash"), self.stored.profile
+        else:
+            rows, heads = (tables.held(x) for x in (self.minmers.select("sketch_id", "hash"), self.profile()))
         mine, theirs = (rows, heads) if asked is self else (tables.held(x) for x in (asked.minmers.select("sketch_id", "hash"), asked.profile()))
         side = lambda h, x, by: h.select(F.col("sketch_id").alias(by), F.col("name").alias(f"{x}name"), F.col("n").alias(f"{x}n"), F.col("top").alias(f"{x}t"), F.col("same").alias(f"{x}s"))
         return D.distances(
             mine.withColumnRenamed("sketch_id", "query"), rows.withColumnRenamed("sketch_id", "reference"), side(theirs, "q", "query"), side(heads, "r", "reference"),
-            params.k, min(scales) if None not in scales else None, old, max_dist, 2 * params.k if params.scheme == ALL else 64, F.col("qs") != F.col("rs") if skip_equal else None,
+            params.k, min(scales) if None not in scales else None, old, max_dist, _bits(params), F.col("qs") != F.col("rs") if skip_equal else None,
+            None if self.stored is None else self.stored.places.withColumnRenamed("sketch_id", "reference"),
         )
 
     def distances(self, queries: Collection | None = None, names: list[str] | None = None, pairwise: bool = False, max_dist: float = 1.0, old: bool = False) -> DataFrame:
@@ -270,6 +277,15 @@ class Collection:
         heads = self.sketches.where(F.col("name").isin(list(names)))
         return Collection(heads, self.minmers.join(heads.select("sketch_id"), "sketch_id", "left_semi"))
 
+    def merged(self, size: int | None = None, scale: float | None = None, keep_tail: bool = False, name: str | None = None) -> Collection:
+        """One sketch out of all, in one aggregation; their lengths and k-mers add up, the rest is the first one's. scale: by
+        default the sketches' own."""
+        params = common_params(self.all_params())
+        rows = combine.merge_many(self.minmers, "sketch_id", self.sketches, size, params.scale if scale is None else scale, keep_tail)
+        one = lambda c: F.min_by(c, "sketch_id").alias(c)
+        head = self.sketches.agg(F.lit(0).cast("bigint").alias("sketch_id"), F.lit(name).alias("name") if name else one("name"), *[F.sum(c).alias(c) for c in ("seq_length", "num_valid_kmers")], *[one(c) for c in ("comment", "filter_params", "sketch_params")])
+        return Collection(head, rows.withColumn("sketch_id", F.lit(0).cast("bigint")))
+
     def filter_to_names(self, names: list[str]) -> Collection:
         return self._named(names)
 
@@ -289,6 +305,19 @@ class Collection:
         near = self._containments(query).where(F.col("containment") >= threshold).select("sketch_id")
         return Collection(self.sketches.join(near, "sketch_id", "left_semi"), self.minmers.join(near, "sketch_id", "left_semi"))
 
+    def save_index(self, path: str, buckets: int | None = None) -> None:
+        """The collection as tables bucketed by hash: the form to search many times."""
+        params = common_params(self.all_params())
+        index.write_index(self.sketches, self.minmers, self.profile(), path, _bits(params), buckets)
+
+    @classmethod
+    def open_index(cls, spark: SparkSession, path: str) -> Collection:
+        """What save_index() wrote; its rows lie in buckets, and searches read them where they are."""
+        found = index.open_index(spark, path)
+        out = cls(found.sketches, found.minmers)
+        out.stored = found
+        return out
+
     def info(self) -> DataFrame:
         """sketch_id, name, seq_length, cardinality, depth, gc."""
         some = stats.info(self.minmers, "sketch_id")
@@ -299,6 +328,11 @@ class Collection:
         return self.sketches.select("sketch_id", "name").join(stats.dense_histogram(self.minmers, "sketch_id"), "sketch_id", "left").withColumn("hist", F.coalesce("hist", F.array().cast("array<bigint>")))
 
 
+def _bits(params: SketchParams) -> int:
+    """Binary digits of a hash; a complete sketch's are the k-mers themselves."""
+    return 2 * params.k if params.scheme == ALL else 64
+
+
 def _fields(schema: str) -> list[str]:
     """Top-level fields of a schema text."""
     out, depth, at = [], 0, 0

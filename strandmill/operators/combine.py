@@ -24,6 +24,11 @@ def merge(a: DataFrame, b: DataFrame, size: int | None = None, scale: float | No
         tops = both.groupBy(*keys).agg(F.max(F.when(F.col("_side") == 0, hash_ord())).alias("_a"), F.max(F.when(F.col("_side") == 1, hash_ord())).alias("_b"))
         tops = tops.where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).select(*keys, F.least("_a", "_b").alias("_m"))
         merged = (merged.join(tops, keys) if keys else merged.join(F.broadcast(tops))).where(hash_ord() <= F.col("_m")).drop("_m")
+    return _clipped(merged, size, scale, by)
+
+
+def _clipped(merged: DataFrame, size: int | None, scale: float | None, by: str | None) -> DataFrame:
+    keys = [by] if by else []
     low = hash_ord() <= ordered(max_hash(scale)) if scale is not None else None
     if size is None:
         return merged if low is None else merged.where(low)
@@ -37,6 +42,28 @@ def merge(a: DataFrame, b: DataFrame, size: int | None = None, scale: float | No
     return few.unionByName(more.where(F.col("_last").isNull() | (hash_ord() > F.col("_last"))).drop("_last"))
 
 
+def merge_many(rows: DataFrame, by: str, heads: DataFrame | None = None, size: int | None = None, scale: float | None = None, keep_tail: bool = False, into: str | None = None) -> DataFrame:
+    """Rows of one sketch out of any number, in one aggregation: what merge() makes of them one after another, in any order.
+
+    by: the column that tells sketches apart; heads: all of them (by), with those that have no rows, which empty
+    the result; into: a column, of rows and heads, of the sketches that come out, if they are several. Counts add up; hashes up to the
+    least of all largest ones stay (keep_tail: all), then size and scale clip as in merge(). Where k-mers and labels
+    differ, those of the first sketch in order stay."""
+    keys = [into] if into else []
+    first = lambda c: F.min_by(c, F.struct(F.col(c).isNull(), by)).alias(c)
+    label = F.col("label") if "label" in rows.columns else F.lit(None).cast("binary").alias("label")
+    slim = rows.select(*keys, by, "hash", "kmer", "count", "extra_count", label)
+    merged = slim.groupBy(*keys, "hash").agg(first("kmer"), capped(F.sum("count")).alias("count"), capped(F.sum("extra_count")).alias("extra_count"), first("label"))
+    if not keep_tail:
+        tops = slim.groupBy(*keys, by).agg(F.max(hash_ord()).alias("_top"))
+        if heads is not None:
+            tops = heads.select(*keys, by).join(tops, [*keys, by], "left")
+        least = tops.groupBy(*keys).agg(F.min("_top").alias("_m"), F.count(F.when(F.col("_top").isNull(), 1)).alias("_bare"))
+        least = least.where(F.col("_bare") == 0).drop("_bare")
+        merged = (merged.join(least, keys) if keys else merged.join(F.broadcast(least))).where(hash_ord() <= F.col("_m")).drop("_m")  # without keys one row
+    return _clipped(merged, size, scale, into)
+
+
 def compare_counts(query: DataFrame, ref: DataFrame, by: list[str] | None = None) -> DataFrame:
     """common, ref_pos, query_pos, ref_count, query_count, var, skew, kurt of the query's counts where the reference has the hash.
 
@@ -76,12 +103,24 @@ def places(ref: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(before), "_range").select("hash", (F.col("_rn") - 1 + F.col("_before")).cast("int").alias("ref_pos"))
 
 
-def count_matrix(ref: DataFrame, others: DataFrame, by: str = "sample") -> DataFrame:
-    """Group, ref_pos, count: each sketch's count of each of the reference's hashes, 0 where it has none, as a 32-bit integer.
+def sparse_matrix(ref: DataFrame, others: DataFrame, by: str = "sample") -> DataFrame:
+    """Group, ref_pos, count: each sketch's count of each of the reference's hashes that it has."""
+    return others.select(by, "hash", "count").join(places(ref), "hash").select(by, "ref_pos", "count")
+
 
-    The result has a row for every pair of a group and a hash, so all are made."""
-    grid = others.select(by).distinct().crossJoin(places(ref))
-    return grid.join(others.select(by, "hash", "count"), [by, "hash"], "left").select(by, "ref_pos", F.coalesce("count", F.lit(0)).alias("count"))
+#: Places of a row of the matrix that are made together.
+_PLACES = 4096
+
+
+def count_matrix(ref: DataFrame, others: DataFrame, by: str = "sample") -> DataFrame:
+    """Group, ref_pos, count: sparse_matrix() with its zeros, one row for every group and hash."""
+    n = ref.count()
+    if not n:
+        return sparse_matrix(ref, others, by)
+    block = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // _PLACES)))
+    inside = F.explode(F.sequence(F.col("_b") * _PLACES, F.least(F.lit(n), (F.col("_b") + 1) * _PLACES) - 1))
+    every = others.select(by).distinct().select(by, block.alias("_b")).select(by, inside.alias("ref_pos"))
+    return every.join(sparse_matrix(ref, others, by), [by, "ref_pos"], "left").select(by, "ref_pos", F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def matrix_rows(matrix: DataFrame, by: str = "sample") -> DataFrame:

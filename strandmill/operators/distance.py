@@ -54,13 +54,16 @@ def meetings(q: DataFrame, r: DataFrame, most: int | None = None) -> DataFrame:
     looked for."""
     if most is not None and most <= BLOCK * BLOCK:
         return q.join(r, "hash")
-    counts = q.select("hash", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(r.select("hash", F.lit(0), F.lit(1))).groupBy("hash").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    hot = counts.where(F.col("a") * F.col("b") > BLOCK * BLOCK).select("hash", F.ceil(F.col("a") / BLOCK).cast("int").alias("a"), F.ceil(F.col("b") / BLOCK).cast("int").alias("b"))
-    upto = lambda c: F.explode(F.sequence(F.lit(0), F.coalesce(c, F.lit(1)) - 1))
-    block = lambda c, n: F.coalesce(F.pmod(F.xxhash64(c), F.col(n)), F.lit(0)).cast("int")
-    left = q.join(hot, "hash", "left").select(*q.columns, block("query", "a").alias("i"), upto(F.col("b")).alias("j"))
-    right = r.join(hot, "hash", "left").select(*r.columns, upto(F.col("a")).alias("i"), block("reference", "b").alias("j"))
-    return left.join(right, ["hash", "i", "j"]).drop("i", "j")
+    # each side by itself, so that what lies in buckets by hash stays where it is
+    many = lambda d, n: d.groupBy("hash").agg(F.count(F.lit(1)).alias(n))
+    hot = many(q, "a").join(many(r, "b"), "hash").where(F.col("a") * F.col("b") > BLOCK * BLOCK).select("hash", F.ceil(F.col("a") / BLOCK).cast("int").alias("a"), F.ceil(F.col("b") / BLOCK).cast("int").alias("b"))
+    hot = held(hot)
+    cold = q.join(hot, "hash", "left_anti").join(r, "hash")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = q.join(hot, "hash").select(*q.columns, block("query", "a").alias("i"), upto("b").alias("j"))
+    right = r.join(hot, "hash").select(*r.columns, upto("a").alias("i"), block("reference", "b").alias("j"))
+    return cold.unionByName(left.join(right, ["hash", "i", "j"]).drop("i", "j"))
 
 
 def common_hashes(q: DataFrame, r: DataFrame, most: int | None = None) -> DataFrame:
@@ -68,10 +71,14 @@ def common_hashes(q: DataFrame, r: DataFrame, most: int | None = None) -> DataFr
     return meetings(q, r, most).groupBy("query", "reference").agg(F.count(F.lit(1)).alias("commonHashes"))
 
 
+def _cell(o: Column, bits: int) -> Column:
+    """The range of hashes, of 2**RANGES, that a hash of so many bits is in."""
+    return F.call_function("shiftright", o, F.lit(max(0, bits - RANGES)))
+
+
 def hashes_upto(rows: DataFrame, asked: DataFrame, by: str, bits: int = 64) -> DataFrame:
     """by, x, upto: for each distinct (by, x) of asked the number of the group's hashes up to x. Hashes have that many bits."""
-    cell = F.call_function("shiftright", F.col("o"), F.lit(max(0, bits - RANGES)))
-    both = rows.select(by, hash_ord().alias("o"), F.lit(1).alias("is")).unionAll(asked.select(by, F.col("x"), F.lit(0)).distinct()).withColumn("cell", cell)
+    both = rows.select(by, hash_ord().alias("o"), F.lit(1).alias("is")).unionAll(asked.select(by, F.col("x"), F.lit(0)).distinct()).withColumn("cell", _cell(F.col("o"), bits))
     # within a range by its order, and before it by the ranges' counts, 2**RANGES a group at most
     inside = both.withColumn("within", F.sum("is").over(Window.partitionBy(by, "cell").orderBy("o"))).where(F.col("is") == 0).drop("is")
     cells = both.groupBy(by, "cell").agg(F.sum("is").alias("has"))
@@ -79,12 +86,27 @@ def hashes_upto(rows: DataFrame, asked: DataFrame, by: str, bits: int = 64) -> D
     return inside.join(before, [by, "cell"]).select(by, F.col("o").alias("x"), (F.col("within") + F.col("before")).alias("upto"))
 
 
-def measured(pairs: DataFrame, q: DataFrame, r: DataFrame, k: int | Column, scale: float | None = None, old: bool = False, bits: int = 64) -> DataFrame:
+def steps(rows: DataFrame, by: str, bits: int = 64) -> DataFrame:
+    """by, cell, o, next, at: of each hash its place in its group, from 1, and the next hash, in every range of hashes that
+    lies between. To be stored: stepped() looks numbers up in it by (by, cell)."""
+    per = Window.partitionBy(by).orderBy("o")
+    placed = rows.select(by, hash_ord().alias("o")).select(by, "o", F.lead("o").over(per).alias("next"), F.row_number().over(per).alias("at"))
+    last = F.lit((1 << 63) - 1).cast("long")
+    return placed.select(by, F.explode(F.sequence(_cell(F.col("o"), bits), F.coalesce(_cell(F.col("next"), bits), _cell(last, bits) if bits == 64 else _cell(F.lit(ordered((1 << bits) - 1)), bits)))).alias("cell"), "o", "next", "at")
+
+
+def stepped(stored: DataFrame, asked: DataFrame, by: str, bits: int = 64) -> DataFrame:
+    """What hashes_upto() gives, from steps(), whose rows stay where they are; groups without a hash up to x have no row."""
+    found = asked.distinct().withColumn("cell", _cell(F.col("x"), bits)).join(stored, [by, "cell"])
+    return found.where((F.col("o") <= F.col("x")) & (F.col("next").isNull() | (F.col("x") < F.col("next")))).select(by, "x", F.col("at").alias("upto"))
+
+
+def measured(pairs: DataFrame, q: DataFrame, r: DataFrame, k: int | Column, scale: float | None = None, old: bool = False, bits: int = 64, stored: DataFrame | None = None) -> DataFrame:
     """containment, jaccard, mashDistance, commonHashes, totalHashes of pairs (query, reference, commonHashes, and qn, qt, rn, rt:
     the hashes and the largest hash of each; other columns stay). q: query, hash; r: reference, hash.
 
     Both sketches count up to the smaller of their largest hashes, and with a scale on both
-    also below its limit. old: the reference's hashes are looked up in the query."""
+    also below its limit. old: the reference's hashes are looked up in the query. stored: the references' steps()."""
     c = F.col("commonHashes")
     rest = [x for x in pairs.columns if x not in ("qn", "qt", "rn", "rt", "commonHashes")]
     if old:
@@ -99,9 +121,10 @@ def measured(pairs: DataFrame, q: DataFrame, r: DataFrame, k: int | Column, scal
         for by, rows, n, top, to in (("query", q, "qn", "qt", "i"), ("reference", r, "rn", "rt", "j")):
             # a sketch whose largest hash is the cut counts in whole
             asked = pairs.where((F.col("x") < F.col(top)) & (F.col(n) > 0)).select(by, "x")
-            part = hashes_upto(rows.select(by, "hash"), asked, by, bits).withColumnRenamed("upto", to)
+            part = stepped(stored, asked, by, bits) if stored is not None and by == "reference" else hashes_upto(rows.select(by, "hash"), asked, by, bits)
+            part = part.withColumnRenamed("upto", to)
             whole = F.when(F.col("x").isNull() | (F.col(n) == 0), F.lit(0)).when(F.col("x") >= F.col(top), F.col(n))
-            pairs = pairs.join(part, [by, "x"], "left").withColumn(to, F.coalesce(whole, F.col(to)).cast("long"))
+            pairs = pairs.join(part, [by, "x"], "left").withColumn(to, F.coalesce(whole, F.col(to), F.lit(0)).cast("long"))
         both = pairs.withColumn("totalHashes", F.col("i") - c + F.col("j")).select(*rest, "commonHashes", "totalHashes", _ratio(c, F.col("j"), 0.0).alias("containment"), _ratio(c, F.col("totalHashes"), 1.0).alias("jaccard"))
     return both.select(*rest, "containment", "jaccard", mash_distance(F.col("jaccard"), k).alias("mashDistance"), "commonHashes", "totalHashes")
 
@@ -147,11 +170,12 @@ def counted(pairs: DataFrame, q: DataFrame, r: DataFrame) -> DataFrame:
 
 def distances(
     q: DataFrame, r: DataFrame, queries: DataFrame, refs: DataFrame, k: int, scale: float | None = None, old: bool = False, max_dist: float = 1.0, bits: int = 64, apart: Column | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """query, reference, containment, jaccard, mashDistance, commonHashes, totalHashes of all pairs within max_dist, and the
     other columns of queries (query, qn, qt, ...) and refs (reference, rn, rt, ...), which have all groups, those without
     hashes too (qn or rn 0). q: query, hash; r: reference, hash. apart: which pairs are compared. All four are read several
-    times: tables.held() is for that."""
+    times: tables.held() is for that. stored: the references' steps() with the same bits, if there are."""
     some, most = least_jaccard(max_dist, k), queries.count() * refs.count()
     if some > 0:
         slim = queries.select("query", "qn", "qt"), refs.select("reference", "rn", "rt")
@@ -166,7 +190,7 @@ def distances(
     else:
         pairs = every_pair(queries, refs)
         pairs = (pairs if apart is None else pairs.where(apart)).join(common_hashes(q.select("query", "hash"), r.select("reference", "hash"), most=most), ["query", "reference"], "left").withColumn("commonHashes", F.coalesce("commonHashes", F.lit(0).cast("long")))
-    out = measured(pairs if old else held(pairs), q, r, k, scale, old, bits)
+    out = measured(pairs if old else held(pairs), q, r, k, scale, old, bits, stored)
     return out.where(F.col("mashDistance") <= max_dist)
 
 

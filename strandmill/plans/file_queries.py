@@ -15,7 +15,7 @@ from ..operators import filters, sketching
 from ..params import ALL, MASH, FilterParams, SketchParams
 from ..sources import sequences as S
 from ..sources.tables import scratch, spread
-from .queries import MASHED, SHORT, sequences
+from .queries import DOC_MASHED, MASHED, SHORT, sequences
 
 TRIMMED = SketchParams(MASH, 2000, 500, True)
 KEPT = FilterParams(True, 3, 40, 0.0, 0.2)
@@ -149,6 +149,26 @@ def cli_hist(spark, sf_dir):
     return spark.createDataFrame([(_source(n), ",".join(map(str, h))) for n, h in rows.items()], "sample string, hist string")
 
 
+def _indexed(spark, sf_dir) -> api.Collection:
+    """The sources' sketches, written in buckets and opened again."""
+    path = scratch(spark)
+    api.sketch_sequences(sequences(spark, sf_dir), MASHED, FilterParams(False)).save_index(path)
+    return api.Collection.open_index(spark, path)
+
+
+def index_rows(spark, sf_dir):
+    return _rows(_indexed(spark, sf_dir), "kmer", "count", "extra_count")
+
+
+def index_search(spark, sf_dir):
+    """The source that each document is most like: many queries over a stored index."""
+    refs = _indexed(spark, sf_dir)
+    queries = api.sketch_sequences(sequences(spark, sf_dir, "doc_id"), DOC_MASHED, FilterParams(False), check=False)
+    names = lambda c, by: c.sketches.select(F.col("sketch_id").alias(by), F.col("name").alias(f"{by}_name"))
+    found = refs.best_matches(queries).join(names(queries, "query"), "query").join(names(refs, "reference"), "reference")
+    return found.select(F.col("query_name").alias("query"), F.col("reference_name").alias("reference"), "containment", "jaccard")
+
+
 def mixed_load(spark, sf_dir):
     """A sketch file of all sources and one more sequence file, which takes the sketches' parameters."""
     files = _genomes(spark, sf_dir)
@@ -162,5 +182,5 @@ def mixed_load(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (fasta_scan, fastq_scan, normalised, native_files, json_files, mash_files, sketch_facts, trimmed, filtered_sketches, collection_edit, cli_dist, cli_hist, mixed_load)
+    for f in (fasta_scan, fastq_scan, normalised, native_files, json_files, mash_files, sketch_facts, trimmed, filtered_sketches, collection_edit, cli_dist, cli_hist, index_rows, index_search, mixed_load)
 }

@@ -168,6 +168,24 @@ SELECT CAST(doc_id AS VARCHAR) AS id, CAST(length(seq) AS BIGINT) AS n_bases, md
 _FACTS = """SELECT row_number() OVER (ORDER BY sample) - 1 AS sketch_id, sample, seq_length, num_valid_kmers"""
 
 
+def _search() -> str:
+    """Documents' sketches as queries, sources' as references; of each document the best."""
+    k = MASHED.kmer_length
+    text = _hashed("doc_id", k).replace("CAST(doc_id AS VARCHAR) AS sample", "CAST(doc_id AS VARCHAR) || chr(9) || source AS sample")
+    return f"""{text},
+gd AS (SELECT split_part(sample, chr(9), 1) AS sample, hash FROM g QUALIFY row_number() OVER (PARTITION BY sample ORDER BY hash) <= {DOC_MASHED.kmers_to_sketch}),
+gs AS (SELECT sample, hash FROM (SELECT DISTINCT split_part(sample, chr(9), 2) AS sample, hash FROM g) QUALIFY row_number() OVER (PARTITION BY sample ORDER BY hash) <= {MASHED.kmers_to_sketch}),
+qd AS (SELECT CAST(doc_id AS VARCHAR) AS q, count(hash) AS n, max(hash) AS m FROM documents LEFT JOIN gd ON gd.sample = CAST(doc_id AS VARCHAR) GROUP BY 1),
+rs AS (SELECT sample AS ref, max(hash) AS m FROM gs GROUP BY 1),
+pr AS (SELECT q, ref, least(qd.m, rs.m) AS m, n FROM qd, rs),
+cm AS (SELECT gd.sample AS q, gs.sample AS ref, count(*) AS c FROM gd JOIN gs USING (hash) GROUP BY ALL),
+qi AS (SELECT pr.q, pr.ref, count(*) AS i FROM pr JOIN gd ON gd.sample = pr.q AND gd.hash <= pr.m WHERE n > 0 GROUP BY ALL),
+rj AS (SELECT pr.q, pr.ref, count(*) AS j FROM pr JOIN gs ON gs.sample = pr.ref AND gs.hash <= pr.m WHERE n > 0 GROUP BY ALL),
+y AS (SELECT q AS query, ref AS reference, coalesce(c, 0) AS c, coalesce(i, 0) AS i, coalesce(j, 0) AS j FROM pr LEFT JOIN cm USING (q, ref) LEFT JOIN qi USING (q, ref) LEFT JOIN rj USING (q, ref))
+SELECT query, reference, CASE WHEN j = 0 THEN 0.0 ELSE CAST(c AS DOUBLE) / j END AS containment, CASE WHEN i - c + j = 0 THEN 1.0 ELSE CAST(c AS DOUBLE) / (i - c + j) END AS jaccard
+FROM y QUALIFY row_number() OVER (PARTITION BY query ORDER BY containment DESC, reference) = 1"""
+
+
 def _file_oracles(totals: str) -> dict[str, str]:
     """Of the queries through files, collections and the command line."""
     small = lambda n: replace(MASHED, kmers_to_sketch=n, final_size=n)
@@ -190,6 +208,8 @@ a AS (SELECT sample, 0 AS part FROM s WHERE sample <> 'src3' AND sample <> (SELE
 SELECT sample, CAST(row_number() OVER (ORDER BY part, sample) AS INTEGER) AS place FROM a""",
         "cli_dist": _smallest("source", small(500)) + _distances(k=MASHED.kmer_length) + "\nSELECT * FROM x",
         "cli_hist": f"{_smallest('source', small(500))}{dense}\nSELECT sample, string_agg(CAST(n AS VARCHAR), ',' ORDER BY i) AS hist FROM h GROUP BY 1",
+        "index_rows": f"{_smallest('source', MASHED)}\n{rows}",
+        "index_search": _search(),
         "mixed_load": f"""{_smallest('source', small(300))}
 {rows} UNION ALL SELECT 'file ' || sample, CAST(h AS VARCHAR), kmer, n, extra FROM r WHERE sample = (SELECT min(sample) FROM r)""",
     }
@@ -218,6 +238,10 @@ SELECT sample, {_CARD} AS cardinality, {_SINGLE.format('sum(n) / CAST(count(*) A
     "merge_sized": _LANG + _MERGE + " WHERE rn <= 1000",
     "merge_scaled": _LANG + _MERGE + f" WHERE h <= {max_hash(SMALL_SCALE)}",
     "merge_all": _LANG + _MERGE,
+    "merge_sources": _L + """,
+m AS (SELECT h, min(kmer) AS kmer, CAST(sum(n) AS BIGINT) AS n, CAST(sum(extra) AS BIGINT) AS extra FROM r GROUP BY 1),
+x AS (SELECT max(h) AS m FROM r GROUP BY sample)
+SELECT CAST(h AS VARCHAR) AS hash, kmer, n AS "count", extra AS extra_count FROM m WHERE h <= (SELECT min(m) FROM x) QUALIFY row_number() OVER (ORDER BY h) <= 2000""",
     "compare_counts": f"""{_LANG},
 a AS (SELECT * FROM r WHERE sample = 'en'), b AS (SELECT * FROM r WHERE sample = 'fr'),
 t AS (SELECT least((SELECT max(h) FROM a), (SELECT max(h) FROM b)) AS m),
@@ -230,6 +254,9 @@ SELECT common, (SELECT count(*) FROM b, t WHERE h <= m) AS ref_pos, (SELECT coun
 p0 AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS ref_pos FROM r WHERE sample = 'src0'),
 n0 AS (SELECT DISTINCT sample FROM r)
 SELECT n0.sample, ref_pos, coalesce(r.n, 0) AS "count" FROM n0 CROSS JOIN p0 LEFT JOIN r ON r.sample = n0.sample AND r.h = p0.h""",
+    "sparse_matrix": f"""{_smallest('source', MASHED)},
+p0 AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS ref_pos FROM r WHERE sample = 'src0')
+SELECT sample, ref_pos, n AS "count" FROM r JOIN p0 USING (h)""",
     "kmer_hash": f"{_smallest(_ALL, MASHED)}\n{_ROWS} FROM r",
     "mash_sketch": f"{_smallest('source', MASHED)}\n{_ROWS} FROM r",
     "mash_sketch_docs": f"{_smallest('doc_id', DOC_MASHED)}\n{_ROWS} FROM r",

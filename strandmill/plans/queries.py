@@ -138,6 +138,12 @@ def merge_all(spark, sf_dir):
     return combine.merge(*_two(spark, sf_dir)).select(_hash(), "kmer", "count", "extra_count")
 
 
+def merge_sources(spark, sf_dir):
+    """All sources at once."""
+    rows = counts(spark, sf_dir)
+    return combine.merge_many(rows, "sample", size=2000).select(_hash(), "kmer", "count", "extra_count")
+
+
 def compare_counts(spark, sf_dir):
     a, b = _two(spark, sf_dir)
     return combine.compare_counts(a, b).select("common", "ref_pos", "query_pos", "ref_count", "query_count", *[F.round(c, 4).alias(c) for c in ("var", "skew", "kurt")])
@@ -148,6 +154,12 @@ def compare_matrix(spark, sf_dir):
     return combine.count_matrix(rows.where(F.col("sample") == "src0"), rows).select("sample", F.col("ref_pos").cast("long").alias("ref_pos"), "count")
 
 
+def sparse_matrix(spark, sf_dir):
+    """What each source has of the hashes of one, without zeros."""
+    rows = held(sketching.minmers(sequences(spark, sf_dir), MASHED))
+    return combine.sparse_matrix(rows.where(F.col("sample") == "src0"), rows).select("sample", F.col("ref_pos").cast("long").alias("ref_pos"), "count")
+
+
 def set_counts(spark, sf_dir):
     rows = counts(spark, sf_dir, SHORT, "lang").where(F.col("sample") == "en").drop("sample")
     new = rows.select("hash", F.expr("count div 1000").alias("count"))
@@ -189,7 +201,7 @@ QUERIES = {
     for f in (
         allcounts_k4, hist, dense_hist, info_stats, cardinality, filter_abundance, filter_strands, guess_threshold, filter_pipeline,
         raw_distance, old_distance, pairwise_distance, max_dist, query_by_name, best_match, filter_to_matches, filter_to_names,
-        merge_sized, merge_scaled, merge_all, compare_counts, compare_matrix, set_counts,
+        merge_sized, merge_scaled, merge_all, merge_sources, compare_counts, compare_matrix, sparse_matrix, set_counts,
         kmer_hash, mash_sketch, mash_sketch_docs, scaled_sketch, totals, mash_pairwise, scaled_distance,
     )
 }
