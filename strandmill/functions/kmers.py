@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .hashing import murmur_bytes, murmur_words
+from .hashing import murmur_words
 
 BASES = np.frombuffer(b"ACGT", dtype=np.uint8)
 #: 2-bit code of a base; 4 for anything else.
@@ -126,8 +126,8 @@ def unpacked(value: np.ndarray, k: int) -> list[str]:
     return np.ascontiguousarray(rows).view(f"S{k}")[:, 0].astype(str).tolist()
 
 
-def packed_hash(value: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Murmur hash of packed k-mers' text."""
+def text_words(value: np.ndarray, k: int) -> list[np.ndarray]:
+    """The text of packed k-mers as little-endian words of eight bases, the last one padded with zeros."""
     words = []
     for at in range(0, k, 8):
         word = np.zeros(len(value), dtype=np.uint64)
@@ -138,7 +138,12 @@ def packed_hash(value: np.ndarray, k: int, seed: int) -> np.ndarray:
                 text = _FOUR[(four << np.uint64(2 * (4 - n))).astype(np.int64)] & np.uint64((1 << 8 * n) - 1)
                 word |= text << np.uint64(8 * part)
         words.append(word)
-    return murmur_words(words, k, seed)
+    return words
+
+
+def packed_hash(value: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Murmur hash of packed k-mers' text."""
+    return murmur_words(text_words(value, k), k, seed)
 
 
 def canonical(code: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, object]:
@@ -149,16 +154,46 @@ def canonical(code: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarr
         _, f, r = packed(code, k)
         value, flag = np.minimum(f, r), (f >= r).astype(np.int64)
         return packed_hash(value, k, seed), flag, lambda at: unpacked(value[at], k)
+    where, fwd, rev = packed_words(code, k)
+    if not len(where):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), lambda at: []
+    # the first word in which they differ decides
+    flag = np.ones(len(where), bool)
+    for f, r in zip(reversed(fwd), reversed(rev), strict=True):
+        flag = np.where(f == r, flag, f > r)
+    value = [np.where(flag, r, f) for f, r in zip(fwd, rev, strict=True)]
+    sizes = _sizes(k)
+
+    def text(at) -> list[str]:
+        parts = [unpacked(v[at], n) for v, n in zip(value, sizes, strict=True)]
+        return ["".join(p) for p in zip(*parts, strict=True)]
+
+    return packed_words_hash(value, k, seed), flag.astype(np.int64), text
+
+
+def _sizes(k: int) -> list[int]:
+    """Bases in each word of a packed k-mer: 32, the rest in the last one."""
+    return [32] * (k // 32) + [k % 32] * bool(k % 32)
+
+
+def packed_words(code: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(start, words of the k-mer, words of its reverse complement) of every window without a gap: 32 bases a word, which come
+    from one rolling pass for whole words and one for the last; no window has a row of bases of its own."""
     n = len(code) - k + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), lambda at: []
+        return np.zeros(0, np.int64), [], []
     bad = np.concatenate([[0], np.cumsum(code > 3)])
     where = np.nonzero(bad[k:] == bad[:-k])[0]
-    f = np.lib.stride_tricks.sliding_window_view(code, k)[where]
-    r = 3 - f[:, ::-1]
-    diff = f != r
-    at = diff.argmax(axis=1)
-    rows = np.arange(len(f))
-    flag = ~(diff.any(axis=1) & (f[rows, at] < r[rows, at]))
-    text = BASES[np.where(flag[:, None], r, f)]
-    return murmur_bytes(text, seed), flag.astype(np.int64), lambda i: np.ascontiguousarray(text[i]).view(f"S{k}")[:, 0].astype(str).tolist()
+    clean = code & 3
+    sizes = _sizes(k)
+    rolled = {m: packed(clean, m)[1:] for m in set(sizes)}
+    fwd, rev = [], []
+    for i, m in enumerate(sizes):
+        fwd.append(rolled[m][0][where + 32 * i])
+        rev.append(rolled[m][1][where + k - 32 * i - m])
+    return where, fwd, rev
+
+
+def packed_words_hash(value: list[np.ndarray], k: int, seed: int) -> np.ndarray:
+    """Murmur hash of the text of k-mers packed 32 bases a word."""
+    return murmur_words([w for v, n in zip(value, _sizes(k), strict=True) for w in text_words(v, n)], k, seed)

@@ -43,7 +43,8 @@ def _clipped(merged: DataFrame, size: int | None, scale: float | None, by: str |
 
 
 def merge_many(rows: DataFrame, by: str, heads: DataFrame | None = None, size: int | None = None, scale: float | None = None, keep_tail: bool = False, into: str | None = None) -> DataFrame:
-    """Rows of one sketch out of any number, in one aggregation: what merge() makes of them one after another, in any order.
+    """Rows of one sketch out of any number, in one aggregation: what merge() makes of them one after another, in any order, if only
+    the last one clips by scale (clipping by size alone may come at every step).
 
     by: the column that tells sketches apart; heads: all of them (by), with those that have no rows, which empty
     the result; into: a column, of rows and heads, of the sketches that come out, if they are several. Counts add up; hashes up to the

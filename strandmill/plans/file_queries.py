@@ -13,6 +13,7 @@ from .. import api, cli
 from ..functions import kmers as K
 from ..operators import filters, sketching
 from ..params import ALL, MASH, FilterParams, SketchParams
+from ..sources import fastx
 from ..sources import sequences as S
 from ..sources.tables import scratch, spread
 from .queries import DOC_MASHED, MASHED, SHORT, sequences
@@ -47,6 +48,15 @@ def fastq_scan(spark, sf_dir):
     return _records(got.where(F.col("qual") == quality))
 
 
+def small_files(spark, sf_dir):
+    """A file for every text, read by the data source; planning opens none."""
+    path = scratch(spark)
+    rows = _letters(spark, sf_dir).select(F.col("id").alias("doc"), F.concat(F.lit(">"), "id", F.lit("\n"), "seq").alias("value"))
+    rows.repartition("doc").write.partitionBy("doc").text(path)
+    fastx.register(spark)
+    return _records(spark.read.format("fastx").load(path))
+
+
 def normalised(spark, sf_dir):
     """Hexadecimal texts as sequences: letters that aren't bases, digits and gaps."""
     text = F.concat_ws(" u.~\n", F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), F.lower(F.hex(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
@@ -182,5 +192,5 @@ def mixed_load(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (fasta_scan, fastq_scan, normalised, native_files, json_files, mash_files, sketch_facts, trimmed, filtered_sketches, collection_edit, cli_dist, cli_hist, index_rows, index_search, mixed_load)
+    for f in (fasta_scan, fastq_scan, small_files, normalised, native_files, json_files, mash_files, sketch_facts, trimmed, filtered_sketches, collection_edit, cli_dist, cli_hist, index_rows, index_search, mixed_load)
 }

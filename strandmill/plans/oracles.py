@@ -195,6 +195,7 @@ def _file_oracles(totals: str) -> dict[str, str]:
     return {
         "fasta_scan": _FILES.format("fasta"),
         "fastq_scan": _FILES.format("fastq") + " WHERE length(seq) > 0",
+        "small_files": _FILES.format("fasta"),
         "normalised": f"SELECT doc_id, md5(s) AS seq_md5, md5(reverse(translate(s, 'ACGT', 'TGCA'))) AS rc_md5 FROM (SELECT doc_id, {_NORMAL} AS s FROM documents)",
         "native_files": f"{_S}\n{rows}",
         "json_files": f'{_S}\nSELECT sample, CAST(h AS VARCHAR) AS hash, kmer, n AS "count" FROM r',
