@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._work import LOWER, UPPER, durable, text_of
 from .mph import mix
@@ -175,63 +176,24 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return left.join(whole("a"), "a").join(whole("b"), "b").where(both / (total - both) >= similarity).select("a", "b").distinct()
 
 
-#: Counters of how often shingles occur; a shingle's is told by its hash.
-COUNTERS = 1 << 18
-
-
-def _frequencies(sets: DataFrame) -> np.ndarray:
-    """How often the shingles of each counter occur in the sets: COUNTERS numbers, whatever the input."""
-
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            total += np.bincount(b.column(0).flatten().to_numpy().view(np.uint64) % np.uint64(COUNTERS), minlength=COUNTERS)
-        at = np.nonzero(total)[0]
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
-
-    rows = sets.select("shingles").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int64)
-    out[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
-    return out
-
-
-def _firsts(often: np.ndarray, similarity: float):
-    """The shingles of each set (id, root, n, bits, shingles) that come first in the order of their counters, then of their
-    hashes, with their places from 1; those that occur once only meet nothing and are left out."""
-    both = 2 * similarity / (1 + similarity)
-
-    def run(batches):
-        for b in batches:
-            row, token, rank, small = [], [], [], []
-            for i, x in enumerate(b.column(4)):
-                h = x.values.to_numpy().view(np.uint64)
-                f = often[(h % np.uint64(COUNTERS)).astype(np.int64)]
-                order = np.lexsort((h, f))[: len(h) - math.ceil(len(h) * similarity - 1e-6) + 1]
-                at = np.nonzero(f[order] > 1)[0]
-                row.append(np.full(len(at), i))
-                token.append(h[order[at]].view(np.int64))
-                rank.append(at + 1)
-                small.append(at + 1 <= len(h) - math.ceil(len(h) * both - 1e-6) + 1)
-            if row:
-                cols = b.take(pa.array(np.concatenate(row))).columns[:4]
-                more = [pa.array(np.concatenate(token)), pa.array(np.concatenate(rank).astype(np.int32)), pa.array(np.concatenate(small))]
-                yield pa.record_batch([*cols, *more], names=["id", "root", "n", "bits", "token", "rank", "small"])
-
-    return run
-
-
 def crowded(found: DataFrame, similarity: float) -> DataFrame:
     """a < b, distinct: every pair of documents of different roots whose sets (id, root, n, bits, shingles) may have that
     similarity or more; none of those that have it is left out.
 
-    Shingles are ordered, the rare ones first. Two sets that are similar enough share a shingle among the first of both, as
-    many as the smaller or the larger one may miss and one more; and where the first shingle they share stands at the i-th
-    and j-th place of sets of n and m, they share at most 1 + min(n - i, m - j), which must be enough."""
-    rows = found.select("id", "root", "n", "bits", "shingles")
-    keep = durable(rows.mapInArrow(_firsts(_frequencies(found), similarity), "id long, root long, n int, bits array<long>, token long, rank int, small boolean"), "wide-first")
+    Shingles are ordered by how many sets hold them, the rare ones first; they are counted whole, so the order holds for any
+    number of them. Two sets that are similar enough share a shingle among the first of both, as many as the smaller or the
+    larger one may miss and one more; and where the first shingle they share stands at the i-th and j-th place of sets of
+    n and m, they share at most 1 + min(n - i, m - j), which must be enough. Shingles of one set alone meet nothing."""
+    tokens = found.select("id", "n", F.explode("shingles").alias("token"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1)
+    order = Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1)), "token")
+    first = lambda part: F.col("n") - F.ceil(F.col("n") * F.lit(part) - 1e-6) + 1
+    both = 2 * similarity / (1 + similarity)  # of the mean size of two similar sets, this share is in both
+    ranked = tokens.join(often, "token", "left").withColumn("rank", F.row_number().over(order)).where(F.col("often").isNotNull() & (F.col("rank") <= first(similarity)))
+    ranked = ranked.select("id", "token", "rank", (F.col("rank") <= first(both)).alias("small"))
+    keep = durable(ranked.join(found.select("id", "root", "n", "bits"), "id"), "wide-first")
     small = keep.where("small").select("token", F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("n").alias("_n"), F.col("bits").alias("_bits"), F.col("rank").alias("_rank"))
     near = (F.col("_n") <= F.col("n")) & (F.col("root") != F.col("_root")) & may_agree("n", "bits", "_n", "_bits", similarity)
-    both = 2 * similarity / (1 + similarity)  # of the mean size of two similar sets, this share is in both
     enough = 1 + F.least(F.col("n") - F.col("rank"), F.col("_n") - F.col("_rank")) >= (F.col("n") + F.col("_n")) * F.lit(both / 2) - 1e-6
     return keep.join(small, "token").where(near & enough).select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
 

@@ -297,3 +297,18 @@ def test_similar_id_with_many_texts(spark):
     rows = [*texts.items(), *[(9, texts[i]) for i in (1, 2, 3, 5)]]
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 6, 9: 1}
+
+
+def test_candidates_of_a_shared_passage_are_few(spark):
+    """More shingles than any table of counters: what many documents share comes last in their order, so it pairs none of them."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passage = " ".join(word() for _ in range(300))
+    texts = [f"{passage} {' '.join(word() for _ in range(900))}" for _ in range(400)]
+    twins = [t.rsplit(" ", 20)[0] for t in texts[:30]]
+    docs = [*texts, *twins]
+    rows = [(i, i, len(s := sorted({hash((*w[j : j + 5],)) for w in [t.split()] for j in range(len(w) - 4)})), [-1] * 8, s) for i, t in enumerate(docs)]
+    assert len({x for r in rows for x in r[4]}) > 1 << 18
+    found = spark.createDataFrame(rows, "id long, root long, n int, bits array<long>, shingles array<long>").repartition(4)
+    got = {tuple(r) for r in simhash.crowded(found, 0.8).collect()}
+    assert got == {(i, 400 + i) for i in range(30)}
