@@ -23,9 +23,15 @@ def dense_histogram(rows: DataFrame, by: str = "sample") -> DataFrame:
     return packed.select(by, F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("top")), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0).cast("bigint"))).alias("hist"))
 
 
-def cardinality(rows: DataFrame, by: str = "sample") -> DataFrame:
-    """Group, cardinality: (n - 1) over the part of the hash range that the n hashes take, in 32-bit floating point; within 64 bits unsigned."""
-    top = F.max(hash_ord())
+#: What each figure is made of, so that any of them come from one aggregation.
+_PARTS = {
+    "cardinality": lambda: {"n": F.count("*"), "top": F.max(hash_ord())},
+    "depth": lambda: {"total": F.sum("count"), "n": F.count("*")},
+    "gc": lambda: {"total": F.sum("count"), "gc_bases": F.sum(F.col("count") * F.length(F.regexp_replace("kmer", "[^GgCc]", ""))), "longest": F.max(F.length("kmer"))},
+}
+
+
+def _cardinality() -> Column:
     # hash_ord + 2^63 in exact decimals
     last = (F.col("top").cast("decimal(38,0)") + F.lit("9223372036854775808").cast("decimal(38,0)")).cast("float").cast("double")
     part = single(last / F.lit(_TOP))
@@ -35,20 +41,36 @@ def cardinality(rows: DataFrame, by: str = "sample") -> DataFrame:
     below = value < 2.0**63
     whole = F.when(below, F.when(below, value).cast("bigint").cast("decimal(20,0)")).when(value < 2.0**64, F.when(~below & (value < 2.0**64), value - 2.0**63).cast("bigint").cast("decimal(20,0)") + half)
     whole = F.when(value >= 2.0**64, F.lit("18446744073709551615").cast("decimal(20,0)")).otherwise(whole).cast("decimal(20,0)")
-    return rows.groupBy(by).agg(F.count("*").alias("n"), top.alias("top")).select(by, F.coalesce(whole, F.lit(0).cast("decimal(20,0)")).alias("cardinality"))
+    return F.coalesce(whole, F.lit(0).cast("decimal(20,0)"))
+
+
+def _gc() -> Column:
+    bases = F.col("total") * F.col("longest")
+    return single(F.when(bases == 0, float("nan")).otherwise(100.0 * F.col("gc_bases") / F.greatest(bases, F.lit(1))))
+
+
+_FIGURES = {"cardinality": _cardinality, "depth": lambda: single(F.col("total") / F.col("n")), "gc": _gc}
+
+
+def _figures(rows: DataFrame, by: str, *names: str) -> DataFrame:
+    parts = {k: v for name in names for k, v in _PARTS[name]().items()}
+    return rows.groupBy(by).agg(*[v.alias(k) for k, v in parts.items()]).select(by, *[_FIGURES[name]().alias(name) for name in names])
+
+
+def cardinality(rows: DataFrame, by: str = "sample") -> DataFrame:
+    """Group, cardinality: (n - 1) over the part of the hash range that the n hashes take, in 32-bit floating point; within 64 bits unsigned."""
+    return _figures(rows, by, "cardinality")
 
 
 def mean_depth(rows: DataFrame, by: str = "sample") -> DataFrame:
-    return rows.groupBy(by).agg(single(F.sum("count") / F.count("*")).alias("depth"))
+    return _figures(rows, by, "depth")
 
 
 def gc_percent(rows: DataFrame, by: str = "sample") -> DataFrame:
     """Group, gc: percent of G and C among the k-mers' bases, by count; NaN without k-mers."""
-    gc = F.length(F.regexp_replace("kmer", "[^GgCc]", ""))
-    agg = rows.groupBy(by).agg(F.sum(F.col("count") * gc).alias("a"), (F.sum("count") * F.max(F.length("kmer"))).alias("b"))
-    return agg.select(by, single(F.when(F.col("b") == 0, float("nan")).otherwise(100.0 * F.col("a") / F.greatest(F.col("b"), F.lit(1)))).alias("gc"))
+    return _figures(rows, by, "gc")
 
 
 def info(rows: DataFrame, by: str = "sample") -> DataFrame:
-    """Group, cardinality, depth, gc."""
-    return cardinality(rows, by).join(mean_depth(rows, by), by).join(gc_percent(rows, by), by)
+    """Group, cardinality, depth, gc, in one aggregation."""
+    return _figures(rows, by, "cardinality", "depth", "gc")
