@@ -16,8 +16,8 @@ minimum labels and pointer jumping, each round written to the shared folder.
 
 from __future__ import annotations
 
-import math
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -176,22 +176,49 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return left.join(whole("a"), "a").join(whole("b"), "b").where(both / (total - both) >= similarity).select("a", "b").distinct()
 
 
-def crowded(found: DataFrame, similarity: float) -> DataFrame:
+def _firsts(found: DataFrame, similarity: float, crowd: int) -> DataFrame:
+    """The shingles that come first in each set (id, key, n, shingles), at least as many as it may miss and one more that are
+    rare, with how many sets hold them among theirs where that is more than one: id, key, n, token, often.
+
+    A set's shingles are hashes in ascending order, which says nothing of how rare they are. Its first ones are counted; more than crowd sets
+    make one common, and who has common ones among its first looks as much further as their share there asks for, at the
+    fourth time to its end. So shingles of a long text beyond its first ones are neither counted nor shuffled."""
+    key = ["id", "key"]
+    need = (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-6) + 1).cast("int")
+    fresh = found.select(*key, "n", "shingles", F.lit(0).alias("start"), F.least("n", need).alias("upto"))
+    state, parts = fresh.select(*key, "n", "upto"), []
+    for i in count():
+        span = F.slice("shingles", F.col("start") + 1, F.col("upto") - F.col("start"))
+        parts.append(durable(fresh.select(*key, "n", F.explode(span).alias("token")), f"wide-tokens-{i}"))
+        tokens = reduce(DataFrame.unionAll, parts)
+        often = durable(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1), f"wide-often-{i}")
+        common = tokens.join(often.where(F.col("often") > crowd), "token", "left_semi").groupBy(*key).agg(F.count(F.lit(1)).cast("int").alias("common"))
+        rare = F.col("upto") - F.col("common")
+        further = F.col("n") if i > 2 else F.least("n", F.greatest(F.col("upto") + need - rare, F.ceil(need * F.col("upto") / F.nullif(rare, F.lit(0))).cast("int")))
+        short = state.join(common, key).where((rare < need) & (F.col("upto") < F.col("n")))
+        ahead = durable(short.select(*key, F.col("upto").alias("start"), further.alias("upto")), f"wide-ahead-{i}")
+        if ahead.isEmpty():
+            return tokens.join(often, "token", "left")
+        fresh = ahead.join(found.select(*key, "n", "shingles"), key)
+        state = durable(state.join(ahead.select(*key, F.col("upto").alias("_upto")), key, "left").select(*key, "n", F.coalesce("_upto", "upto").alias("upto")), f"wide-upto-{i}")
+
+
+def crowded(found: DataFrame, similarity: float, crowd: int = CROWD) -> DataFrame:
     """a < b, distinct: every pair of documents of different roots whose sets (id, root, n, bits, shingles) may have that
-    similarity or more; none of those that have it is left out.
+    similarity or more; none of those that have it is left out. An id may have several sets.
 
-    Shingles are ordered by how many sets hold them, the rare ones first; they are counted whole, so the order holds for any
-    number of them. Two sets that are similar enough share a shingle among the first of both, as many as the smaller or the
+    Shingles are ordered: first those that at most crowd sets have among their first, by hash, then the others, the rarer ones
+    first. Two sets that are similar enough share a shingle among the first of both, as many as the smaller or the
     larger one may miss and one more; and where the first shingle they share stands at the i-th and j-th place of sets of
     n and m, they share at most 1 + min(n - i, m - j), which must be enough. Shingles of one set alone meet nothing."""
-    tokens = found.select("id", "n", F.explode("shingles").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > 1)
-    order = Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1)), "token")
+    found = found.withColumn("shingles", F.sort_array("shingles")).withColumn("key", F.xxhash64("shingles"))
+    common = F.coalesce("often", F.lit(1)) > crowd
+    order = Window.partitionBy("id", "key").orderBy(common, F.when(common, F.col("often")), "token")
     first = lambda part: F.col("n") - F.ceil(F.col("n") * F.lit(part) - 1e-6) + 1
     both = 2 * similarity / (1 + similarity)  # of the mean size of two similar sets, this share is in both
-    ranked = tokens.join(often, "token", "left").withColumn("rank", F.row_number().over(order)).where(F.col("often").isNotNull() & (F.col("rank") <= first(similarity)))
-    ranked = ranked.select("id", "token", "rank", (F.col("rank") <= first(both)).alias("small"))
-    keep = durable(ranked.join(found.select("id", "root", "n", "bits"), "id"), "wide-first")
+    ranked = _firsts(found, similarity, crowd).withColumn("rank", F.row_number().over(order)).where(F.col("often").isNotNull() & (F.col("rank") <= first(similarity)))
+    ranked = ranked.select("id", "key", "token", "rank", (F.col("rank") <= first(both)).alias("small"))
+    keep = durable(ranked.join(found.select("id", "key", "root", "n", "bits"), ["id", "key"]).drop("key"), "wide-first")
     small = keep.where("small").select("token", F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("n").alias("_n"), F.col("bits").alias("_bits"), F.col("rank").alias("_rank"))
     near = (F.col("_n") <= F.col("n")) & (F.col("root") != F.col("_root")) & may_agree("n", "bits", "_n", "_bits", similarity)
     enough = 1 + F.least(F.col("n") - F.col("rank"), F.col("_n") - F.col("_rank")) >= (F.col("n") + F.col("_n")) * F.lit(both / 2) - 1e-6
@@ -236,7 +263,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     left = durable(at.join(open_, "point").select(F.col("node").alias("id"), "root").distinct(), "wide-open")
     if not left.isEmpty():
         some = durable(sets.join(left, "id").select("id", "root", "n", "bits", "shingles"), "wide-some")
-        more = durable(verified(durable(crowded(some, similarity), "wide-more"), some, similarity), "wide-extra")
+        more = durable(verified(durable(crowded(some, similarity, crowd), "wide-more"), some, similarity), "wide-extra")
         labels = components(links.unionAll(more), "wide-all")
     return same.join(labels, "node", "left").select(F.col("id").alias(id_col), F.coalesce("root", "node").alias("component_id"))
 
