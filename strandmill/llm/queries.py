@@ -161,7 +161,64 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
   (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, i)) FROM c{rounds}) AS codebooks_sha256 FROM o"""
 
 
+#: The hash's fixed multipliers.
+_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+_WORD = "18446744073709551615::UHUGEINT"
+
+
+def _fingerprint_sql(shingle: int = _simhash.SHINGLE, radius: int = _simhash.RADIUS, seed: int = _simhash.SEED) -> str:
+    """XXH64 of every different shingle, spelled out: t is its bytes from last to first in hexadecimal, n their number, o how
+    many are done. Stripes of 32 bytes go by recursion, what is left of them by steps; all pairs of fingerprints."""
+    p1, p2, p3, p4, p5 = (f"{x}::UHUGEINT" for x in _PRIMES)
+    cut = lambda x: f"(({x}) & {_WORD})"
+    turn = lambda x, r: f"(({x} << {r} & {_WORD}) | ({x} >> {64 - r}))"
+    read = lambda size, at="o": f"TRY_CAST('0x' || substr(t, 2 * (n - ({at}) - {size}) + 1, {2 * size}) AS UBIGINT)::UHUGEINT"
+    mixed = lambda v, x: cut(f"{turn(cut(f'{v} + {cut(f"{x} * {p2}")}'), 31)} * {p1}")
+    lanes = ("v1", "v2", "v3", "v4")
+    steps, cols = [], ["t", "n", "o", *lanes, "h"]
+
+    def step(**to):
+        steps.append(f"x{len(steps) + 1} AS (SELECT s, {', '.join(f'{to.get(c, c)} AS {c}' for c in cols)} FROM x{len(steps)})")
+
+    def part(size: int, xor: str, then: str):
+        """One more of that size, where as many are left."""
+        step(h=f"CASE WHEN o + {size} <= n THEN xor(h, {xor}) ELSE h END", o=f"CASE WHEN o + {size} <= n THEN -(o + {size}) ELSE o END")
+        step(h=f"CASE WHEN o < 0 THEN {then} ELSE h END", o="abs(o)")
+
+    step(h=f"CASE WHEN n >= 32 THEN {cut(' + '.join(turn(v, r) for v, r in zip(lanes, (1, 7, 12, 18), strict=True)))} ELSE {(seed + _PRIMES[4]) & (1 << 64) - 1}::UHUGEINT END")
+    for v in lanes:
+        step(h=f"CASE WHEN n >= 32 THEN {cut(f'xor(h, {mixed("0::UHUGEINT", v)}) * {p1} % 18446744073709551616::UHUGEINT + {p4}')} ELSE h END")
+    step(h=cut("h + n::UHUGEINT"))
+    for _ in range(3):
+        part(8, mixed("0::UHUGEINT", read(8)), cut(f"{cut(f'{turn("h", 27)} * {p1}')} + {p4}"))
+    part(4, cut(f"{read(4)} * {p1}"), cut(f"{cut(f'{turn("h", 23)} * {p2}')} + {p3}"))
+    for _ in range(3):
+        part(1, cut(f"{read(1)} * {p5}"), cut(f"{turn('h', 11)} * {p1}"))
+    step(h=cut(f"xor(h, h >> 33) * {p2}"))
+    step(h=cut(f"xor(h, h >> 29) * {p3}"))
+    step(h="xor(h, h >> 32)")
+    starts = [(seed + _PRIMES[0] + _PRIMES[1]), seed + _PRIMES[1], seed, seed - _PRIMES[0]]
+    bits = " + ".join(f"CASE WHEN 2 * sum(k * CAST(h >> {b} & 1 AS BIGINT)) > sum(k) THEN {1 << b}::UHUGEINT ELSE 0 END" for b in range(64))
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {shingle - 1}, 1) + 1)) AS i FROM d WHERE len(ws) > 0),
+g AS MATERIALIZED (SELECT doc_id, array_to_string(ws[i : i + {shingle - 1}], ' ') AS s, count(*) AS k FROM w GROUP BY ALL),
+b AS (SELECT s, array_to_string(list_reverse(regexp_extract_all(hex(encode(s)), '..')), '') AS t FROM (SELECT DISTINCT s FROM g)),
+r AS (SELECT s, t, length(t) // 2 AS n, 0::BIGINT AS o, {', '.join(f'{x & (1 << 64) - 1}::UHUGEINT AS {v}' for v, x in zip(lanes, starts, strict=True))} FROM b
+  UNION ALL SELECT s, t, n, o + 32, {', '.join(mixed(v, read(8, f'o + {8 * i}')) for i, v in enumerate(lanes))} FROM r WHERE o + 32 <= n),
+x0 AS MATERIALIZED (SELECT *, 0::UHUGEINT AS h FROM r WHERE o + 32 > n),
+{', '.join(steps)},
+hs AS MATERIALIZED (SELECT s, h FROM x{len(steps)}),
+f AS MATERIALIZED (SELECT d.doc_id, coalesce(z.fp, 0::UBIGINT) AS fp FROM d LEFT JOIN (SELECT doc_id, CAST({bits} AS UBIGINT) AS fp FROM g JOIN hs USING (s) GROUP BY 1) z USING (doc_id)),
+l AS MATERIALIZED (SELECT fp, min(doc_id) AS low FROM f GROUP BY 1),
+e AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM l a, l b WHERE bit_count(xor(a.fp, b.fp)) <= {radius}),
+c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM f JOIN (SELECT a AS fp, min(low) AS component_id FROM c JOIN l ON l.fp = c.b GROUP BY 1) USING (fp)"""
+
+
+
 ORACLES = {
+    "op2_simhash": _fingerprint_sql(),
     "op4_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
