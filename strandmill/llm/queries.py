@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from . import ann as _ann
@@ -217,8 +219,45 @@ SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM f
 
 
 
+def _secrets_sql() -> str:
+    """Every kind by its regular expression, places from the lengths between matches; private keys one after the other."""
+
+    def pattern(rule):
+        named, rest = (rule.pattern[: (at := rule.pattern.index(")") + 1)], rule.pattern[at:]) if rule.either_case else ("", rule.pattern)
+        named = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", named)
+        head, _, last = (named + rest).rpartition("(") if rule.min_last else (named + rest, "", "")
+        return (head.replace("(", "(?:") + (f"({last}" if last else "")).replace("'", "''")
+
+    rules = list(enumerate(_secrets.RULES))
+    plain = " UNION ALL ".join(
+        f"SELECT nr, {i} AS kind, {r.min_length} AS least, list_transform(regexp_split_to_array(text, '{pattern(r)}'), lambda x: length(x)) AS gaps, list_transform(regexp_extract_all(text, '{pattern(r)}'), lambda x: length(x)) AS ms, "
+        + (f"list_transform(regexp_extract_all(text, '{pattern(r)}', 1), lambda x: length(x) >= {r.min_last})" if r.min_last else "NULL::BOOLEAN[]")
+        + " AS fits FROM d"
+        for i, r in rules
+        if r.until is None
+    )
+    [(pem, key)] = [(i, pattern(r)) for i, r in rules if r.until is not None]
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS nr, coalesce(text, '') AS text FROM documents),
+m AS ({plain}),
+u AS (SELECT nr, kind, least, generate_subscripts(ms, 1) AS i, unnest(gaps[1 : len(ms)]) AS gap, unnest(ms) AS size, unnest(coalesce(fits, list_transform(ms, lambda x: true))) AS fits FROM m),
+p AS (SELECT nr, kind, sum(gap + size) OVER (PARTITION BY nr, kind ORDER BY i) - size AS start, size FROM u QUALIFY fits AND size >= least),
+k AS (SELECT nr, text AS rest, 0 AS start, 0 AS stop FROM d WHERE contains(text, '-----BEGIN ')
+  UNION ALL SELECT nr, substr(after, length(body) + 1), stop + before, stop + before + head + length(body) FROM (
+    SELECT *, CASE WHEN closed <> '' THEN closed ELSE regexp_extract(after, '^(?:[\\r\\n]+[A-Za-z0-9+/=]+)*') END AS body FROM (
+      SELECT *, regexp_extract(CASE WHEN contains(after, '-----BEGIN ') THEN split_part(after, '-----BEGIN ', 1) || '-----' ELSE after END, '^[\\s\\S]*?-----END [A-Z ]*PRIVATE KEY-----') AS closed FROM (
+        SELECT nr, stop, length(regexp_extract(rest, '^([\\s\\S]*?){key}', 1)) AS before, length(regexp_extract(rest, '{key}')) AS head, substr(rest, length(regexp_extract(rest, '^[\\s\\S]*?{key}')) + 1) AS after
+        FROM k WHERE regexp_matches(rest, '{key}'))))),
+a AS (SELECT nr, kind, start, start + size AS stop FROM p UNION ALL SELECT nr, {pem}, start, stop FROM k WHERE stop > 0),
+s AS (SELECT nr, kind, start, {_secrets.KINDS}[kind + 1] || ':' || start || ':' || stop AS span FROM a),
+o AS (SELECT nr, string_agg(span, ',' ORDER BY start, kind) AS spans, string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < {_secrets.BASE}) AS base, {', '.join(f"count(*) FILTER (WHERE kind = {i}) AS n_{k}" for i, k in enumerate(_secrets.KINDS[: _secrets.BASE]))} FROM s GROUP BY 1)
+SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _secrets.KINDS[: _secrets.BASE])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (nr)"""
+
+
+
 ORACLES = {
     "op2_simhash": _fingerprint_sql(),
+    "op3_secrets": _secrets_sql(),
     "op4_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),

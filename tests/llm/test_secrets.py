@@ -2,9 +2,10 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 
-from strandmill.llm import automaton, secrets
+from strandmill.llm import automaton, queries, secrets
 
 from .conftest import TEXTS
 
@@ -22,15 +23,27 @@ def brute(t, all_kinds=True):
     return sorted(out)
 
 
-def test_random_texts():
+def random_texts(n):
     rng = random.Random(1)
     parts = ["token", "TOKEN", "secret", "api_key", "apikey", "passwd", "password", "=", ":", " ", '"', "'", "AKIA", "ABCD1234EFGH5678", "a", "f0", "deadbeef", "é", "日", "\n"]
     parts += ["tok", "sec", "pass", "=", "abcdef", "1234567890abcdef12345678", "ghp_", "xoxb-", "A1b2C3d4E5f6G7h8I9j0" * 2, "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-----END ", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "\nMIIe+/=", "-", "AIza", "sk_live_", "rk_test_"]
-    for _ in range(12000):
-        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 20)))
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(n)]
+
+
+def test_random_texts():
+    for t in random_texts(12000):
         assert secrets.spans(t) == brute(t), t
 
 
+def test_spans_in_sql():
+    texts = [*random_texts(4000), None, "-----BEGIN PRIVATE KEY-----BEGIN RSA PRIVATE KEY-----END PRIVATE KEY-----\nAB=", "x" * 5000 + " token=abcdef0123"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT unnest(range(?)) AS doc_id, unnest(?::VARCHAR[]) AS text", [len(texts), texts])
+    got = {r[0]: r[5] for r in con.execute(queries.ORACLES["op3_secrets"]).fetchall()}
+    for i, t in enumerate(texts):
+        assert got[i] == secrets.shown(brute(t or "")), t
+
+
 def test_edges(edge, empty):
     got = {}
     for r in secrets.find_secrets(edge).collect():
