@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from .. import api, cli
 from ..functions import kmers as K
 from ..operators import filters, sketching
 from ..params import ALL, MASH, FilterParams, SketchParams
-from ..sources import fastx
+from ..sources import fastx, tables
 from ..sources import sequences as S
 from ..sources.tables import scratch, spread
 from .queries import DOC_MASHED, MASHED, SHORT, sequences
@@ -132,6 +133,27 @@ def _genomes(spark, sf_dir) -> list[str]:
     return sorted(f.toString() for _, f in S.files_at(spark, f"{path}/source=*"))
 
 
+def reads_filter(spark, sf_dir):
+    """Sources whose names end in an even digit as FASTQ files, the others as FASTA: filters that nobody turned on or off
+    apply to reads with qualities alone."""
+    path = scratch(spark)
+    rows = _letters(spark, sf_dir).where(F.length("seq") > 0)
+    read = F.concat(F.lit("@"), "id", F.lit("\n"), "seq", F.lit("\n+\n"), F.expr("repeat('I', length(seq))"))
+    value = F.when(F.substring("source", -1, 1).isin(*"02468"), read).otherwise(F.concat(F.lit(">"), "id", F.lit("\n"), "seq"))
+    rows.select("source", value.alias("value")).repartition("source").write.partitionBy("source").text(path)
+    files = sorted(f.toString() for _, f in S.files_at(spark, f"{path}/source=*"))
+    c = api.sketch_files(spark, files, SketchParams(ALL, 4**SHORT, 4**SHORT, True, SHORT), replace(KEPT, filter_on=None))
+    return _rows(c, "kmer", "count", "extra_count").withColumn("sample", F.regexp_extract("sample", "source=([^/]*)/", 1))
+
+
+def table_rows(spark, sf_dir):
+    """Sketches written as tables from the executors and read back."""
+    path = scratch(spark)
+    c = api.sketch_sequences(sequences(spark, sf_dir), MASHED, FilterParams(False))
+    tables.save_tables(c.sketches, c.minmers, path)
+    return _rows(api.Collection(*tables.load_tables(spark, path)), "kmer", "count", "extra_count")
+
+
 def _source(path: str) -> str:
     return re.search(r"source=([^/]*)/", path)[1]
 
@@ -192,5 +214,5 @@ def mixed_load(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (fasta_scan, fastq_scan, small_files, normalised, native_files, json_files, mash_files, sketch_facts, trimmed, filtered_sketches, collection_edit, cli_dist, cli_hist, index_rows, index_search, mixed_load)
+    for f in (fasta_scan, fastq_scan, small_files, normalised, native_files, json_files, mash_files, sketch_facts, trimmed, filtered_sketches, collection_edit, cli_dist, cli_hist, index_rows, index_search, mixed_load, reads_filter, table_rows)
 }

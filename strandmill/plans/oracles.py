@@ -191,6 +191,7 @@ def _file_oracles(totals: str) -> dict[str, str]:
     small = lambda n: replace(MASHED, kmers_to_sketch=n, final_size=n)
     rows = f"{_ROWS} FROM r"
     low, high, strand = KEPT.abun_low, KEPT.abun_high, KEPT.strand_filter
+    kept = f"(n BETWEEN {low} AND {high} AND (n < 16 OR least(extra, n - extra) / CAST(n AS DOUBLE) >= {strand}))"
     dense = _DENSE.format(src="r", level=0.0)
     return {
         "fasta_scan": _FILES.format("fasta"),
@@ -202,7 +203,9 @@ def _file_oracles(totals: str) -> dict[str, str]:
         "mash_files": f'{_smallest("source", small(300))}\nSELECT sample, CAST(h AS VARCHAR) AS hash, n AS "count" FROM r',
         "sketch_facts": f"{_FACTS}, false AS filter_on, CAST(1 AS BIGINT) AS abun_low, CAST({MASHED.kmers_to_sketch} AS BIGINT) AS kmers_to_sketch, CAST({MASHED.kmer_length} AS BIGINT) AS kmer_length FROM ({totals})",
         "trimmed": f"{_smallest('source', small(TRIMMED.final_size))}\n{rows}",
-        "filtered_sketches": f"{_S}\n{rows} WHERE n BETWEEN {low} AND {high} AND (n < 16 OR least(extra, n - extra) / CAST(n AS DOUBLE) >= {strand})",
+        "filtered_sketches": f"{_S}\n{rows} WHERE {kept}",
+        "reads_filter": f"{_S}\n{rows} WHERE right(sample, 1) NOT IN ('0', '2', '4', '6', '8') OR {kept}",
+        "table_rows": f"{_smallest('source', MASHED)}\n{rows}",
         "collection_edit": """
 WITH s AS (SELECT DISTINCT source AS sample FROM documents), f AS (SELECT min(sample) AS sample FROM s WHERE sample <> 'src3'),
 a AS (SELECT sample, 0 AS part FROM s WHERE sample <> 'src3' AND sample <> (SELECT sample FROM f) UNION ALL SELECT sample, 1 FROM s WHERE sample IN ('src3', 'src5'))
