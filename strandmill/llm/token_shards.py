@@ -237,6 +237,8 @@ class Encoder:
 def _writer(path: str, width: int, end_id: int, most_ids: int, most_docs: int):
     def run(batches):
         encoder = Encoder.get(path, width)
+        if max(encoder.tok.get_vocab_size() - 1, end_id) >> 8 * width:
+            raise ValueError(f"the ids need more than {width} bytes")
         shard = TaskContext.get().partitionId() << 20
         keys: list[np.ndarray] = []  # of the shard
         sizes: list[np.ndarray] = []
@@ -306,7 +308,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     A row with a null id has no key and so no place in keyed files; it is left out. Rows that
     share an id are all written; keyed access gives the first in each shard. Other columns are
     ignored. An empty table gives an empty file set. page: ids after which a page ends;
-    shard_docs: documents after which a shard ends; both as steps of the encoder end.
+    shard_docs: documents after which a shard ends; both as steps of the encoder end. The manifest
+    tells a shard's keys, width and end_id; a page's bytes are width times its n_tokens, which is
+    what readers go by. An error, if the ids don't fit the width.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("key"), text_of(F.col(text_col)).alias("text"))
@@ -316,7 +320,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     made.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(f"{path}/shards")
     spark = docs.sparkSession
     shards = _indices(spark, path)  # one row a shard
-    shards.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("base"), "lo", "hi").coalesce(1).write.parquet(f"{path}/manifest")
+    shards.select("shard", (F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).alias("base"), "lo", "hi", F.lit(width).alias("width"), F.lit(end_id).alias("end_id")).coalesce(1).write.parquet(f"{path}/manifest")
 
 
 def _all(spark: SparkSession, path: str) -> DataFrame:
@@ -332,7 +336,7 @@ def _indices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("shard long, base long, lo long, hi long").parquet(f"{path}/manifest")
+    return spark.read.schema("shard long, base long, lo long, hi long, width int, end_id int").parquet(f"{path}/manifest")
 
 
 def _placed(batches):
@@ -352,27 +356,25 @@ def _placed(batches):
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["shard", "key", "start", "at", "n_tokens"])
 
 
-def _digested(width: int):
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ids, sizes = np.frombuffer(r["ids"], f"<u{width}").astype("<u4"), np.frombuffer(r["sizes"], "<u4").astype(np.int64)
-                ends = np.cumsum(sizes)
-                raw = memoryview(ids.tobytes())
-                crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                cols = [np.full(len(sizes), r["shard"]), r["start"] + ends - sizes, sizes, crc]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["shard", "at", "n_tokens", "ids_crc32"])
-
-    return run
+def _digested(batches):
+    for b in batches:
+        for r in b.to_pylist():
+            sizes = np.frombuffer(r["sizes"], "<u4").astype(np.int64)
+            ids = np.frombuffer(r["ids"], f"<u{len(r['ids']) // r['n_tokens']}").astype("<u4")
+            ends = np.cumsum(sizes)
+            raw = memoryview(ids.tobytes())
+            crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            cols = [np.full(len(sizes), r["shard"]), r["start"] + ends - sizes, sizes, crc]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["shard", "at", "n_tokens", "ids_crc32"])
 
 
-def describe(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def describe(spark: SparkSession, path: str) -> DataFrame:
     """key, start (ids of all documents before it), n_tokens, ids_crc32 of every document, from the files: the index gives
     each key its place and length in its shard, and what the pages hold there gives the sum."""
     manifest = _manifest(spark, path).select("shard", "base")  # one row a shard
     index = _indices(spark, path).select("shard", "keys", "sizes", "index").join(manifest, "shard").select("shard", "base", "keys", "sizes", "index")
     placed = index.mapInArrow(_placed, "shard long, key long, start long, at long, n_tokens long")
-    held = _pages(spark, path).select("shard", "start", "sizes", "ids").mapInArrow(_digested(width), "shard long, at long, n_tokens long, ids_crc32 long")
+    held = _pages(spark, path).select("shard", "start", "n_tokens", "sizes", "ids").mapInArrow(_digested, "shard long, at long, n_tokens long, ids_crc32 long")
     return placed.join(held, ["shard", "at", "n_tokens"]).select("key", "start", "n_tokens", "ids_crc32")
 
 
@@ -390,23 +392,18 @@ def _looked_up(batches):
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["shard", "page", "key", "at", "n"])
 
 
-def _sliced(width: int):
-    def run(batches):
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                out.append({"key": r["key"], "ids": np.frombuffer(r["part"], f"<u{width}").tolist()})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int64()))]))
-
-    return run
+def _sliced(batches):
+    for b in batches:
+        out = [{"key": r["key"], "ids": np.frombuffer(r["part"], f"<u{r['width']}").tolist()} for r in b.to_pylist()]
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
 
 #: Wanted keys that meet a shard's index in one row.
 _ASKED = 1 << 16
 
 
-def fetch(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_id", width: int = 2) -> DataFrame:
+def fetch(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
     """key, ids of those of the keys that the files hold; each wanted key once, of rows that repeat it the first of each
     shard. Null keys find nothing. The manifest (one row a shard) gives the shard, its index the place, the page its ids."""
     wanted = keys.where(F.col(key_col).isNotNull()).select(F.col(key_col).cast("long").alias("key")).distinct()
@@ -417,6 +414,6 @@ def fetch(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_i
     lists = salted.groupBy("shard", "salt").agg(F.collect_list("key").alias("wanted"))  # about _ASKED keys each
     looked = _indices(spark, path).select("shard", "keys", "starts", "index").join(lists, "shard").select("shard", "keys", "starts", "index", "wanted")
     looked = looked.mapInArrow(_looked_up, "shard long, page long, key long, at long, n long")
-    part = F.expr(f"substring(ids, cast(at * {width} + 1 as int), cast(n * {width} as int))")
-    pages = _pages(spark, path).select("shard", F.col("page").cast("long").alias("page"), "ids")
-    return pages.join(looked, ["shard", "page"]).select("key", part.alias("part")).mapInArrow(_sliced(width), "key long, ids array<long>")
+    part = F.expr("substring(ids, cast(at * width + 1 as int), cast(n * width as int))")
+    pages = _pages(spark, path).select("shard", F.col("page").cast("long").alias("page"), F.expr("cast(octet_length(ids) / n_tokens as int)").alias("width"), "ids")
+    return pages.join(looked, ["shard", "page"]).select("key", "width", part.alias("part")).mapInArrow(_sliced, "key long, ids array<long>")

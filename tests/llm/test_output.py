@@ -123,6 +123,19 @@ def test_shards_of_repeated_ids(spark, end):
     assert {r["key"] for r in found} == set(texts) and all(r["ids"] in texts[r["key"]] for r in found)
 
 
+def test_shards_know_their_width(spark):
+    path = new_path(spark, "w")
+    docs = spark.createDataFrame([(i, f"text {i} of some words") for i in range(20)], "doc_id long, text string")
+    token_shards.write(docs, path, BPE, width=4, end_id=70_000, shard_docs=4)
+    want = {i: [*x, 70_000] for i, x in enumerate(whole_ids([f"text {i} of some words" for i in range(20)]))}
+    assert {r["key"]: r["ids"] for r in token_shards.fetch(spark, path, docs).collect()} == want
+    got = {r["key"]: r["ids_crc32"] for r in token_shards.describe(spark, path).collect()}
+    assert got == {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in want.items()}
+    assert {(r["width"], r["end_id"]) for r in token_shards._manifest(spark, path).collect()} == {(4, 70_000)}
+    with pytest.raises(Exception, match="need more than 2 bytes"):
+        token_shards.write(docs, new_path(spark, "w"), BPE, end_id=70_000)
+
+
 def test_shards_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
