@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..errors import SketchError
 from ..params import MASH, U32, FilterParams, SketchParams
+from ..sources.tables import held
 from .sketching import smallest
 
 
@@ -34,17 +35,22 @@ def guess_threshold(rows: DataFrame, level: float, by: str = "sample") -> DataFr
     last place of all, sets the cut. Works on the sparse histogram: a window's sum changes
     only where a depth enters or leaves it, so the places next to those are all that matter.
     """
-    hist = histogram(rows, by)
-    order = Window.partitionBy(by).orderBy("depth")
-    # by depth d (from 1) the running sum of (d - 1) * n must stay within level * sum of d * n
-    facts = hist.groupBy(by).agg((F.lit(float(level)) * F.sum(F.col("depth") * F.col("n"))).alias("cut"), F.max("depth").alias("deepest"))
-    run = hist.join(facts, by).withColumn("cum", F.sum((F.col("depth") - 1) * F.col("n")).over(order)).withColumn("below", F.sum("n").over(order))
-    # the first depth whose running sum is too large ends the candidates; between depths the sum doesn't change
-    over = run.groupBy(by).agg(F.min(F.when(F.col("cum") > F.col("cut"), F.col("depth"))).alias("bad"), F.max("deepest").alias("deepest"), F.max("cut").alias("cut"))
-    w = over.select(by, F.coalesce(F.col("bad") - 1, F.col("deepest")).alias("w")).withColumn("win", F.greatest(F.lit(1), F.expr("w div 20")))
+    whole = Window.partitionBy(by)
+    order = whole.orderBy("depth")
+    # by depth d (from 1) the running sum of (d - 1) * n must stay within level * sum of d * n; the first depth where it
+    # doesn't ends the candidates, and between depths the sum doesn't change
+    run = histogram(rows, by).select(
+        by, "depth", F.sum("n").over(order).alias("below"),
+        F.sum((F.col("depth") - 1) * F.col("n")).over(order).alias("cum"),
+        (F.lit(float(level)) * F.sum(F.col("depth") * F.col("n")).over(whole)).alias("cut"),
+        F.max("depth").over(whole).alias("deepest"),
+    )
+    bad = F.min(F.when(F.col("cum") > F.col("cut"), F.col("depth"))).over(whole)
+    run = run.select(by, "depth", "below", F.coalesce(bad - 1, F.col("deepest")).alias("w")).withColumn("win", F.greatest(F.lit(1), F.expr("w div 20")))
+    run = held(run)  # a row per depth, read by all that follows
+    w = run.select(by, "w", "win").distinct()
     # window starts i in [0, w - win): sum of depths i + 1 .. i + win
-    steps = run.select(by, "depth", "below").join(w, by)
-    starts = steps.select(by, "w", "win", F.explode(F.array(F.col("depth") - 1, F.col("depth"), F.col("depth") - F.col("win") - 1, F.col("depth") - F.col("win"))).alias("i"))
+    starts = run.select(by, "w", "win", F.explode(F.array(F.col("depth") - 1, F.col("depth"), F.col("depth") - F.col("win") - 1, F.col("depth") - F.col("win"))).alias("i"))
     ends = w.select(by, "w", "win", F.explode(F.array(F.lit(0).cast("bigint"), F.col("w") - F.col("win") - 1)).alias("i"))
     starts = starts.unionByName(ends).where((F.col("i") >= 0) & (F.col("i") < F.col("w") - F.col("win"))).distinct()
     # the running count at a place: that of the last depth at or below it
@@ -67,6 +73,7 @@ def filter_counts(rows: DataFrame, params: FilterParams, by: str = "sample") ->
     if params.strand_filter > 0:
         out = by_strand(out, params.strand_filter)
     if params.err_filter > 0:
+        out = held(out)  # counted once, for the guess and for what it cuts
         found = guess_threshold(out, params.err_filter, by)
         low = F.greatest(F.col("threshold"), F.lit(params.abun_low or 0))
         out = out.join(found, by).where(F.col("count") >= low).drop("threshold")
