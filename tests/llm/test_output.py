@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import time
 import zlib
@@ -248,6 +249,46 @@ def _names():
     return [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
 
 
+def test_registered_pieces_query(spark):
+    """Ids that spell every text, as many of them as a plain forward pass over the whole texts expects."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    names, n = _names(), sp.get_piece_size()
+    spelt = {i: bytes([int(names[i][1:-1], 16)]) if sp.is_byte(i) else names[i].replace("▁", " ").encode() for i in range(n)}
+    weight = {names[i]: 1 / (1 + min(-sp.get_score(i), n)) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    longest = max(map(len, weight))
+    weight |= {chr(0xDC00 + b): 1.0 for b in range(256)}  # bytes of characters without a piece
+
+    def expected(text):
+        line = "".join("▁" if c == " " else c if c in weight and c != "▁" else "".join(chr(0xDC00 + b) for b in c.encode()) for c in " " + text)
+        log, mean, square = [0.0], [0.0], [0.0]  # of all ways to a place: log weight, pieces, pieces squared
+        for end in range(1, len(line) + 1):
+            ways = [(log[a] + math.log(w), a) for a in range(max(0, end - longest), end) if (w := weight.get(line[a:end]))]
+            top = max(x for x, _ in ways)
+            parts = [(math.exp(x - top), a) for x, a in ways]
+            total = sum(x for x, _ in parts)
+            log.append(top + math.log(total))
+            mean.append(sum(x * (mean[a] + 1) for x, a in parts) / total)
+            square.append(sum(x * (square[a] + 2 * mean[a] + 1) for x, a in parts) / total)
+        return mean[-1], max(0.0, square[-1] - mean[-1] ** 2)
+
+    path = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r for r in __spark_entry__.queries()["op7_sampled_pieces"](spark, path).collect()}
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    ids = {r["doc_id"]: r["ids"] for r in pieces.sample_pieces(docs, PIECES, ids=True).collect()}
+    assert set(got) == set(ids) == set(texts)
+    for i, t in texts.items():
+        assert b"".join(spelt[x] for x in ids[i]) == (" " + t if t else "").encode()
+        assert (got[i]["n_pieces"], got[i]["ids_crc32"]) == (len(ids[i]), zlib.crc32(np.array(ids[i], "<u4").tobytes()))
+    facts = {i: expected(t) if t else (0, 0) for i, t in texts.items()}
+    for i, (mean, spread) in facts.items():
+        assert abs(got[i]["n_pieces"] - mean) <= 6 * spread**0.5 + 1
+    off = sum(got[i]["n_pieces"] - mean for i, (mean, _) in facts.items())
+    assert abs(off) <= 3 * sum(v for _, v in facts.values()) ** 0.5 + 1
+
+
 def padding(hist, edges):
     return sum((min(e for e in edges if e >= n) - n) * c for n, c in hist.items())
 
