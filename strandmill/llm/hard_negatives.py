@@ -1,10 +1,10 @@
 """Hard negatives by a two-dimensional block matrix product.
 
-Vectors become whole numbers. Anchors are dealt into blocks, rows into blocks, dimensions into
-chunks. A task multiplies the slices of one anchor block, one row block and one chunk into a tile
-of partial scores, 64-bit integers; tiles of one block pair are shuffled together and added, and
-the whole tile is reduced at once to what can be in the answer. So neither a block nor a tile
-grows with the input, whatever labels or vectors repeat; only their number does.
+Vectors become whole numbers. Anchors are dealt into blocks and rows into blocks. A task has one block of
+each and multiplies them tile by tile: partial scores of a chunk of dimensions, 64-bit integers, are added
+up to the whole tile, which is reduced at once to what can be in the answer. No score but these leaves
+the task, so what is shuffled is vectors and a few candidates a block; neither a block nor a tile grows
+with the input, whatever labels or vectors repeat.
 
 The product runs twice over disjoint work: over blocks of one label, for each anchor's nearest rows of
 its label, and over all blocks, for the rows of other labels in the window below each of these.
@@ -27,15 +27,17 @@ from ._work import durable
 
 @dataclass(frozen=True)
 class Grid:
-    """anchors and rows: of a tile; width: dimensions of a chunk."""
+    """anchors and rows: of a block, at most about these; width: dimensions of a chunk."""
 
-    anchors: int = 512
-    rows: int = 2048
+    anchors: int = 16384
+    rows: int = 65536
     width: int = 32
 
 
+#: Anchors and rows of a tile, and rows of a block where there are few.
+_TILE = 512, 2048
 _LEAST = np.iinfo(np.int64).min
-_TILE = "g long, i int, j int, chunk int, tile binary, a binary, b binary, labels binary, marks binary, bounds binary"
+_MOST = np.iinfo(np.int64).max
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,40 +49,21 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _slices(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<i4").reshape(len(column), -1).astype(np.int64)
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype="<i4").reshape(len(column), -1)
 
 
-def _keys(frame: pd.DataFrame) -> bytes:
+def _keys(frame: pd.DataFrame) -> np.ndarray:
     """(id, row) of each row, which come sorted by them."""
-    return frame[["id", "row"]].to_numpy(dtype=np.int64).tobytes()
-
-
-def _partial(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-    """The partial tile of an anchor block, a row block and a chunk; the first chunk's also has what the reduction needs."""
-    if not len(asks) or not len(rows):
-        return pd.DataFrame({c.split()[0]: [] for c in _TILE.split(", ")})
-    # the same order in every chunk's tile
-    asks, rows = asks.sort_values(["id", "row"]), rows.sort_values(["id", "row"])
-    head = asks.iloc[0]
-    tile = product(_slices(asks["v"]), _slices(rows["v"])).tobytes()
-    first = head["chunk"] == 0
-    longs = lambda c: np.ascontiguousarray(c, dtype=np.int64).tobytes() if first else None
-    more = {
-        "a": _keys(asks) if first else None, "b": _keys(rows) if first else None, "labels": longs(rows["mark"]), "marks": longs(asks["mark"]),
-        "bounds": b"".join(asks["bounds"]) if first else None,
-    }
-    return pd.DataFrame({"g": [head["g"]], "i": [head["i"]], "j": [head["j"]], "chunk": [head["chunk"]], "tile": [tile], **{k: [v] for k, v in more.items()}})
-
-
-def _added(tiles: pd.DataFrame) -> tuple[np.ndarray, pd.Series]:
-    """The whole tile of a block pair, and the first chunk's row."""
-    first = tiles[tiles["chunk"] == 0].iloc[0]
-    shape = len(first["a"]) // 16, len(first["b"]) // 16
-    score = np.zeros(shape, np.int64)
-    for t in tiles["tile"]:
-        score += np.frombuffer(t, np.int64).reshape(shape)
-    return score, first
+    return frame[["id", "row"]].to_numpy(dtype=np.int64)
+
+
+def _tile(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """All scores of some anchors and rows, added up over chunks of dimensions."""
+    score = np.zeros((len(a), len(b)), np.int64)
+    for c in range(0, a.shape[1], width):
+        score += product(a[:, c : c + width].astype(np.int64), b[:, c : c + width].astype(np.int64))
+    return score
 
 
 def _largest(score: np.ndarray, k: int):
@@ -99,16 +82,15 @@ def _largest(score: np.ndarray, k: int):
 def _positives(k: int):
     """Of a tile of one label: each anchor's k nearest other rows."""
 
-    def run(tiles: pd.DataFrame) -> pd.DataFrame:
-        score, first = _added(tiles)
-        a, b = (np.frombuffer(first[c], np.int64).reshape(-1, 2) for c in ("a", "b"))
-        held = score.copy()
+    def run(score: np.ndarray, asks: pd.DataFrame, rows: pd.DataFrame) -> dict:
+        a, b = _keys(asks), _keys(rows)
         place = np.searchsorted(b[:, 1], a[:, 1], sorter=(order := np.argsort(b[:, 1])))
         mine = order[np.minimum(place, len(b) - 1)]
         own = np.nonzero(b[mine, 1] == a[:, 1])[0]
         score[own, mine[own]] = _LEAST
+        held = score.copy()
         who, which = _largest(score, k)
-        return pd.DataFrame({"anchor": a[who, 1], "id": b[which, 0], "row": b[which, 1], "score": held[who, which]})
+        return {"anchor": a[who, 1], "id": b[which, 0], "row": b[which, 1], "score": held[who, which]}
 
     return run
 
@@ -116,30 +98,67 @@ def _positives(k: int):
 def _negatives(k: int, positives: int, low: int, high: int):
     """Of a tile: for each anchor and positive, the k nearest rows of other labels within low and high percent of its score."""
 
-    def run(tiles: pd.DataFrame) -> pd.DataFrame:
-        score, first = _added(tiles)
-        a, b = (np.frombuffer(first[c], np.int64).reshape(-1, 2) for c in ("a", "b"))
-        other = np.frombuffer(first["marks"], np.int64)[:, None] != np.frombuffer(first["labels"], np.int64)[None]
-        bounds = np.frombuffer(first["bounds"], ">i8").reshape(len(a), positives + 1).astype(np.int64)
+    def run(score: np.ndarray, asks: pd.DataFrame, rows: pd.DataFrame) -> dict:
+        a, b = _keys(asks), _keys(rows)
+        score[asks["mark"].to_numpy()[:, None] == rows["mark"].to_numpy()[None]] = _LEAST
+        bounds = np.frombuffer(b"".join(asks["bounds"]), ">i8").reshape(len(a), positives + 1).astype(np.int64)
         out = []
-        hundred = 100 * score
         for p in range(positives):
             has, bound = bounds[:, 0] > p, bounds[:, p + 1]
-            window = other & (low * bound[:, None] <= hundred) & (hundred <= high * bound[:, None]) & has[:, None]
-            some = np.nonzero(window.any(1))[0]
-            who, which = _largest(np.where(window[some], score[some], _LEAST), k)
+            # whole numbers between these are those within the window
+            least, most = np.where(has, -((-low * bound) // 100), _MOST), np.where(has, (high * bound) // 100, _LEAST)
+            below = np.where(score <= most[:, None], score, _LEAST)
+            some = np.nonzero((below.max(1) >= least) & has)[0]
+            who, which = _largest(below[some], k)
             who = some[who]
-            out.append(pd.DataFrame({"anchor": a[who, 1], "p": np.full(len(who), p, np.int32), "id": b[which, 0], "row": b[which, 1], "score": score[who, which]}))
+            found = score[who, which]
+            ok = found >= least[who]
+            who, which = who[ok], which[ok]
+            out.append({"anchor": a[who, 1], "p": np.full(len(who), p, np.int64), "id": b[which, 0], "row": b[which, 1], "score": found[ok]})
+        return {c: np.concatenate([x[c] for x in out]) for c in ("anchor", "p", "id", "row", "score")}
+
+    return run
+
+
+def _best(found: list[dict], by: list[str], k: int) -> pd.DataFrame:
+    """The first k of each group: of the largest scores, of equal ones those of the smallest id and row."""
+    all_ = {c: np.concatenate([x[c] for x in found]) for c in found[0]}
+    order = np.lexsort([all_["row"], all_["id"], -all_["score"], *[all_[c] for c in reversed(by)]])
+    all_ = {c: x[order] for c, x in all_.items()}
+    at = np.arange(len(order))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in by:
+        new[1:] |= all_[c][1:] != all_[c][:-1]
+    rank = at - np.maximum.accumulate(np.where(new, at, 0))
+    return pd.DataFrame({c: x[rank < k] for c, x in all_.items()})
+
+
+def _product(reduce, by: list[str], k: int, width: int, shape: str):
+    """What reduce leaves of the product of an anchor block and a row block, tile by tile."""
+
+    def run(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(asks) or not len(rows):
+            return pd.DataFrame({c.split()[0]: [] for c in shape.split(", ")})
+        asks, rows = asks.sort_values(["id", "row"]), rows.sort_values(["id", "row"])
+        a, b = _matrix(asks["v"]), _matrix(rows["v"])
+        asks, rows = asks.drop(columns="v"), rows.drop(columns="v")
+        out = []
+        for i in range(0, len(a), _TILE[0]):
+            some = slice(i, i + _TILE[0])
+            tiles = (slice(j, j + _TILE[1]) for j in range(0, len(b), _TILE[1]))
+            out.append(_best([reduce(_tile(a[some], b[t], width), asks.iloc[some], rows.iloc[t]) for t in tiles], by, k))
         return pd.concat(out)
 
     return run
 
 
-def _tiles(asks: DataFrame, rows: DataFrame, sizes: DataFrame | None, counts: tuple[int, int] | None, dim: int, how: Grid) -> DataFrame:
-    """Partial tiles of asks and rows (id, row, mark, v, asks with bounds). sizes: g, na, nb, for blocks within groups g; or
-    counts: numbers of anchors and rows, for blocks of all."""
-    chunks = range(0, dim, how.width)
-    cut = F.array(*[F.substring("v", 4 * c + 1, 4 * how.width) for c in chunks])
+def _blocks(asks: DataFrame, rows: DataFrame, sizes: DataFrame | None, counts: tuple[int, int], how: Grid):
+    """Blocks of asks and rows (id, row, mark, v, asks with bounds) that meet. counts: numbers of anchors and rows; sizes: g,
+    na, nb, for blocks within groups g. There are about as many row blocks as cores, until these would be larger than
+    how.rows, so an anchor goes to a number of blocks that the input doesn't move, and a row to one anchor block."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    most = min(how.rows, max(_TILE[1], -(-counts[1] // cores)))
     blocks = lambda n, most: F.ceil(n / most).cast("int")
     place = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -150,12 +169,12 @@ def _tiles(asks: DataFrame, rows: DataFrame, sizes: DataFrame | None, counts: tu
         return d.join(sizes, F.col("mark") == F.col("g"))
 
     a, b = sized(asks), sized(rows)
-    na, nb = blocks(F.col("na"), how.anchors), blocks(F.col("nb"), how.rows)
-    a = a.select("g", place(na).alias("i"), upto(nb).alias("j"), "id", "row", "mark", "bounds", cut.alias("cut")).select("g", "i", "j", "id", "row", "mark", "bounds", F.posexplode("cut").alias("chunk", "v"))
-    b = b.select("g", upto(na).alias("i"), place(nb).alias("j"), "id", "row", "mark", cut.alias("cut")).select("g", "i", "j", "id", "row", "mark", F.posexplode("cut").alias("chunk", "v"))
-    at = ["g", "i", "j", "chunk"]
+    na, nb = blocks(F.col("na"), how.anchors), blocks(F.col("nb"), most)
+    a = a.select("g", place(na).alias("i"), upto(nb).alias("j"), "id", "row", "mark", "bounds", "v")
+    b = b.select("g", upto(na).alias("i"), place(nb).alias("j"), "id", "row", "mark", "v")
+    at = ["g", "i", "j"]
     a = a.toDF(*a.columns)  # both sides stem from one table
-    return a.groupBy(*at).cogroup(b.groupBy(*at)).applyInPandas(_partial, _TILE)
+    return a.groupBy(*at).cogroup(b.groupBy(*at))
 
 
 def _first(rows: DataFrame, by: list[str], k: int) -> DataFrame:
@@ -193,8 +212,9 @@ def mine(
     asks, all_rows = kept.where("asks").drop("asks"), kept.drop("asks")
 
     of = asks.groupBy(F.col("mark").alias("g")).agg(F.count(F.lit(1)).alias("na")).join(kept.groupBy(F.col("mark").alias("g")).agg(F.count(F.lit(1)).alias("nb")), "g")
-    same = _tiles(asks.withColumn("bounds", F.lit(b"")), all_rows, sent(of), None, dim, how)
-    near = same.groupBy("g", "i", "j").applyInPandas(_positives(positives), "anchor long, id long, row long, score long")
+    same = _blocks(asks.withColumn("bounds", F.lit(b"")), all_rows, sent(of), (asks.count(), n := kept.count()), how)
+    shape = "anchor long, id long, row long, score long"
+    near = same.applyInPandas(_product(_positives(positives), ["anchor"], positives, how.width, shape), shape)
     near = durable(_first(near, ["anchor"], positives), "positives")
 
     # each anchor's number of positives and their scores, as many as asked for, in 64-bit words
@@ -204,11 +224,11 @@ def mine(
     words = [word(F.size("all").cast("long")), *[word(F.coalesce(F.get("all", F.lit(p))["score"], F.lit(0).cast("long"))) for p in range(positives)]]
     bound = bound.select("anchor", F.concat(*words).alias("bounds"))
     known = durable(asks.join(bound, asks["row"] == bound["anchor"]).drop("anchor"), "asks")
-    counts = known.count(), kept.count()
-    if not counts[0]:
+    if not (found := known.count()):
         return spark.createDataFrame([], _SHAPE)
-    every = _tiles(known, all_rows, None, counts, dim, how)
-    far = every.groupBy("g", "i", "j").applyInPandas(_negatives(negatives, positives, low, high), "anchor long, p int, id long, row long, score long")
+    every = _blocks(known, all_rows, None, (found, n), how)
+    shape = "anchor long, p int, id long, row long, score long"
+    far = every.applyInPandas(_product(_negatives(negatives, positives, low, high), ["anchor", "p"], negatives, how.width, shape), shape)
     far = _first(far, ["anchor", "p"], negatives)
     names = known.select(F.col("row").alias("anchor"), F.col("id").alias("anchor_id"))
     pairs = near.join(names, "anchor").select("anchor", (F.col("rank") - 1).alias("p"), "anchor_id", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))

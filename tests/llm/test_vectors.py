@@ -64,6 +64,24 @@ def test_hard_negatives_of_few_and_none(spark):
     assert hard_negatives.mine(table(spark, alone), F.lit(None).cast("boolean")).count() == 0
 
 
+def written(spark) -> int:
+    """Bytes that all shuffles so far wrote."""
+    inner = spark.sparkContext._jsc.sc()
+    inner.listenerBus().waitUntilEmpty()
+    seen = inner.statusStore().executorList(False)
+    return sum(seen.apply(i).totalShuffleWrite() for i in range(seen.size()))
+
+
+def test_scores_stay_in_their_tasks(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0.5, 0.5) for _ in range(64)], i % 3) for i in range(2000)]
+    before = written(spark)
+    got = hard_negatives.mine(table(spark, rows), F.col("vec_id") % 2 == 0)
+    assert got.where("rank = 1").count() > 1000
+    # the matrix of 1,000 anchors and 2,000 rows is 16 MB, whatever is made of it
+    assert written(spark) - before < 8_000_000
+
+
 def test_products_are_whole():
     rng = np.random.default_rng(3)
     for most in (10, 1 << 20, (1 << 27) - 1):
