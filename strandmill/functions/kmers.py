@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +45,16 @@ def letters(packed: Column) -> Column:
     return out
 
 
+#: The letters of the four bases of a byte, as a little-endian word.
+_LETTERS = BASES[_FOUR_CODES].copy().view("<u4")[:, 0]
+
+
+def letters_of(packed: pa.Array) -> pa.Array:
+    """letters() of binary values, for a task's own use: it makes a text of gigabytes at the speed of memory."""
+    texts = [None if x is None else _LETTERS[np.frombuffer(x, np.uint8)].tobytes() for x in packed.to_pylist()]
+    return pa.array(texts, pa.binary()).cast(pa.string())
+
+
 def joined_codes(records: list) -> np.ndarray:
     """2-bit codes of records of one kind, texts or packed bases (bytes), with a 4 between any two: no k-mer crosses from one
     into the next."""

@@ -6,7 +6,8 @@ import json
 import re
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,9 +24,25 @@ TRIMMED = SketchParams(MASH, 2000, 500, True)
 KEPT = FilterParams(True, 3, 40, 0.0, 0.2)
 
 
-def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    return docs.select(F.col("doc_id").cast("string").alias("id"), "source", K.letters(K.bases_of_text(F.col("text"))).alias("seq"))
+    return docs.select(F.col("doc_id").cast("string").alias("id"), "source", K.bases_of_text(F.col("text")).alias("seq"))
+
+
+def _lettered(rows: DataFrame) -> DataFrame:
+    """id, source, seq with letters for packed bases, which are made last: they are four times as long."""
+
+    def run(batches):
+        for b in S.few(batches):
+            yield pa.record_batch([b.column(0), b.column(1), K.letters_of(b.column(2))], names=["id", "source", "seq"])
+
+    return rows.mapInArrow(run, "id string, source string, seq string")
+
+
+def _letters(spark: SparkSession, sf_dir: str, empty: bool = True) -> DataFrame:
+    """All texts, or without those that are empty."""
+    rows = _packed(spark, sf_dir)
+    return _lettered(rows if empty else rows.where(F.octet_length("seq") > 0))
 
 
 def _records(rows: DataFrame) -> DataFrame:
@@ -43,17 +60,39 @@ def fastq_scan(spark, sf_dir):
     """All texts as compressed FASTQ files, read back; qualities begin with the sign of a record."""
     path = scratch(spark)
     quality = F.concat(F.lit("@"), F.expr("repeat('I', length(seq) - 1)"))
-    rows = _letters(spark, sf_dir).where(F.length("seq") > 0)
+    rows = _letters(spark, sf_dir, empty=False)
     rows.select(F.concat(F.lit("@"), "id", F.lit("\n"), "seq", F.lit("\n+\n"), quality)).write.option("compression", "gzip").text(path)
     got = S.read_sequences(spark, path)
     return _records(got.where(F.col("qual") == quality))
 
 
+def _placed(path: str):
+    """Writes a FASTA file for every id, whose rows come together; a task that runs again writes the same files."""
+
+    def run(batches):
+        store, inner = fastx.store_of(path)
+        store.create_dir(inner)
+        out, name, n = None, None, 0
+        for b in S.few(batches):
+            for i, seq in zip(b.column(0).to_pylist(), K.letters_of(b.column(1)).to_pylist(), strict=True):
+                if out is None or i != name:
+                    if out is not None:
+                        out.close()
+                    out, name, n = store.open_output_stream(f"{inner}/{i}.fa"), i, n + 1
+                out.write(f">{i}\n{seq}\n".encode())
+        if out is not None:
+            out.close()
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["files"])
+
+    return run
+
+
 def small_files(spark, sf_dir):
-    """A file for every text, read by the data source; planning opens none."""
+    """A file for every text, read by the data source; planning opens none. The tasks write the files through the same store
+    that the data source reads them from: Spark's own writer makes a folder and a checksum for each, and moves all at the end."""
     path = scratch(spark)
-    rows = _letters(spark, sf_dir).select(F.col("id").alias("doc"), F.concat(F.lit(">"), "id", F.lit("\n"), "seq").alias("value"))
-    rows.repartition("doc").write.partitionBy("doc").text(path)
+    rows = _packed(spark, sf_dir).select("id", "seq").repartition("id").sortWithinPartitions("id")
+    rows.mapInArrow(_placed(path), "files bigint").write.format("noop").mode("overwrite").save()
     fastx.register(spark)
     return _records(spark.read.format("fastx").load(path))
 
@@ -125,23 +164,28 @@ def collection_edit(spark, sf_dir):
     return out.sketches.select(F.col("name").alias("sample"), F.row_number().over(Window.orderBy("sketch_id")).alias("place"))  # a row a sketch
 
 
-def _genomes(spark, sf_dir) -> list[str]:
-    """One FASTA file a source."""
+def _by_source(spark, sf_dir, value) -> list[str]:
+    """One file a source, of the value of each of its texts that isn't empty; packed bases change places, not letters."""
     path = scratch(spark)
-    rows = _letters(spark, sf_dir).where(F.length("seq") > 0)
-    rows.select("source", F.concat(F.lit(">"), "id", F.lit("\n"), "seq").alias("value")).repartition("source").write.partitionBy("source").text(path)
+    rows = _packed(spark, sf_dir).where(F.octet_length("seq") > 0).repartition("source")
+    _lettered(rows).select("source", value.alias("value")).write.partitionBy("source").text(path)
     return sorted(f.toString() for _, f in S.files_at(spark, f"{path}/source=*"))
 
 
+def _fasta() -> Column:
+    return F.concat(F.lit(">"), "id", F.lit("\n"), "seq")
+
+
+def _genomes(spark, sf_dir) -> list[str]:
+    """One FASTA file a source."""
+    return _by_source(spark, sf_dir, _fasta())
+
+
 def reads_filter(spark, sf_dir):
     """Sources whose names end in an even digit as FASTQ files, the others as FASTA: filters that nobody turned on or off
     apply to reads with qualities alone."""
-    path = scratch(spark)
-    rows = _letters(spark, sf_dir).where(F.length("seq") > 0)
     read = F.concat(F.lit("@"), "id", F.lit("\n"), "seq", F.lit("\n+\n"), F.expr("repeat('I', length(seq))"))
-    value = F.when(F.substring("source", -1, 1).isin(*"02468"), read).otherwise(F.concat(F.lit(">"), "id", F.lit("\n"), "seq"))
-    rows.select("source", value.alias("value")).repartition("source").write.partitionBy("source").text(path)
-    files = sorted(f.toString() for _, f in S.files_at(spark, f"{path}/source=*"))
+    files = _by_source(spark, sf_dir, F.when(F.substring("source", -1, 1).isin(*"02468"), read).otherwise(_fasta()))
     c = api.sketch_files(spark, files, SketchParams(ALL, 4**SHORT, 4**SHORT, True, SHORT), replace(KEPT, filter_on=None))
     return _rows(c, "kmer", "count", "extra_count").withColumn("sample", F.regexp_extract("sample", "source=([^/]*)/", 1))
 

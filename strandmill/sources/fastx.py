@@ -49,7 +49,7 @@ class Pieces(InputPartition):
         self.pieces = pieces
 
 
-def _store(path: str):
+def store_of(path: str):
     """(file system, path within)."""
     from pyarrow import fs
 
@@ -62,7 +62,7 @@ def listed(path: str) -> list[tuple[str, int]]:
     """(path, size) of the file, or of all files below the folder or that match the pattern, in order. Hidden files stay out."""
     from pyarrow import fs
 
-    store, inner = _store(path)
+    store, inner = store_of(path)
     head = path[: len(path) - len(inner)] if path.endswith(inner) else ""
     info = store.get_file_info(inner)
     if info.type == fs.FileType.File:
@@ -147,7 +147,7 @@ def _fastq(f, start: int, end: int):
 def records(piece: Piece, formats: set[str] | None = None):
     """(sample, ordinal, record_no, id, seq, qual, format) of a piece; record_no is the record's place, or its number in a
     compressed file."""
-    store, inner = _store(piece.path)
+    store, inner = store_of(piece.path)
     with io.BufferedReader(store.open_input_file(inner), 1 << 20) as f:
         head = f.read(2)
         if head in _OPENERS:
@@ -209,8 +209,8 @@ class FastxReader(DataSourceReader):
         return [*out, Pieces(held)]
 
     def read(self, partition: Pieces):
-        for p in partition.pieces:
-            yield from _batches(records(p, self.wanted.get("format")))
+        # records of many small files make a batch
+        yield from _batches(r for p in partition.pieces for r in records(p, self.wanted.get("format")))
 
 
 class FastxSource(DataSource):

@@ -30,7 +30,8 @@ FASTA, FASTQ = "fasta", "fastq"
 _MARKS = {">": FASTA, "@": FASTQ}
 _MAGIC = {b"\x1f\x8b": gzip.open, b"BZ": bz2.open, b"\xfd7": lzma.open}
 _ROWS = 512
-_BYTES = 8 << 20
+_BYTES = 2 << 20
+_FEW = 32
 
 
 def opened(data: bytes):
@@ -69,6 +70,13 @@ def parse(stream):
         raise SketchError("neither FASTA nor FASTQ")
 
 
+def few(batches):
+    """The same batches in pieces of few rows, so that what Python makes of them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, _FEW):
+            yield b.slice(at, _FEW)
+
+
 def _batches(records):
     """Record batches of (sample, ordinal, record_no, id, seq, qual, format), of bounded size but for single long records."""
 
@@ -116,7 +124,7 @@ def _split(kind: str, found: dict[str, tuple[int, str]]):
         at = None  # the split
         late = None  # a FASTQ record that waits for its quality, which began with the mark
         no, ends = 0, False
-        for b in batches:
+        for b in few(batches):
             for path, start, length, size, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 first = at != (path, start)
                 if first:
@@ -194,13 +202,18 @@ def _listed(spark: SparkSession, paths: list[str]) -> tuple[dict[str, tuple[int,
         for fs, f in here:
             full = f.toString()
             if full not in found:
+                kind = _kind(jvm, fs, f, codecs.getCodec(f))
+                if kind is None:  # tasks without rows leave such files in a folder
+                    if len(here) == 1:
+                        raise SketchError(f"{full} holds no sequences")
+                    continue
                 found[full] = (i, p if len(here) == 1 else full)
-                kinds[full] = (_kind(jvm, fs, f, codecs.getCodec(f)), _address(f.toUri().toString()))
+                kinds[full] = (kind, _address(f.toUri().toString()))
     return found, kinds
 
 
-def _kind(jvm, fs, path, codec) -> str:
-    """The format of a file by its first sign, or "" where it must be read whole."""
+def _kind(jvm, fs, path, codec) -> str | None:
+    """The format of a file by its first sign, or "" where it must be read whole; None if nothing is in it."""
     raw = fs.open(path)
     reader = jvm.java.io.InputStreamReader(raw if codec is None else codec.createInputStream(raw), "ISO-8859-1")
     try:
@@ -208,7 +221,7 @@ def _kind(jvm, fs, path, codec) -> str:
         while c in (9, 10, 11, 12, 13, 32):
             c = reader.read()
         if c < 0:
-            raise SketchError(f"{path.toString()} holds no sequences")
+            return None
         if chr(c) in _MARKS:
             return _MARKS[chr(c)]
         if bytes([c, max(0, reader.read()) & 255]) in _MAGIC:
@@ -225,6 +238,8 @@ def read_sequences(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     if not paths:
         raise SketchError("no files")
     found, kinds = _listed(spark, paths)
+    if not found:
+        raise SketchError(f"{paths[0]} holds no sequences")
     parts = []
     for mark, kind in _MARKS.items():
         if some := {f: at for f, (k, at) in kinds.items() if k == kind}:

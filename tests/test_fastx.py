@@ -6,8 +6,10 @@ import json
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
+from strandmill.functions import kmers
 from strandmill.sources import fastx, sequences
 
 
@@ -82,3 +84,27 @@ def test_planning_opens_no_file(tmp_path, monkeypatch):
     monkeypatch.setattr("builtins.open", lambda *a, **k: pytest.fail("a file was opened"))
     parts = fastx.FastxReader({"path": str(tmp_path)}).partitions()
     assert sum(len(p.pieces) for p in parts) == 10_000 and 10 < len(parts) < 100 and time.time() - began < 20
+
+
+def test_small_files_share_batches(tmp_path):
+    """Records of many files come together: a batch for each cost more than what is in it."""
+    for i in range(40):
+        (tmp_path / f"{i}.fa").write_text(f">r{i}\nACGT\n")
+    reader = fastx.FastxReader({"path": str(tmp_path)})
+    got = [b for p in reader.partitions() for b in reader.read(p)]
+    assert len(got) == 1 and sorted(got[0].column(3).to_pylist()) == sorted(f"r{i}" for i in range(40))
+    assert len(set(got[0].column(0).to_pylist())) == 40
+
+
+def test_letters_of_packed_bases():
+    raw = [b"", b"ab", None, bytes(range(256))]
+    want = [None if x is None else "".join("ACGT"[b >> s & 3] for b in x for s in (6, 4, 2, 0)) for x in raw]
+    assert kmers.letters_of(pa.array(raw, pa.binary())).to_pylist() == want
+
+
+def test_folders_with_empty_parts(spark, tmp_path):
+    """Tasks without rows leave files that hold nothing, plain or compressed."""
+    with gzip.open(tmp_path / "part-0.gz", "wb"), open(tmp_path / "part-1", "w"):
+        pass
+    (tmp_path / "part-2").write_text(">a\nACGT\n")
+    assert [r["id"] for r in sequences.read_sequences(spark, str(tmp_path)).collect()] == ["a"]
