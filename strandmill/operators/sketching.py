@@ -22,10 +22,13 @@ from ..params import ALL, SCALED, U32, SketchParams, ordered
 _OUT = "sample string, hash bigint, kmer string, count bigint, extra_count bigint"
 #: With the facts of a sample and task, in rows without a hash: its first file and record, their format, bases, k-mers.
 _FACTS = f"{_OUT}, ordinal int, first bigint, format string, bases bigint, valid bigint"
-#: Bytes of a sample counted at once, bytes that wait for it in a task, and hashes that a task holds.
-_CHUNK = 1 << 22
-_WAITING = 1 << 25
-_HELD = 1 << 21
+#: Bytes of a sample counted at once, bytes that wait for it in a task, hashes (or numbers of k-mers) that a task holds, rows
+#: of a batch that come or go together, and k-mers that wait to be counted.
+_CHUNK = 1 << 20
+_WAITING = 1 << 23
+_HELD = 1 << 20
+_STEP, _SENT = 64, 1 << 16
+_WINDOWS = 1 << 18
 SIGN = 1 << 63
 
 
@@ -39,8 +42,16 @@ def hash_text(c="hash") -> Column:
     return F.conv(F.hex(c), 16, 10)
 
 
+def _few(batches):
+    """The same batches in pieces of few rows, so that what Python makes of them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, _STEP):
+            yield b.slice(at, _STEP)
+
+
 class _Counter:
-    """Counts of one sample in one task: sorted hashes, their counts, reversed counts and k-mers."""
+    """Counts of one sample in one task: sorted hashes, their counts, reversed counts and k-mers. What blocks find waits until
+    it is as much as what is held, so that a hash is moved a few times only, however many are held."""
 
     def __init__(self, params: SketchParams):
         self.params, self.limit = params, np.uint64(params.limit)
@@ -48,17 +59,27 @@ class _Counter:
         self.size = 0
         self.hash = np.zeros(0, np.uint64)
         self.count = self.extra = np.zeros(0, np.int64)
-        self.kmer: list[str] = []
+        self.names = np.zeros(0, f"S{max(1, params.kmer_length)}")
+        self.found: list = []  # (hashes, flags, k-mers) that wait
+        self.waits = 0
         self.bases = self.valid = 0
         self.head: tuple | None = None  # (ordinal, record number, format) of the first record
 
+    @property
+    def kmer(self) -> list[str]:
+        return self.names.astype(str).tolist()
+
     def add(self, seq: str | bytes) -> None:
         self.parts.append(seq)
         self.size += len(seq)
         if self.size >= _CHUNK:
-            self.flush()
+            self._read()
 
     def flush(self) -> None:
+        self._read()
+        self._merge()
+
+    def _read(self) -> None:
         if not self.parts:
             return
         code = K.joined_codes(self.parts)
@@ -70,45 +91,76 @@ class _Counter:
         p = self.params
         hashes, flag, text = K.canonical(code, p.kmer_length, p.hash_seed)
         self.valid += len(hashes)
-        at = np.arange(len(hashes))
-        full = len(self.hash) >= p.kmers_to_sketch
-        if full:  # only what may still be kept
+        # only what may still be kept: of all if the sketch is full, else of this block
+        if len(self.hash) >= p.kmers_to_sketch:
             top = self.hash[p.kmers_to_sketch - 1] if p.kmers_to_sketch else np.uint64(0)
             ok = hashes <= max(top, self.limit) if p.kmers_to_sketch or p.scheme == SCALED else np.zeros(len(hashes), bool)
-            hashes, flag, at = hashes[ok], flag[ok], at[ok]
-            if not len(hashes):
-                return
-        new, first, inverse, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        extra = np.bincount(inverse, weights=flag, minlength=len(new)).astype(np.int64)
-        keep = self._kept(new)
-        new, first, count, extra = new[:keep], first[:keep], count[:keep], extra[:keep]
-        fresh = ~np.isin(new, self.hash, assume_unique=True)
-        names = text(at[first[fresh]])
-        both = np.concatenate([self.hash, new])
-        merged, inverse = np.unique(both, return_inverse=True)
-        total = lambda a, b: np.bincount(inverse, weights=np.concatenate([a, b]), minlength=len(merged)).astype(np.int64)
-        self.count, self.extra = total(self.count, count), total(self.extra, extra)
-        kmer = np.empty(len(merged), dtype=object)
-        kmer[np.searchsorted(merged, self.hash)] = self.kmer
-        kmer[np.searchsorted(merged, new[fresh])] = names
-        keep = self._kept(merged)
-        self.hash, self.count, self.extra, self.kmer = merged[:keep], self.count[:keep], self.extra[:keep], kmer[:keep].tolist()
+        else:
+            new = np.unique(hashes)
+            keep = self._kept(new)
+            ok = hashes <= new[keep - 1] if keep else np.zeros(len(hashes), bool)
+        at = np.nonzero(ok)[0]
+        if not len(at):
+            return
+        self.found.append((hashes[at], flag[at], np.array(text(at), dtype=self.names.dtype)))
+        self.waits += len(at)
+        if self.waits >= max(len(self.hash), 1 << 12):
+            self._merge()
+
+    def _merge(self) -> None:
+        if not self.found:
+            return
+        hashes, flags, names = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        self.found, self.waits = [], 0
+        hashes = np.concatenate([self.hash, hashes])
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        start = np.nonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))[0]
+        start = start[: self._kept(hashes[start]) + 1]
+        keep = self._kept(hashes[start])
+        total = lambda held, new: np.add.reduceat(np.concatenate([held, new])[order], start)[:keep].astype(np.int64)
+        if not keep:
+            self.hash, self.count, self.extra, self.names = hashes[:0], self.count[:0], self.extra[:0], self.names[:0]
+            return
+        self.count, self.extra = total(self.count, np.ones(len(flags), np.int64)), total(self.extra, flags)
+        self.names = np.concatenate([self.names, names])[order[start[:keep]]]
+        self.hash = hashes[start[:keep]]
 
     def _kept(self, hashes: np.ndarray) -> int:
         below = int(np.searchsorted(hashes, self.limit, side="right")) if self.params.scheme == SCALED else 0
         return min(len(hashes), max(self.params.kmers_to_sketch, below))
 
-    def batch(self, sample: str, facts: bool) -> pa.RecordBatch:
-        n = len(self.hash)
-        cols = [pa.array([sample] * n, pa.string()), pa.array(self.hash.view(np.int64)), pa.array(self.kmer, pa.string()), pa.array(self.count), pa.array(self.extra)]
-        names = ["sample", "hash", "kmer", "count", "extra_count"]
-        if facts:
-            row = [sample, None, None, None, None]
-            cols = [pa.concat_arrays([c, pa.array([x], c.type)]) for c, x in zip(cols, row, strict=True)]
-            for name, kind, x in zip(("ordinal", "first", "format", "bases", "valid"), (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()), (*self.head, self.bases, self.valid), strict=True):
-                names.append(name)
-                cols.append(pa.array([None] * n + [x], kind))
-        return pa.record_batch(cols, names=names)
+
+def _batches(counters: dict[str, _Counter], facts: bool):
+    """Record batches of many small samples, or of one large one."""
+    shape = to_shape(facts)
+    held: list[tuple[str, _Counter]] = []
+    n = 0
+    for item in counters.items():
+        held.append(item)
+        n += len(item[1].hash) + 1
+        if n >= _SENT:
+            yield _batch(held, facts, shape)
+            held, n = [], 0
+    if held:
+        yield _batch(held, facts, shape)
+
+
+def to_shape(facts: bool) -> pa.Schema:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in (_FACTS if facts else _OUT).split(", ")])
+
+
+def _batch(held: list[tuple[str, _Counter]], facts: bool, shape: pa.Schema) -> pa.RecordBatch:
+    sizes = [len(c.hash) for _, c in held]
+    names = pa.array([s for s, _ in held], pa.string())
+    join = lambda name: np.concatenate([getattr(c, name) for _, c in held])
+    cols = [names.take(pa.array(np.repeat(np.arange(len(held)), sizes))), pa.array(join("hash").view(np.int64)), pa.array(join("names")).cast(pa.string()), pa.array(join("count")), pa.array(join("extra"))]
+    if facts:
+        rows = [(*c.head, c.bases, c.valid) for _, c in held]
+        cols = [pa.concat_arrays([c, names if i == 0 else pa.nulls(len(held), c.type)]) for i, c in enumerate(cols)]
+        cols += [pa.concat_arrays([pa.nulls(sum(sizes), f.type), pa.array(x, f.type)]) for f, x in zip(list(shape)[5:], zip(*rows, strict=True), strict=True)]
+    return pa.record_batch(cols, schema=shape)
 
 
 def _stage(params: SketchParams, facts: bool = False):
@@ -120,11 +172,11 @@ def _stage(params: SketchParams, facts: bool = False):
         waiting = 0
 
         def out():
-            for s, c in counters.items():
+            for c in counters.values():
                 c.flush()
-                yield c.batch(s, facts)
+            yield from _batches(counters, facts)
 
-        for b in batches:
+        for b in _few(batches):
             heads = zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True) if facts else iter(())
             empty = b"" if pa.types.is_binary(b.column(1).type) or pa.types.is_large_binary(b.column(1).type) else ""
             for s, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -143,7 +195,8 @@ def _stage(params: SketchParams, facts: bool = False):
                     for c in counters.values():
                         c.flush()
                     waiting = 0
-                    if sum(len(c.hash) for c in counters.values()) >= _HELD:
+                    # a sample counts for some hashes even if it has none
+                    if sum(len(c.hash) + 64 for c in counters.values()) >= _HELD:
                         yield from out()
                         counters = {}
         yield from out()
@@ -151,25 +204,89 @@ def _stage(params: SketchParams, facts: bool = False):
     return run
 
 
+class _Numbers:
+    """How often each plain 2-bit k-mer of each sample occurs in a task: tables where k-mers are few, else sorted runs."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, 0
+        self.of: dict[str, list | np.ndarray] = {}
+
+    def add(self, sample: str, records: list) -> None:
+        found, n = [], 0
+        for block in K.blocks(K.joined_codes(records), self.k):
+            found.append(K.packed(block, self.k)[1])
+            n += len(found[-1])
+            if n >= _WINDOWS:
+                self._put(sample, np.concatenate(found))
+                found, n = [], 0
+        if n:
+            self._put(sample, np.concatenate(found))
+
+    def _put(self, sample: str, value: np.ndarray) -> None:
+        if self.k <= 10:
+            seen = np.bincount(value.astype(np.int64), minlength=4**self.k)
+            if sample in self.of:
+                self.of[sample] += seen
+            else:
+                self.of[sample] = seen
+                self.held += len(seen)
+        else:
+            self.of.setdefault(sample, []).append(np.unique(value, return_counts=True))
+            self.held += 2 * len(self.of[sample][-1][0])
+
+    def out(self):
+        """Batches of sample, ix, rc (its reverse complement), c of many small samples, or of one large one."""
+        held, n = [], 0
+        for s in list(self.of):
+            x = self.of.pop(s)
+            if isinstance(x, list):
+                ix, at = np.unique(np.concatenate([v for v, _ in x]), return_inverse=True)
+                c = np.bincount(at, weights=np.concatenate([c for _, c in x]), minlength=len(ix)).astype(np.int64)
+            else:
+                ix = np.nonzero(x)[0].astype(np.uint64)
+                c = x[ix.astype(np.int64)]
+            held.append((s, ix, c))
+            n += len(ix)
+            if n >= _SENT:
+                yield self._batch(held)
+                held, n = [], 0
+        if held:
+            yield self._batch(held)
+        self.held = 0
+
+    def _batch(self, held: list) -> pa.RecordBatch:
+        names = pa.array([s for s, _, _ in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), [len(ix) for _, ix, _ in held])))
+        ix, c = (np.concatenate([x[i] for x in held]) for i in (1, 2))
+        cols = [names, pa.array(ix.astype(np.int64)), pa.array(K.reversed_packed(ix, self.k).astype(np.int64)), pa.array(c.astype(np.int64))]
+        return pa.record_batch(cols, names=["sample", "ix", "rc", "c"])
+
+
 def _indices(k: int):
-    """Counts of the plain (not canonical) 2-bit k-mers of each sample, with their reverse complements."""
+    """Counts of the plain (not canonical) 2-bit k-mers of each sample, with their reverse complements. A task holds a bounded
+    number of them, and of records a bounded number of bytes or one."""
 
     def run(batches):
-        for b in batches:
-            by: dict[str, list] = {}
+        numbers = _Numbers(k)
+        by: dict[str, list] = {}
+        waiting = 0
+
+        def counted():
+            for t, parts in by.items():
+                numbers.add(t, parts)
+                if numbers.held >= 4 * _HELD:
+                    yield from numbers.out()
+
+        for b in _few(batches):
             for s, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if seq:
                     by.setdefault(s, []).append(seq)
-            for s, parts in by.items():
-                value = [K.packed(x, k)[1] for x in K.blocks(K.joined_codes(parts), k)]
-                if k <= 10:
-                    n = sum((np.bincount(v.astype(np.int64), minlength=4**k) for v in value), np.zeros(4**k, np.int64))
-                    ix = np.nonzero(n)[0]
-                    n = n[ix]
-                else:
-                    ix, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *value]), return_counts=True)
-                rc = K.reversed_packed(ix, k)
-                yield pa.record_batch([pa.array([s] * len(ix), pa.string()), pa.array(ix.astype(np.int64)), pa.array(rc.astype(np.int64)), pa.array(n.astype(np.int64))], names=["sample", "ix", "rc", "c"])
+                    waiting += len(seq)
+                if waiting >= _CHUNK:
+                    yield from counted()
+                    by.clear()
+                    waiting = 0
+        yield from counted()
+        yield from numbers.out()
 
     return run
 
@@ -259,7 +376,7 @@ def picked(counted: DataFrame, params: SketchParams) -> DataFrame:
 
 def _valid(k: int):
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             n = []
             for seq in b.column(1).to_pylist():
                 bad = np.concatenate([[0], np.cumsum(K.joined_codes([seq]) > 3)]) if seq else np.zeros(1)

@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandmill.functions import hashing
@@ -121,3 +124,39 @@ def test_hash_text_and_order(spark):
     df = spark.createDataFrame([(-1,), (0,), (5,), (-(1 << 63),)], "hash long")
     got = [r[0] for r in df.orderBy(sketching.hash_ord()).select(sketching.hash_text()).collect()]
     assert got == ["0", "5", str(1 << 63), str(U64)]
+
+
+def peak(run, batch) -> tuple[int, list]:
+    """Bytes that a stage holds at most beside its input, and its rows."""
+    tracemalloc.start()
+    try:
+        rows = [pa.Table.from_batches([b]).to_pydict() for b in run(iter([batch]))]
+        return tracemalloc.get_traced_memory()[1], rows
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("samples", [1, 3, 400])
+def test_counting_holds_a_bounded_number_of_bases(samples):
+    """A batch of 8 MB of packed bases: its numbers of k-mers would be 256 MB."""
+    rng = np.random.default_rng(2)
+    raw = [rng.integers(0, 256, 20_000).astype(np.uint8).tobytes() for _ in range(400)]
+    batch = pa.record_batch([pa.array([f"s{i % samples}" for i in range(400)]), pa.array(raw, pa.binary())], names=["sample", "seq"])
+    held, rows = peak(sketching._indices(4), batch)
+    assert held < 80_000_000
+    assert sum(sum(r["c"]) for r in rows) == 400 * (4 * 20_000 - 3)
+    assert len(rows) == 1 + (samples == 400)  # many small samples go on together
+    held, rows = peak(sketching._stage(SketchParams(MASH, 100)), batch)
+    assert held < 120_000_000 and sum(len(r["hash"]) for r in rows) == 100 * samples and len(rows) == 1
+
+
+def test_scaled_hashes_are_moved_a_few_times(monkeypatch):
+    rng = np.random.default_rng(4)
+    c = sketching._Counter(SketchParams(SCALED, 1000, scale=0.05))
+    moved = []
+    merge = sketching._Counter._merge
+    monkeypatch.setattr(sketching._Counter, "_merge", lambda self: (moved.append(len(self.hash)), merge(self)))
+    for _ in range(8):
+        c.add(rng.integers(0, 256, 1 << 18).astype(np.uint8).tobytes())
+    c.flush()
+    assert len(c.hash) > 300_000 and sum(moved) < 3 * len(c.hash)
