@@ -19,8 +19,10 @@ def single(c: Column) -> Column:
 def dense_histogram(rows: DataFrame, by: str = "sample") -> DataFrame:
     """Group, hist: number of hashes by count from 1 on. Long where a count is large; keep histogram() for work."""
     hist = histogram(rows, by)
-    packed = hist.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("depth", "n"))).alias("m"), F.max("depth").alias("top"))
-    return packed.select(by, F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("top")), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0).cast("bigint"))).alias("hist"))
+    packed = hist.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("depth", "n"))).alias("m"))
+    # each depth behind as many zeros as lie between it and the one before: as many steps as places
+    gap = lambda x, i: x["depth"] - F.when(i > 0, F.get("m", i - 1)["depth"]).otherwise(F.lit(0)) - 1
+    return packed.select(by, F.flatten(F.transform("m", lambda x, i: F.concat(F.array_repeat(F.lit(0).cast("bigint"), gap(x, i).cast("int")), F.array(x["n"])))).alias("hist"))
 
 
 #: What each figure is made of, so that any of them come from one aggregation.

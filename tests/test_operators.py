@@ -285,3 +285,16 @@ def test_filter_params():
     assert p.tightened(FilterParams(True, 5, None), compat=True).abun_high is None
     with pytest.raises(SketchError):
         FilterParams.from_map({"minCopies": "x"})
+
+
+def test_dense_histogram_fills_gaps(spark):
+    from strandmill.operators import stats
+
+    rows = [("a", d) for d in (1, 1, 4, 20_000)] + [("b", 3), ("c", 1)]
+    df = spark.createDataFrame(rows, "sample string, count bigint").withColumn("hash", F.monotonically_increasing_id())
+    out = stats.dense_histogram(df)
+    got = {r["sample"]: r["hist"] for r in out.collect()}
+    want = [2, 0, 0, 1, *[0] * 19_995, 1]
+    assert got == {"a": want, "b": [0, 0, 1], "c": [1]}
+    # no place is looked up among all others
+    assert "element_at" not in out._jdf.queryExecution().optimizedPlan().toString()
