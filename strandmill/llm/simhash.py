@@ -105,17 +105,18 @@ def bands(h: np.ndarray) -> np.ndarray:
 
 
 def _points(shingle: int):
-    """Of each text: a key of its set, and its points."""
+    """Of each text: a key of its set, its points, and its fingerprint, that of op2."""
 
     def run(batches):
         for b in batches:
-            keys, points = [], []
+            keys, points, fps = [], [], []
             for t in b.column(1).to_pylist():
                 h = shingle_set(t, shingle)
+                fps.append(fingerprint(t))
                 keys.append(xxhash.xxh128_digest(h.tobytes()))
                 points.append(bands(h))
             pair = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
-            yield pa.record_batch([b.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), _lists(points)], names=["id", "k1", "k2", "points"])
+            yield pa.record_batch([b.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), _lists(points), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["id", "k1", "k2", "points", "fp"])
 
     return run
 
@@ -225,15 +226,31 @@ def crowded(found: DataFrame, similarity: float, crowd: int = CROWD) -> DataFram
     return keep.join(small, "token").where(near & enough).select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+def _near(rows: DataFrame, nodes: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """a < b: links of nodes whose texts have equal fingerprints, each with the smallest, or fingerprints that links() joins.
+    rows: id, k1, k2, fp; nodes: k1, k2, node."""
+    # texts of one set may differ in fingerprint, as repeats count there
+    of = durable(rows.select("k1", "k2", "fp").distinct().join(nodes, ["k1", "k2"]).select("fp", "node"), "wide-fps")
+    least = durable(of.groupBy("fp").agg(F.min("node").alias("low")), "wide-prints")
+    equal = of.join(least, "fp").where(F.col("low") < F.col("node")).select(F.col("low").alias("a"), F.col("node").alias("b"))
+    found = links(least.select("fp"), radius, bucket)
+    low = lambda x: least.select(F.col("fp").alias(x), F.col("low").alias(f"_{x}"))
+    ends = found.join(low("a"), "a").join(low("b"), "b").where(F.col("_a") != F.col("_b"))
+    return equal.unionAll(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))).distinct()
+
+
+def similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = CROWD, radius: int | None = None, bucket: int = BUCKET,
+) -> DataFrame:
     """One row per input row with an id: id, component_id, the smallest id reachable over links of that similarity or more.
 
-    A link is a Jaccard similarity counted over the whole shingle sets. Candidates meet at the points of their minima; what
+    radius: fingerprints within as many bits are links, too, found by multi-index hashing as in near_dups(); None: none are.
+    A link is else a Jaccard similarity counted over the whole shingle sets. Candidates meet at the points of their minima; what
     a point with more than crowd nodes leaves in different components is compared by the rarest shingles, without exception.
     Nulls and wordless texts have the empty set. Rows with a null id take no part; rows that share an id are one document,
     which links with all that any of them links with. Other columns are ignored; an empty table gives no rows."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(F.col(text_col)).alias("text"))
-    rows = durable(texts.mapInArrow(_points(shingle), "id long, k1 long, k2 long, points array<long>").withColumn("salt", _salt()), "wide")
+    rows = durable(texts.mapInArrow(_points(shingle), "id long, k1 long, k2 long, points array<long>, fp long").withColumn("salt", _salt()), "wide")
     key = ["k1", "k2"]
     # equal sets are one node, named by the smallest id, and go back by salt
     salted = rows.select("id", *key, "salt")
@@ -244,6 +261,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     # an id with several texts links their nodes, each with the smallest
     several = same.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where(F.col("a") < F.col("last")).select("id", "a")
     shared = same.join(several, "id").where(F.col("a") < F.col("node")).select("a", F.col("node").alias("b")).distinct()
+    if radius is not None:
+        shared = shared.unionAll(_near(rows, nodes, radius, bucket)).distinct()
     named = rows.select("id", *key, "points").join(nodes.withColumnRenamed("node", "id"), ["id", *key], "left_semi")
     every = named.select(F.col("id").alias("node"), F.explode("points").alias("point"))
     # points of one node have nothing to say

@@ -312,3 +312,19 @@ def test_candidates_of_a_shared_passage_are_few(spark):
     found = spark.createDataFrame(rows, "id long, root long, n int, bits array<long>, shingles array<long>").repartition(4)
     got = {tuple(r) for r in simhash.crowded(found, 0.8).collect()}
     assert got == {(i, 400 + i) for i in range(30)}
+
+
+def test_pipeline_groups_by_fingerprints_too(spark):
+    """What op2 puts in one component stays one document, whatever the sets of shingles say."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = [(i, "one two three four five " * 60 + " ".join(f"w{rng.getrandbits(40)}" for _ in range(12))) for i in range(6)]
+    rows += [(10 + i, " ".join(f"v{rng.getrandbits(40)}" for _ in range(40))) for i in range(5)] + [(20, None), (21, " "), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    named = docs.where("doc_id is not null")
+    of = lambda found: {r["doc_id"]: r["component_id"] for r in found.collect()}
+    prints, plain, both = of(simhash.near_dups(named)), of(simhash.similar(named)), of(simhash.similar(named, radius=simhash.RADIUS))
+    assert prints != plain and len(set(prints.values()) & set(range(6))) < 6 == len({plain[i] for i in range(6)})
+    assert all(both[i] == both[c] for i, c in [*prints.items(), *plain.items()]) and {both[i] for i in range(10, 15)} == set(range(10, 15))
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {*both.values(), None}
