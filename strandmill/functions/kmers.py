@@ -55,12 +55,16 @@ def letters_of(packed: pa.Array) -> pa.Array:
     return pa.array(texts, pa.binary()).cast(pa.string())
 
 
+#: The codes of the four bases of a byte, as a little-endian word.
+_CODES = _FOUR_CODES.copy().view("<u4")[:, 0]
+
+
 def joined_codes(records: list) -> np.ndarray:
     """2-bit codes of records of one kind, texts or packed bases (bytes), with a 4 between any two: no k-mer crosses from one
     into the next."""
     if records and isinstance(records[0], bytes):
-        flat = _FOUR_CODES[np.frombuffer(b"".join(records), dtype=np.uint8)].ravel()
-        return np.insert(flat, 4 * np.cumsum([len(r) for r in records])[:-1], 4)
+        flat = _CODES[np.frombuffer(b"".join(records), dtype=np.uint8)].view(np.uint8)
+        return np.insert(flat, 4 * np.cumsum([len(r) for r in records])[:-1], 4) if len(records) > 1 else flat
     return codes(b">".join([r.encode() for r in records]))
 
 
@@ -76,6 +80,38 @@ def blocks(code: np.ndarray, k: int, size: int = 1 << 15):
         yield code[at : at + size + k - 1]
 
 
+def clean(code: np.ndarray, k: int) -> np.ndarray | slice:
+    """The windows of k codes without a gap: all of them as a slice, else their places."""
+    n = len(code) - k + 1
+    gaps = np.nonzero(code > 3)[0]
+    if not len(gaps):
+        return slice(0, n)
+    if len(gaps) > 64:
+        bad = np.concatenate([[0], np.cumsum(code > 3)])
+        return np.nonzero(bad[k:] == bad[:-k])[0]
+    ok = np.ones(n, bool)
+    for at in gaps.tolist():
+        ok[max(0, at - k + 1) : at + 1] = False
+    return np.nonzero(ok)[0]
+
+
+def plain(code: np.ndarray, k: int) -> np.ndarray:
+    """The k-mer of every window without a gap, as a 2-bit number in the narrowest type; k up to 32."""
+    n = len(code) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    kind = next(t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if 2 * k <= bits)
+    part, out, width, done = (code & 3).astype(kind), None, 1, 0
+    while True:  # widths double; the binary digits of k put them together
+        if k & width:
+            out = part[:n] if out is None else (out << kind(2 * width)) | part[done : done + n]
+            done += width
+        if done == k:
+            return out[clean(code, k)]
+        part = (part[: len(part) - width] << kind(2 * width)) | part[width:]
+        width *= 2
+
+
 def packed(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, k-mer, its reverse complement) of every window without a gap, as 2-bit numbers that sort like the text; k up to 32."""
     n = len(code) - k + 1
@@ -162,9 +198,8 @@ def canonical(code: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarr
 
     A palindrome counts as reversed."""
     if k <= 32:
-        _, f, r = packed(code, k)
-        value, flag = np.minimum(f, r), (f >= r).astype(np.int64)
-        return packed_hash(value, k, seed), flag, lambda at: unpacked(value[at], k)
+        words, flag = canonical_words(code, k)
+        return murmur_words(words, k, seed), flag.astype(np.int64), lambda at: _spelled([w[at] for w in words], k)
     where, fwd, rev = packed_words(code, k)
     if not len(where):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), lambda at: []
@@ -182,6 +217,47 @@ def canonical(code: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarr
     return packed_words_hash(value, k, seed), flag.astype(np.int64), text
 
 
+def canonical_words(code: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the smaller of the two texts of every window without a gap, as little-endian words of eight bases, the last one padded
+    with zeros; whether it is the reverse complement's). Eight letters at any place are read as one number."""
+    n = len(code) - k + 1
+    if n <= 0:
+        return [np.zeros(0, np.uint64)] * -(-k // 8), np.zeros(0, bool)
+    size = len(code) + 16
+    there, back = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+    np.take(BASES, code & 3, out=there[8:-8])
+    np.take(BASES[::-1], (code & 3)[::-1], out=back[8:-8])
+    # at i the eight letters from i - 8 on, and those of the other strand that end before place i of this one
+    fwd = np.ascontiguousarray(np.ndarray(size - 7, "<u8", there, 0, (1,)))
+    rev = np.ascontiguousarray(np.ndarray(size - 7, "<u8", back, 0, (1,))[::-1])
+    ok, words = clean(code, k), []
+    flag = same = None
+    for at in range(0, k, 8):
+        f, r = fwd[8 + at :][:n][ok], rev[k - at :][:n][ok]
+        if k - at < 8:
+            keep = np.uint64((1 << 8 * (k - at)) - 1)
+            f, r = f & keep, r & keep
+        # the first word in which they differ decides; a palindrome counts as reversed
+        if flag is None:
+            a, b = f.byteswap(), r.byteswap()
+            flag = a >= b
+            same = np.nonzero(a == b)[0]
+        elif len(same):
+            a, b = f[same].byteswap(), r[same].byteswap()
+            flag[same] = a >= b
+            same = same[a == b]
+        words.append((f, r))
+    return [np.where(flag, r, f) for f, r in words], flag
+
+
+def _spelled(words: list[np.ndarray], k: int) -> list[str]:
+    """The texts of k-mers from their words."""
+    if not len(words[0]):
+        return []
+    rows = np.stack(words, axis=1).view(np.uint8)[:, :k]
+    return np.ascontiguousarray(rows).view(f"S{k}")[:, 0].astype(str).tolist()
+
+
 def _sizes(k: int) -> list[int]:
     """Bases in each word of a packed k-mer: 32, the rest in the last one."""
     return [32] * (k // 32) + [k % 32] * bool(k % 32)

@@ -96,9 +96,7 @@ class _Counter:
             top = self.hash[p.kmers_to_sketch - 1] if p.kmers_to_sketch else np.uint64(0)
             ok = hashes <= max(top, self.limit) if p.kmers_to_sketch or p.scheme == SCALED else np.zeros(len(hashes), bool)
         else:
-            new = np.unique(hashes)
-            keep = self._kept(new)
-            ok = hashes <= new[keep - 1] if keep else np.zeros(len(hashes), bool)
+            ok = self._first(hashes)
         at = np.nonzero(ok)[0]
         if not len(at):
             return
@@ -107,6 +105,18 @@ class _Counter:
         if self.waits >= max(len(self.hash), 1 << 12):
             self._merge()
 
+    def _first(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of a block's hashes may be kept if nothing else is: those up to its n-th smallest different one, and what a
+        scale lets in. That one mostly is among the 2n smallest, so that the rest isn't sorted."""
+        n = self.params.kmers_to_sketch
+        few = np.sort(np.partition(hashes, 2 * n)[: 2 * n] if n and len(hashes) > 4 * n else hashes)
+        new = few[np.concatenate([[True], few[1:] != few[:-1]])] if len(few) else few
+        if len(new) < n < len(few) < len(hashes):
+            few = np.sort(hashes)
+            new = few[np.concatenate([[True], few[1:] != few[:-1]])]
+        ok = np.ones(len(hashes), bool) if len(new) < n else hashes <= new[n - 1] if n else np.zeros(len(hashes), bool)
+        return ok | (hashes <= self.limit) if self.params.scheme == SCALED else ok
+
     def _merge(self) -> None:
         if not self.found:
             return
@@ -214,7 +224,7 @@ class _Numbers:
     def add(self, sample: str, records: list) -> None:
         found, n = [], 0
         for block in K.blocks(K.joined_codes(records), self.k):
-            found.append(K.packed(block, self.k)[1])
+            found.append(K.plain(block, self.k))
             n += len(found[-1])
             if n >= _WINDOWS:
                 self._put(sample, np.concatenate(found))
@@ -224,14 +234,14 @@ class _Numbers:
 
     def _put(self, sample: str, value: np.ndarray) -> None:
         if self.k <= 10:
-            seen = np.bincount(value.astype(np.int64), minlength=4**self.k)
+            seen = np.bincount(value, minlength=4**self.k)
             if sample in self.of:
                 self.of[sample] += seen
             else:
                 self.of[sample] = seen
                 self.held += len(seen)
         else:
-            self.of.setdefault(sample, []).append(np.unique(value, return_counts=True))
+            self.of.setdefault(sample, []).append(np.unique(value.astype(np.uint64), return_counts=True))
             self.held += 2 * len(self.of[sample][-1][0])
 
     def out(self):

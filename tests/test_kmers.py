@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandmill.functions import hashing, kmers
+from strandmill.operators import sketching
+from strandmill.params import MASH, SCALED, SketchParams
 
 RC = str.maketrans("ACGT", "TGCA")
 
@@ -98,3 +100,33 @@ def test_reversed_packed_and_texts(spark):
         rows = [(int(x),) for x in f.view(np.int64)]
         got = [x[0] for x in spark.createDataFrame(rows, "v bigint").select(kmers.text_of_packed(F.col("v"), k)).collect()]
         assert got == kmers.unpacked(f, k)
+
+
+@pytest.mark.parametrize("k", [1, 4, 5, 8, 9, 16, 17, 21, 32])
+def test_plain_numbers_are_narrow(k):
+    rng = np.random.default_rng(k)
+    for gaps in (0, 3, 150):
+        code = rng.integers(0, 4, 600).astype(np.uint8)
+        code[rng.integers(0, 600, gaps)] = 4
+        got = kmers.plain(code, k)
+        assert got.itemsize <= max(1, k // 2) and (got == kmers.packed(code, k)[1]).all()
+
+
+@pytest.mark.parametrize("scheme", [MASH, SCALED])
+def test_a_block_is_never_sorted_whole(scheme, monkeypatch):
+    """Of a block only as many hashes as a sketch may keep are sorted, while it isn't full, too."""
+    rng = np.random.default_rng(3)
+    seq = "".join(rng.choice(list("ACGT"), 5000)) * 2
+    p = SketchParams(scheme, 100, 100, True, scale=0.001 if scheme == SCALED else None)
+    hashes, flag, text = kmers.canonical(kmers.codes(seq.encode()), p.kmer_length, p.hash_seed)
+    names = np.array(text(np.arange(len(hashes))))
+    new, at, n = np.unique(hashes, return_index=True, return_counts=True)
+    most, sort = [0], np.sort
+    monkeypatch.setattr(np, "unique", None)
+    monkeypatch.setattr(np, "sort", lambda x: most.append(len(x)) or sort(x))
+    c = sketching._Counter(p)
+    c.add(seq)
+    c.flush()
+    keep = max(100, int((new <= np.uint64(p.limit)).sum()) if scheme == SCALED else 0)
+    assert c.hash.tolist() == new[:keep].tolist() and c.count.tolist() == n[:keep].tolist() and c.kmer == names[at[:keep]].tolist()
+    assert 0 < max(most) <= 400
