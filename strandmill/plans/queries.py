@@ -122,7 +122,8 @@ def filter_to_names(spark, sf_dir):
 
 
 def _two(spark, sf_dir):
-    rows = counts(spark, sf_dir, LONG, "lang")
+    """Counted once, however often an operator reads the two."""
+    rows = held(counts(spark, sf_dir, LONG, "lang"))
     return [rows.where(F.col("sample") == x).drop("sample") for x in ("en", "fr")]
 
 
@@ -140,7 +141,7 @@ def merge_all(spark, sf_dir):
 
 def merge_sources(spark, sf_dir):
     """All sources at once."""
-    rows = counts(spark, sf_dir)
+    rows = held(counts(spark, sf_dir))
     return combine.merge_many(rows, "sample", size=2000).select(_hash(), "kmer", "count", "extra_count")
 
 

@@ -48,3 +48,25 @@ assert "pipeline" not in e.queries() and not ({blocked!r} != "corpus_pipeline" a
 print("ok")"""
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
     assert "ok" in done.stdout, done.stderr
+
+
+@pytest.mark.parametrize("name", ["merge_sized", "compare_matrix", "set_counts", "compare_counts", "merge_sources"])
+def test_counts_are_made_once(spark, monkeypatch, name):
+    """However often a query reads its counts, the texts are gone through once."""
+    made, plain = spark.sparkContext.accumulator(0), queries.counts
+    want = []
+
+    def counts(*args):
+        rows = plain(*args)
+        want.append(rows.count())
+
+        def seen(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+
+        return rows.mapInArrow(seen, rows.schema)
+
+    monkeypatch.setattr(queries, "counts", counts)
+    assert queries.QUERIES[name](spark, __spark_entry__.SMOKE).count()
+    assert len(want) == 1 and made.value == want[0]
