@@ -151,7 +151,7 @@ def compare_counts(spark, sf_dir):
 
 
 def compare_matrix(spark, sf_dir):
-    rows = counts(spark, sf_dir, SHORT)
+    rows = held(counts(spark, sf_dir, SHORT))
     return combine.count_matrix(rows.where(F.col("sample") == "src0"), rows).select("sample", F.col("ref_pos").cast("long").alias("ref_pos"), "count")
 
 
