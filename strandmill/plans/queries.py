@@ -162,7 +162,7 @@ def sparse_matrix(spark, sf_dir):
 
 
 def set_counts(spark, sf_dir):
-    rows = counts(spark, sf_dir, SHORT, "lang").where(F.col("sample") == "en").drop("sample")
+    rows = held(counts(spark, sf_dir, SHORT, "lang")).where(F.col("sample") == "en").drop("sample")
     new = rows.select("hash", F.expr("count div 1000").alias("count"))
     return combine.with_counts(rows, new).select(_hash(), "kmer", "count", "extra_count")
 
