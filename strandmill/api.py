@@ -36,9 +36,9 @@ def sketch_sequences(sequences: DataFrame, params: SketchParams = SketchParams()
     sequences = sequences if "ordinal" in sequences.columns else sequences.withColumn("ordinal", F.lit(0))
     sequences = sequences if "format" in sequences.columns else sequences.withColumn("format", F.lit(S.FASTA))
     sequences = sequences if "record_no" in sequences.columns else sequences.withColumn("record_no", F.lit(0))
-    if SCHEMES[params.scheme] is sketching.minmers and params.scheme != ALL:  # one pass over the records gives all there is to know
+    if SCHEMES[params.scheme] is sketching.minmers:  # one pass over the records gives all there is to know
         scan = tables.held(sketching.scanned(sequences, params))
-        heads, rows = sketching.facts_of(scan), sketching.picked(sketching.counts_of(scan), params)
+        heads, rows = sketching.facts_of(scan, params), sketching.picked(sketching.counts_of(scan, params), params)
     else:
         heads = sequences.groupBy("sample").agg(F.min("ordinal").alias("ordinal"), F.min_by("format", F.struct("ordinal", "record_no")).alias("format"))
         heads = heads.join(sketching.totals(sequences, params), "sample", "left")

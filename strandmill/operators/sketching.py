@@ -18,10 +18,14 @@ from pyspark.sql.window import Window
 
 from ..functions import kmers as K
 from ..params import ALL, SCALED, U32, SketchParams, ordered
+from ..sources.tables import held
 
 _OUT = "sample string, hash bigint, kmer string, count bigint, extra_count bigint"
 #: With the facts of a sample and task, in rows without a hash: its first file and record, their format, bases, k-mers.
 _FACTS = f"{_OUT}, ordinal int, first bigint, format string, bases bigint, valid bigint"
+_NUMBERS = "sample string, ix bigint, rc bigint, c bigint"
+#: A sample's first record.
+_FIRST = (("ordinal", pa.int32()), ("first", pa.int64()), ("format", pa.string()))
 #: Bytes of a sample counted at once, bytes that wait for it in a task, hashes (or numbers of k-mers) that a task holds, rows
 #: of a batch that come or go together, and k-mers that wait to be counted.
 _CHUNK = 1 << 20
@@ -271,22 +275,40 @@ class _Numbers:
         return pa.record_batch(cols, names=["sample", "ix", "rc", "c"])
 
 
-def _indices(k: int):
+def _indices(k: int, facts: bool = False):
     """Counts of the plain (not canonical) 2-bit k-mers of each sample, with their reverse complements. A task holds a bounded
-    number of them, and of records a bounded number of bytes or one."""
+    number of them, and of records a bounded number of bytes or one. With facts, rows without a k-mer have each sample's first
+    record (ordinal, record number, format)."""
 
     def run(batches):
         numbers = _Numbers(k)
         by: dict[str, list] = {}
+        first: dict[str, tuple] = {}
         waiting = 0
 
+        def out():
+            for b in numbers.out():
+                yield pa.record_batch([*b.columns, *[pa.nulls(b.num_rows, t) for _, t in _FIRST]], names=[*b.schema.names, *[n for n, _ in _FIRST]]) if facts else b
+
+        def heads():
+            if first:
+                more = [pa.array(c, t) for c, (_, t) in zip(zip(*first.values(), strict=True), _FIRST, strict=True)]
+                yield pa.record_batch([pa.array(list(first), pa.string()), *[pa.nulls(len(first), pa.int64())] * 3, *more], names=["sample", "ix", "rc", "c", *[n for n, _ in _FIRST]])
+                first.clear()
+
         def counted():
             for t, parts in by.items():
                 numbers.add(t, parts)
                 if numbers.held >= 4 * _HELD:
-                    yield from numbers.out()
+                    yield from out()
 
         for b in _few(batches):
+            if facts:
+                for s, *head in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                    if s not in first or tuple(head[:2]) < first[s][:2]:
+                        first[s] = tuple(head)
+                if len(first) >= _SENT:
+                    yield from heads()
             for s, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if seq:
                     by.setdefault(s, []).append(seq)
@@ -296,7 +318,8 @@ def _indices(k: int):
                     by.clear()
                     waiting = 0
         yield from counted()
-        yield from numbers.out()
+        yield from out()
+        yield from heads()
 
     return run
 
@@ -321,8 +344,13 @@ def all_counts(sequences: DataFrame, k: int) -> DataFrame:
     Of a k-mer and its reverse complement the row has the smaller one that occurs; extra
     counts the greater one's, where both occur, and half of a palindrome's, which counts double.
     """
+    return _folded(_samples(sequences).mapInArrow(_indices(k), _NUMBERS), k)
+
+
+def _folded(numbers: DataFrame, k: int) -> DataFrame:
+    """all_counts() out of what tasks counted."""
     of = lambda c: F.sum(F.when(c, F.col("c")).otherwise(0))
-    pairs = _samples(sequences).mapInArrow(_indices(k), "sample string, ix bigint, rc bigint, c bigint").withColumn("lo", F.least("ix", "rc"))
+    pairs = numbers.withColumn("lo", F.least("ix", "rc"))
     folded = pairs.groupBy("sample", "lo").agg(
         of(F.col("ix") == F.col("lo")).alias("c_lo"), of(F.col("ix") != F.col("lo")).alias("c_hi"), F.max(F.greatest("ix", "rc")).alias("hi")
     )
@@ -348,16 +376,26 @@ def scanned(sequences: DataFrame, params: SketchParams) -> DataFrame:
     """What one pass over the records (sample, seq, ordinal, record_no, format) has to say, to be written or kept: task by
     task, the counts of the hashes that may be in a sketch, and the facts of each sample."""
     rows = sequences.select(F.col("sample").cast("string").alias("sample"), "seq", F.coalesce(F.col("ordinal").cast("int"), F.lit(0)), F.coalesce(F.col("record_no").cast("bigint"), F.lit(0).cast("bigint")), "format")
+    if params.scheme == ALL:
+        return rows.mapInArrow(_indices(params.kmer_length, True), f"{_NUMBERS}, ordinal int, first bigint, format string")
     return rows.mapInArrow(_stage(params, True), _FACTS)
 
 
-def counts_of(scan: DataFrame) -> DataFrame:
-    """hashed_counts() of a pass."""
+def counts_of(scan: DataFrame, params: SketchParams) -> DataFrame:
+    """hashed_counts() of a pass, or all_counts()."""
+    if params.scheme == ALL:
+        return _folded(scan.where(F.col("ix").isNotNull()), params.kmer_length)
     return _added_up(scan.where(F.col("hash").isNotNull()).select("sample", "hash", "kmer", "count", "extra_count"))
 
 
-def facts_of(scan: DataFrame) -> DataFrame:
-    """sample, ordinal, format (of the first record), seq_length, num_valid_kmers of a pass."""
+def facts_of(scan: DataFrame, params: SketchParams) -> DataFrame:
+    """sample, ordinal, format (of the first record), seq_length, num_valid_kmers of a pass. A complete sketch has never counted
+    bases: 0."""
+    if params.scheme == ALL:
+        return scan.groupBy("sample").agg(
+            F.min("ordinal").alias("ordinal"), F.min_by("format", F.when(F.col("ix").isNull(), F.struct("ordinal", "first"))).alias("format"),
+            F.lit(0).cast("bigint").alias("seq_length"), F.coalesce(F.sum("c"), F.lit(0)).alias("num_valid_kmers"),
+        )
     return scan.where(F.col("hash").isNull()).groupBy("sample").agg(
         F.min("ordinal").alias("ordinal"), F.min_by("format", F.struct("ordinal", "first")).alias("format"),
         F.sum("bases").alias("seq_length"), F.sum("valid").alias("num_valid_kmers"),
@@ -368,11 +406,15 @@ def minmers(sequences: DataFrame, params: SketchParams) -> DataFrame:
     """The rows of each sample's sketch, before filters."""
     if params.scheme == ALL:
         return all_counts(sequences, params.kmer_length)
-    return picked(hashed_counts(sequences, params), params)
+    counted = hashed_counts(sequences, params)
+    # a scaled sketch is picked by several branches, each of which would scan the records anew once columns are dropped
+    return picked(held(counted) if params.scheme == SCALED else counted, params)
 
 
 def picked(counted: DataFrame, params: SketchParams) -> DataFrame:
     """The rows of each sample's sketch out of its counts: the smallest, and for a scaled sketch all up to its limit."""
+    if params.scheme == ALL:
+        return counted
     if params.scheme != SCALED:
         return smallest(counted, params.kmers_to_sketch)
     # the top k is its own branch, which Spark can limit early; the rest is a plain filter above each sample's k-th. All

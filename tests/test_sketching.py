@@ -5,10 +5,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from strandmill import api
 from strandmill.functions import hashing
 from strandmill.operators import sketching
-from strandmill.params import ALL, MASH, SCALED, U64, SketchParams, effective_scale, max_hash
+from strandmill.params import ALL, MASH, SCALED, U64, FilterParams, SketchParams, effective_scale, max_hash
 
 from .test_kmers import RC, naive
 
@@ -160,3 +162,41 @@ def test_scaled_hashes_are_moved_a_few_times(monkeypatch):
         c.add(rng.integers(0, 256, 1 << 18).astype(np.uint8).tobytes())
     c.flush()
     assert len(c.hash) > 300_000 and sum(moved) < 3 * len(c.hash)
+
+
+@pytest.fixture
+def counted(spark):
+    """Sequences that count how often a task reads each of their records."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(s, "ACGTTGCATGNACCA" * (i + 1), i, "fastq" if (s, i) == ("s1", 3) else "fasta") for s in ("s0", "s1") for i in range(3, 9)]
+    rows += [("s2", "AC", 0, "fastq"), ("s2", None, 1, "fasta")]
+    shape = "sample string, seq string, record_no long, format string"
+    return spark.createDataFrame(rows, shape).mapInArrow(watch, shape), seen, len(rows)
+
+
+def test_complete_sketches_read_their_records_once(counted):
+    """Counts, k-mers, formats and the filters that follow them; a sample too short for a k-mer has a row as well."""
+    df, seen, n = counted
+    c = api.sketch_sequences(df, SketchParams(ALL, 4**4, 4**4, True, 4), FilterParams(None, 1, 10**6, 0.0, 0.0))
+    heads = [(r["name"], r["seq_length"], r["num_valid_kmers"], r["filter_params"]["filter_on"]) for r in c.sketches.orderBy("sketch_id").collect()]
+    texts = ["ACGTTGCATGNACCA" * (i + 1) for i in range(3, 9)]
+    valid = sum(sum("N" not in t[i : i + 4] for i in range(len(t) - 3)) for t in texts)
+    assert heads == [("s0", 0, valid, False), ("s1", 0, valid, True), ("s2", 0, 0, True)]
+    rows = c.minmers.groupBy("sketch_id").agg(F.sum("count").alias("n")).collect()
+    palindromes = sum(sum(t[i : i + 4] == t[i : i + 4].translate(RC)[::-1] for i in range(len(t) - 3)) for t in texts)
+    assert {(r["sketch_id"], r["n"]) for r in rows} == {(0, valid + palindromes), (1, valid + palindromes)}
+    assert seen.value == n
+
+
+def test_scaled_sketches_read_their_records_once(counted):
+    """However their columns are used: the branches of the pick share one pass."""
+    df, seen, n = counted
+    got = sketching.minmers(df, SketchParams(SCALED, 3, 3, True, 5, scale=0.5))
+    assert got.select("sample", "hash").distinct().count() == got.count() > 6
+    assert seen.value == n
