@@ -61,7 +61,9 @@ def fastq_scan(spark, sf_dir):
     path = scratch(spark)
     quality = F.concat(F.lit("@"), F.expr("repeat('I', length(seq) - 1)"))
     rows = _letters(spark, sf_dir, empty=False)
-    rows.select(F.concat(F.lit("@"), "id", F.lit("\n"), "seq", F.lit("\n+\n"), quality)).write.option("compression", "gzip").text(path)
+    text = F.concat(F.lit("@"), "id", F.lit("\n"), "seq", F.lit("\n+\n"), quality)
+    # two bits a base at best: more effort gains little, and packing takes most of the time
+    rows.select(text).write.options(compression="gzip", **{"zlib.compress.level": "BEST_SPEED"}).text(path)
     got = S.read_sequences(spark, path)
     return _records(got.where(F.col("qual") == quality))
 

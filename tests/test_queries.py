@@ -1,8 +1,10 @@
 """The engine's queries against DuckDB on the smallest tables."""
 
+import gzip
 import math
 import subprocess
 import sys
+import zlib
 
 import duckdb
 import pytest
@@ -70,3 +72,13 @@ def test_counts_are_made_once(spark, monkeypatch, name):
     monkeypatch.setattr(queries, "counts", counts)
     assert queries.QUERIES[name](spark, __spark_entry__.SMOKE).count()
     assert len(want) == 1 and made.value == want[0]
+
+
+def test_fastq_files_are_packed_with_little_effort(spark, tmp_path, monkeypatch):
+    """Packing at zlib's usual effort took most of fastq_scan's time."""
+    path = tmp_path / "reads"
+    monkeypatch.setattr(file_queries, "scratch", lambda _: str(path))
+    file_queries.fastq_scan(spark, "/root/testdata/sf0.001")
+    files = [f.read_bytes() for f in path.glob("*.gz")]
+    usual = sum(len(zlib.compress(gzip.decompress(f), 6)) for f in files)
+    assert files and sum(map(len, files)) > 1.03 * usual
