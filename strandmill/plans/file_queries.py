@@ -7,7 +7,7 @@ import re
 from dataclasses import replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -68,20 +68,31 @@ def fastq_scan(spark, sf_dir):
     return _records(got.where(F.col("qual") == quality))
 
 
-def _placed(path: str):
-    """Writes a FASTA file for every id, whose rows come together; a task that runs again writes the same files."""
+def _fasta(name: str, seq: bytes) -> bytes:
+    return b">%b\n%b\n" % ((name or "").encode(), seq)
+
+
+def _fastq(name: str, seq: bytes) -> bytes:
+    return b"@%b\n%b\n+\n%b\n" % ((name or "").encode(), seq, b"I" * len(seq))
+
+
+def _placed(path: str, record_of):
+    """Writes a file below path for every name, whose rows (file, id, seq as packed bases) come together, record by record;
+    record_of: the form of a file's records. A task that runs again writes the same files."""
 
     def run(batches):
         store, inner = fastx.store_of(path)
-        store.create_dir(inner)
         out, name, n = None, None, 0
         for b in S.few(batches):
-            for i, seq in zip(b.column(0).to_pylist(), K.letters_of(b.column(1)).to_pylist(), strict=True):
-                if out is None or i != name:
+            for file, i, seq in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                if out is None or file != name:
                     if out is not None:
                         out.close()
-                    out, name, n = store.open_output_stream(f"{inner}/{i}.fa"), i, n + 1
-                out.write(f">{i}\n{seq}\n".encode())
+                    at = f"{inner}/{file}"
+                    store.create_dir(at.rpartition("/")[0])
+                    out, name, n = store.open_output_stream(at, buffer_size=1 << 16), file, n + 1
+                    record = record_of(file)
+                out.write(record(i, K.lettered(seq)))
         if out is not None:
             out.close()
         yield pa.record_batch([pa.array([n], pa.int64())], names=["files"])
@@ -89,12 +100,18 @@ def _placed(path: str):
     return run
 
 
+def _put(rows: DataFrame, path: str, record_of) -> None:
+    """The files of rows (file, id, seq), all rows of one in one task. Tasks write them through the same store that the data
+    source reads files from, so that letters, four times as long as packed bases, are neither sorted nor sent anywhere: Spark's
+    own writer sorts them by file, makes a folder and a checksum for each, and moves all at the end."""
+    dealt = rows.select("file", "id", "seq").repartition("file").sortWithinPartitions("file")
+    dealt.mapInArrow(_placed(path, record_of), "files bigint").write.format("noop").mode("overwrite").save()
+
+
 def small_files(spark, sf_dir):
-    """A file for every text, read by the data source; planning opens none. The tasks write the files through the same store
-    that the data source reads them from: Spark's own writer makes a folder and a checksum for each, and moves all at the end."""
+    """A file for every text, read by the data source; planning opens none."""
     path = scratch(spark)
-    rows = _packed(spark, sf_dir).select("id", "seq").repartition("id").sortWithinPartitions("id")
-    rows.mapInArrow(_placed(path), "files bigint").write.format("noop").mode("overwrite").save()
+    _put(_packed(spark, sf_dir).withColumn("file", F.concat(F.coalesce("id", F.lit("")), F.lit(".fa"))), path, lambda _: _fasta)
     fastx.register(spark)
     return _records(spark.read.format("fastx").load(path))
 
@@ -166,28 +183,22 @@ def collection_edit(spark, sf_dir):
     return out.sketches.select(F.col("name").alias("sample"), F.row_number().over(Window.orderBy("sketch_id")).alias("place"))  # a row a sketch
 
 
-def _by_source(spark, sf_dir, value) -> list[str]:
-    """One file a source, of the value of each of its texts that isn't empty; packed bases change places, not letters."""
+def _by_source(spark, sf_dir, record_of=lambda _: _fasta) -> list[str]:
+    """One file a source, with the records of its texts that aren't empty."""
     path = scratch(spark)
-    rows = _packed(spark, sf_dir).where(F.octet_length("seq") > 0).repartition("source")
-    _lettered(rows).select("source", value.alias("value")).write.partitionBy("source").text(path)
+    # folders are named as Spark's writer names those of a partition
+    name = F.coalesce(F.nullif("source", F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    for sign in "%\"#'*/:=?\\{[]^":
+        name = F.replace(name, F.lit(sign), F.lit(f"%{ord(sign):02X}"))
+    rows = _packed(spark, sf_dir).where(F.octet_length("seq") > 0)
+    _put(rows.withColumn("file", F.concat(F.lit("source="), name, F.lit("/reads.txt"))), path, record_of)
     return sorted(f.toString() for _, f in S.files_at(spark, f"{path}/source=*"))
 
 
-def _fasta() -> Column:
-    return F.concat(F.lit(">"), "id", F.lit("\n"), "seq")
-
-
-def _genomes(spark, sf_dir) -> list[str]:
-    """One FASTA file a source."""
-    return _by_source(spark, sf_dir, _fasta())
-
-
 def reads_filter(spark, sf_dir):
     """Sources whose names end in an even digit as FASTQ files, the others as FASTA: filters that nobody turned on or off
     apply to reads with qualities alone."""
-    read = F.concat(F.lit("@"), "id", F.lit("\n"), "seq", F.lit("\n+\n"), F.expr("repeat('I', length(seq))"))
-    files = _by_source(spark, sf_dir, F.when(F.substring("source", -1, 1).isin(*"02468"), read).otherwise(_fasta()))
+    files = _by_source(spark, sf_dir, lambda file: _fastq if file.split("/")[0][-1] in "02468" else _fasta)
     c = api.sketch_files(spark, files, SketchParams(ALL, 4**SHORT, 4**SHORT, True, SHORT), replace(KEPT, filter_on=None))
     return _rows(c, "kmer", "count", "extra_count").withColumn("sample", F.regexp_extract("sample", "source=([^/]*)/", 1))
 
@@ -206,7 +217,7 @@ def _source(path: str) -> str:
 
 def _command(spark, sf_dir, *options: str) -> str:
     """The output of a command over the sources' files."""
-    files = _genomes(spark, sf_dir)
+    files = _by_source(spark, sf_dir)
     out = scratch(spark) + ".json"
     if cli.run([options[0], *[f if "://" in f else f.replace("file:/", "file:///", 1) for f in files], *options[1:], "-n", "500", "-o", out], spark):
         raise RuntimeError("the command failed")
@@ -249,7 +260,7 @@ def index_search(spark, sf_dir):
 
 def mixed_load(spark, sf_dir):
     """A sketch file of all sources and one more sequence file, which takes the sketches' parameters."""
-    files = _genomes(spark, sf_dir)
+    files = _by_source(spark, sf_dir)
     path = scratch(spark) + ".bsk"
     api.sketch_sequences(sequences(spark, sf_dir), SketchParams(MASH, 300, 300)).save(path)
     c = api.load(spark, [path, files[0]])

@@ -3,12 +3,14 @@ import gzip
 import io
 import json
 import random
+import re
 
 import pytest
 
 from strandmill import api, cli
 from strandmill.errors import SketchError
 from strandmill.params import ALL, MASH, SCALED, FilterParams, SketchParams
+from strandmill.plans import file_queries
 from strandmill.sources import formats, sequences, tables, wire
 
 
@@ -356,3 +358,20 @@ def test_near_pairs_are_all_pairs_below_one(spark, genomes):
             assert sorted(map(str, every)) == sorted(map(str, near.collect()))
     plan = c.distances(pairwise=True, max_dist=0.5)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_files_by_source_come_from_the_tasks(spark, tmp_path):
+    """One file a source, whatever its name and however tasks are dealt: no source and an empty one are one, as in Spark's folders."""
+    names = ["src0", "a=b/c", None, "", "src0", "x%y", ""]
+    docs = spark.createDataFrame([(i, s, f"text {i}") for i, s in enumerate(names)], "doc_id long, source string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = file_queries._by_source(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    assert [re.search(r"source=([^/]*)/", f)[1] for f in files] == ["__HIVE_DEFAULT_PARTITION__", "a%3Db%2Fc", "src0", "x%25y"]
+    rows = sequences.read_sequences(spark, files).collect()
+    want = {str(i): "".join("".join("ACGT"[b >> s & 3] for s in (6, 4, 2, 0)) for b in f"text {i}".encode()) for i in range(len(names))}
+    assert {r["id"]: r["seq"] for r in rows} == want and len({r["sample"] for r in rows}) == 4
